@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, topk, urls
-from .common import read
+from . import chat, quality, topk, toxicity, urls
+from .common import fold, read
 
 #: The explicit URL rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -16,6 +16,18 @@ URL_SEEDS = ["casino", "bets", "pills", "spam", "ads", "adult"]
 HARD_ID, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels), ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels), ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
@@ -64,7 +76,7 @@ FROM w GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_url_filters, op9_exact_topk, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality, op6_url_filters, op7_toxicity, op9_exact_topk, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
