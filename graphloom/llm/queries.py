@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, topk, toxicity, urls
-from .common import fold, read
+from . import chat, decontaminate, quality, topk, toxicity, urls
+from .common import ascii_lower_sql, fold, read
 
 #: The explicit URL rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -28,6 +28,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = decontaminate.find(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    hits = F.col("__found.hits")
+    listed = F.array_sort(F.array_distinct(F.flatten(hits["items"])))
+    counted = found.select("doc_id", F.col("__found.n_words").cast("long").alias("n_words"), F.size(decontaminate.positions(hits)).cast("long").alias("n_hit"), listed.alias("__items"))
+    return counted.select("doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
@@ -49,6 +58,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns.unionByName(hard)))
 
 
+WORDS_SQL = f"regexp_extract_all({ascii_lower_sql("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+DECONTAMINATION_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
+     b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+     win AS (SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS t
+             FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+     lens AS (SELECT DISTINCT l FROM win),
+     grams AS (SELECT r, i, l, array_to_string(list_slice(w, i, i + l - 1), ' ') AS t
+               FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, lens WHERE len(w) >= l)),
+     hit AS (SELECT g.r, g.i, g.l, win.item_id FROM grams g JOIN win ON g.l = win.l AND g.t = win.t),
+     pos AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + l)) AS p FROM hit) GROUP BY r),
+     its AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, pos.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
@@ -76,8 +102,8 @@ FROM w GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op6_url_filters, op7_toxicity, op9_exact_topk, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op6_url_filters, op7_toxicity, op9_exact_topk, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {"op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 TOGETHER = 128  # queries whose accumulators are kept at a time
 LEVEL = 4  # width of a quantised impact level
-ROUNDS = (0.6, 0.85, 1.0)  # share of the segments read by the end of each round
+ROUNDS = (0.85, 1.0)  # share of the segments read by the end of each round
 
 
 class Block:
@@ -52,19 +52,26 @@ class Block:
         least = np.minimum(*ends)
         gain = least - np.minimum.reduceat(least, self.first, axis=0)[np.searchsorted(self.first, np.arange(len(self.dims)), "right") - 1]
         slack = np.abs(queries).sum(1) * (LEVEL - 1)
-        rank = np.argsort(np.argsort(-gain, axis=0, kind="stable"), axis=0, kind="stable")
         allowed = self.ids[:, None] != own[None, :]
-        sure, met = np.zeros(allowed.shape, np.int64), np.zeros(allowed.shape, np.int32)
-        active, begin = np.arange(len(own)), 0
+        # one accumulator per vector and query: the gain so far, and above bit ``shift`` the number of dimensions met
+        bound = int(np.maximum.reduceat(gain, self.first, axis=0).sum(0).max())
+        kind, shift = (np.int32, 24) if bound < 1 << 24 and len(self.first) < 1 << 7 else (np.int64, 48)
+        if bound >= 1 << 48 or len(self.first) >= 1 << 15:
+            raise OverflowError("vectors too long or components too large for the accumulators")
+        total = np.zeros(allowed.shape, kind)
+        active, above = np.arange(len(own)), None
         for share in ROUNDS:
-            end = int(np.ceil(share * len(self.dims)))
-            now = (rank[:, active] >= begin) & (rank[:, active] < end)
-            add = np.where(now, gain[:, active], 0)
+            some = gain[:, active]
+            at = int((1 - share) * len(some))
+            threshold = np.partition(some, at, axis=0)[at] if share < 1 else np.full(len(active), -1)
+            now = some >= threshold
+            unread = np.where(now, 0, some).max(0)
+            if above is not None:
+                now &= some < above
+            add = np.where(now, some + (1 << shift), 0).astype(kind)
             for s in np.flatnonzero(now.any(1)):
-                part = self.members[s]
-                sure[part] += add[s]
-                met[part] += now[s]
-            unread = np.where(rank[:, active] >= end, gain[:, active], 0).max(0)
+                total[self.members[s]] += add[s]
+            sure, met = total & ((1 << shift) - 1), total >> shift
             going = []
             for c, q in enumerate(active):
                 ok = np.flatnonzero(allowed[:, q])
@@ -82,7 +89,7 @@ class Block:
                 yield q, self.ids[possible][best], scores[best]
             if not going:
                 return
-            active, sure, met, begin = active[going], sure[:, going], met[:, going], end
+            active, total, above = active[going], total[:, going], threshold[going]
 
 
 def _search(batches, k: int):
