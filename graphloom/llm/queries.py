@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, topk, toxicity, urls
+from . import chat, decontaminate, licences, quality, topk, toxicity, urls
 from .common import ascii_lower_sql, fold, read
 
 #: The explicit URL rules.
@@ -47,6 +47,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES, mined, [F.col("page_id")])
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.train(docs), ["doc_id"])
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -102,7 +107,7 @@ FROM w GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op6_url_filters, op7_toxicity, op9_exact_topk, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality, op3_decontamination, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
