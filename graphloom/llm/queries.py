@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, quality, topk, toxicity, urls
+from . import chat, decontaminate, licences, ngram_join, pieces, quality, topk, toxicity, urls
 from .common import ascii_lower_sql, fold, read
 
 #: The explicit URL rules.
@@ -28,6 +28,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, num=85, den=100)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = decontaminate.find(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -37,6 +41,13 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_column(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
@@ -80,6 +91,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(pos.n, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
+NGRAM_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ascii_lower_sql("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     g AS MATERIALIZED (SELECT DISTINCT r, doc_id, hash(array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' '), least(len(w), 4)) AS g
+           FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS i FROM d WHERE len(w) > 0)),
+     n AS MATERIALIZED (SELECT r, doc_id, count(*) AS n FROM g GROUP BY r, doc_id),
+     p AS (SELECT a.r AS x, b.r AS y, count(*) AS s FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+     l AS MATERIALIZED (SELECT DISTINCT m.doc_id AS x, o.doc_id AS y FROM p JOIN n m ON p.x = m.r JOIN n o ON p.y = o.r WHERE 100 * s >= 85 * (m.n + o.n - s)),
+     c AS (SELECT doc_id AS id, doc_id AS c FROM n UNION SELECT l.y, c.c FROM c JOIN l ON l.x = c.id WHERE c.c < l.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN (SELECT id, min(c) AS c FROM c GROUP BY id) m ON m.id = d.doc_id
+"""
+
 TOPK_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
@@ -107,8 +130,8 @@ FROM w GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_decontamination, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL}
