@@ -30,12 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def staged_path(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, which ``release`` will delete."""
+    path = f"{shared_dir(spark)}/graphloom-staged/{uuid.uuid4().hex}"
+    _staged.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and frees the shuffles behind it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-staged/{uuid.uuid4().hex}"
+    path = staged_path(spark)
     df.write.parquet(path)
-    _staged.append((spark, path))
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files no plan refers to any more
     return spark.read.schema(df.schema).parquet(path)
 

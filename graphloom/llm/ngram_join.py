@@ -348,5 +348,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     null id stay."""
     found = near_duplicates(docs, n, num, den)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.dropDuplicates(["doc_id"]).where(F.col("doc_id").isNotNull())
-    return named.join(kept, named["doc_id"] == kept["__kept"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    joined = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return joined.withColumn("__place", first).where("__place = 1").drop("__place").unionByName(docs.where(F.col("doc_id").isNull()))

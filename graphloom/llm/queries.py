@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, ngram_join, pieces, quality, topk, toxicity, urls
-from .common import ascii_lower_sql, fold, read
+import corpus_pipeline
+
+from . import chat, decontaminate, licences, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
+from .common import ascii_lower_sql, fold, read, staged_path
 
 #: The explicit URL rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -48,6 +50,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_column(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = staged_path(spark)
+    tokenfile.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.digests(tokenfile.read(spark, path))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
@@ -130,8 +140,8 @@ FROM w GROUP BY conv_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL}
+    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
