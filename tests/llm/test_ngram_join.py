@@ -55,6 +55,12 @@ def rows():
         base = [f"w{rng.randrange(3000)}" for _ in range(size)]
         out += [family(rng, base, rng.choice((0, 0, 1, 1, 2, 3, size // 40, size // 20))) for _ in range(12)]
         out += [" ".join(base[: max(1, int(size * cut))]) for cut in (0.8, 0.86, 0.93)]
+    # drifting copies of copies: heads that have heads
+    for _ in range(3):
+        words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        for _ in range(25):
+            out.append(" ".join(words))
+            words = family(rng, words, rng.choice((1, 1, 2, 4))).split()
     out += ["", None, "  \n ", "one", "ONE", "one two", "a b c d", "A  b\tc\nd", "é É", "x " * 400, "y" * 5000]
     rows = list(enumerate(out))
     rng.shuffle(rows)
