@@ -10,13 +10,16 @@ space is cut into more than D groups, the sets are equal in at least one group.
 groups (with the size class, as D follows the size), and equal signatures meet.  With z groups to spare, at least z + 1 are
 equal, and a document with at most z empty groups need not sign those.  Of the documents that meet under a signature the
 smallest id is head; a cluster is everything that shares a head, so each similar pair lies in the cluster of the head of
-each signature that it shares.  Clusters are searched breadth-first: a document is looked up in the tree of the documents
-not reached yet, nearest to the cluster's mean first, so that a large group of near copies costs one look-up of a central
-document rather than all pairs, while no link that joins two components is missed.
+each signature that it shares, and still does when a cluster is joined to that of its head's own smallest head.
+
+Clusters are first searched by points alone (a byte for each group), which leaves only documents with a partner that they
+could be similar to.  The texts of those are then brought together and searched breadth-first: a document is looked up in
+the tree of the documents not reached yet, nearest to the cluster's mean first, so that a large group of near copies costs
+one look-up of a central document rather than all pairs, while no link that joins two components is missed.
 
 Large clusters are cut into blocks that all hold the head.  Documents that a block could not join to the head visit all
-other blocks of the cluster in a second round.  Copies (equal sets) are merged before all this, by map-side combined
-aggregation.  Components are found by label propagation with pointer jumping over staged tables.
+other blocks of the cluster in a second round.  Of copies (equal sets), one for each task signs, and one in all is searched.
+Components are found by label propagation with pointer jumping over staged tables.
 
 Defined results: null and empty texts have an empty set and are alone; fewer words than n form one n-gram; repeated rows and
 equal sets are in one component; rows that share an id count as one document; a null id takes part in nothing and has a
@@ -33,9 +36,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, MIX1, SALTS, byte_table, mix, sliced, span_hashes, spans, stage, text_view
 
 SPACE = byte_table("space")
-GROUPS = 32
+GROUPS = 256
+#: Groups of the finer counts that are compared once the sets are at hand.
+FINE_GROUPS = 2048
+#: Clusters of more points than this are not thinned out before their texts are brought together.
+THINNED = 20_000
 FAN_OUT = 16
 BLOCK_ITEMS = 1_000_000
+FINE_ROWS = 20_000
 GROWTH = 1.5
 
 
@@ -171,10 +179,10 @@ class CountTree:
         return self.order[self._open(at, q, n, self.counts, self.size, self.size)]
 
 
-def counts_of(gram: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    group = (gram >> np.uint64(59)).astype(np.int64)
+def counts_of(gram: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    group = (gram >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return np.bincount(owner * GROUPS + group, minlength=(len(offsets) - 1) * GROUPS).reshape(-1, GROUPS)
+    return np.bincount(owner * groups + group, minlength=(len(offsets) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
 def link(gram: np.ndarray, offsets: np.ndarray, visitor: np.ndarray, threshold: Threshold) -> np.ndarray:
@@ -183,6 +191,7 @@ def link(gram: np.ndarray, offsets: np.ndarray, visitor: np.ndarray, threshold:
     n = len(offsets) - 1
     size, label = np.diff(offsets), np.arange(n)
     points = counts_of(gram, offsets)
+    fine = np.minimum(counts_of(gram, offsets, FINE_GROUPS), 255).astype(np.uint8) if n <= FINE_ROWS else None
     centre = points.mean(0)
     far = np.abs(points - centre * (size / max(size.mean(), 1))[:, None]).sum(1)
     tree = CountTree(points, size, threshold)
@@ -192,6 +201,11 @@ def link(gram: np.ndarray, offsets: np.ndarray, visitor: np.ndarray, threshold:
         rows = rows[rows != q]
         if not len(rows):
             return rows
+        if fine is not None and len(rows) > 1:
+            bound = np.minimum(fine[rows], fine[q])
+            rows = rows[(bound.sum(1) >= threshold.overlap(size[rows], int(size[q]))) | (bound == 255).any(1)]
+            if not len(rows):
+                return rows
         own = gram[offsets[q] : offsets[q + 1]]
         length = size[rows]
         item = gram[np.repeat(offsets[rows] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
@@ -266,20 +280,79 @@ def _clusters(batches, n: int, threshold: Threshold):
 
 
 def _signed(batches, n: int, threshold: Threshold):
+    """Sizes, fingerprints and points of all sets; signatures only of the first of equal sets in this task."""
+    known: set[tuple[int, int]] = set()
     for batch in sliced(batches):
         gram, offsets = sets(*text_view(batch.column("text")), n)
         size = np.diff(offsets)
-        owner = np.repeat(np.arange(len(size)), size)
+        marks = [np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)]
+        some = np.flatnonzero(size)
         with np.errstate(over="ignore"):
-            marks = [np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)]
-            some = np.flatnonzero(size)
             for mark, salt in zip(marks, SALTS[5:7], strict=True):
                 if len(some):
                     mark[some] = np.add.reduceat(mix(gram ^ salt), offsets[:-1][some])
-        del owner
-        signature, at = threshold.signatures(gram, offsets)
+        new = np.zeros(len(size), bool)
+        for k, pair in enumerate(zip(*(m.tolist() for m in marks), strict=True)):
+            if pair not in known:
+                known.add(pair)
+                new[k] = True
+        kept = np.where(new, size, 0)
+        signature, at = threshold.signatures(gram[np.repeat(new, size)], np.concatenate([[0], np.cumsum(kept)]))
+        points = np.minimum(counts_of(gram, offsets), 255).astype(np.uint8)
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(size), [None, pa.py_buffer(np.ascontiguousarray(points))]).cast(pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signature.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), pa.array(marks[0].view(np.int64)), pa.array(marks[1].view(np.int64)), lists], ["id", "size", "f1", "f2", "signatures"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), *(pa.array(m.view(np.int64)) for m in marks), packed, lists], ["id", "size", "f1", "f2", "point", "signatures"])
+
+
+def _possible(points: np.ndarray, size: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which points of a cluster could be similar to another one."""
+    points = points.astype(np.int32)
+    points[points == 255] = 1 << 20  # saturated: no bound in this group
+    tree, n = CountTree(points, size, threshold), len(size)
+    found, everyone = np.zeros(n, bool), np.ones(n, bool)
+    for q in range(n):
+        if not found[q]:
+            rows = tree.search(points[q], int(size[q]), everyone)
+            if len(rows) > 1 or (len(rows) and rows[0] != q):
+                found[rows] = found[q] = True
+    return found
+
+
+def _thinned(batches, threshold: Threshold):
+    """Rows sorted by head -> the (head, id, size) that could have a partner in their cluster."""
+    held: list[tuple] = []
+    head = None
+    out: list[tuple] = []
+
+    def finish():
+        ids, size = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        points = np.frombuffer(b"".join(x for h in held for x in h[2]), np.uint8).reshape(-1, GROUPS)
+        keep = _possible(points, size, threshold) if len(ids) <= THINNED else np.ones(len(ids), bool)
+        if keep.any():
+            out.append((np.full(int(keep.sum()), head), ids[keep], size[keep]))
+
+    def flush():
+        arrays = [np.concatenate(c) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["head", "id", "size"])
+
+    for batch in batches:
+        heads, ids, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("head", "id", "size"))
+        cuts = np.flatnonzero(np.diff(heads)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(heads)], strict=True):
+            if lo == hi:
+                continue
+            if head is not None and heads[lo] != head:
+                finish()
+                held = []
+            head = int(heads[lo])
+            held.append((ids[lo:hi], size[lo:hi], batch.column("point").slice(lo, hi - lo).to_pylist()))
+        if sum(len(o[0]) for o in out) > 20_000:
+            yield flush()
+    if held:
+        finish()
+    if out:
+        yield flush()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -303,19 +376,29 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
     threshold = Threshold(num, den)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(lambda batches: _signed(batches, n, threshold), "id long, size long, f1 long, f2 long, signatures array<long>"))
-    filled = signed.where(F.col("id").isNotNull() & (F.col("size") > 0))
-    # copies: one representative, the smallest id, stands for all equal sets
+    signed = stage(source.mapInArrow(lambda batches: _signed(batches, n, threshold), "id long, size long, f1 long, f2 long, point binary, signatures array<long>"))
+    # copies: the smallest id stands for all equal sets
     kind = ["f1", "f2", "size"]
-    merged = filled.groupBy(*kind).agg(F.min(F.struct("id", "signatures")).alias("first"))
-    met = merged.select(F.col("first.id").alias("id"), F.explode("first.signatures").alias("signature"))
+    filled = signed.where(F.col("id").isNotNull() & (F.col("size") > 0)).select("id", *kind)
+    first = filled.groupBy(*kind).agg(F.min("id").alias("rep"))
+    alias = stage(filled.join(first, kind).select("id", "size", "rep").distinct())
+    met = signed.where(F.col("id").isNotNull()).select("id", F.explode("signatures").alias("signature"))
     head = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     pairs = stage(met.select("id", head.alias("head")).where("id <> head").distinct())
-    members = pairs.select("head", "id").union(pairs.select("head", F.col("head").alias("id")).distinct())
-    sizes = filled.groupBy("id").agg(F.max("size").alias("size"))
-    weighed = stage(members.join(sizes, "id"))
+    named = pairs.join(alias.select("id", F.col("rep").alias("member")), "id").join(alias.select(F.col("id").alias("head"), F.col("rep").alias("lead")), "head")
+    named = stage(named.where("member <> lead").select(F.col("lead").alias("head"), F.col("member").alias("id")).distinct())
+    # a head that has a head itself passes its cluster, itself included, on to that one, so that families meet once and not
+    # under many heads
+    above = named.groupBy("id").agg(F.min("head").alias("above")).withColumnRenamed("id", "head")
+    own = named.union(named.select("head", F.col("head").alias("id")).distinct())
+    members = stage(own.join(above, "head", "left").select(F.coalesce("above", "head").alias("head"), "id").distinct())
+    points = signed.where("size > 0").join(alias.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "size", "point")
+    dealt = members.join(points, "id").select("head", "id", "size", "point").repartition("head").sortWithinPartitions("head")
+    weighed = stage(dealt.mapInArrow(lambda batches: _thinned(batches, threshold), "head long, id long, size long"))
     blocks = weighed.groupBy("head").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    placed = weighed.join(blocks, "head").select("head", "id", "blocks", F.explode(F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))).alias("block"), F.lit(False).alias("visitor"))
+    # the head is in every block, even where it has no partner itself
+    heads = weighed.select("head", F.col("head").alias("id"))
+    placed = weighed.select("head", "id").union(heads).distinct().join(blocks, "head").select("head", "id", "blocks", F.explode(F.when(F.col("id") == F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))).alias("block"), F.lit(False).alias("visitor"))
     placed = stage(placed)
 
     def linked(members: DataFrame) -> DataFrame:
@@ -323,26 +406,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         dealt = texts.repartition("head", "block").sortWithinPartitions("head", "block", "id")
         return stage(dealt.mapInArrow(lambda batches: _clusters(batches, n, threshold), "head long, block long, id long, root long, joined boolean"))
 
-    first = linked(placed.drop("blocks"))
-    edges = first.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    linked_first = linked(placed.drop("blocks"))
+    edges = linked_first.select(F.col("id").alias("a"), F.col("root").alias("b"))
     large = placed.where("blocks > 1")
-    apart = stage(first.where("not joined").join(large.select("head", "blocks").distinct(), "head").select("head", "blocks", "id", "block").distinct())
+    apart = stage(linked_first.where("not joined").join(large.select("head", "blocks").distinct(), "head").select("head", "blocks", "id", "block").distinct())
     if apart.limit(1).count():
         visits = apart.select("head", "id", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("block"), F.lit(True).alias("visitor"))
         visited = large.join(visits.select("head", "block").distinct(), ["head", "block"], "left_semi").select("head", "id", "block", "visitor")
         second = linked(visited.unionByName(visits))
         edges = edges.union(second.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # an id with several sets joins what stands for them
+    shared = alias.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b <> c").select("id", "b")
+    edges = edges.union(alias.join(shared, "id").select(F.col("rep").alias("a"), "b"))
     found = components(edges)
-    chosen = merged_ids(filled, kind).join(found.withColumnRenamed("id", "first"), "first", "left").select(*kind, F.coalesce("component", "first").alias("component"))
+    chosen = first.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*kind, F.coalesce("component", "rep").alias("component"))
     k = [F.col(c).alias(f"__{c}") for c in kind]
     out = signed.select("id", *kind).join(chosen.select(*k, "component"), (F.col("size") > 0) & F.col("id").isNotNull() & (F.col("f1") == F.col("__f1")) & (F.col("f2") == F.col("__f2")) & (F.col("size") == F.col("__size")), "left")
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
-def merged_ids(filled: DataFrame, kind: list[str]) -> DataFrame:
-    return filled.groupBy(*kind).agg(F.min("id").alias("first"))
-
-
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs``, columns as they are, whose id is the smallest of its component, one row of each; rows with a
     null id stay."""
