@@ -6,7 +6,7 @@ one id of every block at a time, which is what makes numpy fast enough for this.
 
 Per block the model predicts an id by its last two ids (order 2), by its last id (order 1), and by how often ids of its
 bucket of 256 occurred (order 0), with the bucket's latest id as the order-0 prediction of the rest.  The orders are mixed
-by counts of which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
+by shares that follow which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
 order-1 id, and the rest is shared out among the buckets.  The coder is a range coder with 16-bit output words.
 
 Frame layout, little-endian: magic ``GTF1``; u32 documents, ids, block length, blocks; i64 document ids; u8 null flags; u32
@@ -30,96 +30,113 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"GTF1"
-BLOCK = 4096
+BLOCK = 2048
 FRAME_IDS = 2 << 20
 FRAMES = 8
 SLOTS = 4096
 TOP, WORD = np.int64(1) << np.int64(32), np.int64(16)
-#: Sizes of a step of the adaptive counts, and the totals at which they are halved.
-STEP_BUCKET, MOST_BUCKET, STEP_ORDER, MOST_ORDER = 24, 8192, 24, 2048
-LEAST_REST = 16384
+#: Step of the bucket counts, and the total at which they are halved; what the orders 2 and 1 may take of 65,536.
+STEP_BUCKET, MOST_BUCKET, ROOM = 24, 8192, 49152
 
 
 class Model:
-    """The predictions of all blocks of a frame.  ``predict`` and ``update`` take the first ``n`` blocks one id further."""
+    """The predictions of all blocks of a frame.  ``predict`` and ``update`` take the first ``n`` blocks one id further.
+
+    Tables are flat, a stretch for each block, and a cell packs what is read together: an id with its confidence, or the two
+    shares of a pair of confidences."""
 
     def __init__(self, blocks: int):
-        self.row = np.arange(blocks)
-        self.guess = [np.zeros((blocks, SLOTS), np.int32) for _ in range(2)]  # order 2, order 1
-        self.trust = [np.zeros((blocks, SLOTS), np.int8) for _ in range(2)]
-        self.right = np.full((blocks, 16, 3), 8, np.int32)  # by confidences: order 2, order 1 or neither was right
-        self.right[:, :, 2] = 24
+        row = np.arange(blocks)
+        self.row, self.at_slot, self.at_state, self.at_group, self.at_bucket = row, row * SLOTS, row * 16, row * 17, row * 256
+        self.at_inner = row * 272
+        self.cells = [np.zeros(blocks * SLOTS, np.int32) for _ in range(2)]  # order 2, order 1: id * 4 + confidence
+        # by confidences: of 65,536, the share of the order-2 id, and that of the order-1 id in what is left
+        self.shares = np.full(blocks * 16, (16384 << 16) | 16384, np.int64)
         # cumulative counts of buckets: of groups of 16, and within each group
         self.outer = np.tile(np.arange(17, dtype=np.int32) * 16, (blocks, 1))
         self.inner = np.tile(np.arange(17, dtype=np.int32), (blocks, 16, 1))
-        self.latest = np.tile(np.arange(256, dtype=np.int32) << 8, (blocks, 1))
+        # row k: added to cumulative counts by an item in place k; the last row adds nothing
+        self.above = np.concatenate([(np.arange(17)[None, :] > np.arange(16)[:, None]) * STEP_BUCKET, np.zeros((1, 17))]).astype(np.int32)
+        self.latest = np.tile(np.arange(256, dtype=np.int32) << 8, blocks)
         self.match = np.full(blocks, 16384, np.int64)  # share of 65,536 for the bucket's latest id
-        self.last = np.zeros((2, blocks), np.int64)
-        # row k: added to cumulative counts by an item in place k
-        self.above = (np.arange(17)[None, :] > np.arange(16)[:, None]).astype(np.int32) * STEP_BUCKET
-        self.above = np.concatenate([self.above, np.zeros((1, 17), np.int32)])
+        self.one, self.two = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def predict(self, n: int):
-        self.n, row = n, self.row[:n]
-        one, two = self.last[0, :n], self.last[1, :n]
-        self.slot = ((two * 40503 + one * 30011 + 7) >> 3) & (SLOTS - 1), (one ^ (one >> 5)) & (SLOTS - 1)
-        self.ids = [g[row, s].astype(np.int64) for g, s in zip(self.guess, self.slot, strict=True)]
-        self.conf = [t[row, s].astype(np.int64) for t, s in zip(self.trust, self.slot, strict=True)]
-        self.state = self.conf[0] * 4 + self.conf[1]
-        counts = self.right[row, self.state].astype(np.int64)
-        total = counts.sum(1)
-        room = 65536 - LEAST_REST
-        self.first = np.minimum(counts[:, 0] * 65536 // total, room - 1)
-        self.same = self.ids[0] == self.ids[1]
-        self.second = np.where(self.same, 0, np.minimum(counts[:, 1] * 65536 // total, room - self.first))
-        self.rest = 65536 - self.first - self.second
-        self.total = self.outer[:n, 16].astype(np.int64)
+        self.n = n
+        one, two = self.one[:n], self.two[:n]
+        self.slot = self.at_slot[:n] + (((two * 40503 + one * 30011) >> 3) & (SLOTS - 1)), self.at_slot[:n] + ((one ^ (one >> 5)) & (SLOTS - 1))
+        self.known = [cells.take(slot) for cells, slot in zip(self.cells, self.slot, strict=True)]
+        self.ids = [cell >> 2 for cell in self.known]
+        self.state = self.at_state[:n] + ((self.known[0] & 3) * 4 + (self.known[1] & 3))
+        self.share = self.shares.take(self.state)
+        first, second = self.share >> 16, self.share & 65535
+        self.first = (first * ROOM >> 16) + 1
+        self.second = ((ROOM - self.first) * second >> 16) * (self.ids[0] != self.ids[1])
+        self.both = self.first + self.second
+        self.rest = 65536 - self.both
+        self.total = self.outer[:n, 16]
+        self.scale = self.rest / self.total
 
     def bucket_interval(self, bucket):
-        row, group, place = self.row[: self.n], bucket >> 4, bucket & 15
-        base = self.outer[row, group]
-        low = self.rest * (base + self.inner[row, group, place]) // self.total
-        high = self.rest * (base + self.inner[row, group, place + 1]) // self.total
-        return self.first + self.second + low, high - low
+        """Start and width of a bucket's part of what is left; the same arithmetic in both directions."""
+        group, place = bucket >> 4, bucket & 15
+        at = self.at_inner[: self.n] + group * 17 + place
+        inner = self.inner.reshape(-1)
+        base = self.outer.reshape(-1).take(self.at_group[: self.n] + group)
+        low = ((base + inner.take(at)) * self.scale).astype(np.int64)
+        high = ((base + inner.take(at + 1)) * self.scale).astype(np.int64)
+        return self.both + low, high - low
 
     def bucket_at(self, point):
-        row, count = self.row[: self.n], ((point - self.first - self.second + 1) * self.total - 1) // self.rest
+        """The bucket whose part holds ``point``, with its start and width: a guess from the counts, put right by the parts
+        themselves where rounding made it miss."""
+        count = np.ceil((point - self.both + 1) / self.scale).astype(np.int64) - 1
+        bucket = self._holding(np.maximum(count, 0))
+        while True:
+            start, share = self.bucket_interval(bucket)
+            step = (point >= start + share).astype(np.int64) - (point < start)
+            if not step.any():
+                return bucket, start, share
+            bucket = np.clip(bucket + step, 0, 255)
+
+    def _holding(self, count):
         group = np.minimum((self.outer[: self.n, 1:] <= count[:, None]).sum(1), 15)
-        count = count - self.outer[row, group]
-        return (group << 4) | np.minimum((self.inner[row, group, 1:] <= count[:, None]).sum(1), 15)
+        count = count - self.outer.reshape(-1).take(self.at_group[: self.n] + group)
+        return (group << 4) | np.minimum((self.inner[self.row[: self.n], group, 1:] <= count[:, None]).sum(1), 15)
 
     def rest_share(self):
         """Width of one of the 256 places within the bucket, and what is left for its latest id."""
         wide = (65536 - self.match[: self.n]) >> 8
         return wide, 65536 - (wide << 8)
 
-    def update(self, ids, kind):
-        """``kind``: 0, 1 or 2 for order 2, order 1 or neither."""
-        n, row = self.n, self.row[: self.n]
-        for guess, trust, slot, known, conf in zip(self.guess, self.trust, self.slot, self.ids, self.conf, strict=True):
-            hit = known == ids
-            replace = ~hit & (conf == 0)
-            guess[row, slot] = np.where(replace, ids, known)
-            trust[row, slot] = np.where(hit, np.minimum(conf + 1, 3), np.maximum(conf - 1, 0))
-        self.right[row, self.state, kind] += STEP_ORDER
-        big = np.flatnonzero(self.right[row, self.state, kind] > MOST_ORDER)
-        if len(big):
-            self.right[big, self.state[big]] = (self.right[big, self.state[big]] + 1) >> 1
-        bucket = ids >> 8
+    def update(self, ids, kind, agrees):
+        """``kind``: 0, 1 or 2 for order 2, order 1 or neither; ``agrees``: the bucket's latest id was right."""
+        n = self.n
+        for cells, slot, cell, known in zip(self.cells, self.slot, self.known, self.ids, strict=True):
+            trust = cell & 3
+            cells[slot] = np.where(known == ids, cell + (trust < 3), np.where(trust == 0, ids << 2, cell - 1))
+        first, second = self.share >> 16, self.share & 65535
         missed = kind == 2
-        agrees = self.latest[row, bucket] == ids
-        self.match[:n] += np.where(missed, ((np.where(agrees, 61440, 1024) - self.match[:n]) >> 5), 0)
-        self.latest[row, bucket] = ids
+        first = first + ((np.where(kind == 0, 65000, 500) - first) >> 4)
+        second = np.where(kind == 0, second, second + ((np.where(kind == 1, 65000, 500) - second) >> 4))
+        self.shares[self.state] = (first << 16) | second
+        bucket = ids >> 8
+        self.match[:n] += np.where(missed, (np.where(agrees, 61440, 1024) - self.match[:n]) >> 5, 0)
+        self.latest[self.at_bucket[:n] + bucket] = ids
         group, place = bucket >> 4, bucket & 15
-        self.outer[:n] += self.above[np.where(missed, group, 16)]
-        self.inner[row, group] += self.above[np.where(missed, place, 16)]
+        some = np.flatnonzero(missed)
+        self.outer[some] += self.above[group[some]]
+        self.inner[some, group[some]] += self.above[place[some]]
         big = np.flatnonzero(self.outer[:n, 16] > MOST_BUCKET)
         if len(big):
             halved = (np.diff(self.inner[big], axis=2) + 1) >> 1
             self.inner[big, :, 1:] = np.cumsum(halved, axis=2)
             self.outer[big, 1:] = np.cumsum(halved.sum(2), axis=1)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
+        self.two[:n] = self.one[:n]
+        self.one[:n] = ids
+
+    def latest_of(self, bucket):
+        return self.latest.take(self.at_bucket[: self.n] + bucket)
 
 
 def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -138,37 +155,40 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarra
     words, at = np.zeros((blocks, 2 * block + 4), np.int32), np.ones(blocks, np.int64)
     mask48, row = (np.int64(1) << np.int64(48)) - 1, np.arange(blocks)
 
-    def put(n, start, share):
-        unit = wide[:n] >> WORD
-        low[:n] += unit * start
-        wide[:n] = unit * share
-        carry = low[:n] > mask48
-        if carry.any():
-            c = np.flatnonzero(carry)
+    def put(some, start, share):
+        unit = wide[some] >> WORD
+        base, left = low[some] + unit * start, unit * share
+        carry = np.flatnonzero(base > mask48)
+        if len(carry):
+            c = row[some][carry]
             words[c, at[c] - 1] += 1
-            low[c] &= mask48
-        out = np.flatnonzero(wide[:n] < TOP)
-        words[out, at[out]] = low[out] >> np.int64(32)
-        at[out] += 1
-        low[out] = (low[out] << WORD) & mask48
-        wide[out] <<= WORD
+            base[carry] &= mask48
+        out = np.flatnonzero(left < TOP)
+        o = row[some][out]
+        words[o, at[o]] = base[out] >> 32
+        at[o] += 1
+        base[out] = (base[out] << WORD) & mask48
+        left[out] <<= WORD
+        low[some], wide[some] = base, left
 
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
         now = table[step, :n]
         model.predict(n)
-        kind = np.where(now == model.ids[0], 0, np.where((now == model.ids[1]), 1, 2))
-        start, share = model.bucket_interval(now >> 8)
+        kind = np.where(now == model.ids[0], 0, np.where(now == model.ids[1], 1, 2))
+        bucket = now >> 8
+        start, share = model.bucket_interval(bucket)
         start = np.where(kind == 0, 0, np.where(kind == 1, model.first, start))
         share = np.where(kind == 0, model.first, np.where(kind == 1, model.second, share))
-        put(n, start, share)
+        put(slice(0, n), start, share)
         place, latest = model.rest_share()
-        agrees = model.latest[row[:n], now >> 8] == now
-        missed = kind == 2
-        put(n, np.where(missed & ~agrees, latest + (now & 255) * place, 0), np.where(missed, np.where(agrees, latest, place), 65536))
-        model.update(now, kind)
+        agrees = model.latest_of(bucket) == now
+        missed = np.flatnonzero(kind == 2)
+        fits = agrees[missed]
+        put(missed, np.where(fits, 0, latest[missed] + (now[missed] & 255) * place[missed]), np.where(fits, latest[missed], place[missed]))
+        model.update(now, kind, agrees)
     for _ in range(3):
-        words[row, at] = low >> np.int64(32)
+        words[row, at] = low >> 32
         at += 1
         low = (low << WORD) & mask48
     for k in range(words.shape[1] - 1, 0, -1):
@@ -179,12 +199,20 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarra
     return words[inside].astype(np.uint16), (at - 1).astype(np.uint32)
 
 
+def _quotient(value, unit):
+    """value // unit, exact for quotients below 2^20: float division is faster than integer division and at most one off."""
+    guess = (value / unit).astype(np.int64)
+    guess -= guess * unit > value
+    return np.minimum(guess, 65535)
+
+
 def expand(words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
     blocks = len(counts)
     if not blocks:
         return np.zeros(0, np.int64)
     begin = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[:-1]
-    source, at = np.concatenate([words.astype(np.int64), np.zeros(4, np.int64)]), begin.copy()
+    source, at = np.concatenate([words.astype(np.int64), np.zeros(8, np.int64)]), begin.copy()
+    last = len(source) - 1
     wide, value = np.full(blocks, TOP << WORD, np.int64), np.zeros(blocks, np.int64)
     for _ in range(3):
         value = (value << WORD) | source[at]
@@ -192,33 +220,37 @@ def expand(words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK
     tail = total - (blocks - 1) * block
     table, model, row = np.zeros((block, blocks), np.int64), Model(blocks), np.arange(blocks)
 
-    def take(n, unit, start, share):
-        value[:n] -= unit * start
-        wide[:n] = unit * share
-        more = np.flatnonzero(wide[:n] < TOP)
-        value[more] = (value[more] << WORD) | source[np.minimum(at[more], len(source) - 1)]
-        at[more] += 1
-        wide[more] <<= WORD
+    def take(some, unit, start, share):
+        rest, left = value[some] - unit * start, unit * share
+        more = np.flatnonzero(left < TOP)
+        m = row[some][more]
+        rest[more] = (rest[more] << WORD) | source.take(np.minimum(at[m], last))
+        at[m] += 1
+        left[more] <<= WORD
+        value[some], wide[some] = rest, left
 
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
         model.predict(n)
         unit = wide[:n] >> WORD
-        point = np.minimum(value[:n] // unit, 65535)
-        kind = np.where(point < model.first, 0, np.where(point < model.first + model.second, 1, 2))
-        bucket = model.bucket_at(np.where(kind == 2, point, model.first + model.second))
-        start, share = model.bucket_interval(bucket)
-        take(n, unit, np.where(kind == 0, 0, np.where(kind == 1, model.first, start)), np.where(kind == 0, model.first, np.where(kind == 1, model.second, share)))
+        point = _quotient(value[:n], unit)
+        kind = (point >= model.first).astype(np.int64) + (point >= model.both)
+        kind = np.where((kind == 1) & (model.second == 0), 2, kind)
+        bucket, start, share = model.bucket_at(np.where(kind == 2, point, model.both))
+        take(slice(0, n), unit, np.where(kind == 0, 0, np.where(kind == 1, model.first, start)), np.where(kind == 0, model.first, np.where(kind == 1, model.second, share)))
         place, latest = model.rest_share()
-        unit = wide[:n] >> WORD
-        point = np.minimum(value[:n] // unit, 65535)
-        missed = kind == 2
-        agrees = point < latest
-        low = np.minimum(np.maximum(point - latest, 0) // place, 255)
-        now = np.where(kind == 0, model.ids[0], np.where(kind == 1, model.ids[1], np.where(agrees, model.latest[row[:n], bucket], (bucket << 8) | low)))
-        take(n, unit, np.where(missed & ~agrees, latest + low * place, 0), np.where(missed, np.where(agrees, latest, place), 65536))
+        recent = model.latest_of(bucket)
+        now = np.where(kind == 0, model.ids[0], np.where(kind == 1, model.ids[1], recent)).astype(np.int64)
+        missed = np.flatnonzero(kind == 2)
+        unit = wide[missed] >> WORD
+        point = _quotient(value[missed], unit)
+        near, each = latest[missed], place[missed]
+        fits = point < near
+        low = np.minimum(np.maximum(point - near, 0) // each, 255)
+        take(missed, unit, np.where(fits, 0, near + low * each), np.where(fits, near, each))
+        now[missed] = np.where(fits, recent[missed], (bucket[missed] << 8) | low)
         table[step, :n] = now
-        model.update(now, kind)
+        model.update(now, kind, model.latest_of(now >> 8) == now)
     return np.ascontiguousarray(table.T).ravel()[:total]
 
 
