@@ -41,6 +41,11 @@ def in_range(value, size: int):
     return value.between(0, size - 1)
 
 
+def within(index, begin, end):
+    """begin <= index < end, as in a slice."""
+    return (index >= begin) & (index < end)
+
+
 def total(*values):
     return reduce(lambda a, b: a + b, values)
 

@@ -24,6 +24,11 @@ def symmetric(edges: DataFrame, a: str = "p1", b: str = "p2", extra: tuple[str,
     return edges.where(F.col(a) != F.col(b)).select(ends.alias("e"), *extra).select("e.src", "e.dst", *extra)
 
 
+def weighted(edges: DataFrame) -> DataFrame:
+    """Edges with their implicit weight, the target's id."""
+    return edges.withColumn("weight", F.col("dst"))
+
+
 def inside(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
     """The (src, dst) edges with both ends among ``nodes``."""
     known = nodes.select(F.col(key).alias("__n")).distinct()

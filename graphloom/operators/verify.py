@@ -61,6 +61,28 @@ def top_boundary(candidates: DataFrame, result: DataFrame, k: int, key: list[str
     return rest.join(F.broadcast(last), F.lit(True), "left").join(F.broadcast(size), F.lit(True)).where(before | (F.col("__size") < k)).select(*key)
 
 
+def partition(whole: DataFrame, selected: DataFrame, rest: DataFrame) -> DataFrame:
+    """Rows whose count in ``whole`` is not that in ``selected`` and ``rest`` together, or that are on both sides.
+
+    (columns, parts): how many more rows the parts have; 0 where a row is merely on both sides."""
+    columns = whole.columns
+    one = [whole.select(*columns, F.lit(1).alias("__w"), F.lit(0).alias("__s"), F.lit(0).alias("__r")), selected.select(*columns, F.lit(0).alias("__w"), F.lit(1).alias("__s"), F.lit(0).alias("__r")), rest.select(*columns, F.lit(0).alias("__w"), F.lit(0).alias("__s"), F.lit(1).alias("__r"))]
+    counted = reduce(lambda a, b: a.unionByName(b), one).groupBy(*columns).agg(F.sum("__w").alias("__w"), F.sum("__s").alias("__s"), F.sum("__r").alias("__r"))
+    return counted.where("__w <> __s + __r or (__s > 0 and __r > 0)").select(*columns, (F.col("__s") + F.col("__r") - F.col("__w")).alias("parts"))
+
+
+def slices(index: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sources of an adjacency index whose slice has not the size of their targets, whose targets are not strictly
+    ascending or not those of the edges, or whose slice does not begin where the previous one ends."""
+    ascending = F.forall(F.sequence(F.lit(1), F.size("targets") - 1), lambda i: F.get("targets", i - 1) < F.get("targets", i))
+    sized = index.where((F.col("end") - F.col("begin") != F.size("targets")) | ((F.size("targets") > 1) & ~ascending)).select("src")
+    listed = index.select("src", F.explode("targets").alias("dst"))
+    unlike = same_set(listed, edges.select("src", "dst")).select("src")
+    ends = index.select(F.col("end").alias("begin")).union(index.sparkSession.range(1).select(F.lit(0).cast("long").alias("begin")))
+    loose = index.join(ends, "begin", "left_anti").select("src")
+    return sized.union(unlike).union(loose).distinct()
+
+
 def tags(result: DataFrame, tables: dict[int, DataFrame], key: str = "id", tag: str = "type") -> DataFrame:
     """Rows whose tag names a table that does not have their key."""
     known = reduce(lambda a, b: a.union(b), [t.select(F.col(key), F.lit(n).alias(tag)) for n, t in tables.items()]).distinct()

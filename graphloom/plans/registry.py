@@ -239,6 +239,25 @@ def _verify_same_set(g: Graph) -> DataFrame:
 add("verify_same_set", f", people AS ({_DIRECT}) SELECT person_id AS id, 1 AS in_first, 0 AS in_second, true AS tampered FROM people WHERE person_id % 2 <> 0", _verify_same_set)
 
 
+def _verify_partition(g: Graph) -> DataFrame:
+    whole = g.knows.select("p1", "p2")
+    low, high = whole.where("p1 < p2 - 50"), whole.where("p1 >= p2 - 50")
+    return _both(verify.partition(whole, low, high), verify.partition(whole, whole.where("p1 < p2 - 40"), high.where("p1 % 9 <> 0")))
+
+
+add("verify_partition", ", c AS (SELECT p1, p2, (p1 < p2 - 40)::INTEGER AS s, (p1 >= p2 - 50 AND p1 % 9 <> 0)::INTEGER AS r FROM knows) SELECT p1, p2, (s + r - 1)::BIGINT AS parts, true AS tampered FROM c WHERE s + r <> 1", _verify_partition)
+
+
+def _verify_slices(g: Graph) -> DataFrame:
+    edges = stage(walk.symmetric(g.knows))
+    index = stage(walk.adjacency(edges))
+    moved = index.withColumn("end", F.when(F.col("src") % 10 == 3, F.col("end") + 1).otherwise(F.col("end")))
+    return _both(verify.slices(index, edges), verify.slices(moved.where("src % 10 = 3"), edges.where("src % 10 = 3")).where("src % 10 = 3"))
+
+
+add("verify_slices", f", ed AS ({_BOTH}) SELECT DISTINCT src, true AS tampered FROM ed WHERE src % 10 = 3", _verify_slices)
+
+
 def _verify_tags(g: Graph) -> DataFrame:
     _, top = _top(g)
     tables = {0: g.comment, 1: g.post}

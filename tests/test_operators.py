@@ -98,6 +98,15 @@ def test_places(spark):
     assert sorted(map(tuple, rel.adjacent_pairs(df, "k").collect()), key=str) == sorted([(-3, 5), (5, 7), (7, 90), (90, None)], key=str)
 
 
+def test_slices_and_weights(spark, knows):
+    index = walk.adjacency(walk.directed(knows))
+    assert [tuple(r) for r in walk.neighbours(index, 1).orderBy("dst").collect()] == [(1, 2, 0), (1, 3, 1)]
+    assert {(r["dst"], r["weight"]) for r in walk.weighted(walk.directed(knows)).collect()} == {(d, d) for _, d in KNOWS}
+    from graphloom.functions import logic
+
+    assert [r[0] for r in spark.range(4).select(logic.within(F.col("id"), 1, 3)).collect()] == [False, True, True, False]
+
+
 def test_members(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     ids = spark.createDataFrame([(2,), (2,), (None,)], "id long")

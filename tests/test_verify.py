@@ -82,3 +82,18 @@ def test_alignment(spark):
     assert verify.alignment(aligned([(2, 0, 3), (4, 3, 5), (9, 5, 99)]), "k", bounds, "b", 0, 99).count() == 0
     wrong = aligned([(2, 0, 5), (4, 2, 5), (9, 5, 8), (6, 0, 3)])
     assert {r[0] for r in verify.alignment(wrong, "k", bounds, "b", 0, 99).collect()} == {2, 4, 9, 6}
+
+
+def test_partition(spark):
+    whole = spark.createDataFrame([(1,), (2,), (2,), (3,)], "x int")
+    assert verify.partition(whole, whole.where("x < 3"), whole.where("x >= 3")).count() == 0
+    wrong = verify.partition(whole, whole.where("x < 3"), whole.where("x = 1"))
+    assert {tuple(r) for r in wrong.collect()} == {(1, 1), (3, -1)}
+
+
+def test_slices(spark, edges):
+    index = walk.adjacency(edges)
+    assert verify.slices(index, edges).count() == 0
+    assert {r[0] for r in verify.slices(index.selectExpr("src", "targets", "begin + cast(src = 2 as int) as begin", "`end` + cast(src = 2 as int) as end"), edges).collect()} >= {2}
+    assert {r[0] for r in verify.slices(index, edges.where("src <> 3")).collect()} == {3}
+    assert {r[0] for r in verify.slices(index.selectExpr("src", "reverse(targets) as targets", "begin", "`end`"), edges).collect()} == {1, 2, 3}
