@@ -1,7 +1,8 @@
 """Neighbour expansion, adjacency lists and breadth-first search over edge tables.
 
-A search is a loop of joins on the driver, one level at a time.  Each level is staged, which cuts the lineage and gives the
-row count that ends the loop.  Frontiers and visited nodes are tables, so their sizes are bounded by the cluster only.
+A search is a loop of joins on the driver, one level at a time.  The edges are staged once, bucketed by their source, so a
+level shuffles its frontier and not the edges.  Each level is staged, which cuts the lineage and gives the row count that
+ends the loop.  Frontiers and visited nodes are tables, so their sizes are bounded by the cluster only.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import stage, stage_bucketed
 from .relational import running_total
 
 
@@ -56,7 +57,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, targe
 
     ``edges`` are (src, dst).  The predecessor is the smallest node one step nearer; sources have none.  With ``target`` the
     search ends at the level that reaches it."""
-    edges = stage(edges.distinct())
+    edges = stage_bucketed(edges.distinct(), "src")
     frontier = stage(sources.select("id").distinct().select("id", F.lit(0).alias("distance"), F.lit(None).cast("long").alias("predecessor")))
     levels, seen, hop = [frontier], frontier.select("id"), 0
     while (max_hops is None or hop < max_hops) and not (target is not None and frontier.where(F.col("id") == target).limit(1).count()):

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,8 +39,24 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``stage``, bucketed and sorted by ``key``: later joins on it do not shuffle this side again."""
+    spark = df.sparkSession
+    path, name = staged_path(spark), f"graphloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    _tables.append((spark, name))
+    return spark.table(name)
+
+
 def release() -> None:
     """Delete every staged table.  Results that were not yet written or collected cannot be computed afterwards."""
+    while _tables:
+        spark, name = _tables.pop()
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # the session, and its catalog, may be gone
+            break
     while _staged:
         spark, path = _staged.pop()
         try:
