@@ -6,59 +6,22 @@ re-read and never a lost result.  Only a session whose master is ``local[...]``
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
-_staged: list[tuple[SparkSession, str]] = []
-
+from ..staging import stage as write_staged
+from ..staging import staged_path  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged_path(spark: SparkSession) -> str:
-    """A new folder name in the shared folder, which ``release`` will delete."""
-    path = f"{shared_dir(spark)}/graphloom-staged/{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
+SLICE_BYTES = 2 << 20
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and frees the shuffles behind it."""
-    spark = df.sparkSession
-    path = staged_path(spark)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop shuffle files no plan refers to any more
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete every staged table.  Results that were not yet written or collected cannot be computed afterwards."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; its folder then belongs to whoever set it
-            break
-
-
-atexit.register(release)
+    """A staged table; also lets Spark's cleaner drop the shuffle files that no plan refers to any more."""
+    staged = write_staged(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return staged
 
 
 def small(df: DataFrame, bound: int) -> DataFrame:
@@ -128,6 +91,11 @@ def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... length[0] of them, then those of the next."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 #: Odd multipliers of the 64-bit hashes below.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sliced, span_hashes, text_view
+from .common import ranges, sliced, span_hashes, text_view
 
 MARK = 0x2581
 LONG = 256
@@ -264,12 +264,12 @@ def encode(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     octets = np.ascontiguousarray(code).view(np.uint8)
     _, first, which = np.unique(span_hashes(octets, part_start * 2, part_end * 2), return_index=True, return_inverse=True)
     length = part_end - part_start
-    if not np.array_equal(length, length[first][which]) or not np.array_equal(code[_ranges(part_start, length)], code[_ranges(part_start[first][which], length)]):
+    if not np.array_equal(length, length[first][which]) or not np.array_equal(code[ranges(part_start, length)], code[ranges(part_start[first][which], length)]):
         first = which = np.arange(len(part_start))
     kept = length[first]
     text = np.zeros(int(kept.sum()) + len(kept), np.uint16)
     own = np.cumsum(kept + 1) - kept - 1
-    text[_ranges(own, kept)] = code[_ranges(part_start[first], kept)]
+    text[ranges(own, kept)] = code[ranges(part_start[first], kept)]
     symbol, at = segment(text, vocab)
     ids, edge = symbol[at], np.searchsorted(at, np.append(own, len(text)))
     # put together: parts by their distinct form, other characters as the pieces of their bytes
@@ -282,23 +282,18 @@ def encode(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]
     count[~is_part], source[~is_part] = np.diff(spelled_at)[index], len(ids) + spelled_at[:-1][index]
     pool = np.concatenate([ids, vocab.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)]]).astype(np.int32)
     doc_end = np.searchsorted(start, np.cumsum(sizes))
-    return pool[_ranges(source, count)], np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[doc_end]])
-
-
-def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... length[0] of them, then those of the next."""
-    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+    return pool[ranges(source, count)], np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[doc_end]])
 
 
 def decode(ids: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> pa.Array:
     """Texts of id lists (ids one after another, offsets lists + 1)."""
     begin, size = vocab.spelled_at[ids], vocab.spelled_at[ids + 1] - vocab.spelled_at[ids]
-    raw = vocab.spelled[_ranges(begin, size)]
+    raw = vocab.spelled[ranges(begin, size)]
     at = np.concatenate([[0], np.cumsum(size)])[offsets]
     start, end = at[:-1], at[1:]
     if vocab.prefix and len(raw):
         start = start + ((end > start) & (raw[np.minimum(start, len(raw) - 1)] == 0x20) & (np.diff(offsets) > 0))
-    flat = raw[_ranges(start, end - start)]
+    flat = raw[ranges(start, end - start)]
     new = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     try:
         flat.tobytes().decode()
