@@ -42,6 +42,8 @@ FINE_GROUPS = 2048
 #: Clusters of more points than this are not thinned out before their texts are brought together.
 THINNED = 20_000
 FAN_OUT = 16
+#: Rows of a leaf when a tree is joined with itself, and count levels that are compared exactly.
+LEAF, LEVELS = 256, 4
 BLOCK_ITEMS = 1_000_000
 FINE_ROWS = 20_000
 GROWTH = 1.5
@@ -179,6 +181,45 @@ class CountTree:
         return self.order[self._open(at, q, n, self.counts, self.size, self.size)]
 
 
+    def paired(self) -> np.ndarray:
+        """Which rows (of the input) could be similar to another one: a join of the tree with itself, leaf against leaf.
+
+        Two leaves meet if their boxes' coordinate minima and sizes allow it.  Within a pair of leaves the sums of coordinate
+        minima of all pairs are one matrix product, as min(a, b) counts the levels that both reach; levels beyond the
+        ``LEVELS``-th are first bounded by the smaller of the two rests, and then summed for the pairs that are left."""
+        t, n = self.threshold, len(self.size)
+        found = np.zeros(n, bool)
+        reach = np.concatenate([self.counts >= v for v in range(1, LEVELS + 1)], axis=1).astype(np.float32)
+        rest = np.maximum(self.counts - LEVELS, 0).sum(1).astype(np.float32)
+        cut = np.arange(0, n, LEAF)
+        high, least, most = np.maximum.reduceat(self.counts, cut), np.minimum.reduceat(self.size, cut), np.maximum.reduceat(self.size, cut)
+        for i, a in enumerate(cut):
+            # rows are sorted by size: later leaves are larger
+            near = np.flatnonzero(least[i:] * t.num <= most[i] * t.den) + i
+            near = near[np.minimum(high[near], high[i]).sum(1) >= t.overlap(np.maximum(least[near], -(-least[i] * t.num // t.den)), least[i])]
+            for j in near:
+                b = cut[j]
+                one, two = slice(a, a + LEAF), slice(b, b + LEAF)
+                bound = reach[one] @ reach[two].T + np.minimum(rest[one, None], rest[None, two])
+                x, y = self.size[one, None], self.size[None, two]
+                may = (bound >= t.overlap(x, y)) & (x * t.den >= y * t.num) & (y * t.den >= x * t.num)
+                if i == j:
+                    np.fill_diagonal(may, False)
+                self._confirm(found, *(x + y for x, y in zip(np.nonzero(may), (a, b), strict=True)))
+        out = np.zeros(n, bool)
+        out[self.order] = found
+        return out
+
+    def _confirm(self, found: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Mark pairs whose coordinate minima suffice without the shortcut for high levels, unless both are marked."""
+        while len(left):
+            open_ = ~(found[left] & found[right])
+            left, right = left[open_], right[open_]
+            x, y, left, right = left[:4096], right[:4096], left[4096:], right[4096:]
+            ok = np.minimum(self.counts[x], self.counts[y]).sum(1) >= self.threshold.overlap(self.size[x], self.size[y])
+            found[x[ok]] = found[y[ok]] = True
+
+
 def counts_of(gram: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     group = (gram >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -225,7 +266,7 @@ def link(gram: np.ndarray, offsets: np.ndarray, visitor: np.ndarray, threshold:
             continue
         todo[seed] = False
         front = [seed]
-        while front:
+        while front and todo.any():
             q = front.pop(0)
             new = similar(q, todo)
             todo[new] = False
@@ -308,14 +349,7 @@ def _possible(points: np.ndarray, size: np.ndarray, threshold: Threshold) -> np.
     """Which points of a cluster could be similar to another one."""
     points = points.astype(np.int32)
     points[points == 255] = 1 << 20  # saturated: no bound in this group
-    tree, n = CountTree(points, size, threshold), len(size)
-    found, everyone = np.zeros(n, bool), np.ones(n, bool)
-    for q in range(n):
-        if not found[q]:
-            rows = tree.search(points[q], int(size[q]), everyone)
-            if len(rows) > 1 or (len(rows) and rows[0] != q):
-                found[rows] = found[q] = True
-    return found
+    return CountTree(points, size, threshold).paired()
 
 
 def _thinned(batches, threshold: Threshold):
@@ -327,7 +361,7 @@ def _thinned(batches, threshold: Threshold):
     def finish():
         ids, size = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         points = np.frombuffer(b"".join(x for h in held for x in h[2]), np.uint8).reshape(-1, GROUPS)
-        keep = _possible(points, size, threshold) if len(ids) <= THINNED else np.ones(len(ids), bool)
+        keep = _possible(points, size, threshold)
         if keep.any():
             out.append((np.full(int(keep.sum()), head), ids[keep], size[keep]))
 
@@ -381,7 +415,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     kind = ["f1", "f2", "size"]
     filled = signed.where(F.col("id").isNotNull() & (F.col("size") > 0)).select("id", *kind)
     first = filled.groupBy(*kind).agg(F.min("id").alias("rep"))
-    alias = stage(filled.join(first, kind).select("id", "size", "rep").distinct())
+    # staged before rows are made distinct: a join alone can be split where one set has very many copies
+    alias = stage(stage(filled.join(first, kind).select("id", "size", "rep")).distinct())
     met = signed.where(F.col("id").isNotNull()).select("id", F.explode("signatures").alias("signature"))
     head = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
     pairs = stage(met.select("id", head.alias("head")).where("id <> head").distinct())
@@ -393,8 +428,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     own = named.union(named.select("head", F.col("head").alias("id")).distinct())
     members = stage(own.join(above, "head", "left").select(F.coalesce("above", "head").alias("head"), "id").distinct())
     points = signed.where("size > 0").join(alias.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "size", "point")
-    dealt = members.join(points, "id").select("head", "id", "size", "point").repartition("head").sortWithinPartitions("head")
-    weighed = stage(dealt.mapInArrow(lambda batches: _thinned(batches, threshold), "head long, id long, size long"))
+    placed = members.join(points, "id").select("head", "id", "size", "point")
+    large = members.groupBy("head").count().where(F.col("count") > THINNED).select("head")
+    dealt = placed.join(large, "head", "left_anti").repartition("head").sortWithinPartitions("head")
+    thinned = dealt.mapInArrow(lambda batches: _thinned(batches, threshold), "head long, id long, size long")
+    weighed = stage(thinned.union(placed.join(large, "head", "left_semi").select("head", "id", "size")))
     blocks = weighed.groupBy("head").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
     # the head is in every block, even where it has no partner itself
     heads = weighed.select("head", F.col("head").alias("id"))

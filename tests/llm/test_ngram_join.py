@@ -126,3 +126,18 @@ def test_tree_leaves_nothing_out():
         bound = np.minimum(counts, counts[q]).sum(1)
         want = (bound >= t.overlap(size, size[q])) & (size * 100 >= size[q] * 85) & (size * 85 <= size[q] * 100)
         assert set(np.flatnonzero(want)) == set(tree.search(counts[q], int(size[q]), np.ones(400, bool)).tolist())
+
+
+def test_tree_joined_with_itself(monkeypatch):
+    rng = np.random.default_rng(4)
+    t = nj.Threshold(8, 10)
+    monkeypatch.setattr(nj, "LEAF", 32)
+    for scale in (0.2, 3, 40):
+        base = rng.poisson(scale, (60, nj.GROUPS))
+        counts = np.concatenate([base, np.maximum(base[:20] + rng.integers(-1, 2, (20, nj.GROUPS)) * (rng.random((20, nj.GROUPS)) < 0.1), 0)]) + 1
+        size = counts.sum(1)
+        low = np.minimum(counts[:, None], counts[None]).sum(2)
+        must = (low >= t.overlap(size[:, None], size[None])) & (size[:, None] * 10 >= size[None] * 8) & (size[None] * 10 >= size[:, None] * 8)
+        np.fill_diagonal(must, False)
+        found = nj.CountTree(counts.astype(np.int32), size, t).paired()
+        assert np.array_equal(found, must.any(1))
