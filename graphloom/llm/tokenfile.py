@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import ranges, sliced, span_hashes, stage
+
 MAGIC = b"GTF1"
 BLOCK = 2048
 FRAME_IDS = 2 << 20
@@ -294,18 +296,122 @@ def read_frames(data: bytes):
         at = pos + 5  # checksum and newline
 
 
-_tokenizers: dict = {}
+class Encoder:
+    """The tokenizers library on many texts, each distinct stretch of text encoded once.
+
+    A byte-level BPE tokenizer cuts a text before every blank that is followed by something visible, whatever stands around
+    it, and merges nothing across.  So texts are cut there, distinct stretches that are not known yet go through the library,
+    many to a call, and the ids are put together.  The stretches known are forgotten at ``MOST`` of them.  Texts with an added
+    token's string, and tokenizers of another kind, go through the library whole."""
 
+    MOST = 500_000
+    CALL = 20_000  # bytes of stretches to a string
 
-def _tokenizer(path: str):
-    import os
+    def __init__(self, path: str):
+        import json
+        import os
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        cutter = spec.get("pre_tokenizer") or {}
+        self.cuts = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True) and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding") and spec["model"].get("type", "BPE") == "BPE" and not spec["model"].get("dropout")
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        words = self.library.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(words.values(), default=0) + 1, np.int64)
+        for word, i in words.items():
+            self.width[i] = len(word)  # a byte-level token has one character for each byte
+        # bytes after which a blank surely begins a token: visible ASCII, and first bytes of U+00C0 to U+07FF
+        self.visible = np.zeros(256, bool)
+        self.visible[0x21:0x7F] = self.visible[0xC3:0xE0] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.pool, self.begin, self.used = np.zeros(1 << 16, np.int32), [0], 0
+
+    def _learn(self, stretches: list[bytes], found: np.ndarray, sizes: np.ndarray) -> None:
+        if self.used + len(found) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(found), np.int32)])
+        self.pool[self.used : self.used + len(found)] = found
+        for stretch, end in zip(stretches, (self.used + np.cumsum(sizes)).tolist(), strict=True):
+            self.known[stretch] = len(self.begin) - 1
+            self.begin.append(end)
+        self.used += len(found)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_new(self, new: list[bytes]) -> None:
+        joined = [x for x in new if len(x) > 1 and x[0] == 0x20 and self.visible[x[1]]]
+        single = [x for x in new if not (len(x) > 1 and x[0] == 0x20 and self.visible[x[1]])]
+        groups, size = [[]], 0
+        for x in joined:
+            groups[-1].append(x)
+            size += len(x)
+            if size > self.CALL:
+                groups.append([])
+                size = 0
+        for group, ids in zip(groups, self._library([b"".join(g).decode() for g in groups]), strict=True):
+            ends = np.cumsum([len(x) for x in group])
+            reached = np.cumsum(self.width[ids])
+            last = np.searchsorted(reached, ends)
+            if len(group) and (last[-1] >= len(reached) or not np.array_equal(reached[last], ends)):
+                single += group  # not cut as expected: one by one
+            elif group:
+                self._learn(group, ids, np.diff(last + 1, prepend=0))
+        found = self._library([x.decode() for x in single])
+        if single:
+            self._learn(single, np.concatenate(found), np.array([len(f) for f in found]))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and offsets (texts + 1)."""
+        whole = [not self.cuts or any(t in text for t in self.added) for text in texts]
+        parts = [b"" if w else text.encode() for w, text in zip(whole, texts, strict=True)]
+        sizes, data = np.array([len(p) for p in parts], np.int64), b"".join(parts)
+        counts, ids = np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+        if data:
+            raw = np.frombuffer(data, np.uint8)
+            begins = np.zeros(len(raw), bool)
+            begins[:-1] = (raw[:-1] == 0x20) & self.visible[raw[1:]]
+            ends = np.cumsum(sizes)
+            # a text's last blank has nothing visible after it in its own text
+            begins[ends[sizes > 0] - 1] &= sizes[sizes > 0] == 1
+            begins[(ends - sizes)[sizes > 0]] = True
+            start = np.flatnonzero(begins)
+            length = np.diff(np.append(start, len(raw)))
+            _, first, which = np.unique(span_hashes(raw, start, start + length), return_index=True, return_inverse=True)
+            if not np.array_equal(length, length[first][which]) or not np.array_equal(raw[ranges(start, length)], raw[ranges(start[first][which], length)]):
+                first = which = np.arange(len(start))
+            if len(self.known) > self.MOST:
+                self._forget()
+            stretches = [data[a:b] for a, b in zip(start[first].tolist(), (start + length)[first].tolist(), strict=True)]
+            self._learn_new(list(dict.fromkeys(x for x in stretches if x not in self.known)))
+            place = np.array([self.known[x] for x in stretches], np.int64)[which]
+            begin = np.array(self.begin, np.int64)
+            size = begin[place + 1] - begin[place]
+            ids = self.pool[ranges(begin[place], size)]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            at = np.searchsorted(start, np.concatenate([[0], ends]))
+            counts = np.diff(upto[at])
+        if any(whole):
+            rest = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
+            cut = np.split(ids, np.cumsum(counts)[:-1])
+            pieces = [next(rest) if w else x for w, x in zip(whole, cut, strict=True)]
+            counts, ids = np.array([len(p) for p in pieces], np.int64), np.concatenate(pieces)
+        return ids, np.concatenate([[0], np.cumsum(counts)])
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -316,23 +422,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, part
     dealt = source.repartitionByRange(partitions, F.col("id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("id").asc_nulls_first(), "hash").select("id", "text")
 
     def run(batches):
-        tokenizer = _tokenizer(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         names, parts, held = [], [], 0
 
         def frame():
             ids = np.concatenate(parts)
             return pa.RecordBatch.from_arrays([pa.array([write_frame(names, np.array([len(p) for p in parts]), ids)], pa.binary())], ["frame"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for name, found in zip(some.column("id").to_pylist(), tokenizer.encode_batch_fast(some.column("text").to_pylist(), add_special_tokens=False), strict=True):
-                    names.append(name)
-                    parts.append(np.append(np.array(found.ids, np.int64), end_id))
-                    held += len(parts[-1])
-                    if held >= FRAME_IDS:
-                        yield frame()
-                        names, parts, held = [], [], 0
+        for batch in sliced(batches):
+            found, at = encoder.encode(batch.column("text").to_pylist())
+            for k, name in enumerate(batch.column("id").to_pylist()):
+                names.append(name)
+                parts.append(np.append(found[at[k] : at[k + 1]].astype(np.int64), end_id))
+                held += len(parts[-1])
+                if held >= FRAME_IDS:
+                    yield frame()
+                    names, parts, held = [], [], 0
         if names:
             yield frame()
 
@@ -371,8 +476,6 @@ def digests(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("task", "file", "place", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], ["task", "file", "place", "doc_id", "n_tokens", "ids_crc32"])
 
-    from .common import stage
-
     checked = stage(stored.mapInArrow(run, "task int, file int, place long, doc_id long, n_tokens long, ids_crc32 long"))
     totals = checked.groupBy("task", "file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -74,3 +74,19 @@ def test_empty_table(spark):
     path = staged_path(spark)
     tf.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
     assert tf.digests(tf.read(spark, path)).collect() == []
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aab '.sS1\n\t  é世🤗\u00a0\u2003!<|", " ", "'s", " it's", "<|endoftext|>"]), max_size=40).map("".join) | st.text(max_size=40), max_size=6))
+def test_stretches_like_whole_texts(encoder_and_library, texts):
+    encoder, library = encoder_and_library
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    ids, at = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.fixture(scope="module")
+def encoder_and_library():
+    encoder = tf.Encoder(PATH)
+    encoder.MOST, encoder.CALL = 60, 50
+    return encoder, Tokenizer.from_file(PATH)
