@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..staging import stage as write_staged
 from ..staging import staged_path  # noqa: F401
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def stage(df: DataFrame) -> DataFrame:

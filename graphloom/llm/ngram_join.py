@@ -189,7 +189,7 @@ class CountTree:
         ``LEVELS``-th are first bounded by the smaller of the two rests, and then summed for the pairs that are left."""
         t, n = self.threshold, len(self.size)
         found = np.zeros(n, bool)
-        reach = np.concatenate([self.counts >= v for v in range(1, LEVELS + 1)], axis=1).astype(np.float32)
+        reach = lambda rows: np.concatenate([self.counts[rows] >= v for v in range(1, LEVELS + 1)], axis=1).astype(np.float32)
         rest = np.maximum(self.counts - LEVELS, 0).sum(1).astype(np.float32)
         cut = np.arange(0, n, LEAF)
         high, least, most = np.maximum.reduceat(self.counts, cut), np.minimum.reduceat(self.size, cut), np.maximum.reduceat(self.size, cut)
@@ -197,10 +197,12 @@ class CountTree:
             # rows are sorted by size: later leaves are larger
             near = np.flatnonzero(least[i:] * t.num <= most[i] * t.den) + i
             near = near[np.minimum(high[near], high[i]).sum(1) >= t.overlap(np.maximum(least[near], -(-least[i] * t.num // t.den)), least[i])]
+            one = slice(a, a + LEAF)
+            reach_one = reach(one)
             for j in near:
                 b = cut[j]
-                one, two = slice(a, a + LEAF), slice(b, b + LEAF)
-                bound = reach[one] @ reach[two].T + np.minimum(rest[one, None], rest[None, two])
+                two = slice(b, b + LEAF)
+                bound = reach_one @ reach(two).T + np.minimum(rest[one, None], rest[None, two])
                 x, y = self.size[one, None], self.size[None, two]
                 may = (bound >= t.overlap(x, y)) & (x * t.den >= y * t.num) & (y * t.den >= x * t.num)
                 if i == j:
@@ -226,13 +228,22 @@ def counts_of(gram: np.ndarray, offsets: np.ndarray, groups: int = GROUPS) -> np
     return np.bincount(owner * groups + group, minlength=(len(offsets) - 1) * groups).reshape(-1, groups).astype(np.int32)
 
 
+def _fine(gram: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts in ``FINE_GROUPS`` groups, at most 255, some rows at a time."""
+    parts = []
+    for a in range(0, len(offsets) - 1, 256):
+        at = offsets[a : a + 257]
+        parts.append(np.minimum(counts_of(gram[at[0] : at[-1]], at - at[0], FINE_GROUPS), 255).astype(np.uint8))
+    return np.concatenate(parts)
+
+
 def link(gram: np.ndarray, offsets: np.ndarray, visitor: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Component label (a row number) of each set of a block.  With visitors, only visitor-to-resident pairs are looked at
     (residents were linked among themselves before)."""
     n = len(offsets) - 1
     size, label = np.diff(offsets), np.arange(n)
     points = counts_of(gram, offsets)
-    fine = np.minimum(counts_of(gram, offsets, FINE_GROUPS), 255).astype(np.uint8) if n <= FINE_ROWS else None
+    fine = _fine(gram, offsets) if n <= FINE_ROWS else None
     centre = points.mean(0)
     far = np.abs(points - centre * (size / max(size.mean(), 1))[:, None]).sum(1)
     tree = CountTree(points, size, threshold)
@@ -414,8 +425,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # copies: the smallest id stands for all equal sets
     kind = ["f1", "f2", "size"]
     filled = signed.where(F.col("id").isNotNull() & (F.col("size") > 0)).select("id", *kind)
-    first = filled.groupBy(*kind).agg(F.min("id").alias("rep"))
-    # staged before rows are made distinct: a join alone can be split where one set has very many copies
+    first = stage(filled.groupBy(*kind).agg(F.min("id").alias("rep")))
+    # staged before and after, so that the join stands alone and can be split where one set has very many copies
     alias = stage(stage(filled.join(first, kind).select("id", "size", "rep")).distinct())
     met = signed.where(F.col("id").isNotNull()).select("id", F.explode("signatures").alias("signature"))
     head = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))

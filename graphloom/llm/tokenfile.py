@@ -304,7 +304,7 @@ class Encoder:
     many to a call, and the ids are put together.  The stretches known are forgotten at ``MOST`` of them.  Texts with an added
     token's string, and tokenizers of another kind, go through the library whole."""
 
-    MOST = 500_000
+    MOST = 300_000
     CALL = 20_000  # bytes of stretches to a string
 
     def __init__(self, path: str):
