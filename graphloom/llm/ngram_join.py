@@ -332,7 +332,7 @@ def _clusters(batches, n: int, threshold: Threshold):
 
 
 def _signed(batches, n: int, threshold: Threshold):
-    """Sizes, fingerprints and points of all sets; signatures only of the first of equal sets in this task."""
+    """Sizes, fingerprints and points of all sets; signatures only of the first of equal sets with an id in this task."""
     known: set[tuple[int, int]] = set()
     for batch in sliced(batches):
         gram, offsets = sets(*text_view(batch.column("text")), n)
@@ -344,8 +344,9 @@ def _signed(batches, n: int, threshold: Threshold):
                 if len(some):
                     mark[some] = np.add.reduceat(mix(gram ^ salt), offsets[:-1][some])
         new = np.zeros(len(size), bool)
+        has_id = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
         for k, pair in enumerate(zip(*(m.tolist() for m in marks), strict=True)):
-            if pair not in known:
+            if has_id[k] and pair not in known:
                 known.add(pair)
                 new[k] = True
         kept = np.where(new, size, 0)

@@ -86,6 +86,14 @@ def test_one_id_with_several_texts(spark):
     assert found == [(1, 2, 1), (5, 2, 1), (5, 2, 1), (7, 2, 7), (9, 2, 1)]
 
 
+def test_copy_without_id_first(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, text), (5, text), (9, text + " w60"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in nj.near_duplicates(docs, 4, 85, 100).collect()), key=str) == brute(rows, 4, 85, 100)
+    assert sorted((r["doc_id"] for r in nj.one_of_each(docs, 4, 85, 100).collect()), key=str) == [5, None, None]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nj.near_duplicates(docs).collect() == [] and nj.one_of_each(docs).collect() == []
