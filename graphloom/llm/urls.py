@@ -23,8 +23,6 @@ from .common import ascii_lower, small
 
 RULES = 10_000
 INDEX_ROWS = 200_000
-#: Bound on the distinct URLs that rules are mined from; above it a hash of the URL picks that many.
-MINED_FROM = 1_000_000
 
 
 def host_of(url):
@@ -56,15 +54,13 @@ def tokens_of(host, path):
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("host:"), x)), F.transform(words, lambda x: F.concat(F.lit("word:"), x)), F.transform(segments, lambda x: F.concat(F.lit("path:"), x))))
 
 
-def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3, most_urls: int = MINED_FROM) -> DataFrame:
+def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3) -> DataFrame:
     """Rules (tokens array<string>, verdict, confidence, support) from ``urls`` (url, tokens, label; label null if unknown).
 
     ``min_support`` is the least share of the URLs; tokens below it are dropped before mining, so that transactions stay
     short.  A rule is redundant, and goes, if fewer of its tokens give the same verdict with as much confidence."""
     distinct = urls.groupBy("url").agg(F.first("tokens").alias("tokens"), F.max("label").alias("label"))
     n = distinct.count()
-    if n > most_urls:
-        distinct, n = distinct.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * most_urls / n)), most_urls
     least = max(2, int(min_support * n))
     if n < least:
         return urls.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")

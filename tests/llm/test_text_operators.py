@@ -106,6 +106,14 @@ def test_url_mining(spark):
     assert urls.mine(pages.where("url is null").select("url", urls.tokens_of(host, path).alias("tokens"), "label"), 0.05, 0.9).collect() == []
 
 
+def test_urls_are_mined_whole(spark):
+    k = F.col("id")
+    pages = spark.range(1_050_000).select(
+        F.concat(F.lit("http://h"), k, F.lit(".org/")).alias("url"), F.array(F.when(k < 3000, F.lit("word:x")).otherwise(F.lit("word:y"))).alias("tokens"), F.when(k < 2999, F.lit("block")).alias("label")
+    )
+    assert [(r["tokens"], r["verdict"], r["confidence"]) for r in urls.mine(pages, 0.0002, 0.9).collect()] == [(["word:x"], "block", 2999 / 3000)]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(6)
     rows = [(int(k), [float(x) for x in rng.normal(0, 0.2, 12)]) for k in range(300)]
