@@ -8,17 +8,17 @@ similarity needs; what survives is verified on the sets.
 What shares a tree.  Sets of sizes a and b that are similar differ in at most D = (1-t)/(1+t) (a+b) items.  So if the hash
 space is cut into more than D groups, the sets are equal in at least one group.  A document therefore signs each of its
 groups (with the size class, as D follows the size), and equal signatures meet.  With z groups to spare, at least z + 1 are
-equal, and a document with at most z empty groups need not sign those.  Of the documents that meet under a signature the
+equal, and a document with at most z empty groups need not sign those; z is large enough that hardly any has more.  Of the documents that meet under a signature the
 smallest id is head; a cluster is everything that shares a head, so each similar pair lies in the cluster of the head of
 each signature that it shares, and still does when a cluster is joined to that of its head's own smallest head.
 
 Clusters are first searched by points alone (a byte for each group), which leaves only documents with a partner that they
-could be similar to.  The texts of those are then brought together and searched breadth-first: a document is looked up in
+could be similar to; large clusters in pieces, and what is left over in its piece against all others.  The texts of those are then brought together and searched breadth-first: a document is looked up in
 the tree of the documents not reached yet, nearest to the cluster's mean first, so that a large group of near copies costs
 one look-up of a central document rather than all pairs, while no link that joins two components is missed.
 
 Large clusters are cut into blocks that all hold the head.  Documents that a block could not join to the head visit all
-other blocks of the cluster in a second round.  Of copies (equal sets), one for each task signs, and one in all is searched.
+other blocks of the cluster in a second round, dealt into pieces of bounded items.  Of copies (equal sets), one for each task signs, and one in all is searched.
 Components are found by label propagation with pointer jumping over staged tables.
 
 Defined results: null and empty texts have an empty set and are alone; fewer words than n form one n-gram; repeated rows and
@@ -39,7 +39,7 @@ SPACE = byte_table("space")
 GROUPS = 256
 #: Groups of the finer counts that are compared once the sets are at hand.
 FINE_GROUPS = 2048
-#: Clusters of more points than this are not thinned out before their texts are brought together.
+#: Clusters of more points than this are thinned out in pieces of about half as many.
 THINNED = 20_000
 FAN_OUT = 16
 #: Rows of a leaf when a tree is joined with itself, and count levels that are compared exactly.
@@ -96,9 +96,11 @@ class Threshold:
         edges, growth = [1], max(GROWTH, den / num)
         while edges[-1] < 1 << 40:
             edges.append(max(edges[-1] + 1, int(np.ceil(edges[-1] * growth))))
+        #: Sizes of similar sets lie in one band, or in two that follow each other, of this logarithmic width.
+        self.band = float(np.log(growth * 1.001))
         self.edges = np.array(edges, np.int64)
         self.differ = (den - num) * 2 * (self.edges[1:] - 1) // (den + num)
-        self.spare = self.differ // 12 + 1
+        self.spare = self.differ // 3 + 1
         self.parts = self.differ + 1 + self.spare
 
     def overlap(self, a, b):
@@ -202,6 +204,8 @@ class CountTree:
             for j in near:
                 b = cut[j]
                 two = slice(b, b + LEAF)
+                if found[one].all() and found[two].all():
+                    continue
                 bound = reach_one @ reach(two).T + np.minimum(rest[one, None], rest[None, two])
                 x, y = self.size[one, None], self.size[None, two]
                 may = (bound >= t.overlap(x, y)) & (x * t.den >= y * t.num) & (y * t.den >= x * t.num)
@@ -365,9 +369,9 @@ def _possible(points: np.ndarray, size: np.ndarray, threshold: Threshold) -> np.
 
 
 def _thinned(batches, threshold: Threshold):
-    """Rows sorted by head -> the (head, id, size) that could have a partner in their cluster."""
+    """Rows sorted by head and part -> the (head, id, size) that could have a partner in their part of their cluster."""
     held: list[tuple] = []
-    head = None
+    key = None
     out: list[tuple] = []
 
     def finish():
@@ -375,7 +379,7 @@ def _thinned(batches, threshold: Threshold):
         points = np.frombuffer(b"".join(x for h in held for x in h[2]), np.uint8).reshape(-1, GROUPS)
         keep = _possible(points, size, threshold)
         if keep.any():
-            out.append((np.full(int(keep.sum()), head), ids[keep], size[keep]))
+            out.append((np.full(int(keep.sum()), key[0]), ids[keep], size[keep]))
 
     def flush():
         arrays = [np.concatenate(c) for c in zip(*out, strict=True)]
@@ -383,15 +387,16 @@ def _thinned(batches, threshold: Threshold):
         return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["head", "id", "size"])
 
     for batch in batches:
-        heads, ids, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("head", "id", "size"))
-        cuts = np.flatnonzero(np.diff(heads)) + 1
+        heads, parts, ids, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("head", "part", "id", "size"))
+        cuts = np.flatnonzero((np.diff(heads) != 0) | (np.diff(parts) != 0)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(heads)], strict=True):
             if lo == hi:
                 continue
-            if head is not None and heads[lo] != head:
+            now = int(heads[lo]), int(parts[lo])
+            if key is not None and now != key:
                 finish()
                 held = []
-            head = int(heads[lo])
+            key = now
             held.append((ids[lo:hi], size[lo:hi], batch.column("point").slice(lo, hi - lo).to_pylist()))
         if sum(len(o[0]) for o in out) > 20_000:
             yield flush()
@@ -401,6 +406,37 @@ def _thinned(batches, threshold: Threshold):
         yield flush()
 
 
+def _thin(points: DataFrame, threshold: Threshold) -> DataFrame:
+    """(head, id, size) of those ``points`` (head, part, id, size, point) that could have a partner in their part."""
+    dealt = points.repartition("head", "part").sortWithinPartitions("head", "part")
+    return dealt.mapInArrow(lambda batches: _thinned(batches, threshold), "head long, id long, size long")
+
+
+def _thinned_in_pieces(points: DataFrame, threshold: Threshold) -> DataFrame:
+    """Like ``_thin``, for clusters that are too large for a task: (head, id, size) of ``points`` (head, id, size, point).
+
+    Each two similar sizes share a pair of neighbouring bands.  The points of such a pair are dealt into pieces; those that
+    find no partner in their own piece are, some at a time, put beside each piece."""
+    low = F.floor(F.log(F.col("size").cast("double")) / threshold.band)
+    banded = points.withColumn("band", F.explode(F.array(low - 1, low)))
+    pieces = banded.groupBy("head", "band").agg(F.ceil(F.count("*") / (THINNED // 2)).cast("long").alias("pieces"))
+    dealt = stage(banded.join(pieces, ["head", "band"]).withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces"))))
+    part = lambda *names: F.xxhash64(*names).alias("part")
+    own = stage(_thin(dealt.select("head", part("band", "piece"), "id", "size", "point"), threshold).distinct())
+    rest = dealt.join(own.select("head", "id").distinct(), ["head", "id"], "left_anti").where("pieces > 1")
+    guests = rest.groupBy("head", "band").agg(F.ceil(F.count("*") / (THINNED // 2)).cast("long").alias("guests"))
+    rest = stage(rest.join(guests, ["head", "band"]).withColumn("guest", F.pmod(F.xxhash64("id", F.lit(1)), F.col("guests"))))
+    if not rest.limit(1).count():
+        return own
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["head", "band", "piece", "guest", "id", "size", "point"]
+    visits = rest.drop("piece").withColumn("piece", every("pieces")).select(columns)
+    hosts = dealt.join(guests, ["head", "band"]).withColumn("guest", every("guests")).select(columns)
+    # a guest that is dealt to its own piece is there already
+    both = hosts.union(visits).dropDuplicates(["head", "band", "piece", "guest", "id", "size", "point"])
+    return own.union(_thin(both.select("head", part("band", "piece", "guest"), "id", "size", "point"), threshold)).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id of each connected component, for every id in ``edges`` (a, b).
 
@@ -442,9 +478,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     points = signed.where("size > 0").join(alias.where("id = rep").select("id").distinct(), "id", "left_semi").select("id", "size", "point")
     placed = members.join(points, "id").select("head", "id", "size", "point")
     large = members.groupBy("head").count().where(F.col("count") > THINNED).select("head")
-    dealt = placed.join(large, "head", "left_anti").repartition("head").sortWithinPartitions("head")
-    thinned = dealt.mapInArrow(lambda batches: _thinned(batches, threshold), "head long, id long, size long")
-    weighed = stage(thinned.union(placed.join(large, "head", "left_semi").select("head", "id", "size")))
+    small = placed.join(large, "head", "left_anti").select("head", F.lit(0).cast("long").alias("part"), "id", "size", "point")
+    weighed = _thin(small, threshold)
+    if large.limit(1).count():
+        weighed = weighed.union(_thinned_in_pieces(placed.join(large, "head", "left_semi"), threshold))
+    weighed = stage(weighed)
     blocks = weighed.groupBy("head").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("int").alias("blocks"))
     # the head is in every block, even where it has no partner itself
     heads = weighed.select("head", F.col("head").alias("id"))
@@ -461,8 +499,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     large = placed.where("blocks > 1")
     apart = stage(linked_first.where("not joined").join(large.select("head", "blocks").distinct(), "head").select("head", "blocks", "id", "block").distinct())
     if apart.limit(1).count():
-        visits = apart.select("head", "id", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("block"), F.lit(True).alias("visitor"))
-        visited = large.join(visits.select("head", "block").distinct(), ["head", "block"], "left_semi").select("head", "id", "block", "visitor")
+        # the visitors of a block come in pieces of bounded items, each with the block's residents
+        sized = apart.join(weighed.groupBy("head", "id").agg(F.sum("size").alias("size")), ["head", "id"])
+        shares = sized.groupBy("head").agg(F.ceil(F.sum("size") / BLOCK_ITEMS).cast("long").alias("shares"))
+        numbered = lambda share: (F.col("block") * F.col("shares") + share).alias("block")
+        visits = apart.join(shares, "head").select("head", "id", "shares", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))).alias("block"))
+        visits = visits.select("head", "id", numbered(F.pmod(F.xxhash64("id", F.lit(1)), F.col("shares"))), F.lit(True).alias("visitor"))
+        hosts = large.join(shares, "head").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).select("head", "id", numbered(F.col("share")), "visitor")
+        visited = hosts.join(visits.select("head", "block").distinct(), ["head", "block"], "left_semi").select("head", "id", "block", "visitor")
         second = linked(visited.unionByName(visits))
         edges = edges.union(second.select(F.col("id").alias("a"), F.col("root").alias("b")))
     # an id with several sets joins what stands for them

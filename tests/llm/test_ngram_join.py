@@ -80,6 +80,22 @@ def test_blocks_and_visits(spark, rows, monkeypatch):
     assert sorted((tuple(r) for r in nj.near_duplicates(docs, 4, 85, 100).collect()), key=str) == brute(rows, 4, 85, 100)
 
 
+def test_large_clusters_in_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(nj, "THINNED", 8)
+    monkeypatch.setattr(nj, "BLOCK_ITEMS", 300)
+    t = nj.Threshold(85, 100)
+    rng = np.random.default_rng(8)
+    base = rng.poisson(3, (40, nj.GROUPS)).astype(np.uint8) + 1
+    near = base[:6].copy()
+    near[:, 0] += 1
+    counts = np.concatenate([base, near])
+    points = spark.createDataFrame([(0, k, int(c.sum()), bytearray(c.tobytes())) for k, c in enumerate(counts)], "head long, id long, size long, point binary")
+    found = {r["id"] for r in nj._thinned_in_pieces(points, t).collect()}
+    assert found == set(np.flatnonzero(nj._possible(counts, counts.sum(1).astype(np.int64), t)).tolist())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in nj.near_duplicates(docs, 4, 85, 100).collect()), key=str) == brute(rows, 4, 85, 100)
+
+
 def test_one_id_with_several_texts(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "v w x y z"), (9, "v w x y z"), (7, "alone in the world here")]
     found = sorted(tuple(r) for r in nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
@@ -124,6 +140,15 @@ def test_similar_sets_share_a_signature():
                 assert set(signs[at[0] : at[1]].tolist()) & set(signs[at[1] :].tolist())
 
 
+def test_unrelated_sets_share_no_signature():
+    rng = np.random.default_rng(7)
+    t = nj.Threshold(80, 100)
+    for size in (150, 250, 400):
+        gram = np.concatenate([np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)) for _ in range(300)])
+        signs, _ = t.signatures(gram, np.arange(301) * size)
+        assert len(np.unique(signs)) == len(signs)
+
+
 def test_tree_leaves_nothing_out():
     rng = np.random.default_rng(3)
     t = nj.Threshold(85, 100)
