@@ -5,7 +5,7 @@ their columns as they came; the last returns doc_id, ids, n_tokens and lossless.
 one, on labelled documents among its own input.
 
 Defined results: documents with null or empty text are judged like any others and have no ids at the end; a document
-without labels is only scored; rows that share an id count as one document for near duplicates, and one of them stays; an
+without labels is only scored; without any label to learn from, no document counts as toxic; rows that share an id count as one document for near duplicates, and one of them stays; an
 empty table stays empty.
 """
 

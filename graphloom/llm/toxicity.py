@@ -181,6 +181,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, most:
     lexicon = learn_lexicon(sample)
     x, y, part = scored.featured(sample, lambda raw, offsets: features(lexicon, raw, offsets))
     fitted = part != 3
+    if not fitted.any():  # nothing to learn from: no text counts as toxic
+        return Model(lexicon, trees.fit(x[fitted], y[fitted], depth=3), np.array([0.0, 1.0]), np.array([0.0, 0.0]))
     forest = trees.fit(x[fitted], y[fitted], depth=3)
     held_back = y[~fitted]
     if not len(held_back) or held_back.min() == held_back.max():

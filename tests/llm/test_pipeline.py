@@ -42,3 +42,10 @@ def test_odd_documents(spark):
         for table in (rows, []):
             out = step(spark, spark.createDataFrame(table, schema), FOLDER)
             assert len(out.collect()) <= len(table)
+
+
+def test_nothing_is_toxic_without_labels(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(20)
+    spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
