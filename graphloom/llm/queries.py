@@ -58,14 +58,20 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(tokenfile.read(spark, path))
 
 
-def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+def url_labels(pages: DataFrame) -> DataFrame:
+    """(url, tokens, label) of the part of ``pages`` to learn from: crc32(url) mod 4 is not 0.
+
+    A host with a word of the block list is labelled "block", other pages by their content; the explicit rules, which decide
+    their pages themselves, say nothing of others."""
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
-    ruled = urls.rule_of(host, path, URL_RULES)["verdict"]
     seeded = F.when(F.arrays_overlap(F.split(host, r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, URL_SEEDS))), F.lit("block"))
-    labelled = pages.where(F.col("url").isNotNull()).select("url", urls.tokens_of(host, path).alias("tokens"), F.coalesce(seeded, ruled).alias("label"))
-    mined = urls.mine(labelled, min_support=0.0002, min_confidence=0.9)
-    return urls.judge(pages, URL_RULES, mined, [F.col("page_id")])
+    return pages.where(F.col("url").isNotNull() & (fold(F.col("url"), 4) != 0)).select("url", urls.tokens_of(host, path).alias("tokens"), F.coalesce(seeded, urls.page_label(F.col("html"))).alias("label"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mined = urls.mine(url_labels(pages), min_support=0.001, min_confidence=0.85, least_urls=5)
+    return urls.judge(pages.select("page_id", "url"), URL_RULES, mined, [F.col("page_id")])
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """URL filtering by association rules: FP-growth mines token combinations of URLs that go with a label, confidence and
 support prune the rules, and the rest match URLs through an inverted index.  DataFrame functions only.
 
-A URL's tokens are its host labels, the words of those labels, and the segments of its path.  Every distinct URL is a
-transaction; labelled ones also hold the item of their label.  Confidence is therefore measured against all URLs, labelled
-or not: a token that is mostly unlabelled (a whole top-level domain, say) cannot block on the strength of a few labels.
+A URL's tokens are its host labels, the words of labels that consist of several, and the segments of its path.  Every
+distinct URL of the labelled part is a transaction and also holds the item of its label, if it has one; confidence is
+measured against all of them.  Labels are the caller's; ``page_label`` gives one by a page's content.
 
 Explicit (host, path) rules come first.  They are a short list written by people (at most ``RULES``), so they stand in the
 plan as literals.
@@ -19,10 +19,14 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small
+from .common import ascii_lower, small, stage
 
 RULES = 10_000
 INDEX_ROWS = 200_000
+#: URLs for each partition of the miner.
+URLS_EACH = 100_000
+#: Share of symbols above which a page counts as junk.
+JUNK = 0.03
 
 
 def host_of(url):
@@ -49,31 +53,44 @@ def rule_of(host, path, rules: list[tuple[str, str]]):
 
 def tokens_of(host, path):
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    words = F.filter(F.split(host, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    parts = F.filter(labels, lambda x: x.rlike(r"[^\p{L}\p{N}]"))
+    words = F.filter(F.flatten(F.transform(parts, lambda x: F.split(x, r"[^\p{L}\p{N}]+"))), lambda x: x != "")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("host:"), x)), F.transform(words, lambda x: F.concat(F.lit("word:"), x)), F.transform(segments, lambda x: F.concat(F.lit("path:"), x))))
 
 
-def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3) -> DataFrame:
-    """Rules (tokens array<string>, verdict, confidence, support) from ``urls`` (url, tokens, label; label null if unknown).
+def page_label(html):
+    """What a page's text says of it: "block" where symbols and shouting make up more than ``JUNK`` of it, else "allow"; null
+    without text."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|nav|footer)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " "))
+    marks = F.length(text) - F.length(F.translate(text, "#$%&*|!", ""))
+    return F.when(F.length(text) > 0, F.when(marks > JUNK * F.length(text), F.lit("block")).otherwise(F.lit("allow")))
 
-    ``min_support`` is the least share of the URLs; tokens below it are dropped before mining, so that transactions stay
-    short.  A rule is redundant, and goes, if fewer of its tokens give the same verdict with as much confidence."""
-    distinct = urls.groupBy("url").agg(F.first("tokens").alias("tokens"), F.max("label").alias("label"))
+
+def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3, least_urls: int = 2) -> DataFrame:
+    """Staged rules (tokens array<string>, verdict, confidence, support, key) from ``urls`` (url, tokens, label; label null if
+    unknown).  ``key`` is a rule's rarest token.
+
+    ``min_support`` is the least share of the URLs, ``least_urls`` their least number; tokens below are dropped before mining,
+    so that transactions stay short.  A rule is redundant, and goes, if fewer of its tokens give the same verdict with as
+    much confidence."""
+    spark = urls.sparkSession
+    distinct = stage(urls.groupBy("url").agg(F.first("tokens").alias("tokens"), F.max("label").alias("label")))
     n = distinct.count()
-    least = max(2, int(min_support * n))
+    least = max(2, least_urls, int(min_support * n))
     if n < least:
-        return urls.sparkSession.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
-    labelled = distinct.where(F.col("label").isNotNull())
+        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, key string")
     # only tokens frequent among labelled URLs can be in a rule: the others are dropped by a join with the frequent ones
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least).select("token")
-    kept = (
-        distinct.select("url", "label", F.explode("tokens").alias("token")).join(small(frequent, INDEX_ROWS), "token")
+    counted = distinct.where(F.col("label").isNotNull()).select(F.explode("tokens").alias("token")).groupBy("token").count()
+    frequent = stage(counted.where(F.col("count") >= least))
+    kept = stage(
+        distinct.select("url", "label", F.explode("tokens").alias("token")).join(small(frequent.select("token"), INDEX_ROWS), "token")
         .groupBy("url").agg(F.collect_set("token").alias("tokens"), F.max("label").alias("label"))
         .select(F.when(F.col("label").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.concat(F.lit("="), "label")))).alias("items"))
     )
-    model = FPGrowth(itemsCol="items", minSupport=least / max(n, 1) * 0.999, minConfidence=min_confidence).fit(kept)
-    found = (
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // URLS_EACH)
+    model = FPGrowth(itemsCol="items", minSupport=least / n * 0.999, minConfidence=min_confidence, numPartitions=partitions).fit(kept)
+    found = stage(
         model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit("=")) & F.forall("antecedent", lambda x: ~F.startswith(x, F.lit("="))) & (F.size("antecedent") <= most_tokens))
         .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("verdict"), "confidence", "support")
     )
@@ -83,27 +100,30 @@ def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens
     fewer = found.select("tokens", "verdict", "confidence", F.explode(F.filter(F.concat(single, pairs), lambda s: F.size(s) < F.size("tokens"))).alias("part"))
     given = found.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("known"))
     redundant = fewer.join(given, ["part", "verdict"]).where(F.col("known") >= F.col("confidence")).select("tokens", "verdict").distinct()
-    return found.join(redundant, ["tokens", "verdict"], "left_anti")
+    pruned = found.join(redundant, ["tokens", "verdict"], "left_anti")
+    rarest = pruned.select("tokens", F.explode("tokens").alias("token")).distinct().join(frequent, "token").groupBy("tokens").agg(F.min_by("token", F.struct("count", "token")).alias("key"))
+    return stage(pruned.join(rarest, "tokens"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, keep: list, default: str = "allow") -> DataFrame:
-    """``keep`` columns of every row of ``pages`` with host, path, rule and verdict.
+    """``keep`` columns of every row of ``pages`` with host, path, rule, verdict and mined.
 
-    The rules' index is keyed by one token of each rule, the smallest; a page's tokens look it up, and a rule holds if the
-    page has all of its tokens.  The best rule by confidence, support, tokens gives the verdict where no explicit rule fits."""
+    The rules' index is keyed by the rarest token of each rule; a page's tokens look it up, and a rule holds if the page has
+    all of its tokens.  The best rule by confidence, support, tokens gives the verdict where no explicit rule fits; ``mined``
+    names its tokens."""
     page = pages.select(*[c.alias(f"__k{i}") for i, c in enumerate(keep)], F.col("url").alias("__url"), F.monotonically_increasing_id().alias("__row"))
     page = page.withColumn("__host", host_of(F.col("__url"))).withColumn("__path", path_of(F.col("__url")))
     page = page.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
     kept = [f"__k{i}" for i in range(len(keep))]
-    fits = page.where(F.col("__rule").isNotNull()).select(*kept, "__host", "__path", F.col("__rule.rule").alias("__r"), F.col("__rule.verdict").alias("__v"))
-    index = mined.select(F.element_at("tokens", 1).alias("__token"), F.col("tokens").alias("__all"), F.struct("confidence", "support", "tokens", "verdict").alias("__best"))
+    fits = page.where(F.col("__rule").isNotNull()).select(*kept, "__host", "__path", F.col("__rule.rule").alias("__r"), F.col("__rule.verdict").alias("__v"), F.lit(None).cast("string").alias("__m"))
+    index = mined.select(F.col("key").alias("__token"), F.col("tokens").alias("__all"), F.struct("confidence", "support", "tokens", "verdict").alias("__best"))
     rest = page.where(F.col("__rule").isNull()).withColumn("__tokens", tokens_of(F.col("__host"), F.col("__path")))
     tried = (
         rest.withColumn("__token", F.explode_outer("__tokens")).join(small(index, INDEX_ROWS), "__token", "left")
         .withColumn("__best", F.when(F.size(F.array_except("__all", "__tokens")) == 0, F.col("__best")))
         .groupBy("__row").agg(*[F.first(c).alias(c) for c in [*kept, "__host", "__path"]], F.max("__best").alias("__best"))
-        .select(*kept, "__host", "__path", F.lit(None).cast("string").alias("__r"), F.coalesce("__best.verdict", F.lit(default)).alias("__v"))
+        .select(*kept, "__host", "__path", F.lit(None).cast("string").alias("__r"), F.coalesce("__best.verdict", F.lit(default)).alias("__v"), F.array_join("__best.tokens", " + ").alias("__m"))
     )
     out = fits.unionByName(tried)
     names = pages.select(*keep).columns
-    return out.select(*[F.col(k).alias(n) for k, n in zip(kept, names, strict=True)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__r").alias("rule"), F.col("__v").alias("verdict"))
+    return out.select(*[F.col(k).alias(n) for k, n in zip(kept, names, strict=True)], F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__r").alias("rule"), F.col("__v").alias("verdict"), F.col("__m").alias("mined"))
