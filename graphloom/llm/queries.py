@@ -55,7 +55,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = staged_path(spark)
     tokenfile.write(read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return tokenfile.digests(tokenfile.read(spark, path))
+    return tokenfile.digests(spark, path)
 
 
 def url_labels(pages: DataFrame) -> DataFrame:

@@ -1,26 +1,33 @@
-"""Token-id files: an adaptive context-mixing range coder over ids below 65,536.
+"""Token-id files: an adaptive context-mixing range coder over unsigned 32-bit ids.
 
-A file is a row of frames.  A frame holds whole documents; its ids are cut into blocks of ``BLOCK`` ids that start with a
-fresh model each, so blocks decode independently, and each has a crc32 of its ids.  The blocks of a frame are coded in step,
-one id of every block at a time, which is what makes numpy fast enough for this.
+A file is a row of frames.  A frame holds whole documents and an alphabet: its distinct ids, dealt into ``CLASSES`` classes by
+how they neighbour each other, with their frequencies within the class, and how classes follow classes.  The ids are cut into
+blocks of ``BLOCK``, each of which starts with a fresh model on that alphabet, so blocks decode independently, and each has a
+crc32 of its ids.  The blocks of a frame are coded in step, one id of every block at a time, which is what makes numpy fast
+enough for this.
 
-Per block the model predicts an id by its last two ids (order 2), by its last id (order 1), and by how often ids of its
-bucket of 256 occurred (order 0), with the bucket's latest id as the order-0 prediction of the rest.  The orders are mixed
-by shares that follow which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
-order-1 id, and the rest is shared out among the buckets.  The coder is a range coder with 16-bit output words.
+Per block the model predicts an id by its last two ids (order 2: the id that followed them last), by its last id (order 1:
+the same, and the class of the next id by the class of the last), and by how often the classes occurred in the block
+(order 0).  The orders are mixed by shares that follow which of them was right, kept for each pair of confidences: one
+interval goes to the order-2 id, one to the order-1 id, and the rest is shared out among classes and, within a class, by
+frequency.  All of that is one interval of 2^36, so an id costs one coding step.  The coder is a range coder with 16-bit output
+words and a 64-bit state.
 
-Frame layout, little-endian: magic ``GTF1``; u32 documents, ids, block length, blocks; i64 document ids; u8 null flags; u32
-ids of each document; u32 output words and u32 crc32 of each block; u16 words; u32 crc32 of all before; a newline.
+Frame layout, little-endian: magic ``GTF2``; u32 documents, ids, block length, blocks, alphabet bytes; i64 document ids; u8
+null flags; u32 ids of each document; u32 output words and u32 crc32 of each block; the alphabet; u16 words; u32 crc32 of all
+before; a newline.
 
 Files are written through Spark's text writer, whose rows may be any bytes, and read through its binary reader, so they can
 be in any store Spark reaches.  ``FRAMES`` bounds the frames of a file, and so what a reader holds.
 
 Defined results: null and empty texts hold the end id alone; documents go by (id, hash of the text), null ids first;
-repeated rows are stored repeatedly; an empty table gives no frames.
+repeated rows are stored repeatedly; an empty table gives no frames; ids outside 0 .. 2^32 - 1, and more distinct ids in a
+frame than its classes can hold (about a million), raise ValueError.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -31,229 +38,291 @@ from pyspark.sql import functions as F
 
 from .common import ranges, sliced, span_hashes, stage
 
-MAGIC = b"GTF1"
+MAGIC = b"GTF2"
 BLOCK = 2048
-FRAME_IDS = 2 << 20
+FRAME_IDS = 4 << 20
 FRAMES = 8
-SLOTS = 4096
-TOP, WORD = np.int64(1) << np.int64(32), np.int64(16)
-#: Step of the bucket counts, and the total at which they are halved; what the orders 2 and 1 may take of 65,536.
-STEP_BUCKET, MOST_BUCKET, ROOM = 24, 8192, 49152
+SLOTS = 2048
+CLASSES, MOST_IN_CLASS = 64, 1 << 14
+#: Totals: of a class's successors, of the ids within a class, and of a block's class counts; and a class count's step.
+FOLLOW, INSIDE, SEEN, STEP = 1 << 14, 1 << 15, 1 << 13, 96
+#: Bits of an interval's scale, and what the orders 2 and 1 may take of 65,536.
+SCALE, ROOM = 36, 61440
+#: Ids whose neighbourhoods decide the classes of a frame.
+SAMPLE = 1 << 18
+
+
+def _shares(counts: np.ndarray, total: int) -> np.ndarray:
+    """Whole numbers of at least one that sum to ``total`` along the last axis, about in proportion to ``counts``."""
+    counts = counts + 1e-9
+    room = total - counts.shape[-1]
+    out = 1 + np.floor(counts * (room / counts.sum(-1, keepdims=True))).astype(np.int64)
+    np.put_along_axis(out, counts.argmax(-1)[..., None], np.take_along_axis(out, counts.argmax(-1)[..., None], -1) + total - out.sum(-1, keepdims=True), -1)
+    return out
+
+
+def _classes(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A class for each of the distinct ids: k-means over the main directions in which their neighbours differ."""
+    n = len(counts)
+    if n <= CLASSES:
+        return np.arange(n)
+    some = places[:SAMPLE]
+    pair, weight = np.unique(some[:-1] * n + some[1:], return_counts=True)
+    left, right = pair // n, pair % n
+    by_left, by_right = np.bincount(left, weight, n) + 1, np.bincount(right, weight, n) + 1
+    weight = weight / np.sqrt(by_left[left] * by_right[right])
+    spread = lambda at, values, to: np.stack([np.bincount(to, weight * v[at], n) for v in values.T], 1)
+    common = np.sqrt(by_right / by_right.sum())
+    after = np.random.default_rng(0).normal(size=(n, 8))
+    for _ in range(4):
+        after = spread(left, spread(right, after, left), right)
+        after = np.linalg.qr(after - np.outer(common, common @ after))[0]
+    x = np.concatenate([after / np.sqrt(by_right)[:, None], spread(right, after, left) / np.sqrt(by_left)[:, None]], 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    centre = x[np.argsort(-counts, kind="stable")[:CLASSES]]
+    for _ in range(5):
+        nearest = (x @ centre.T).argmax(1)
+        centre = np.stack([np.bincount(nearest, counts * v, CLASSES) for v in x.T], 1)
+        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
+    nearest = (x @ centre.T).argmax(1)
+    # a class holds a bounded number of ids; its rarest ones beyond that go where there is room
+    by_count = np.lexsort((-counts, nearest))
+    begin = np.searchsorted(nearest[by_count], np.arange(CLASSES))
+    over = by_count[np.arange(n) - begin[nearest[by_count]] >= MOST_IN_CLASS]
+    free = MOST_IN_CLASS - np.minimum(np.bincount(nearest, minlength=CLASSES), MOST_IN_CLASS)
+    nearest[over] = np.repeat(np.arange(CLASSES), free)[: len(over)]
+    return nearest
+
+
+class Alphabet:
+    """The distinct ids of a frame by (class, id), their intervals within the class, and how classes follow each other."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, width: np.ndarray, follow: np.ndarray):
+        self.ids, self.sizes, self.width, self.follow = ids, sizes, width, follow
+        self.klass = np.repeat(np.arange(CLASSES), sizes)
+        begin = np.cumsum(width) - width
+        self.low = begin - np.repeat(np.arange(CLASSES) * INSIDE - np.cumsum(np.where(sizes > 0, 0, INSIDE)), sizes)
+        self.high = self.low + width
+        self.upto = np.concatenate([np.zeros((CLASSES, 1), np.int64), np.cumsum(follow, 1)], 1).astype(np.int16)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Alphabet, np.ndarray]:
+        """The alphabet of ``ids``, and the place in it of each."""
+        if int(ids.min()) < 0 or int(ids.max()) >= 1 << 32:
+            raise ValueError("ids must lie in 0 .. 2^32 - 1")
+        if int(ids.max()) < 1 << 22:
+            counts = np.bincount(ids)
+            distinct = np.flatnonzero(counts)
+            counts, at = counts[distinct], np.zeros(len(counts), np.int64)
+            at[distinct] = np.arange(len(distinct))
+            places = at[ids]
+        else:
+            distinct, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        if len(distinct) > CLASSES * MOST_IN_CLASS:
+            raise ValueError("too many distinct ids for a frame")
+        klass = _classes(places, counts)
+        order = np.lexsort((distinct, klass))
+        sizes = np.bincount(klass, minlength=CLASSES)
+        width = np.concatenate([_shares(counts[part], INSIDE) if len(part) else part for part in np.split(order, np.cumsum(sizes)[:-1])])
+        again = np.empty(len(order), np.int64)
+        again[order] = np.arange(len(order))
+        places = again[places]
+        kinds = klass[order][places]
+        follow = np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+        return cls(distinct[order], sizes, width, _shares(follow, FOLLOW)), places
+
+    def pack(self) -> bytes:
+        parts = self.sizes, self.ids, self.width, self.follow
+        return zlib.compress(struct.pack("<I", len(self.ids)) + b"".join(p.astype("<u4").tobytes() for p in parts[:2]) + self.width.astype("<u2").tobytes() + self.follow.astype("<u2").tobytes(), 6)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Alphabet:
+        raw = zlib.decompress(data)
+        (n,) = struct.unpack_from("<I", raw)
+        sizes, ids = np.frombuffer(raw, "<u4", CLASSES, 4).astype(np.int64), np.frombuffer(raw, "<u4", n, 4 + 4 * CLASSES).astype(np.int64)
+        width = np.frombuffer(raw, "<u2", n, 4 + 4 * (CLASSES + n)).astype(np.int64)
+        follow = np.frombuffer(raw, "<u2", CLASSES**2, 4 + 4 * (CLASSES + n) + 2 * n).astype(np.int64)
+        # a class of one id has all of 2^15 and a class with one successor all of 2^14, both below 2^16
+        return cls(ids, sizes, width, follow.reshape(CLASSES, CLASSES))
 
 
 class Model:
     """The predictions of all blocks of a frame.  ``predict`` and ``update`` take the first ``n`` blocks one id further.
 
-    Tables are flat, a stretch for each block, and a cell packs what is read together: an id with its confidence, or the two
-    shares of a pair of confidences."""
+    Tables are flat, a stretch for each block, and a cell packs what is read together: an id's place with its confidence, or
+    the two shares of a pair of confidences."""
 
-    def __init__(self, blocks: int):
+    def __init__(self, blocks: int, alphabet: Alphabet):
         row = np.arange(blocks)
-        self.row, self.at_slot, self.at_state, self.at_group, self.at_bucket = row, row * SLOTS, row * 16, row * 17, row * 256
-        self.at_inner = row * 272
-        self.cells = [np.zeros(blocks * SLOTS, np.int32) for _ in range(2)]  # order 2, order 1: id * 4 + confidence
+        self.alphabet, self.flat = alphabet, np.ascontiguousarray(alphabet.upto.ravel())
+        self.at_slot, self.at_state, self.at_seen = row * SLOTS, row * 16, row * (CLASSES + 1)
+        self.cells = [np.zeros(blocks * SLOTS, np.int32) for _ in range(2)]  # order 2, order 1: place * 4 + confidence
         # by confidences: of 65,536, the share of the order-2 id, and that of the order-1 id in what is left
-        self.shares = np.full(blocks * 16, (16384 << 16) | 16384, np.int64)
-        # cumulative counts of buckets: of groups of 16, and within each group
-        self.outer = np.tile(np.arange(17, dtype=np.int32) * 16, (blocks, 1))
-        self.inner = np.tile(np.arange(17, dtype=np.int32), (blocks, 16, 1))
-        # row k: added to cumulative counts by an item in place k; the last row adds nothing
-        self.above = np.concatenate([(np.arange(17)[None, :] > np.arange(16)[:, None]) * STEP_BUCKET, np.zeros((1, 17))]).astype(np.int32)
-        self.latest = np.tile(np.arange(256, dtype=np.int32) << 8, blocks)
-        self.match = np.full(blocks, 16384, np.int64)  # share of 65,536 for the bucket's latest id
-        self.one, self.two = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+        self.shares = np.full(blocks * 16, (8192 << 16) | 8192, np.int64)
+        # cumulative counts of the classes in the block, and what an id of class k adds to them
+        self.seen = np.zeros((blocks, CLASSES + 1), np.int16)
+        self.above = ((np.arange(CLASSES + 1)[None, :] > np.arange(CLASSES)[:, None]) * STEP).astype(np.int16)
+        self.one, self.two, self.last = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
 
     def predict(self, n: int):
         self.n = n
         one, two = self.one[:n], self.two[:n]
-        self.slot = self.at_slot[:n] + (((two * 40503 + one * 30011) >> 3) & (SLOTS - 1)), self.at_slot[:n] + ((one ^ (one >> 5)) & (SLOTS - 1))
+        self.slot = self.at_slot[:n] + (((two * 40503 + one * 30011) >> 3) & (SLOTS - 1)), self.at_slot[:n] + ((one ^ (one >> 6)) & (SLOTS - 1))
         self.known = [cells.take(slot) for cells, slot in zip(self.cells, self.slot, strict=True)]
         self.ids = [cell >> 2 for cell in self.known]
-        self.state = self.at_state[:n] + ((self.known[0] & 3) * 4 + (self.known[1] & 3))
+        self.state = self.at_state[:n] + (((self.known[0] & 3) << 2) | (self.known[1] & 3))
         self.share = self.shares.take(self.state)
-        first, second = self.share >> 16, self.share & 65535
-        self.first = (first * ROOM >> 16) + 1
-        self.second = ((ROOM - self.first) * second >> 16) * (self.ids[0] != self.ids[1])
-        self.both = self.first + self.second
-        self.rest = 65536 - self.both
-        self.total = self.outer[:n, 16]
-        self.scale = self.rest / self.total
-
-    def bucket_interval(self, bucket):
-        """Start and width of a bucket's part of what is left; the same arithmetic in both directions."""
-        group, place = bucket >> 4, bucket & 15
-        at = self.at_inner[: self.n] + group * 17 + place
-        inner = self.inner.reshape(-1)
-        base = self.outer.reshape(-1).take(self.at_group[: self.n] + group)
-        low = ((base + inner.take(at)) * self.scale).astype(np.int64)
-        high = ((base + inner.take(at + 1)) * self.scale).astype(np.int64)
+        first = (self.share >> 16) * ROOM >> 16
+        second = ((ROOM - first) * (self.share & 65535) >> 16) * (self.ids[0] != self.ids[1])
+        self.first = (first + 1) << (SCALE - 16)
+        self.both = self.first + (second << (SCALE - 16))
+        self.row = self.last[:n]
+        self.scale = ((1 << SCALE) - self.both) / (self.seen[:n, CLASSES] + np.float64(FOLLOW))
+
+    def class_interval(self, klass):
+        """Start and end of a class's part of what the orders 2 and 1 leave; the same arithmetic in both directions."""
+        place, at = self.row + klass, self.at_seen[: self.n] + klass
+        seen = self.seen.reshape(-1)
+        low = ((self.flat.take(place) + seen.take(at)) * self.scale).astype(np.int64)
+        high = ((self.flat.take(place + 1) + seen.take(at + 1)) * self.scale).astype(np.int64)
         return self.both + low, high - low
 
-    def bucket_at(self, point):
-        """The bucket whose part holds ``point``, with its start and width: a guess from the counts, put right by the parts
+    def class_at(self, point):
+        """The class whose part holds ``point``, with its start and width: a guess from the counts, put right by the parts
         themselves where rounding made it miss."""
-        count = np.ceil((point - self.both + 1) / self.scale).astype(np.int64) - 1
-        bucket = self._holding(np.maximum(count, 0))
+        count = np.maximum(np.ceil((point - self.both + 1) / self.scale) - 1, 0).astype(np.int16)
+        upto = self.alphabet.upto.take(self.row // (CLASSES + 1), 0)
+        upto += self.seen[: self.n]
+        klass = np.minimum((upto[:, 1:] <= count[:, None]).view(np.int8).sum(1, dtype=np.int64), CLASSES - 1)
         while True:
-            start, share = self.bucket_interval(bucket)
-            step = (point >= start + share).astype(np.int64) - (point < start)
+            start, wide = self.class_interval(klass)
+            step = (point >= start + wide).astype(np.int64) - (point < start)
             if not step.any():
-                return bucket, start, share
-            bucket = np.clip(bucket + step, 0, 255)
-
-    def _holding(self, count):
-        group = np.minimum((self.outer[: self.n, 1:] <= count[:, None]).sum(1), 15)
-        count = count - self.outer.reshape(-1).take(self.at_group[: self.n] + group)
-        return (group << 4) | np.minimum((self.inner[self.row[: self.n], group, 1:] <= count[:, None]).sum(1), 15)
-
-    def rest_share(self):
-        """Width of one of the 256 places within the bucket, and what is left for its latest id."""
-        wide = (65536 - self.match[: self.n]) >> 8
-        return wide, 65536 - (wide << 8)
+                return klass, start, wide
+            klass = np.clip(klass + step, 0, CLASSES - 1)
 
-    def update(self, ids, kind, agrees):
-        """``kind``: 0, 1 or 2 for order 2, order 1 or neither; ``agrees``: the bucket's latest id was right."""
+    def update(self, places, kind, klass):
+        """``kind``: 0, 1 or 2 for order 2, order 1 or neither."""
         n = self.n
         for cells, slot, cell, known in zip(self.cells, self.slot, self.known, self.ids, strict=True):
             trust = cell & 3
-            cells[slot] = np.where(known == ids, cell + (trust < 3), np.where(trust == 0, ids << 2, cell - 1))
+            cells[slot] = np.where(known == places, cell + (trust < 3), np.where(trust == 0, places << 2, cell - 1))
         first, second = self.share >> 16, self.share & 65535
-        missed = kind == 2
-        first = first + ((np.where(kind == 0, 65000, 500) - first) >> 4)
-        second = np.where(kind == 0, second, second + ((np.where(kind == 1, 65000, 500) - second) >> 4))
+        first += ((kind == 0) * 65000 + 250 - first) >> 4
+        second += np.where(kind == 0, 0, ((kind == 1) * 65000 + 250 - second) >> 4)
         self.shares[self.state] = (first << 16) | second
-        bucket = ids >> 8
-        self.match[:n] += np.where(missed, (np.where(agrees, 61440, 1024) - self.match[:n]) >> 5, 0)
-        self.latest[self.at_bucket[:n] + bucket] = ids
-        group, place = bucket >> 4, bucket & 15
-        some = np.flatnonzero(missed)
-        self.outer[some] += self.above[group[some]]
-        self.inner[some, group[some]] += self.above[place[some]]
-        big = np.flatnonzero(self.outer[:n, 16] > MOST_BUCKET)
-        if len(big):
-            halved = (np.diff(self.inner[big], axis=2) + 1) >> 1
-            self.inner[big, :, 1:] = np.cumsum(halved, axis=2)
-            self.outer[big, 1:] = np.cumsum(halved.sum(2), axis=1)
+        seen = self.seen[:n]
+        seen += self.above.take(klass, 0)
+        if int(seen[0, CLASSES]) > SEEN:  # every block has coded as many ids as the others
+            seen[:, 1:] = np.cumsum(np.diff(seen, axis=1) >> 1, axis=1)
         self.two[:n] = self.one[:n]
-        self.one[:n] = ids
+        self.one[:n] = places
+        self.last[:n] = klass * (CLASSES + 1)
 
-    def latest_of(self, bucket):
-        return self.latest.take(self.at_bucket[: self.n] + bucket)
 
-
-def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Output words (u16) of all blocks one after another, and how many each block has."""
+def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.ndarray, np.ndarray]:
+    """The alphabet, the output words (u16) of all blocks one after another, and how many each block has."""
     blocks = -(-len(ids) // block)
     if not blocks:
-        return np.zeros(0, np.uint16), np.zeros(0, np.uint32)
-    if int(ids.max()) > 65535 or int(ids.min()) < 0:
-        raise ValueError("ids must lie in 0..65535")
+        return None, np.zeros(0, np.uint16), np.zeros(0, np.uint32)
+    alphabet, places = Alphabet.of(ids)
     table = np.zeros((blocks, block), np.int64)
-    table.ravel()[: len(ids)] = ids
+    table.ravel()[: len(ids)] = places
     table = np.ascontiguousarray(table.T)
     tail = len(ids) - (blocks - 1) * block
-    model = Model(blocks)
-    low, wide = np.zeros(blocks, np.int64), np.full(blocks, TOP << WORD, np.int64)
-    words, at = np.zeros((blocks, 2 * block + 4), np.int32), np.ones(blocks, np.int64)
-    mask48, row = (np.int64(1) << np.int64(48)) - 1, np.arange(blocks)
-
-    def put(some, start, share):
-        unit = wide[some] >> WORD
-        base, left = low[some] + unit * start, unit * share
-        carry = np.flatnonzero(base > mask48)
-        if len(carry):
-            c = row[some][carry]
-            words[c, at[c] - 1] += 1
-            base[carry] &= mask48
-        out = np.flatnonzero(left < TOP)
-        o = row[some][out]
-        words[o, at[o]] = base[out] >> 32
-        at[o] += 1
-        base[out] = (base[out] << WORD) & mask48
-        left[out] <<= WORD
-        low[some], wide[some] = base, left
-
+    model = Model(blocks, alphabet)
+    low, wide = np.zeros(blocks, np.uint64), np.full(blocks, np.iinfo(np.uint64).max)
+    room = 3 * block + 8
+    words, at = np.zeros(blocks * room, np.int32), np.arange(blocks) * room + 1
+    scale, half, sixteen, top = np.uint64(SCALE), np.uint64(48), np.uint64(16), np.uint64(1 << 48)
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
         now = table[step, :n]
         model.predict(n)
         kind = np.where(now == model.ids[0], 0, np.where(now == model.ids[1], 1, 2))
-        bucket = now >> 8
-        start, share = model.bucket_interval(bucket)
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.first, start))
-        share = np.where(kind == 0, model.first, np.where(kind == 1, model.second, share))
-        put(slice(0, n), start, share)
-        place, latest = model.rest_share()
-        agrees = model.latest_of(bucket) == now
-        missed = np.flatnonzero(kind == 2)
-        fits = agrees[missed]
-        put(missed, np.where(fits, 0, latest[missed] + (now[missed] & 255) * place[missed]), np.where(fits, latest[missed], place[missed]))
-        model.update(now, kind, agrees)
-    for _ in range(3):
-        words[row, at] = low >> 32
+        klass = alphabet.klass.take(now)
+        start, share = model.class_interval(klass)
+        below = share * alphabet.low.take(now) >> 15
+        share = (share * alphabet.high.take(now) >> 15) - below
+        start += below
+        start = np.where(kind == 2, start, np.where(kind == 0, 0, model.first))
+        share = np.where(kind == 2, share, np.where(kind == 0, model.first, model.both - model.first))
+        unit = wide[:n] >> scale
+        base, left = low[:n] + unit * start.view(np.uint64), unit * share.view(np.uint64)
+        carry = np.flatnonzero(base < low[:n])
+        if len(carry):
+            words[at[carry] - 1] += 1
+        out = np.flatnonzero(left < top)
+        while len(out):
+            place = at[out]
+            words[place] = base[out] >> half
+            at[out] = place + 1
+            base[out] <<= sixteen
+            left[out] <<= sixteen
+            out = out[left[out] < top]
+        low[:n], wide[:n] = base, left
+        model.update(now, kind, klass)
+    for _ in range(4):
+        words[at] = low >> half
         at += 1
-        low = (low << WORD) & mask48
-    for k in range(words.shape[1] - 1, 0, -1):
+        low <<= sixteen
+    words = words.reshape(blocks, room)
+    counts = at - np.arange(blocks) * room
+    for k in range(int(counts.max()) - 1, 0, -1):
         words[:, k - 1] += words[:, k] >> 16
     words &= 65535
-    inside = np.arange(words.shape[1])[None, :] < at[:, None]
+    inside = np.arange(room)[None, :] < counts[:, None]
     inside[:, 0] = False
-    return words[inside].astype(np.uint16), (at - 1).astype(np.uint32)
-
-
-def _quotient(value, unit):
-    """value // unit, exact for quotients below 2^20: float division is faster than integer division and at most one off."""
-    guess = (value / unit).astype(np.int64)
-    guess -= guess * unit > value
-    return np.minimum(guess, 65535)
+    return alphabet, words[inside].astype(np.uint16), (counts - 1).astype(np.uint32)
 
 
-def expand(words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
+def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
     blocks = len(counts)
     if not blocks:
         return np.zeros(0, np.int64)
-    begin = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[:-1]
-    source, at = np.concatenate([words.astype(np.int64), np.zeros(8, np.int64)]), begin.copy()
+    at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[:-1]
+    source = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
     last = len(source) - 1
-    wide, value = np.full(blocks, TOP << WORD, np.int64), np.zeros(blocks, np.int64)
-    for _ in range(3):
-        value = (value << WORD) | source[at]
+    wide, value = np.full(blocks, np.iinfo(np.uint64).max), np.zeros(blocks, np.uint64)
+    scale, sixteen, top = np.uint64(SCALE), np.uint64(16), np.uint64(1 << 48)
+    for _ in range(4):
+        value = (value << sixteen) | source[at]
         at += 1
     tail = total - (blocks - 1) * block
-    table, model, row = np.zeros((block, blocks), np.int64), Model(blocks), np.arange(blocks)
-
-    def take(some, unit, start, share):
-        rest, left = value[some] - unit * start, unit * share
-        more = np.flatnonzero(left < TOP)
-        m = row[some][more]
-        rest[more] = (rest[more] << WORD) | source.take(np.minimum(at[m], last))
-        at[m] += 1
-        left[more] <<= WORD
-        value[some], wide[some] = rest, left
-
+    table, model = np.zeros((block, blocks), np.int32), Model(blocks, alphabet)
+    begin = np.concatenate([[0], np.cumsum(alphabet.sizes)])
+    #: the place for each of the 2^15 points of a class
+    spelled = np.zeros((CLASSES, INSIDE), np.int32)
+    for c in np.flatnonzero(alphabet.sizes):
+        spelled[c] = np.repeat(np.arange(begin[c], begin[c + 1]), alphabet.width[begin[c] : begin[c + 1]])
+    spelled = spelled.ravel()
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
         model.predict(n)
-        unit = wide[:n] >> WORD
-        point = _quotient(value[:n], unit)
+        unit = wide[:n] >> scale
+        point = np.minimum((value[:n] // unit).view(np.int64), (1 << SCALE) - 1)
         kind = (point >= model.first).astype(np.int64) + (point >= model.both)
-        kind = np.where((kind == 1) & (model.second == 0), 2, kind)
-        bucket, start, share = model.bucket_at(np.where(kind == 2, point, model.both))
-        take(slice(0, n), unit, np.where(kind == 0, 0, np.where(kind == 1, model.first, start)), np.where(kind == 0, model.first, np.where(kind == 1, model.second, share)))
-        place, latest = model.rest_share()
-        recent = model.latest_of(bucket)
-        now = np.where(kind == 0, model.ids[0], np.where(kind == 1, model.ids[1], recent)).astype(np.int64)
-        missed = np.flatnonzero(kind == 2)
-        unit = wide[missed] >> WORD
-        point = _quotient(value[missed], unit)
-        near, each = latest[missed], place[missed]
-        fits = point < near
-        low = np.minimum(np.maximum(point - near, 0) // each, 255)
-        take(missed, unit, np.where(fits, 0, near + low * each), np.where(fits, near, each))
-        now[missed] = np.where(fits, recent[missed], (bucket[missed] << 8) | low)
+        klass, start, share = model.class_at(np.where(kind == 2, point, model.both))
+        # the point of the class; its id is found by it, and its interval as when writing
+        spot = (((np.maximum(point - start, 0) + 1) << 15) - 1) // share
+        drawn = spelled.take((klass << 15) | np.minimum(spot, INSIDE - 1))
+        now = np.where(kind == 2, drawn, np.where(kind == 0, model.ids[0], model.ids[1])).astype(np.int64)
+        below = share * alphabet.low.take(drawn) >> 15
+        share = (share * alphabet.high.take(drawn) >> 15) - below
+        start = np.where(kind == 2, start + below, np.where(kind == 0, 0, model.first))
+        share = np.where(kind == 2, share, np.where(kind == 0, model.first, model.both - model.first))
+        left_over, left = value[:n] - unit * start.view(np.uint64), unit * share.view(np.uint64)
+        more = np.flatnonzero(left < top)
+        while len(more):
+            place = at[more]
+            left_over[more] = (left_over[more] << sixteen) | source.take(np.minimum(place, last))
+            at[more] = place + 1
+            left[more] <<= sixteen
+            more = more[left[more] < top]
+        value[:n], wide[:n] = left_over, left
         table[step, :n] = now
-        model.update(now, kind, model.latest_of(now >> 8) == now)
-    return np.ascontiguousarray(table.T).ravel()[:total]
+        model.update(now, kind, np.where(kind == 2, klass, alphabet.klass.take(now)))
+    return alphabet.ids[np.ascontiguousarray(table.T).ravel()[:total]]
 
 
 def _crcs(ids: np.ndarray, block: int) -> list[int]:
@@ -262,10 +331,11 @@ def _crcs(ids: np.ndarray, block: int) -> list[int]:
 
 
 def write_frame(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    words, counts = compress(ids, block)
+    alphabet, words, counts = compress(ids, block)
+    packed = alphabet.pack() if alphabet else b""
     body = b"".join([
-        MAGIC, struct.pack("<4I", len(doc_ids), len(ids), block, len(counts)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids),
-        sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.array(_crcs(ids, block), "<u4").tobytes(), words.astype("<u2").tobytes(),
+        MAGIC, struct.pack("<5I", len(doc_ids), len(ids), block, len(counts), len(packed)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids),
+        sizes.astype("<u4").tobytes(), counts.astype("<u4").tobytes(), np.array(_crcs(ids, block), "<u4").tobytes(), packed, words.astype("<u2").tobytes(),
     ])
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -276,8 +346,8 @@ def read_frames(data: bytes):
     while at < len(data):
         if data[at : at + 4] != MAGIC:
             raise ValueError("not a token-id frame")
-        docs, total, block, blocks = struct.unpack_from("<4I", data, at + 4)
-        pos = at + 20
+        docs, total, block, blocks, alphabet = struct.unpack_from("<5I", data, at + 4)
+        pos = at + 24
 
         def part(kind, n):
             nonlocal pos
@@ -286,10 +356,10 @@ def read_frames(data: bytes):
             return out
 
         names, null, sizes, counts, crcs = part("<i8", docs), part("u1", docs), part("<u4", docs), part("<u4", blocks), part("<u4", blocks)
-        words = part("<u2", int(counts.sum()))
+        packed, words = part("u1", alphabet), part("<u2", int(counts.sum()))
         if struct.unpack_from("<I", data, pos)[0] != zlib.crc32(data[at:pos]):
             raise ValueError("a frame's checksum does not match")
-        ids = expand(words, counts, total, block)
+        ids = expand(Alphabet.unpack(packed.tobytes()) if alphabet else None, words, counts, total, block)
         if _crcs(ids, block) != crcs.tolist():
             raise ValueError("a block's checksum does not match")
         yield [None if x else int(d) for d, x in zip(names, null, strict=True)], sizes.astype(np.int64), ids
@@ -426,14 +496,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, part
         names, parts, held = [], [], 0
 
         def frame():
-            ids = np.concatenate(parts)
+            ids = np.concatenate(parts).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([write_frame(names, np.array([len(p) for p in parts]), ids)], pa.binary())], ["frame"])
 
         for batch in sliced(batches):
             found, at = encoder.encode(batch.column("text").to_pylist())
             for k, name in enumerate(batch.column("id").to_pylist()):
                 names.append(name)
-                parts.append(np.append(found[at[k] : at[k + 1]].astype(np.int64), end_id))
+                parts.append(np.append(found[at[k] : at[k + 1]], np.int32(end_id)))
                 held += len(parts[-1])
                 if held >= FRAME_IDS:
                     yield frame()
@@ -445,38 +515,46 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, part
     frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", FRAMES).text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stored document: task, file, place (its order within the file), doc_id, n_tokens, ids."""
+def _stored(spark: SparkSession, path: str, made, schema: str) -> DataFrame:
+    """A row for each stored document: task, file, place (its order within the file), doc_id, n_tokens, and what ``made``
+    makes of a frame's ids and their offsets."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    order = ["task", "file", "place", "doc_id", "n_tokens"]
 
     def run(batches):
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                task, number = map(int, re.search(r"part-(\d+)-[^/]*-c(\d+)[^/]*$", name).groups())
                 place = 0
                 for names, sizes, ids in read_frames(data.as_buffer().to_pybytes()):
-                    task, number = name.rsplit("/part-", 1)[1].split("-")[0], name.rsplit("-c", 1)[1][:3]
                     n = len(names)
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, int(task), np.int32)), pa.array(np.full(n, int(number), np.int32)), pa.array(np.arange(place, place + n)), pa.array(names, pa.int64()), pa.array(sizes), lists], ["task", "file", "place", "doc_id", "n_tokens", "ids"])
+                    column, label = made(ids, np.concatenate([[0], np.cumsum(sizes)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.arange(place, place + n)), pa.array(names, pa.int64()), pa.array(sizes), column], [*order, label])
                     place += n
 
-    return files.mapInArrow(run, "task int, file int, place long, doc_id long, n_tokens long, ids array<int>")
+    return files.mapInArrow(run, "task int, file int, place long, doc_id long, n_tokens long, " + schema)
 
 
-def digests(stored: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from what ``read`` returns.
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The stored documents with their ``ids``."""
+    return _stored(spark, path, lambda ids, at: (pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int64())), "ids"), "ids array<long>")
 
-    Running sums go over documents within a file, and over the totals of files: a few rows for each task."""
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            offsets = np.asarray(lists.offsets)
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("task", "file", "place", "doc_id", "n_tokens")), pa.array(crc, pa.int64())], ["task", "file", "place", "doc_id", "n_tokens", "ids_crc32"])
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """The stored documents with ``ids_crc32``, the crc32 of their ids as little-endian unsigned 32-bit integers."""
 
-    checked = stage(stored.mapInArrow(run, "task int, file int, place long, doc_id long, n_tokens long, ids_crc32 long"))
+    def made(ids, at):
+        raw = memoryview(ids.astype("<u4").tobytes())
+        return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()), "ids_crc32"
+
+    return _stored(spark, path, made, "ids_crc32 long")
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of the documents stored under ``path``.
+
+    Running sums go over documents within a file, and over the totals of files: a few rows for each task."""
+    checked = stage(read_checksums(spark, path))
     totals = checked.groupBy("task", "file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = totals.groupBy("task").agg(F.sum("total").alias("total")).select("task", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("task_start"))

@@ -1,9 +1,11 @@
 """Token-id files: exact round trips, checksums, and the query's digests against plain encoding."""
 
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,16 +16,18 @@ from graphloom.llm import tokenfile as tf
 from graphloom.llm.common import staged_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+FOLDER = "/root/testdata/sf0.01"
 
 
 def round_trip(ids, block):
-    words, counts = tf.compress(ids, block)
-    assert np.array_equal(tf.expand(words, counts, len(ids), block), ids)
+    alphabet, words, counts = tf.compress(ids, block)
+    again = tf.Alphabet.unpack(alphabet.pack()) if alphabet else None
+    assert np.array_equal(tf.expand(again, words, counts, len(ids), block), ids)
     return len(words) * 16 / max(len(ids), 1)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=80), st.integers(1, 30))
+@given(st.lists(st.integers(0, 300) | st.integers(0, 2**32 - 1), max_size=80), st.integers(1, 30))
 def test_any_ids(ids, block):
     round_trip(np.array(ids, np.int64), block)
 
@@ -36,9 +40,36 @@ def test_long_runs():
     round_trip(rng.integers(0, 65536, 30_000), 4096)
 
 
-def test_ids_out_of_range():
+@pytest.mark.parametrize("wrong", [-1, 1 << 32])
+def test_ids_out_of_range(wrong):
     with pytest.raises(ValueError):
-        tf.compress(np.array([65536]))
+        tf.compress(np.array([5, wrong]))
+
+
+def test_large_vocabulary(monkeypatch):
+    ids = np.random.default_rng(3).permutation(200_000).astype(np.int64) * 20_011
+    round_trip(ids, 8192)
+    monkeypatch.setattr(tf, "MOST_IN_CLASS", 3)  # classes overflow, and ids move to others
+    round_trip(np.arange(190) % 150 * 7, 64)
+    with pytest.raises(ValueError):
+        tf.compress(np.arange(200))
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the generated tables")
+def test_smaller_than_zlib():
+    texts = pq.read_table(f"{FOLDER}/documents.parquet").sort_by("doc_id")["text"].to_pylist()
+    ids = tf.Encoder(PATH).encode([t or "" for t in texts])[0].astype(np.int64)
+    frame = tf.write_frame([0], np.array([len(ids)]), ids)
+    assert len(frame) < 0.85 * len(zlib.compress(ids.astype("<u2").tobytes()))
+    assert np.array_equal(next(tf.read_frames(frame))[2], ids)
+
+
+def test_many_files(spark, monkeypatch):
+    monkeypatch.setattr(tf, "FRAME_IDS", 1)
+    monkeypatch.setattr(tf, "FRAMES", 1)
+    path = staged_path(spark)
+    tf.write(spark.range(1100).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), path, PATH, partitions=1)
+    assert [r["start"] for r in tf.digests(spark, path).orderBy("doc_id").collect()] == [2 * k for k in range(1100)]
 
 
 def test_checksums():
@@ -61,7 +92,7 @@ def test_files(spark, monkeypatch):
     stored = tf.read(spark, path)
     plain = {(i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in rows}
     assert {(r["doc_id"], tuple(r["ids"])) for r in stored.collect()} == plain
-    found = sorted(tf.digests(stored).collect(), key=lambda r: r["start"])
+    found = sorted(tf.digests(spark, path).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in found] == [None, -4, 1, 1, 2, 3, 3, 5]
     start = 0
     for r in found:
@@ -73,7 +104,7 @@ def test_files(spark, monkeypatch):
 def test_empty_table(spark):
     path = staged_path(spark)
     tf.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH)
-    assert tf.digests(tf.read(spark, path)).collect() == []
+    assert tf.digests(spark, path).collect() == []
 
 
 @settings(max_examples=120, deadline=None)
