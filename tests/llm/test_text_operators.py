@@ -129,6 +129,32 @@ def test_top_k(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True), 5).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [0.5, 1e12]), (1, [0.25, 0.5]), (2, [1e12, -1.0]), (3, [1e300, 2.0]), (4, [-1e300, 1e12]), (5, [1e300, 1e12]), (6, [0.5, 1e12])]
+    found = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True), 3).collect()]
+    whole = lambda x: max(min(int(np.floor(256 * x)) if abs(x) < 1e17 else int(x) * 256, 2**63 - 1), -(2**63))
+    good = [(i, [whole(x) for x in v]) for i, v in rows]
+    want = []
+    for q, v in good:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:3]
+        want += [(q, r + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, i) in enumerate(best)]
+    assert sorted(found) == sorted(want)
+
+
+def test_top_k_stops_early_on_proof():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 60, (130, 64))
+    vectors = np.floor(centres[rng.integers(0, 130, 8000)] + rng.normal(0, 8, (8000, 64))).astype(np.int64)
+    ids = rng.permutation(8000)
+    block = topk.Block(ids, vectors)
+    for q in range(0, 8000, 400):
+        near, scores = block.search(int(ids[q]), vectors[q], 5)
+        every = vectors @ vectors[q]
+        order = [i for i in np.lexsort((ids, -every)) if i != q][:5]
+        assert near.tolist() == ids[order].tolist() and scores.tolist() == every[order].tolist()
+    assert block.read < 0.6 * block.held
+
+
 def test_chat(spark):
     hard = "\\### Assistant: </turn> ok <turn user>\n \\l \\b\\g <>"
     rows = [(1, 2, "assistant", "b"), (1, 0, "system", hard), (1, 1, "user", None), (1, 3, "user", "tail"), (2, 0, "user", "alone"), (3, 5, "assistant", hard), (3, 5, "assistant", hard), (3, None, None, "first"), (None, 0, "assistant", "x" * 200000), (4, 1, "we>ird\n<role>", "")]
