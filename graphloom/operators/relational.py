@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the helper tables below that one task may order: one row for each bucket.
-BUCKETS = 1024
+from ..staging import stage
+
+#: Rows that one task may order.
+RANGE_ROWS = 1_000_000
 
 
 def small(df: DataFrame, bound: int) -> DataFrame:
@@ -38,62 +40,67 @@ def top_k(df: DataFrame, k: int, order: list, rank: str | None = None) -> DataFr
     return first if rank is None else first.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
-def _buckets(df: DataFrame, key: str, buckets: int) -> tuple[Column, int]:
-    """An expression that cuts the range of ``key`` into at most ``buckets`` parts in order."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
-        return F.lit(0).cast("long"), 1
-    width = max(1, -(-(high - low + 1) // buckets))
-    return F.floor((F.col(key) - F.lit(low)) / F.lit(width)).cast("long"), width
+def ranged(df: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``__range``: numbers, ascending with ``keys``, of ranges of about ``rows`` rows.
+
+    Ranges are cut at sampled keys, so outliers do not matter, and their number grows with the rows.  Staged, so that every use
+    sees the same ranges.  Rows of equal keys share a range."""
+    ranges = -(-df.count() // rows)
+    if ranges <= 1:
+        return df.withColumn("__range", F.lit(0))
+    return stage(df.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()))
+
+
+def _before(sizes: DataFrame, value) -> DataFrame:
+    """(__range, __before): the sum of ``value`` over smaller ranges; one row for each range."""
+    smaller = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.groupBy("__range").agg(value.alias("__n")).select("__range", F.coalesce(F.sum("__n").over(smaller), F.lit(0)).alias("__before"))
 
 
-def dense_index(df: DataFrame, key: str, name: str = "index", buckets: int = BUCKETS) -> DataFrame:
-    """Place (from 0) of each row by a unique, whole-number ``key``, without ordering all rows in one task: places within
-    ranges of the key, plus the sizes of the ranges before."""
-    bucket, _ = _buckets(df, key, buckets)
-    cut = df.withColumn("__bucket", bucket)
-    sizes = cut.groupBy("__bucket").count()
-    before = sizes.select("__bucket", F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy(key)) - 1
-    return cut.withColumn("__inside", inside).join(F.broadcast(before), "__bucket").withColumn(name, F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
+def dense_index(df: DataFrame, key: str | list[str], name: str = "index", rows: int = RANGE_ROWS) -> DataFrame:
+    """Place (from 0) of each row by a unique ``key``, without ordering all rows in one task: places within ranges of the key,
+    plus the sizes of the ranges before."""
+    keys = [key] if isinstance(key, str) else key
+    cut = ranged(df, keys, rows)
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
+    return cut.withColumn("__inside", inside).join(F.broadcast(_before(cut, F.count("*"))), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
-def running_total(df: DataFrame, key: str, value: str, name: str, buckets: int = BUCKETS) -> DataFrame:
-    """Sum of ``value`` over all rows with a smaller ``key`` (unique whole numbers), by the same two levels."""
-    bucket, _ = _buckets(df, key, buckets)
-    cut = df.withColumn("__bucket", bucket)
-    sums = cut.groupBy("__bucket").agg(F.sum(value).alias("__sum"))
-    before = sums.select("__bucket", F.coalesce(F.sum("__sum").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("__inside", inside).join(F.broadcast(before), "__bucket").withColumn(name, F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
+def running_total(df: DataFrame, key: str, value: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """Sum of ``value`` over all rows with a smaller ``key`` (unique), by the same two levels."""
+    cut = ranged(df, [key], rows)
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cut.withColumn("__inside", inside).join(F.broadcast(_before(cut, F.sum(value))), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
-def align(keys: DataFrame, key: str, bounds: DataFrame, bound: str, low: int, high: int, buckets: int = BUCKETS) -> DataFrame:
+def align(keys: DataFrame, key: str, bounds: DataFrame, bound: str, low: int, high: int, rows: int = RANGE_ROWS) -> DataFrame:
     """As-of alignment: for each row of ``keys`` the greatest bound <= key (``floor_bound``) and the least bound > key
     (``next_bound``), the bounds being extended by ``low`` and ``high``.
 
-    Keys and bounds meet in ranges of the key; what lies before and after a range is carried in from a table with one row
-    for each range.  A null key aligns with nothing."""
-    expression, width = _buckets(keys.select(F.col(key).alias("__k")).union(bounds.select(F.col(bound).alias("__k"))), "__k", buckets)
-    named = keys.withColumn("__k", F.col(key).cast("long")).withColumn("__is_key", F.lit(1))
-    marks = bounds.select(F.col(bound).cast("long").alias("__k")).where("__k is not null").distinct().withColumn("__is_key", F.lit(0))
-    both = named.unionByName(marks, allowMissingColumns=True).withColumn("__b", expression)
-    mark = F.when(F.col("__is_key") == 0, F.col("__k"))
-    # at equal values the bound comes first, so that it is at or before the key and not after it
-    inside = Window.partitionBy("__b").orderBy("__k", "__is_key")
-    near = both.withColumn("__floor", F.last(mark, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.first(mark, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
-    by_bucket = both.groupBy("__b").agg(F.max(mark).alias("__max"), F.min(mark).alias("__min"))
-    carried = by_bucket.select(F.col("__b").alias("__c"), F.max("__max").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__min").over(Window.orderBy("__b").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
-    joined = near.where("__is_key = 1").join(F.broadcast(carried), F.col("__b").eqNullSafe(F.col("__c")), "left")
-    known = F.col("__k").isNotNull()
-    return joined.select(*keys.columns, F.when(known, F.coalesce("__floor", "__before", F.lit(low))).alias("floor_bound"), F.when(known, F.coalesce("__next", "__after", F.lit(high))).alias("next_bound"))
-
-
-def adjacent_pairs(df: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    Distinct keys and bounds meet in ranges of the key; what lies before and after a range is carried in from a table with one
+    row for each range; rows then look their key up.  A null key aligns with nothing."""
+    marks = bounds.select(F.col(bound).cast("long").alias("__k"), F.lit(True).alias("__is_bound"))
+    points = keys.select(F.col(key).cast("long").alias("__k"), F.lit(False).alias("__is_bound")).union(marks).where("__k is not null")
+    # one row for each value: whether it is a bound, and a key
+    values = points.groupBy("__k").agg(F.max("__is_bound").alias("__is_bound"), F.min("__is_bound").alias("__no_key"))
+    cut = ranged(values, ["__k"], rows)
+    mark = F.when(F.col("__is_bound"), F.col("__k"))
+    inside = Window.partitionBy("__range").orderBy("__k")
+    near = cut.withColumn("__floor", F.last(mark, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.first(mark, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    by_range = cut.groupBy("__range").agg(F.max(mark).alias("__max"), F.min(mark).alias("__min"))
+    carried = by_range.select("__range", F.max("__max").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__min").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    placed = near.where("not __no_key").join(F.broadcast(carried), "__range").select("__k", F.coalesce("__floor", "__before", F.lit(low)).alias("floor_bound"), F.coalesce("__next", "__after", F.lit(high)).alias("next_bound"))
+    return keys.join(placed, F.col(key).cast("long") == F.col("__k"), "left").select(*keys.columns, "floor_bound", "next_bound")
+
+
+def adjacent_pairs(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Each distinct ``key`` with the next greater one (null for the last), ranges at a time."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    top = (1 << 63) - 1
-    return align(keys, key, keys, key, -top, top, buckets).select(key, F.when(F.col("next_bound") < top, F.col("next_bound")).alias("next"))
+    cut = ranged(keys, [key], rows)
+    starts = cut.groupBy("__range").agg(F.min(key).alias("__first"))
+    after = starts.select("__range", F.min("__first").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    inside = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
+    return cut.withColumn("__next", inside).join(F.broadcast(after), "__range").select(key, F.coalesce("__next", "__after").alias("next"))
 
 
 def member_flag(df: DataFrame, key: str, members: DataFrame, member: str, name: str = "in_set") -> DataFrame:

@@ -71,16 +71,18 @@ def partition(whole: DataFrame, selected: DataFrame, rest: DataFrame) -> DataFra
     return counted.where("__w <> __s + __r or (__s > 0 and __r > 0)").select(*columns, (F.col("__s") + F.col("__r") - F.col("__w")).alias("parts"))
 
 
-def slices(index: DataFrame, edges: DataFrame) -> DataFrame:
-    """Sources of an adjacency index whose slice has not the size of their targets, whose targets are not strictly
-    ascending or not those of the edges, or whose slice does not begin where the previous one ends."""
-    ascending = F.forall(F.sequence(F.lit(1), F.size("targets") - 1), lambda i: F.get("targets", i - 1) < F.get("targets", i))
-    sized = index.where((F.col("end") - F.col("begin") != F.size("targets")) | ((F.size("targets") > 1) & ~ascending)).select("src")
-    listed = index.select("src", F.explode("targets").alias("dst"))
-    unlike = same_set(listed, edges.select("src", "dst")).select("src")
-    ends = index.select(F.col("end").alias("begin")).union(index.sparkSession.range(1).select(F.lit(0).cast("long").alias("begin")))
-    loose = index.join(ends, "begin", "left_anti").select("src")
-    return sized.union(unlike).union(loose).distinct()
+def slices(index: DataFrame, slots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Sources of an adjacency index (``slots``: src, begin, end; ``index``: src, dst, position) whose slice has not the size
+    of their targets, whose targets are not strictly ascending by position or not those of the edges, or whose slice does not
+    begin where another one (or the list) ends."""
+    degree = index.groupBy("src").agg(F.count("*").alias("__n"), F.min("position").alias("__low"), F.max("position").alias("__high"))
+    sized = slots.join(degree, "src", "full").where("__n is null or begin is null or `end` - begin <> __n or begin <> __low or `end` <> __high + 1").select("src")
+    before = index.select("src", (F.col("position") + 1).alias("position"), F.col("dst").alias("__before"))
+    unordered = index.join(before, ["src", "position"]).where("__before >= dst").select("src")
+    unlike = same_set(index.select("src", "dst"), edges.select("src", "dst")).select("src")
+    ends = slots.select(F.col("end").alias("begin")).union(slots.sparkSession.range(1).select(F.lit(0).cast("long").alias("begin")))
+    loose = slots.join(ends, "begin", "left_anti").select("src")
+    return sized.union(unordered).union(unlike).union(loose).distinct()
 
 
 def tags(result: DataFrame, tables: dict[int, DataFrame], key: str = "id", tag: str = "type") -> DataFrame:
@@ -135,3 +137,38 @@ def alignment(aligned: DataFrame, key: str, bounds: DataFrame, bound: str, low:
     placed = aligned.join(place.select(F.col("b").alias("floor_bound"), F.col("index").alias("i")), "floor_bound").join(place.select(F.col("b").alias("next_bound"), F.col("index").alias("j")), "next_bound")
     gaps = placed.where("j <> i + 1").select(key)
     return reduce(lambda a, b: a.union(b), [outside, *strangers, gaps]).distinct()
+
+
+def path_length(result: DataFrame, found: DataFrame, target: int) -> DataFrame:
+    """The row of a path-length result that is not the target's distance in a checked table of distances (id, distance), -1
+    standing for a target without one."""
+    truth = found.where(F.col("id") == target).agg(F.coalesce(F.min("distance"), F.lit(-1)).alias("__truth"))
+    return result.join(F.broadcast(truth), F.col("distance") != F.col("__truth")).select("distance")
+
+
+def found_flags(lookups: DataFrame, tables: dict[int, DataFrame], wanted: int, key: str = "id") -> DataFrame:
+    """Tags of look-ups (type, found) whose flag is not what the table of that tag says of the ``wanted`` key."""
+    has = reduce(lambda a, b: a.union(b), [t.where(F.col(key) == wanted).select(F.lit(n).alias("type")) for n, t in tables.items()]).distinct().withColumn("__has", F.lit(True))
+    return lookups.join(has, "type", "left").where(F.col("found") != F.coalesce("__has", F.lit(False))).select("type").distinct()
+
+
+def picked(result: DataFrame, lookups: DataFrame, key: str = "id") -> DataFrame:
+    """Result rows whose key no successful look-up (found, person_id) picked, and picks that are not in the result."""
+    picks = lookups.where("found").select(F.col("person_id").alias(key)).distinct()
+    return same_set(result.select(key).distinct(), picks).select(key)
+
+
+def level_rows(found: DataFrame, persons: DataFrame) -> DataFrame:
+    """(hop, id) that are in a level set but not flagged with that distance in the table of all persons (id, distance), or the
+    other way round."""
+    flagged = persons.where("distance > 0").select(F.col("distance").alias("hop"), "id")
+    return same_set(found.select("hop", "id"), flagged).select("hop", "id")
+
+
+def visited(found: DataFrame, seen: DataFrame, source: int) -> DataFrame:
+    """(hop, id) of the tables of visited nodes (hop, id) that are not the union of the source and the levels up to the hop."""
+    deepest = seen.agg(F.max("hop")).first()[0] or 0
+    start = seen.sparkSession.range(1).select(F.lit(0).alias("level"), F.lit(source).cast("long").alias("id"))
+    reached = found.select(F.col("hop").alias("level"), "id").union(start).where(F.col("level") <= deepest)
+    union = reached.select(F.explode(F.sequence("level", F.lit(deepest))).alias("hop"), "id").distinct()
+    return same_set(seen.select("hop", "id"), union).select("hop", "id")

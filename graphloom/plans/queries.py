@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from ..operators import relational as rel
 from ..operators import traverse as walk
 from ..sources.graph import Graph
-from ..staging import stage
+from ..staging import stage, stage_bucketed
 
 
 def profile(g: Graph, person: int) -> DataFrame:
     """IS1: a person's attributes and city."""
-    city = g.located.where(F.col("person_id") == person).select(F.col("place_id").alias("city_id"))
+    city = g.located.where(F.col("person_id") == person).select(F.col("person_id").alias("id"), F.col("place_id").alias("city_id"))
     found = g.person.where(F.col("id") == person)
-    return found.join(city, F.lit(True)).select("first_name", "last_name", "birthday", "location_ip", "browser_used", "city_id", "gender", "creation_date")
+    return found.join(city, "id").select("first_name", "last_name", "birthday", "location_ip", "browser_used", "city_id", "gender", "creation_date")
 
 
 def profile_by_adjacency(g: Graph, person: int) -> DataFrame:
     """IS1 through an adjacency index of the location edges."""
-    index = walk.adjacency(g.located.select(F.col("person_id").alias("src"), F.col("place_id").alias("dst")))
-    city = walk.neighbours(index, person).select(F.col("dst").alias("city_id"), "position")
+    index = g.kept("places", lambda: stage_bucketed(walk.positions(g.located.select(F.col("person_id").alias("src"), F.col("place_id").alias("dst"))), "src"))
+    city = walk.neighbours(index, person).select(F.col("src").alias("id"), F.col("dst").alias("city_id"), "position")
     found = g.person.where(F.col("id") == person)
-    return found.join(city, F.lit(True)).select("first_name", "last_name", "birthday", "location_ip", "browser_used", "city_id", "position", "gender", "creation_date")
+    return found.join(city, "id").select("first_name", "last_name", "birthday", "location_ip", "browser_used", "city_id", "position", "gender", "creation_date")
 
 
 def _named(g: Graph, ids: DataFrame) -> DataFrame:
@@ -67,8 +67,24 @@ def shown_content():
 
 
 def message(g: Graph, message_id: int) -> DataFrame:
-    """IS4: date and content (or image file) of a message."""
-    return messages(g).where(F.col("id") == message_id).select("creation_date", shown_content().alias("content"))
+    """IS4: date and content (or image file) of a message, and the table (type) it is in."""
+    return messages(g).where(F.col("id") == message_id).select("creation_date", shown_content().alias("content"), "type")
+
+
+def _looked_up(g: Graph, found: DataFrame) -> DataFrame:
+    """A row for each of the two tables, found there or not; ``found`` (type, ...) has at most a few rows."""
+    both = g.spark.range(2).select(F.col("id").cast("int").alias("type"))
+    return both.join(F.broadcast(found.withColumn("found", F.lit(True))), "type", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def message_lookup(g: Graph, message_id: int) -> DataFrame:
+    """IS4 by table: type, found, creation_date, content; nulls where a table does not have the message."""
+    return _looked_up(g, message(g, message_id)).select("type", "found", "creation_date", "content")
+
+
+def creator_lookup(g: Graph, message_id: int) -> DataFrame:
+    """IS5 by table: type, found, person_id; a null person where a table does not have the message."""
+    return _looked_up(g, creators(g).where(F.col("message_id") == message_id).select("type", "person_id")).select("type", "found", "person_id")
 
 
 def creator(g: Graph, message_id: int) -> DataFrame:
@@ -78,8 +94,18 @@ def creator(g: Graph, message_id: int) -> DataFrame:
 
 
 def edges_of(g: Graph, undirected: bool) -> DataFrame:
-    edges = walk.symmetric(g.knows) if undirected else walk.directed(g.knows)
-    return walk.inside(edges, g.person)
+    """The edge index of the graph, among known persons; built once."""
+    return g.kept("both ways" if undirected else "one way", lambda: walk.edge_index(walk.inside(walk.symmetric(g.knows) if undirected else walk.directed(g.knows), g.person)))
+
+
+def doubled_edges(g: Graph) -> DataFrame:
+    """The index of a list of friendships that was doubled beforehand and is then read as directed."""
+
+    def build() -> DataFrame:
+        doubled = stage(walk.symmetric(g.knows).select(F.col("src").alias("p1"), F.col("dst").alias("p2")))
+        return walk.edge_index(walk.inside(walk.directed(doubled), g.person))
+
+    return g.kept("doubled", build)
 
 
 def one(g: Graph, person: int) -> DataFrame:
@@ -89,7 +115,15 @@ def one(g: Graph, person: int) -> DataFrame:
 
 def distances(g: Graph, person: int, hops: int | None, undirected: bool = True) -> DataFrame:
     """Every person with distance and predecessor, both null where the search did not get."""
-    found = walk.bfs(edges_of(g, undirected), one(g, person), hops)
+    return everyone(g, walk.bfs(edges_of(g, undirected), one(g, person), hops))
+
+
+def distances_symmetrised(g: Graph, person: int, hops: int | None) -> DataFrame:
+    """The same by a directed search over the doubled list."""
+    return everyone(g, walk.bfs(doubled_edges(g), one(g, person), hops))
+
+
+def everyone(g: Graph, found: DataFrame) -> DataFrame:
     return g.person.select("id").join(found, "id", "left").select("id", "distance", "predecessor")
 
 
@@ -99,14 +133,19 @@ def hop_levels(g: Graph, person: int, hops: int) -> DataFrame:
 
 def path_length(g: Graph, a: int, b: int) -> DataFrame:
     """IC13: least number of friendships between two persons, -1 if there is no path."""
-    return walk.shortest_path_length(edges_of(g, True), a, b)
+    return walk.shortest_path_length(edges_of(g, True), g.person, a, b, undirected=True)
+
+
+def named_candidates(g: Graph, person: int, first_name: str, undirected: bool = True, hops: int = 3) -> DataFrame:
+    """People of a first name within some hops, with their distance."""
+    near = walk.bfs(edges_of(g, undirected), one(g, person), hops).where("distance > 0").select("id", "distance")
+    return near.join(g.person.where(F.col("first_name") == first_name), "id")
 
 
 def friends_by_name(g: Graph, person: int, first_name: str, undirected: bool = True, hops: int = 3, limit: int = 20) -> DataFrame:
     """IC1: people of a first name within some hops, by distance, last name, id; with city, emails, languages, and the
     universities and companies as sorted text lists."""
-    near = walk.bfs(edges_of(g, undirected), one(g, person), hops).where("distance > 0").select("id", "distance")
-    named = near.join(g.person.where(F.col("first_name") == first_name), "id")
+    named = named_candidates(g, person, first_name, undirected, hops)
     first = stage(rel.top_k(named, limit, ["distance", "last_name", "id"], "rank"))  # at most ``limit`` rows from here on
     ids = F.broadcast(first.select(F.col("id").alias("person_id")))
 
@@ -136,7 +175,7 @@ def message_candidates(g: Graph, people: DataFrame, before, strict: bool) -> Dat
 
 
 def _recent(g: Graph, people: DataFrame, before, strict: bool, limit: int) -> DataFrame:
-    first = rel.top_k(message_candidates(g, people, before, strict), limit, [F.desc("creation_date"), "id"], "rank")
+    first = rel.top_k(message_candidates(g, people, before, strict), limit, [F.desc("creation_date"), "id", "type"], "rank")
     who = g.person.select(F.col("id").alias("person_id"), "first_name", "last_name")
     return first.join(who, "person_id").select("rank", "person_id", "first_name", "last_name", F.col("id").alias("message_id"), "creation_date", shown_content().alias("content"), "type")
 
@@ -152,8 +191,11 @@ def recent_messages(g: Graph, person: int, latest, limit: int = 20) -> DataFrame
 
 def recent_messages_two_hops(g: Graph, person: int, before, limit: int = 20) -> DataFrame:
     """IC9: newest messages of friends and their friends, before a time; the person's own do not count."""
-    near = walk.bfs(edges_of(g, True), one(g, person), 2).where("distance > 0")
-    return _recent(g, near.select(F.col("id").alias("person_id")), before, True, limit)
+    return _recent(g, two_hops(g, person), before, True, limit)
+
+
+def two_hops(g: Graph, person: int) -> DataFrame:
+    return walk.bfs(edges_of(g, True), one(g, person), 2).where("distance > 0").select(F.col("id").alias("person_id"))
 
 
 def set_expand(g: Graph, ids: DataFrame) -> DataFrame:

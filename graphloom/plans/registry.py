@@ -18,7 +18,7 @@ from . import queries as q
 
 PERSON, OTHER, ALONE = 7, 0, 100
 NAME = "BUILDING"
-POST, COMMENT = 1234, 1000000042
+POST, COMMENT, MISSING = 1234, 1000000042, 999999999
 UNTIL = "2024-01-15 00:00:00"
 LOW, HIGH = 0, 100_000_000_000_000
 
@@ -26,8 +26,19 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 
+_graphs: dict[tuple[str, str], Graph] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a folder; one for each session and folder, so that its indexes are built once."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _graphs:
+        _graphs[key] = from_star(spark, sf_dir)
+    return _graphs[key]
+
+
 def add(name: str, sql: str, run: Callable[[Graph], DataFrame]) -> None:
-    _queries[name] = lambda spark, sf_dir: run(from_star(spark, sf_dir))
+    _queries[name] = lambda spark, sf_dir: run(graph(spark, sf_dir))
     _sql[name] = with_views(sql)
 
 
@@ -55,9 +66,13 @@ add(
 )
 _MESSAGES = ", message AS (SELECT id, creation_date, content, image_file, 0 AS type FROM comment UNION ALL SELECT id, creation_date, content, image_file, 1 FROM post), creator AS (SELECT message_id, person_id, 0 AS type FROM comment_creator UNION ALL SELECT message_id, person_id, 1 FROM post_creator)"
 for _name, _id in (("is4_message", POST), ("is4_comment", COMMENT)):
-    add(_name, f"{_MESSAGES} SELECT creation_date, coalesce(nullif(content, ''), image_file) AS content FROM message WHERE id = {_id}", lambda g, i=_id: q.message(g, i))
+    add(_name, f"{_MESSAGES} SELECT creation_date, coalesce(nullif(content, ''), image_file) AS content, type FROM message WHERE id = {_id}", lambda g, i=_id: q.message(g, i))
 for _name, _id in (("is5_creator", POST), ("is5_comment_creator", COMMENT)):
     add(_name, f"{_MESSAGES} SELECT p.id, p.first_name, p.last_name FROM creator c JOIN person p ON p.id = c.person_id WHERE message_id = {_id}", lambda g, i=_id: q.creator(g, i))
+_LOOKUP = f"{_MESSAGES}, tables AS (SELECT unnest([0, 1]) AS type)"
+for _name, _id in (("is4_lookup", POST), ("is4_lookup_missing", MISSING)):
+    add(_name, f"{_LOOKUP} SELECT t.type, m.id IS NOT NULL AS found, m.creation_date, coalesce(nullif(content, ''), image_file) AS content FROM tables t LEFT JOIN message m ON m.type = t.type AND m.id = {_id}", lambda g, i=_id: q.message_lookup(g, i))
+add("is5_lookup", f"{_LOOKUP} SELECT t.type, c.message_id IS NOT NULL AS found, c.person_id FROM tables t LEFT JOIN creator c ON c.type = t.type AND c.message_id = {COMMENT}", lambda g: q.creator_lookup(g, COMMENT))
 
 # ---- traversal
 
@@ -78,7 +93,7 @@ def _everyone(hops: int, edges: str) -> str:
 
 add("sssp_undirected_3", _everyone(3, _BOTH), lambda g: q.distances(g, PERSON, 3))
 add("sssp_directed_4", _everyone(4, _ONE_WAY), lambda g: q.distances(g, PERSON, 4, undirected=False))
-add("sssp_symmetrised_3", _everyone(3, _BOTH), lambda g: q.distances(g, PERSON, 3))
+add("sssp_symmetrised_3", _everyone(3, _BOTH), lambda g: q.distances_symmetrised(g, PERSON, 3))
 add("sssp_unbounded", _everyone(32, _BOTH), lambda g: q.distances(g, PERSON, None))
 for _k in range(2, 7):
     add(f"bfs_hop{_k}", _bfs(OTHER, _k, _ONE_WAY) + " SELECT distance AS hop, id FROM bfs WHERE distance > 0", lambda g, k=_k: q.hop_levels(g, OTHER, k))
@@ -92,8 +107,10 @@ add("ic13_shortest_path", _path(OTHER), lambda g: q.path_length(g, PERSON, OTHER
 add("ic13_unreachable", _path(ALONE), lambda g: q.path_length(g, PERSON, ALONE))
 add("adjacency_index", f", ed AS ({_BOTH}), lists AS (SELECT src, list_sort(list(DISTINCT dst)) AS t FROM ed GROUP BY src), sums AS (SELECT src, t, sum(len(t)) OVER (ORDER BY src) AS e FROM lists) SELECT src, array_to_string(t, ',') AS targets, (e - len(t))::BIGINT AS slice_begin, e::BIGINT AS slice_end FROM sums",
     lambda g: walk.adjacency(walk.symmetric(g.knows)).select("src", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"), F.col("begin").alias("slice_begin"), F.col("end").alias("slice_end")))
+add("adjacency_positions", f", ed AS ({_BOTH}) SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS position FROM (SELECT DISTINCT src, dst FROM ed) e",
+    lambda g: walk.positions(walk.symmetric(g.knows)).withColumn("position", F.col("position").cast("long")))
 add("adjacency_counts", f", ed AS (SELECT DISTINCT src, dst FROM ({_BOTH}) e) SELECT count(DISTINCT src) AS nodes, count(*) AS edges FROM ed",
-    lambda g: walk.adjacency(walk.symmetric(g.knows)).agg(F.count("*").alias("nodes"), F.coalesce(F.sum(F.size("targets")), F.lit(0)).cast("long").alias("edges")))
+    lambda g: walk.symmetric(g.knows).distinct().groupBy("src").count().agg(F.count("*").alias("nodes"), F.coalesce(F.sum("count"), F.lit(0)).alias("edges")))
 
 # ---- complex reads
 
@@ -117,7 +134,7 @@ add("ic1_directed", _by_name(_ONE_WAY), lambda g: q.friends_by_name(g, PERSON, N
 
 
 def _newest(people: str, compare: str) -> str:
-    return f"""{_MESSAGES}, people AS ({people}), first AS (SELECT m.*, c.person_id, row_number() OVER (ORDER BY m.creation_date DESC, m.id) AS rank
+    return f"""{_MESSAGES}, people AS ({people}), first AS (SELECT m.*, c.person_id, row_number() OVER (ORDER BY m.creation_date DESC, m.id, m.type) AS rank
             FROM message m JOIN creator c ON c.message_id = m.id AND c.type = m.type JOIN people ON people.person_id = c.person_id WHERE m.creation_date {compare} TIMESTAMP '{UNTIL}' QUALIFY rank <= 20)
         SELECT rank::INTEGER AS rank, f.person_id, p.first_name, p.last_name, f.id AS message_id, f.creation_date, coalesce(nullif(f.content, ''), f.image_file) AS content, f.type
         FROM first f JOIN person p ON p.id = f.person_id"""
@@ -185,12 +202,12 @@ def _both(clean: DataFrame, tampered: DataFrame) -> DataFrame:
     return clean.withColumn("tampered", F.lit(False)).unionByName(tampered.withColumn("tampered", F.lit(True)))
 
 
-_ORDER = [("creation_date", True), ("id", False)]
+_ORDER = [("creation_date", True), ("id", False), ("type", False)]
 
 
 def _top(g: Graph) -> tuple[DataFrame, DataFrame]:
     found = stage(q.message_candidates(g, q.direct_friends(g, PERSON), until(), False).select("id", "type", "creation_date"))
-    return found, stage(rel.top_k(found, 20, [F.desc("creation_date"), "id"], "rank"))
+    return found, stage(rel.top_k(found, 20, [F.desc("creation_date"), "id", "type"], "rank"))
 
 
 def _verify_topk(g: Graph) -> DataFrame:
@@ -199,7 +216,7 @@ def _verify_topk(g: Graph) -> DataFrame:
     return _both(check(top), check(top.where("rank <> 3")))
 
 
-_TOP = f"{_MESSAGES}, people AS ({_DIRECT}), cand AS (SELECT m.id, m.type, m.creation_date FROM message m JOIN creator c ON c.message_id = m.id AND c.type = m.type JOIN people ON people.person_id = c.person_id WHERE m.creation_date <= TIMESTAMP '{UNTIL}'), ranked AS (SELECT *, row_number() OVER (ORDER BY creation_date DESC, id) AS rank FROM cand)"
+_TOP = f"{_MESSAGES}, people AS ({_DIRECT}), cand AS (SELECT m.id, m.type, m.creation_date FROM message m JOIN creator c ON c.message_id = m.id AND c.type = m.type JOIN people ON people.person_id = c.person_id WHERE m.creation_date <= TIMESTAMP '{UNTIL}'), ranked AS (SELECT *, row_number() OVER (ORDER BY creation_date DESC, id, type) AS rank FROM cand)"
 add("verify_topk", f"{_TOP} SELECT id, type, true AS tampered FROM ranked WHERE (SELECT count(*) FROM cand) > 0 AND (rank = 3 OR rank > 20)", _verify_topk)
 
 
@@ -250,12 +267,19 @@ add("verify_partition", ", c AS (SELECT p1, p2, (p1 < p2 - 40)::INTEGER AS s, (p
 
 def _verify_slices(g: Graph) -> DataFrame:
     edges = stage(walk.symmetric(g.knows))
-    index = stage(walk.adjacency(edges))
-    moved = index.withColumn("end", F.when(F.col("src") % 10 == 3, F.col("end") + 1).otherwise(F.col("end")))
-    return _both(verify.slices(index, edges), verify.slices(moved.where("src % 10 = 3"), edges.where("src % 10 = 3")).where("src % 10 = 3"))
+    index = stage(walk.positions(edges))
+    slots = stage(walk.slices(index))
+    moved = slots.withColumn("end", F.when(F.col("src") % 10 == 3, F.col("end") + 1).otherwise(F.col("end")))
+    return _both(verify.slices(index, slots, edges), verify.slices(index, moved, edges))
 
 
-add("verify_slices", f", ed AS ({_BOTH}) SELECT DISTINCT src, true AS tampered FROM ed WHERE src % 10 = 3", _verify_slices)
+# a moved end is wrong itself, and leaves the slice that follows it without one to begin at (unless one of length 1 is moved there)
+add(
+    "verify_slices",
+    f""", ed AS (SELECT DISTINCT src, dst FROM ({_BOTH}) e), deg AS (SELECT src, count(*) AS n FROM ed GROUP BY src), s AS (SELECT src, sum(n) OVER (ORDER BY src) - n AS b, sum(n) OVER (ORDER BY src) + (src % 10 = 3)::INTEGER AS e FROM deg)
+        SELECT src, true AS tampered FROM s WHERE src % 10 = 3 OR (b > 0 AND b NOT IN (SELECT e FROM s))""",
+    _verify_slices,
+)
 
 
 def _verify_tags(g: Graph) -> DataFrame:
@@ -268,7 +292,7 @@ add("verify_tags", f"{_TOP} SELECT id, 1 - type AS type, true AS tampered FROM r
 
 
 def _verify_bfs(g: Graph) -> DataFrame:
-    edges = stage(q.edges_of(g, True))
+    edges = q.edges_of(g, True)
     found = stage(walk.bfs(edges, q.one(g, PERSON), 3))
     far = found.withColumn("distance", F.when(F.col("distance") == 3, 5).otherwise(F.col("distance")))
     return _both(verify.distances(found, edges, PERSON, 3), verify.distances(far, edges, PERSON, 3))
@@ -278,7 +302,7 @@ add("verify_bfs", _bfs(PERSON, 3, _BOTH) + " SELECT unnest(['predecessor', 'shor
 
 
 def _verify_levels(g: Graph) -> DataFrame:
-    edges = stage(q.edges_of(g, False))
+    edges = q.edges_of(g, False)
     found = stage(walk.hop_levels(edges, q.one(g, OTHER), 4))
     return _both(verify.levels(found, edges, OTHER), verify.levels(found.union(found.where("hop = 2").select(F.lit(4), "id")), edges, OTHER))
 
@@ -301,6 +325,86 @@ def _verify_alignment(g: Graph) -> DataFrame:
 add("verify_alignment", _ALIGN + f" SELECT id, true AS tampered FROM aligned WHERE id % 7 = 0 AND floor_bound <> {LOW}", _verify_alignment)
 
 
+def _verify_path(g: Graph) -> DataFrame:
+    far = stage(walk.bfs(q.edges_of(g, True), q.one(g, PERSON)))
+    length = stage(q.path_length(g, PERSON, OTHER).union(q.path_length(g, PERSON, PERSON)))
+    return _both(verify.path_length(length.where("distance > 0"), far, OTHER), verify.path_length(length.where("distance > 0").select((F.col("distance") + 1).alias("distance")), far, OTHER).union(verify.path_length(length.where("distance = 0"), far, ALONE)))
+
+
+add("verify_path", _bfs(PERSON, 32, _BOTH) + f" SELECT distance + 1 AS distance, true AS tampered FROM bfs WHERE id = {OTHER} UNION ALL SELECT 0, true FROM (SELECT coalesce(min(distance), -1) AS d FROM bfs WHERE id = {ALONE}) WHERE d <> 0", _verify_path)
+
+
+def _verify_found(g: Graph) -> DataFrame:
+    tables = {0: g.comment, 1: g.post}
+    found = q.message_lookup(g, POST)
+    by = {0: g.comment_creator, 1: g.post_creator}
+    wrote = q.creator_lookup(g, COMMENT)
+    both = lambda flip: verify.found_flags(flip(found), tables, POST).withColumn("query", F.lit("is4")).union(verify.found_flags(flip(wrote), by, COMMENT, "message_id").withColumn("query", F.lit("is5")))
+    return _both(both(lambda df: df), both(lambda df: df.withColumn("found", ~F.col("found"))))
+
+
+add("verify_found", " SELECT unnest([0, 1, 0, 1]) AS type, unnest(['is4', 'is4', 'is5', 'is5']) AS query, true AS tampered", _verify_found)
+
+
+def _verify_creator(g: Graph) -> DataFrame:
+    result, picks = stage(q.creator(g, COMMENT)), stage(q.creator_lookup(g, COMMENT))
+    return _both(verify.picked(result, picks), verify.picked(result.withColumn("id", F.col("id") + 1), picks))
+
+
+add("verify_creator", f" SELECT unnest([person_id, person_id + 1]) AS id, true AS tampered FROM comment_creator WHERE message_id = {COMMENT}", _verify_creator)
+
+_NAME_ORDER = [("distance", False), ("last_name", False), ("id", False)]
+
+
+def _verify_topk_names(g: Graph) -> DataFrame:
+    candidates = stage(q.named_candidates(g, PERSON, NAME).select("id", "distance", "last_name"))
+    top = stage(rel.top_k(candidates, 20, [c for c, _ in _NAME_ORDER], "rank"))
+    check = lambda t: verify.top_boundary(candidates, t, 20, ["id"], _NAME_ORDER)
+    order = lambda t: verify.ordered(t, "rank", _NAME_ORDER, strict=True).select(F.col("rank").cast("long").alias("id"))
+    both = lambda t: check(t).withColumn("check", F.lit("boundary")).union(order(t).withColumn("check", F.lit("order")))
+    swapped = top.where("rank <> 3").withColumn("rank", F.when(F.col("rank") == 1, 2).when(F.col("rank") == 2, 1).otherwise(F.col("rank")))
+    return _both(both(top), both(swapped))
+
+
+_NAMED = _bfs(PERSON, 3, _BOTH) + f", cand AS (SELECT p.id, b.distance, row_number() OVER (ORDER BY b.distance, p.last_name, p.id) AS rank FROM bfs b JOIN person p ON p.id = b.id WHERE b.distance > 0 AND p.first_name = '{NAME}')"
+add("verify_topk_names", _NAMED + " SELECT id, 'boundary' AS \"check\", true AS tampered FROM cand WHERE rank = 3 OR rank > 20 UNION ALL SELECT 1, 'order', true FROM cand WHERE rank = 2", _verify_topk_names)
+
+
+def _verify_topk_two_hops(g: Graph) -> DataFrame:
+    candidates = stage(q.message_candidates(g, q.two_hops(g, PERSON), until(), True).select("id", "type", "creation_date"))
+    top = stage(rel.top_k(candidates, 20, [F.desc("creation_date"), "id", "type"], "rank"))
+    check = lambda t: verify.top_boundary(candidates, t, 20, ["id", "type"], _ORDER)
+    return _both(check(top), check(top.where("rank <> 5")))
+
+
+add("verify_topk_two_hops", _bfs(PERSON, 2, _BOTH) + f"{_MESSAGES}, cand AS (SELECT m.id, m.type, row_number() OVER (ORDER BY m.creation_date DESC, m.id, m.type) AS rank FROM message m JOIN creator c ON c.message_id = m.id AND c.type = m.type JOIN bfs ON bfs.id = c.person_id WHERE distance > 0 AND m.creation_date < TIMESTAMP '{UNTIL}') SELECT id, type, true AS tampered FROM cand WHERE rank = 5 OR rank > 20", _verify_topk_two_hops)
+
+
+def _verify_level_rows(g: Graph) -> DataFrame:
+    levels = stage(q.hop_levels(g, OTHER, 4))
+    persons = stage(q.distances(g, OTHER, 4, undirected=False))
+    seen = stage(g.spark.range(5).select(F.col("id").cast("int").alias("hop")).join(persons.where("distance is not null").select("id", "distance"), F.col("distance") <= F.col("hop")).select("hop", "id"))
+    both = lambda p, s: verify.level_rows(levels, p).withColumn("check", F.lit("level")).union(verify.visited(levels, s, OTHER).withColumn("check", F.lit("visited")))
+    return _both(both(persons, seen), both(persons.withColumn("distance", F.when(F.col("distance") == 4, 3).otherwise(F.col("distance"))), seen.where("hop <> 2 or id % 2 = 0")))
+
+
+add(
+    "verify_level_rows",
+    _bfs(OTHER, 4, _ONE_WAY) + " SELECT unnest([3, 4]) AS hop, id, 'level' AS \"check\", true AS tampered FROM bfs WHERE distance = 4 UNION ALL SELECT 2, id, 'visited', true FROM bfs WHERE distance <= 2 AND id % 2 <> 0",
+    _verify_level_rows,
+)
+
+
+def _verify_sorted_list(g: Graph) -> DataFrame:
+    listed = stage(walk.positions(walk.directed(g.knows)))
+    swapped = listed.withColumn("position", F.when(F.col("position") == 1, 2).when(F.col("position") == 2, 1).otherwise(F.col("position")))
+    doubled = swapped.union(swapped.where("position = 0").select("src", "dst", F.lit(-1).alias("position")))
+    return _both(walk.check_sorted(listed, "position"), walk.check_sorted(doubled, "position"))
+
+
+add("verify_sorted_list", f", ed AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS position FROM ({_ONE_WAY}) e) SELECT src, dst, true AS tampered FROM ed WHERE position IN (0, 1)", _verify_sorted_list)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

@@ -2,23 +2,45 @@
 
 from __future__ import annotations
 
+import weakref
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import free, owned
 from .schemas import FILES
 from .star import BASE_TABLES, view_sql
 
 
-@dataclass
+@dataclass(eq=False)
 class Graph:
-    """Tables by name (see ``schemas.FILES``); a table is only planned when it is asked for."""
+    """Tables by name (see ``schemas.FILES``); a table is only planned when it is asked for.
+
+    ``kept`` tables, the indexes that queries look things up in, are staged once for each graph; ``close`` frees them."""
 
     spark: SparkSession
     make: dict = field(repr=False)
     _made: dict = field(default_factory=dict, repr=False)
+    _kept: dict = field(default_factory=dict, repr=False)
+    _owned: list = field(default_factory=list, repr=False)
+
+    def __post_init__(self):
+        weakref.finalize(self, free, self._owned)
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """What ``build`` stages and returns, made at the first call with this name."""
+        if name not in self._kept:
+            with owned() as mine:
+                self._kept[name] = build()
+            self._owned += mine
+        return self._kept[name]
+
+    def close(self) -> None:
+        self._kept.clear()
+        free(self._owned)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self.make:

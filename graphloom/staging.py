@@ -1,15 +1,20 @@
-"""Tables staged in the folder the cluster shares (``spark.checkpoint.dir``): they cut lineage and outlive lost executors."""
+"""Tables staged in the folder the cluster shares (``spark.checkpoint.dir``): they cut lineage and outlive lost executors.
+
+``with scope():`` frees what was staged inside it; ``release()`` frees all.  A result must be written or collected before the
+tables it reads are freed."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_staged: list[tuple[SparkSession, str]] = []
-_tables: list[tuple[SparkSession, str]] = []
+#: Bucketed tables need a catalog entry; theirs are in a database of their own.
+DATABASE = "graphloom_staged"
+_staged: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,10 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged_path(spark: SparkSession) -> str:
+def staged_path(spark: SparkSession, table: str | None = None) -> str:
     """A new folder name in the shared folder, which ``release`` will delete."""
     path = f"{shared_dir(spark)}/graphloom-staged/{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    _staged.append((spark, path, table))
     return path
 
 
@@ -40,30 +45,53 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def stage_bucketed(df: DataFrame, key: str) -> DataFrame:
-    """Like ``stage``, bucketed and sorted by ``key``: later joins on it do not shuffle this side again."""
+    """Like ``stage``, bucketed and sorted by ``key``: later joins on it do not shuffle this side again, and filters on it
+    read only their buckets."""
     spark = df.sparkSession
-    path, name = staged_path(spark), f"graphloom_{uuid.uuid4().hex}"
+    name = f"{DATABASE}.t{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
-    _tables.append((spark, name))
     return spark.table(name)
 
 
-def release() -> None:
-    """Delete every staged table.  Results that were not yet written or collected cannot be computed afterwards."""
-    while _tables:
-        spark, name = _tables.pop()
-        try:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        except Exception:  # the session, and its catalog, may be gone
-            break
-    while _staged:
-        spark, path = _staged.pop()
+def free(entries: list) -> None:
+    """Delete the staged tables in ``entries``, the newest first."""
+    while entries:
+        spark, path, name = entries.pop()
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session may be gone; its folder then belongs to whoever set it
-            break
+            entries.clear()
+
+
+@contextmanager
+def owned():
+    """Everything staged inside becomes the caller's, in the list this yields, and is freed by neither ``scope`` nor ``release``
+    around it; ``free`` frees it."""
+    before, mine = len(_staged), []
+    try:
+        yield mine
+    finally:
+        mine += _staged[before:]
+        del _staged[before:]
+
+
+@contextmanager
+def scope():
+    """Frees what is staged inside when left."""
+    with owned() as mine:
+        yield
+    free(mine)
+
+
+def release() -> None:
+    """Delete every staged table that nobody owns."""
+    free(_staged)
 
 
 atexit.register(release)

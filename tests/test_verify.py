@@ -92,8 +92,20 @@ def test_partition(spark):
 
 
 def test_slices(spark, edges):
-    index = walk.adjacency(edges)
-    assert verify.slices(index, edges).count() == 0
-    assert {r[0] for r in verify.slices(index.selectExpr("src", "targets", "begin + cast(src = 2 as int) as begin", "`end` + cast(src = 2 as int) as end"), edges).collect()} >= {2}
-    assert {r[0] for r in verify.slices(index, edges.where("src <> 3")).collect()} == {3}
-    assert {r[0] for r in verify.slices(index.selectExpr("src", "reverse(targets) as targets", "begin", "`end`"), edges).collect()} == {1, 2, 3}
+    index = walk.positions(edges)
+    slots = walk.slices(index)
+    assert verify.slices(index, slots, edges).count() == 0
+    assert {r[0] for r in verify.slices(index, slots.selectExpr("src", "begin + cast(src = 2 as int) as begin", "`end` + cast(src = 2 as int) as end"), edges).collect()} >= {2}
+    assert {r[0] for r in verify.slices(index, slots, edges.where("src <> 3")).collect()} == {3}
+    turned = index.join(slots, "src").selectExpr("src", "dst", "begin + `end` - 1 - position as position")
+    assert {r[0] for r in verify.slices(turned, slots, edges).collect()} == {1, 2, 3}
+    assert {r[0] for r in verify.slices(index, slots.where("src <> 4"), edges).collect()} >= {4}
+
+
+def test_level_tables(spark, edges):
+    found = spark.createDataFrame([(1, 2), (1, 5), (2, 3)], "hop int, id long")
+    persons = spark.createDataFrame([(1, 0), (2, 1), (5, 1), (3, 2), (4, None)], "id long, distance int")
+    seen = spark.createDataFrame([(0, 1), (1, 1), (1, 2), (1, 5), (2, 1), (2, 2), (2, 5), (2, 3)], "hop int, id long")
+    assert verify.level_rows(found, persons).count() == 0 == verify.visited(found, seen, 1).count()
+    assert [tuple(r) for r in verify.level_rows(found, persons.where("id <> 5")).collect()] == [(1, 5)]
+    assert {tuple(r) for r in verify.visited(found, seen.where("id <> 2"), 1).collect()} == {(1, 2), (2, 2)}
