@@ -1,5 +1,7 @@
 """Decontamination, licences, URL rules, top-k and chat formatting: brute force and the defined results of odd inputs."""
 
+import itertools
+import os
 import random
 import re
 
@@ -7,7 +9,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, licences, topk, urls
+from graphloom.llm import chat, decontaminate, licences, notices, queries, topk, urls
+from graphloom.llm.common import fold
+
+
+FOLDER = "/root/testdata/sf0.01"
 
 
 def words(text):
@@ -69,13 +75,53 @@ def test_proximity(spark):
     assert found == {(1, 7), (4, 7)}
 
 
+#: Wordings that the classifier is not trained on, with the families they name.
+UNSEEN = [
+    ("MIT", "Use of all source files is subject to the MIT License."), ("MIT", "all files in this folder are MIT"), ("MIT", "Code is provided pursuant to the terms in the MIT licence, 2022"),
+    ("Apache-2.0", "Apache License Version 2.0"), ("Apache-2.0", "Apache Licence v2.0 holds for every file"), ("Apache-2.0", "The contents are offered under Apache 2.0, as is"), ("Apache-2.0", "We chose the Apache License for this tool: Apache-2.0."),
+    ("GPL", "GNU GPL version 3 governs use of this work"), ("GPL", "Licensed under GPL version 2"), ("GPL", "Anyone may redistribute this under the GNU General Public License"), ("GPL", "The kernel module is GPLv2 only."), ("GPL", "All code is subject to the GPL."),
+    ("LGPL", "The library is under the LGPL"), ("LGPL", "Linking is allowed by the GNU Lesser General Public License 3"), ("LGPL", "LGPLv3 covers the library"),
+    ("AGPL", "AGPL version 3 governs the server"), ("AGPL", "Server code: GNU Affero General Public License"), ("AGPL", "The service is offered as AGPL-3.0 software"),
+    ("BSD", "three-clause BSD"), ("BSD", "Code in this repository: BSD 2-clause"), ("BSD", "Use is governed by the BSD license in the root folder"), ("BSD", "This port is BSD-2-Clause."),
+    ("MPL", "use is governed by the Mozilla Public License"), ("MPL", "Files under MPL 2.0 stay under MPL 2.0"), ("MPL", "Our fork keeps the Mozilla Public License 2.0."),
+    ("CC-BY", "All photos: CC BY 4.0"), ("CC-BY", "The maps may be used under Creative Commons Attribution 4.0"), ("CC-BY-SA", "Text on this wiki is offered under CC BY-SA 4.0"), ("CC-BY-SA", "This image is offered under Creative Commons Attribution-ShareAlike"),
+    ("CC-BY-NC", "Slides are shared under CC BY-NC 4.0"), ("CC-BY-NC", "Teaching material under Creative Commons Attribution-NonCommercial"), ("CC0", "Everything we publish is CC0."), ("CC0", "The data set is released as CC0 1.0"),
+    ("proprietary", "Copyright (c) 2024 Acme. All rights reserved."), ("proprietary", "Acme Corp 1998-2003 - all rights reserved"), ("proprietary", "No part may be reproduced without permission"), ("proprietary", "© Roe & Sons. All Rights Reserved"),
+]
+#: Sentences of other words than the trained ones that are no notices.
+OTHERS = ["the Apache tribe lived there", "she reserved all rooms", "general public opinion", "Copyright is a difficult field of law", "Mozilla released version 2.0 of the browser", "the file is 3 MB", "Creative people have things in common", "My licence to fish has expired", "He studied at MIT for years", "Die Lizenz kostet viel Geld", "the right to be reserved about all of it", "free software is a matter of liberty", "A new clause was added to the contract", "cc: all members by Friday", "Attribution of the painting is unclear", "the source was found under the hill", "The park is open to the general public", "commercial and non-commercial boats", "mit dem Zug und mit dem Rad", "version 3 or later will do"]
+
+
+def test_licences_in_other_words(spark):
+    taught = {text for _, text in notices.examples()} | set(notices.mentions())
+    assert not taught & {text for _, text in UNSEEN} and not taught & set(OTHERS)
+    prose = [(1000 + k, f"thon her {k} eating.\nAnd of the {k} thint, sur la table mit der {k} ench.") for k in range(300)]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(UNSEEN)] + [(500 + k, t) for k, t in enumerate(OTHERS)] + prose, "doc_id long, text string")
+    found = {r["doc_id"]: r["family"] for r in licences.scan(docs, licences.train(docs), ["doc_id"]).collect()}
+    right = sum(found.get(k) == family for k, (family, _) in enumerate(UNSEEN))
+    wrong = [k for k in found if k >= 500]
+    print(f"recall {right / len(UNSEEN):.3f}, precision {right / len(found):.3f}", [t for k, (f, t) in enumerate(UNSEEN) if found.get(k) != f], wrong)
+    assert right >= 0.9 * len(UNSEEN) and right >= 0.9 * len(found)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the generated tables")
+def test_planted_licences(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(licences.paragraphs(F.col("text"))).alias("paragraph", "line"))
+    true = lines.where(F.col("line").rlike(r"^(All rights reserved\.|(Licensed|Released|This work is licensed) under .*)$")).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"))
+    want, got = {tuple(r) for r in true.collect()}, {(r["doc_id"], r["paragraph"]) for r in queries.op8_licence_scan(spark, FOLDER).collect()}
+    assert len(want) > 20 and len(want & got) >= 0.98 * len(want) and len(want & got) >= 0.98 * len(got)
+
+
 def test_licences(spark):
     prose = [(k, f"thon her {k} eating.\nAnd of the {k} thint, sur la table.\n\nno notice here {k}") for k in range(60)]
     noted = [(100, "first\nLicensed under the Apache License, Version 2.0.\nend"), (101, "Released under the MIT License."), (102, "a\r\nThis work is licensed under the GNU General Public License, version 3."), (103, "Licensed under CC BY-NC 4.0."), (None, "x\n\nReleased under the BSD 3-Clause License.")]
-    odd = [(200, None), (201, ""), (202, "\n\n \n"), (203, "she licensed the car and left"), (204, "word " * 50000), (101, "Released under the MIT License.")]
-    docs = spark.createDataFrame(prose + noted + odd, "doc_id long, text string").withColumn("label", F.lit("x")).withColumn("paragraph", F.lit("y"))
-    found = licences.scan(docs, licences.train(docs), ["doc_id"])
-    assert sorted(((r["doc_id"], r["paragraph"], r["family"]) for r in found.collect()), key=str) == sorted([(100, 1, "Apache-2.0"), (101, 0, "MIT"), (101, 0, "MIT"), (102, 1, "GPL"), (103, 0, "CC-BY-NC"), (None, 1, "BSD")], key=str)
+    wrapped = [(110, "one line\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."), (111, "It may be used under the Creative Commons\nAttribution-ShareAlike 4.0 licence."), (112, "Text here.\nAll rights\nreserved.")]
+    odd = [(200, None), (201, ""), (202, "\n\n \n"), (203, "she licensed the car and left"), (204, "word " * 50000), (205, "line\n" * 20000), (101, "Released under the MIT License.")]
+    docs = spark.createDataFrame(prose + noted + wrapped + odd, "doc_id long, text string").withColumn("label", F.lit("x")).withColumn("paragraph", F.lit("y"))
+    found = [(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs, licences.train(docs), ["doc_id"]).collect()]
+    assert sorted((r for r in found if not 110 <= (r[0] or 0) <= 112), key=str) == sorted([(100, 1, "Apache-2.0"), (101, 0, "MIT"), (101, 0, "MIT"), (102, 1, "GPL"), (103, 0, "CC-BY-NC"), (None, 1, "BSD")], key=str)
+    assert {r[2] for r in found if r[0] == 110} == {"GPL"} and {r[2] for r in found if r[0] == 111} == {"CC-BY-SA"} and [r for r in found if r[0] == 112] == [(112, 1, "proprietary")]
     assert licences.scan(docs.limit(0), licences.train(docs.limit(0)), ["doc_id"]).collect() == []
 
 
@@ -89,8 +135,8 @@ def test_url_rules(spark):
         ("//no-scheme.net/es/", "", "", None, "allow"), (None, "", "", None, "allow"), ("http://x.net/fr?y://z.com/", "x.net", "/fr", None, "allow"), ("", "", "", None, "allow"), ("x://ÀB.com/é\nq", "Àb.com", "/é\nq", "com/", "allow"),
     ]
     pages = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)] * 2, "page_id long, url string").withColumn("host", F.lit(1)).withColumn("tokens", F.lit(2))
-    none = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double")
-    got = [tuple(r) for r in urls.judge(pages, RULES, none, [F.col("page_id")]).collect()]
+    none = spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, key string")
+    got = [tuple(r)[:5] for r in urls.judge(pages, RULES, none, [F.col("page_id")]).collect()]
     assert sorted(got, key=str) == sorted([(k, *c[1:]) for k, c in enumerate(cases)] * 2, key=str)
     assert urls.judge(pages.limit(0), RULES, none, [F.col("page_id")]).collect() == []
 
@@ -101,11 +147,66 @@ def test_url_mining(spark):
     host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
     mined = urls.mine(pages.where("url is not null").select("url", urls.tokens_of(host, path).alias("tokens"), "label"), 0.05, 0.9)
     assert {(tuple(r["tokens"]), r["verdict"]) for r in mined.collect()} >= {(("word:spam",), "block")}
+    assert mined.where("key is null").count() == 0
     fresh = spark.createDataFrame([(1, "https://m.spam-9.other.org/en"), (2, "https://other.org/en"), (3, None)], "page_id long, url string")
     assert {r["page_id"]: r["verdict"] for r in urls.judge(fresh, RULES, mined, [F.col("page_id")]).collect()} == {1: "block", 2: "allow", 3: "allow"}
     assert urls.mine(pages.where("url is null").select("url", urls.tokens_of(host, path).alias("tokens"), "label"), 0.05, 0.9).collect() == []
 
 
+def brute_rules(rows, least, confidence, most=3):
+    """All rules of at most three tokens, without those for which fewer tokens do as well."""
+    found = {}
+    for tokens in {c for t, _ in rows for n in range(1, most + 1) for c in itertools.combinations(sorted(t), n)}:
+        holding = [label for t, label in rows if set(tokens) <= set(t)]
+        for verdict in {x for x in holding if x}:
+            if holding.count(verdict) >= least and holding.count(verdict) >= confidence * len(holding):
+                found[tokens, verdict] = holding.count(verdict) / len(holding), holding.count(verdict) / len(rows)
+    fewer = lambda t: (c for n in range(1, len(t)) for c in itertools.combinations(t, n))
+    return {(t, v): x for (t, v), x in found.items() if not any(found.get((c, v), (0,))[0] >= x[0] for c in fewer(t))}
+
+
+def test_mining_and_judging_like_all_subsets(spark):
+    rng = random.Random(5)
+    hosts, paths = ["a", "b", "c-d", "e-f", "www", "org", "net"], ["en", "fr", "x", ""]
+    urls_ = sorted({f"http://{'.'.join(rng.sample(hosts, rng.randrange(2, 4)))}/{rng.choice(paths)}/{rng.randrange(9)}" for _ in range(260)})
+    label = lambda u: None if rng.random() < 0.2 else "block" if ("c-d" in u and "fr" in u) or ("e-f" in u and rng.random() < 0.9) else "allow"
+    labels = [label(u) for u in urls_]
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    table = spark.createDataFrame(list(zip(urls_, labels, strict=True)) * 2, "url string, label string").select("url", "label", urls.tokens_of(host, path).alias("tokens"))
+    tokens = {r["url"]: r["tokens"] for r in table.collect()}
+    mined = urls.mine(table, 0.02, 0.8, least_urls=4)
+    want = brute_rules([(tokens[u], x) for u, x in zip(urls_, labels, strict=True)], max(4, int(0.02 * len(urls_))), 0.8)
+    got = {(tuple(r["tokens"]), r["verdict"]): (r["confidence"], r["support"]) for r in mined.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert any(v == "block" and len(t) > 1 for t, v in want)
+    pages = spark.createDataFrame(list(enumerate([*urls_, "http://new.e-f/fr/1", None])), "page_id long, url string")
+    spelled = {r["page_id"]: r["tokens"] for r in pages.select("page_id", urls.tokens_of(host, path).alias("tokens")).collect()}
+    for r in urls.judge(pages, [], mined, [F.col("page_id")]).collect():
+        fits = [(*want[t, v], t, v) for t, v in want if set(t) <= set(spelled[r["page_id"]])]
+        assert (r["verdict"], r["mined"]) == ((max(fits)[3], " + ".join(max(fits)[2])) if fits else ("allow", None))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the generated tables")
+def test_mined_rules_on_held_out_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    held = pages.where(fold(F.col("url"), 4) == 0)
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    # by content and block list, as in the query: rules without a word of the list decide most held-out pages, and rightly
+    judged = urls.judge(held, [], urls.mine(queries.url_labels(pages), 0.001, 0.85, least_urls=5), [F.col("page_id"), urls.page_label(F.col("html")).alias("label")])
+    plain = [r for r in judged.collect() if r["mined"] and not any(w in r["mined"] for w in queries.URL_SEEDS)]
+    share, right = len(plain) / held.count(), sum(r["verdict"] == r["label"] for r in plain) / len(plain)
+    print(f"decided by rules without a listed word {share:.3f}, rightly {right:.3f}")
+    assert share > 0.85 and right > 0.85
+    # by the verdicts of explicit rules on the learning part: the rules find these verdicts again on the other part
+    verdict = urls.rule_of(host, path, queries.URL_RULES)["verdict"]
+    mined = urls.mine(pages.where(fold(F.col("url"), 4) != 0).select("url", urls.tokens_of(host, path).alias("tokens"), verdict.alias("label")), 0.001, 0.9, least_urls=5)
+    again = urls.judge(held.where(verdict.isNotNull()), [], mined, [F.col("page_id"), verdict.alias("label")], default="none").collect()
+    blocked, true = [r for r in again if r["verdict"] == "block"], [r for r in again if r["label"] == "block"]
+    hits = sum(r["label"] == "block" for r in blocked)
+    print(f"explicit rules found again: precision {hits / len(blocked):.3f}, recall {hits / len(true):.3f}")
+    assert hits >= 0.95 * len(blocked) and hits >= 0.9 * len(true)
+
+
 def test_urls_are_mined_whole(spark):
     k = F.col("id")
     pages = spark.range(1_050_000).select(
