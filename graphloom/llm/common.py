@@ -8,25 +8,33 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import stage as write_staged
 from ..staging import staged_path  # noqa: F401
 
 SLICE_BYTES = 1 << 20
+#: Spark's setting that deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """A staged table; also lets Spark's cleaner drop the shuffle files that no plan refers to any more."""
-    staged = write_staged(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return staged
-
-
-def small(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``bound`` rows; beyond that it stays an ordinary (shuffled) join side."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    """A staged table; the shuffle files that writing it took are deleted with it."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return write_staged(df)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def small(df: DataFrame, bound: int, weight: Column | None = None) -> DataFrame:
+    """Broadcast ``df`` only when it has at most ``bound`` rows, and ``weight``, where rows differ in size, sums to no more;
+    beyond that it stays an ordinary (shuffled) join side."""
+    rows, total = df.limit(bound + 1).agg(F.count("*"), F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= bound and total <= bound else df
 
 
 def ascii_lower(col):
