@@ -54,7 +54,7 @@ def lookups(wanted: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
     """For each phrase its ``most`` rarest terms: phrase, term, offset, needed (how many lists must agree).
 
     A phrase with a term that has no posting occurs nowhere and is left out."""
-    counts = index.groupBy("term").count()
+    counts = small(stage(index.groupBy("term").count()), SMALL)  # no more rows than the benchmark has terms
     spelled = wanted.select("phrase", "length", F.posexplode("terms").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
     rarest = Window.partitionBy("phrase").orderBy("count", "offset")
     known = spelled.join(counts, "term").withColumn("known", F.count("*").over(Window.partitionBy("phrase"))).where(F.col("known") == F.col("length"))
@@ -75,22 +75,25 @@ def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
         .where(F.col("lists") >= F.col("needed"))
     )
     # repeated rows (same id and text) store their postings repeatedly, hence >= above and one place here
-    listed = (
-        places.join(small(wanted.select("phrase", "length", "items"), SMALL), "phrase")
+    listed = stage(
+        places.join(small(wanted.select("phrase", "length", "items"), SMALL, F.size("items") + F.col("length")), "phrase")
         .groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h"))
         .agg(F.collect_list(F.struct("start", "length", "items", "phrase")).alias("__places"))
     )
     names = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), F.col(text_col).alias("__text"))
-    joined = keyed.join(listed, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left").withColumn("__words", words(F.col("__text")))
+    # while the places are few they come to the documents; beyond that both sides are shuffled
+    joined = keyed.join(small(listed, SMALL, F.expr("aggregate(__places, 0, (n, p) -> n + 1 + size(p.items) + p.length)")), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left").withColumn("__words", words(F.col("__text")))
     right = F.filter(F.coalesce("__places", F.array().cast("array<struct<start:int,length:int,items:array<string>,phrase:string>>")), lambda p: F.array_join(F.slice("__words", p["start"] + 1, p["length"]), " ") == p["phrase"])
     hits = F.transform(right, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["items"].alias("items")))
     return joined.select(*[F.col("__row")[c].alias(c) for c in names], F.struct(F.size("__words").alias("n_words"), hits.alias("hits")).alias("__found"))
 
 
-def positions(hits):
-    """The distinct word positions that the hits cover."""
-    return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["length"] - 1))))
+def covered(hits):
+    """How many word positions the hits cover."""
+    end = lambda h: h["start"] + h["length"]
+    step = lambda seen, h: F.struct((seen["n"] + F.greatest(end(h) - F.greatest(h["start"], seen["end"]), F.lit(0))).alias("n"), F.greatest(seen["end"], end(h)).alias("end"))
+    return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:

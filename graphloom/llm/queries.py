@@ -39,7 +39,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(docs.select("doc_id", "text"), items.select("item_id", "text"))
     hits = F.col("__found.hits")
     listed = F.array_sort(F.array_distinct(F.flatten(hits["items"])))
-    counted = found.select("doc_id", F.col("__found.n_words").cast("long").alias("n_words"), F.size(decontaminate.positions(hits)).cast("long").alias("n_hit"), listed.alias("__items"))
+    counted = found.select("doc_id", F.col("__found.n_words").cast("long").alias("n_words"), decontaminate.covered(hits).cast("long").alias("n_hit"), listed.alias("__items"))
     return counted.select("doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
