@@ -47,6 +47,10 @@ LEAF, LEVELS = 256, 4
 BLOCK_ITEMS = 1_000_000
 FINE_ROWS = 20_000
 GROWTH = 1.5
+#: A signature that ``HOT`` of one id in ``ONE_IN`` have is dealt to ``SALTED`` tasks; at most ``MOST_HOT`` such signatures.
+ONE_IN, HOT, SALTED, MOST_HOT = 64, 2000, 64, 100_000
+#: Sets a task remembers in order to sign equal ones once.
+REMEMBERED = 500_000
 
 
 def sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,6 +353,8 @@ def _signed(batches, n: int, threshold: Threshold):
                     mark[some] = np.add.reduceat(mix(gram ^ salt), offsets[:-1][some])
         new = np.zeros(len(size), bool)
         has_id = batch.column("id").is_valid().to_numpy(zero_copy_only=False)
+        if len(known) > REMEMBERED:
+            known.clear()
         for k, pair in enumerate(zip(*(m.tolist() for m in marks), strict=True)):
             if has_id[k] and pair not in known:
                 known.add(pair)
@@ -454,6 +460,28 @@ def components(edges: DataFrame) -> DataFrame:
             return label.withColumnRenamed("label", "component")
 
 
+def _heads(signed: DataFrame) -> DataFrame:
+    """(id, head): for each signature of an id, the smallest id that has it, where that is another one.
+
+    Signatures that are very frequent among one id in ``ONE_IN`` are salted: their ids first meet the smallest of their salt,
+    and those then meet each other.  Which signatures these are has no influence on who is joined in the end."""
+    met = signed.where(F.col("id").isNotNull()).select("id", "signatures")
+    some = met.where(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0).select(F.explode("signatures").alias("signature"))
+    hot = stage(some.groupBy("signature").count().where(F.col("count") >= HOT).select("signature"))
+    rows = met.select("id", F.explode("signatures").alias("signature"))
+    first = F.first("id").over(Window.partitionBy("signature", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    n = hot.limit(MOST_HOT + 1).count()
+    if not 0 < n <= MOST_HOT:  # none, or so many that no one of them is a task's burden
+        return rows.withColumn("salt", F.lit(0)).select("id", first.alias("head")).where("id <> head").distinct()
+    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "signature", "left")
+    headed = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTED)).cast("int")).otherwise(0)).select("id", "signature", "hot", first.alias("head"))
+    # staged: what follows needs the heads of hot signatures only
+    kept = stage(headed.where("id <> head or hot").select("id", "head", F.when(F.col("hot"), F.col("signature")).alias("signature")).distinct())
+    heads = kept.where("signature is not null").select("signature", F.col("head").alias("id")).distinct()
+    top = heads.groupBy("signature").agg(F.min("id").alias("head"))
+    return kept.where("id <> head").select("id", "head").union(heads.join(F.broadcast(top), "signature").where("id <> head").select("id", "head")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
     threshold = Threshold(num, den)
@@ -465,9 +493,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     first = stage(filled.groupBy(*kind).agg(F.min("id").alias("rep")))
     # staged before and after, so that the join stands alone and can be split where one set has very many copies
     alias = stage(stage(filled.join(first, kind).select("id", "size", "rep")).distinct())
-    met = signed.where(F.col("id").isNotNull()).select("id", F.explode("signatures").alias("signature"))
-    head = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    pairs = stage(met.select("id", head.alias("head")).where("id <> head").distinct())
+    pairs = stage(_heads(signed))
     named = pairs.join(alias.select("id", F.col("rep").alias("member")), "id").join(alias.select(F.col("id").alias("head"), F.col("rep").alias("lead")), "head")
     named = stage(named.where("member <> lead").select(F.col("lead").alias("head"), F.col("member").alias("id")).distinct())
     # a head that has a head itself passes its cluster, itself included, on to that one, so that families meet once and not
