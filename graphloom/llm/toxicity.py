@@ -2,7 +2,8 @@
 
 Features are densities of lexicon words, how near they are to the second person, capitals, punctuation and obfuscation.
 The lexicon is a short list of insults and what the training sample adds to it: words, and beginnings of words, that occur
-in clearly more toxic texts than chance allows.  Trees are fitted on three quarters of the sample and calibrated on the rest.
+in clearly more toxic texts than chance allows.  The lexicon is learned and the trees are fitted on three
+quarters of the sample, and calibrated on the rest.  Of the terms found, the ``MOST_TERMS`` clearest are kept.
 
 Defined results: null and empty texts have no words and get the score of that; equal texts get equal scores; repeated rows
 are scored alike, each giving a row; without labels every score is 0.5; extra columns pass by unread.
@@ -178,7 +179,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, most: int = scored.MAX_TRAIN) -> Model:
     """Fit on at most about ``most`` labelled texts of ``docs`` whose crc32(id) mod ``mod`` is not ``held``."""
     sample = scored.training_sample(docs, labels, "toxic", mod, held, most)
-    lexicon = learn_lexicon(sample)
+    lexicon = learn_lexicon(sample.where("part <> 3"))
     x, y, part = scored.featured(sample, lambda raw, offsets: features(lexicon, raw, offsets))
     fitted = part != 3
     if not fitted.any():  # nothing to learn from: no text counts as toxic
