@@ -208,9 +208,12 @@ def segment(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray
     begins = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else np.zeros(0, np.int64)
     long = (stops - begins) > LONG
     is_long = long[part]
-    if is_long.any():
-        for p in np.flatnonzero(long):
-            mine = np.flatnonzero(part == p)
+    if long.any():
+        by_part = np.flatnonzero(is_long)
+        by_part = by_part[np.argsort(part[by_part], kind="stable")]
+        first, last = (np.searchsorted(part[by_part], np.flatnonzero(long), side) for side in ("left", "right"))
+        for p, a, b in zip(np.flatnonzero(long), first, last, strict=True):
+            mine = by_part[a:b]
             edges = dict(zip(zip(starts[mine].tolist(), ends[mine].tolist(), strict=True), zip(vocab.rank[rows[mine]].tolist(), vocab.ids[rows[mine]].tolist(), strict=True), strict=True))
             _heap(symbol, after, int(begins[p]), int(stops[p]), edges)
         keep = ~is_long
