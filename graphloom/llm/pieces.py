@@ -4,19 +4,23 @@ A batch's texts are cut where no piece can reach across: before a word mark (unl
 characters that occur in no piece.  The distinct parts are concatenated and indexed by a suffix array, refined only where a
 longer piece could begin (4, 8 and at most 16 characters, the longest piece).  Every piece is searched in it by bisection,
 all pieces at once; the ranges found are its occurrences, the edges.  Edges are sorted by part, priority and position and
-then relaxed: in every round each part takes its best edge whose ends are symbol ends with one symbol end between, which
-merges two symbols.  That is the library's merge order, ties going to the left.  Parts beyond ``LONG`` characters relax
-their edges through a heap instead, one part at a time, so that a text without a blank costs n log n.
+then relaxed.  An edge can be taken if its ends are symbol ends with one symbol end between; taking it merges two symbols.
+In every round each part takes its first such edge, and all those that come before every other edge over the same
+characters, as nothing merged elsewhere can precede them.  That is the library's merge order, ties going to the left, and
+needs few rounds for parts of any length, as in texts without blanks.
+
+Texts beyond ``CHUNK`` characters are encoded a stretch at a time, cut before a word mark.
 
 Characters outside the vocabulary become byte pieces.  Decoding reverses the marks; malformed bytes become U+FFFD.
 
 Defined results: null and empty texts have no ids; repeated rows each give a row; the word mark U+2581 itself in a text
-encodes like a blank, as in the library, and so decodes to one; extra columns pass by unread; an empty table gives no rows.
+encodes like a blank, as in the library, and so decodes to one; a model that is not BPE with byte fallback, or whose pieces
+are longer than ``PAD`` characters, raises ValueError; extra columns pass by unread; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import heapq
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +32,9 @@ from pyspark.sql import types as T
 from .common import ranges, sliced, span_hashes, text_view
 
 MARK = 0x2581
-LONG = 256
 PAD = 16
+CHUNK = 1 << 20
+BEFORE_WORD = re.compile(r"(?<![ ▁])[ ▁]")
 
 
 @dataclass
@@ -155,102 +160,94 @@ def occurrences(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     sub = np.lexsort((fourth, third, group))
     place = place[sub]
     size = np.int64(len(kinds) + 1)
-    tail = (group[sub] * size + third[sub]) * size + fourth[sub] if len(groups) * int(size) ** 2 < 1 << 62 else None
-    if tail is None:
-        raise ValueError("the batch is too large for its index")
+    pair = group[sub] * size + third[sub]
+    pairs = np.unique(pair)
+    tail = np.searchsorted(pairs, pair) * size + fourth[sub]
     lo3, hi3 = ranks(vocab.codes[rows, 8:12], np.minimum(length[rows] - 8, 4))
     whole = length[rows] > 12
     lo_4, hi_4 = ranks(vocab.codes[rows, 12:16], np.clip(length[rows] - 12, 0, 4))
     base = np.searchsorted(groups, eight) * size
-    low = np.where(whole, (base + lo3) * size + lo_4, (base + lo3) * size)
-    high = np.where(whole, (base + lo3) * size + hi_4, (base + hi3) * size)
-    some = (hi3 > lo3) & (high > low)
+    begin, end = np.searchsorted(pairs, base + lo3), np.searchsorted(pairs, base + hi3)
+    low = begin * size + np.where(whole, lo_4, 0)
+    high = np.where(whole & (end > begin), begin * size + hi_4, end * size)
+    some = (end > begin) & (high > low)
     for got, into in zip(spread(rows[some], np.searchsorted(tail, low[some]), np.searchsorted(tail, high[some]), place), (starts, found), strict=True):
         into.append(got)
     return np.concatenate(starts), np.concatenate(found)
 
 
-def _heap(symbol: np.ndarray, after: np.ndarray, begin: int, end: int, edges: dict) -> None:
-    """Relax the edges {(start, end): (rank, id)} of one long part in place."""
-    before = {}
-    at = begin
-    while at < end:
-        before[int(after[at])] = at
-        at = int(after[at])
-    waiting: list = []
-
-    def offer(s: int) -> None:
-        mid = int(after[s])
-        if mid < end and (edge := edges.get((s, int(after[mid])))):
-            heapq.heappush(waiting, (edge[0], s, int(after[mid]), mid, edge[1]))
-
-    for s in sorted(before.values()):
-        offer(s)
-    while waiting:
-        _, s, e, mid, piece = heapq.heappop(waiting)
-        if symbol[s] < -1 or after[s] != mid or symbol[mid] < -1 or after[mid] != e:
-            continue
-        symbol[s], after[s], symbol[mid] = piece, e, -2
-        before[e] = s
-        offer(s)
-        if s in before:
-            offer(before[s])
-
-
 def segment(text: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """``text`` holds parts, each followed by 0.  Returns (symbol, starts): ids at symbol starts, and where those are."""
     n = len(text)
     starts, rows = occurrences(text, vocab)
-    symbol, after = vocab.single[text], np.arange(1, n + 2)
-    ends = starts + vocab.lengths[rows]
+    symbol, after = vocab.single[text], np.arange(1, n + 2, dtype=np.int32)
     stops = np.flatnonzero(text == 0)
     part = np.searchsorted(stops, starts)
-    begins = np.concatenate([[0], stops[:-1] + 1]) if len(stops) else np.zeros(0, np.int64)
-    long = (stops - begins) > LONG
-    is_long = long[part]
-    if long.any():
-        by_part = np.flatnonzero(is_long)
-        by_part = by_part[np.argsort(part[by_part], kind="stable")]
-        first, last = (np.searchsorted(part[by_part], np.flatnonzero(long), side) for side in ("left", "right"))
-        for p, a, b in zip(np.flatnonzero(long), first, last, strict=True):
-            mine = by_part[a:b]
-            edges = dict(zip(zip(starts[mine].tolist(), ends[mine].tolist(), strict=True), zip(vocab.rank[rows[mine]].tolist(), vocab.ids[rows[mine]].tolist(), strict=True), strict=True))
-            _heap(symbol, after, int(begins[p]), int(stops[p]), edges)
-        keep = ~is_long
-        starts, rows, ends, part = starts[keep], rows[keep], ends[keep], part[keep]
-    # sorted by part, priority and position: the first edge of a part that can be taken is the one to take
-    order = np.lexsort((starts, vocab.rank[rows], part)) if n >= 1 << 24 else np.argsort((part.astype(np.int64) << 40) | (vocab.rank[rows] << 24) | starts)
-    s, e, p, piece = starts[order].astype(np.int32), ends[order].astype(np.int32), part[order].astype(np.int32), vocab.ids[rows[order]].astype(np.int32)
-    after = after.astype(np.int32)
+    rank = vocab.rank[rows]
+    # by part, priority and position
+    order = np.argsort((part.astype(np.int64) << 40) | (rank << 22) | starts) if n < 1 << 22 and len(vocab.rank) < 1 << 18 else np.lexsort((starts, rank, part))
     boundary = np.ones(n + 1, bool)
-    boundary[:n] = symbol > -2
+    _relax(starts[order].astype(np.int32), (starts[order] + vocab.lengths[rows[order]]).astype(np.int32), part[order].astype(np.int32), vocab.ids[rows[order]].astype(np.int32), symbol, after, boundary)
+    return symbol, np.flatnonzero(boundary[:n] & (text > 0))
+
+
+def _relax(s, e, p, piece, symbol, after, boundary) -> None:
+    """Relax sorted edges s .. e: in every round as many as cannot disturb each other.
+
+    An edge that can be taken is taken at once if it comes before every edge that shares a character with it: nothing that is
+    merged elsewhere can then come between.  So is the first one of each part, which is always the next to take."""
+    parts, base = int(p.max()) + 1 if len(p) else 0, int(s.min()) if len(s) else 0
+    best = np.zeros(int(e.max()) - base if len(e) else 0, np.int32)
     while len(s):
-        ready = np.flatnonzero(after[after[s]] == e)
+        now = after[after[s]] == e
+        ready = np.flatnonzero(now)
         if not len(ready):
             break
         owner = p[ready]
-        take = ready[np.flatnonzero(np.diff(owner, prepend=-1))]
-        middle = after[s[take]]
-        boundary[middle] = False
+        take = now.copy()
+        # the first edge over each character: written backwards, so that it is written last
+        size = (e - s).astype(np.int64)
+        order = np.arange(len(s), dtype=np.int32)[::-1]
+        spot, edge = ranges(s[::-1].astype(np.int64) - base, size[::-1]), np.repeat(order, size[::-1])
+        best[spot] = edge
+        take[edge[best[spot] != edge]] = False
+        take[ready[np.flatnonzero(np.diff(owner, prepend=-1))]] = True
+        boundary[after[s[take]]] = False
         after[s[take]], symbol[s[take]] = e[take], piece[take]
         # parts with nothing to take are done; edges whose ends are inside a symbol, or that were taken, are void
-        busy = np.zeros(len(stops) + 1, bool)
+        busy = np.zeros(parts, bool)
         busy[owner] = True
-        alive = busy[p] & boundary[s] & boundary[e]
-        alive[take] = False
+        alive = busy[p] & boundary[s] & boundary[e] & ~take
         s, e, p, piece = s[alive], e[alive], p[alive], piece[alive]
-    return symbol, np.flatnonzero(boundary[:n] & (text > 0))
 
 
 def encode(texts: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another (int32), and offsets (texts + 1)."""
     prefix = "▁" if vocab.prefix else ""
-    marked = [prefix + t if t else "" for t in texts]
+    stretches, owner = [], []
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            cut = BEFORE_WORD.search(text, at + CHUNK) if len(text) > at + CHUNK else None
+            end = cut.start() if cut else len(text)
+            stretches.append((prefix if not at else "") + text[at:end])
+            owner.append(k)
+            at = end
+    if all(len(x) <= CHUNK for x in texts):
+        ids, at = _encode(stretches, vocab)
+    else:
+        found = [_encode([x], vocab)[0] for x in stretches]
+        ids, at = np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    return ids, at[np.searchsorted(owner, np.arange(len(texts) + 1))]
+
+
+def _encode(marked: list[str], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The same for stretches of text, none empty, that begin with a word mark where they should."""
     sizes = np.array([len(t) for t in marked], np.int64)
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
     points = np.where(points == 0x20, np.uint32(MARK), points)
     if not len(points):
-        return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(marked) + 1, np.int64)
     code = vocab.code[points]
     begins = np.zeros(len(points), bool)
     begins[np.cumsum(sizes[sizes > 0])[:-1]] = True

@@ -53,6 +53,26 @@ def test_random_words(vocab, library):
     check(["".join(rng.choices(letters, k=rng.randrange(1, 400))) for _ in range(600)], vocab, library)
 
 
+def test_texts_without_blanks(vocab, library):
+    rng = random.Random(9)
+    check(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(200, 900))) for _ in range(1500)], vocab, library)
+    check(["".join(rng.choices(["the", "an", "tion", "ing", "er", "on", "re", "世界", "0", "="], k=40_000)), "".join(rng.choices("ABab01+/", k=50_000)), "ab" * 40_000, "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(30_000))], vocab, library)
+
+
+def test_stretches_of_long_texts(vocab, library, monkeypatch):
+    monkeypatch.setattr(pieces, "CHUNK", 50)
+    rng = random.Random(2)
+    check(["", " ", "".join(rng.choices(["the", " ", "  ", "▁", "and so", "\n", "é", "x" * 70], k=900)), "a", " " * 300, "no", "word " * 2000], vocab, library)
+
+
+def test_a_text_of_50_megabytes(vocab, library):
+    text = " ".join(str(k * 7919 % 1_000_003) + "the" for k in range(200_000)) * 26
+    assert len(text) > 50_000_000
+    ids, at = pieces.encode([text], vocab)
+    head = library.encode(text[: text.index(" ", 3_000_000)])
+    assert ids[: len(head) - 9].tolist() == head[:-9] and pieces.decode(ids, at, vocab).to_pylist() == [text]
+
+
 def test_malformed_bytes(vocab, library):
     ids = [3 + 0xE4, 3 + 0xB8, 3 + 0x41]
     import numpy as np
