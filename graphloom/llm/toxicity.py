@@ -27,7 +27,7 @@ INSULTS = "idiot idiots stupid moron morons loser losers pathetic worthless scum
 SECOND = "you your yours yourself u ur tu te toi vous votre du dich dir dein deine ihr euch tú usted ustedes vosotros".split()
 #: Stand-ins for letters, and the letters they stand for.
 STAND_INS = (b"013457@$!|", b"oieastasil")
-PREFIXES = (5, 6, 8)
+PREFIXES = (4, 5, 6, 7, 8)
 MOST_TERMS = 4096
 NEAR = 3
 

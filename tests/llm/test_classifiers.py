@@ -18,6 +18,9 @@ def test_held_out(spark, name, label, least):
     found = queries.queries()[name](spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").where("held_out")
     right = found.agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
     assert right >= least
+    hits = found.where(F.col(label) == 1).agg(F.avg("predicted")).first()[0], found.where("predicted = 1").agg(F.avg(label)).first()[0]
+    print(f"{name}: accuracy {right:.3f}, recall {hits[0]:.3f}, precision {hits[1]:.3f}")
+    assert hits[0] >= 0.9 and hits[1] >= 0.95
     assert found.where("score < 0 or score > 1 or predicted <> cast(score >= 0.3 as int)").count() == 0
 
 
