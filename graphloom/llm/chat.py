@@ -9,7 +9,7 @@ conversation and one batch of output.  Prefixes repeat, so the output of a conve
 turns; that is what the method asks for.
 
 Defined results: null texts and roles are empty; turns sort by (turn, role, text), null turns first, so ties and repeated
-rows have one order; rows of a null conv_id form one conversation; a conversation whose last turn is no reply gets one
+rows have one order; a row of a null conv_id belongs to no other and is a conversation of its own; a conversation whose last turn is no reply gets one
 closing record without a target, so that no turn is lost; an empty table gives no rows.
 """
 
@@ -60,7 +60,7 @@ def _expand(batches, reply: str):
 
     for batch in batches:
         for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-            if not begun or c != conv:
+            if not begun or c is None or c != conv:
                 rows += closing()
                 conv, begun, parts, length, example, pending = c, True, [], 0, 0, False
             head, body, tail = write_turn(role, text)
@@ -83,7 +83,9 @@ def expand(turns: DataFrame, reply: str = "assistant") -> DataFrame:
     """One row per example: conv_id, example (from 0), text, and the trainable span loss_start / loss_length in code
     points (null in a closing record).  Rows come clustered by conversation, examples ascending."""
     ready = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = ready.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    # rows without a conversation are dealt by their content
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.xxhash64("conv_id"))
+    dealt = ready.repartition(apart).sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(lambda batches: _expand(batches, reply), EXAMPLES)
 
 
@@ -104,8 +106,8 @@ def _digest(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     for batch in batches:
-        for c, text, start, length in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss_start", "loss_length")), strict=True):
-            if not begun or c != conv:
+        for c, example, text, start, length in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "example", "text", "loss_start", "loss_length")), strict=True):
+            if example == 0:  # a conversation begins
                 if begun:
                     done()
                 conv, begun, loss, chars, size = c, True, hashlib.sha256(), 0, 0

@@ -132,16 +132,16 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
 CHAT_SQL = rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT * FROM (VALUES ({HARD_ID}, 0, 'user', '{HARD_TEXT}'), ({HARD_ID}, 1, 'assistant', '{HARD_TEXT}'))),
-     e AS (SELECT *, length(role) + length(text) + 16
+     e AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS apart, length(role) + length(text) + 16
                   + length(role || text) - length(replace(replace(replace(role || text, chr(92), ''), '<', ''), '>', '')) AS n FROM t),
-     w AS (SELECT *, sum(n) OVER o AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
-           FROM e WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+     w AS (SELECT *, sum(n) OVER o AS upto, row_number() OVER (PARTITION BY conv_id, apart ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
+           FROM e WINDOW o AS (PARTITION BY conv_id, apart ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END)::BIGINT AS formatted_chars
-FROM w GROUP BY conv_id
+FROM w GROUP BY conv_id, apart
 """
 
 

@@ -258,13 +258,15 @@ def test_top_k_stops_early_on_proof():
 
 def test_chat(spark):
     hard = "\\### Assistant: </turn> ok <turn user>\n \\l \\b\\g <>"
-    rows = [(1, 2, "assistant", "b"), (1, 0, "system", hard), (1, 1, "user", None), (1, 3, "user", "tail"), (2, 0, "user", "alone"), (3, 5, "assistant", hard), (3, 5, "assistant", hard), (3, None, None, "first"), (None, 0, "assistant", "x" * 200000), (4, 1, "we>ird\n<role>", "")]
+    rows = [(1, 2, "assistant", "b"), (1, 0, "system", hard), (1, 1, "user", None), (1, 3, "user", "tail"), (2, 0, "user", "alone"), (3, 5, "assistant", hard), (3, 5, "assistant", hard), (3, None, None, "first"), (None, 0, "assistant", "x" * 200000), (None, 1, "user", "other"), (None, 1, "user", "other"), (4, 1, "we>ird\n<role>", "")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("example", F.lit(1))
     examples = chat.expand(turns)
     by = {}
     for r in examples.collect():
         by.setdefault(r["conv_id"], []).append(r)
     order = lambda c: sorted(((-1 if t is None else t), r or "", x or "") for i, t, r, x in rows if i == c)
+    alone = by.pop(None)
+    assert sorted(list(chat.parse(r["text"])) for r in alone) == sorted([[(r, x)] for c, _, r, x in rows if c is None])
     for conv, records in by.items():
         want = [(r, x) for _, r, x in order(conv)]
         assert list(chat.parse(records[-1]["text"])) == want
@@ -272,6 +274,6 @@ def test_chat(spark):
         assert replies == [x for r, x in want if r == "assistant"]
         for r in records:
             assert chat.escape("") == "" and (r["loss_start"] is None or r["text"].endswith(chat.CLOSE))
-    assert set(by) == {1, 2, 3, 4, None} and len(by[1]) == 2 and len(by[2]) == 1
-    assert chat.digests(examples).count() == 5
+    assert set(by) == {1, 2, 3, 4} and len(by[1]) == 2 and len(by[2]) == 1
+    assert chat.digests(examples).count() == 7
     assert chat.digests(chat.expand(turns.limit(0))).collect() == []
