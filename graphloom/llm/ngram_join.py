@@ -47,8 +47,8 @@ LEAF, LEVELS = 256, 4
 BLOCK_ITEMS = 1_000_000
 FINE_ROWS = 20_000
 GROWTH = 1.5
-#: A signature that ``HOT`` of one id in ``ONE_IN`` have is dealt to ``SALTED`` tasks; at most ``MOST_HOT`` such signatures.
-ONE_IN, HOT, SALTED, MOST_HOT = 64, 2000, 64, 100_000
+#: A signature that ``HOT`` of one id in ``ONE_IN`` have is very frequent; at most ``MOST_HOT`` such signatures are broadcast.
+ONE_IN, HOT, MOST_HOT = 64, 2000, 100_000
 #: Sets a task remembers in order to sign equal ones once.
 REMEMBERED = 500_000
 
@@ -463,23 +463,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _heads(signed: DataFrame) -> DataFrame:
     """(id, head): for each signature of an id, the smallest id that has it, where that is another one.
 
-    Signatures that are very frequent among one id in ``ONE_IN`` are salted: their ids first meet the smallest of their salt,
-    and those then meet each other.  Which signatures these are has no influence on who is joined in the end."""
+    Signatures that are very frequent among one id in ``ONE_IN`` get their smallest id by a partial aggregation, and that id
+    is broadcast, so that no task orders all that have such a signature; the result is the same for every signature."""
     met = signed.where(F.col("id").isNotNull()).select("id", "signatures")
     some = met.where(F.pmod(F.xxhash64("id"), F.lit(ONE_IN)) == 0).select(F.explode("signatures").alias("signature"))
     hot = stage(some.groupBy("signature").count().where(F.col("count") >= HOT).select("signature"))
     rows = met.select("id", F.explode("signatures").alias("signature"))
-    first = F.first("id").over(Window.partitionBy("signature", "salt").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    headed = lambda some: some.select("id", first.alias("head")).where("id <> head").distinct()
     n = hot.limit(MOST_HOT + 1).count()
     if not 0 < n <= MOST_HOT:  # none, or so many that no one of them is a task's burden
-        return rows.withColumn("salt", F.lit(0)).select("id", first.alias("head")).where("id <> head").distinct()
-    marked = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "signature", "left")
-    headed = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SALTED)).cast("int")).otherwise(0)).select("id", "signature", "hot", first.alias("head"))
-    # staged: what follows needs the heads of hot signatures only
-    kept = stage(headed.where("id <> head or hot").select("id", "head", F.when(F.col("hot"), F.col("signature")).alias("signature")).distinct())
-    heads = kept.where("signature is not null").select("signature", F.col("head").alias("id")).distinct()
-    top = heads.groupBy("signature").agg(F.min("id").alias("head"))
-    return kept.where("id <> head").select("id", "head").union(heads.join(F.broadcast(top), "signature").where("id <> head").select("id", "head")).distinct()
+        return headed(rows)
+    top = stage(rows.join(F.broadcast(hot), "signature", "left_semi").groupBy("signature").agg(F.min("id").alias("head")))
+    return headed(rows.join(F.broadcast(hot), "signature", "left_anti")).union(rows.join(F.broadcast(top), "signature").where("id <> head").select("id", "head").distinct())
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,17 @@ def test_large_clusters_in_pieces(spark, rows, monkeypatch):
     assert sorted((tuple(r) for r in nj.near_duplicates(docs, 4, 85, 100).collect()), key=str) == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("hot", [2, 20])
+def test_frequent_signatures(spark, rows, monkeypatch, hot):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    t = nj.Threshold(85, 100)
+    signed = docs.selectExpr("doc_id as id", "text").mapInArrow(lambda b: nj._signed(b, 4, t), "id long, size long, f1 long, f2 long, point binary, signatures array<long>").cache()
+    plain = {tuple(r) for r in nj._heads(signed).collect()}
+    monkeypatch.setattr(nj, "ONE_IN", 1)
+    monkeypatch.setattr(nj, "HOT", hot)
+    assert {tuple(r) for r in nj._heads(signed).collect()} == plain
+
+
 def test_one_id_with_several_texts(spark):
     rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "v w x y z"), (9, "v w x y z"), (7, "alone in the world here")]
     found = sorted(tuple(r) for r in nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect())
