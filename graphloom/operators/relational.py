@@ -40,6 +40,11 @@ def top_k(df: DataFrame, k: int, order: list, rank: str | None = None) -> DataFr
     return first if rank is None else first.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows of a ``df`` that a limit bounds, computed now and kept as a local table."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
 def ranged(df: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``__range``: numbers, ascending with ``keys``, of ranges of about ``rows`` rows.
 

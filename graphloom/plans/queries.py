@@ -146,7 +146,7 @@ def friends_by_name(g: Graph, person: int, first_name: str, undirected: bool = T
     """IC1: people of a first name within some hops, by distance, last name, id; with city, emails, languages, and the
     universities and companies as sorted text lists."""
     named = named_candidates(g, person, first_name, undirected, hops)
-    first = stage(rel.top_k(named, limit, ["distance", "last_name", "id"], "rank"))  # at most ``limit`` rows from here on
+    first = rel.held(rel.top_k(named, limit, ["distance", "last_name", "id"], "rank"))  # at most ``limit`` rows from here on
     ids = F.broadcast(first.select(F.col("id").alias("person_id")))
 
     def listed(table: DataFrame, value, name: str) -> DataFrame:
