@@ -7,8 +7,9 @@ intersected; and the places left are compared word by word with the document.  T
 only add places to compare.
 
 Work follows the postings of the rarest terms: a passage that a third of the documents hold costs a place for each of its
-occurrences, spread over the documents' own tasks.  The benchmark's vocabulary and look-ups are broadcast only below a
-checked row count and are an ordinary join side beyond it.
+occurrences, spread over the documents' own tasks.  Texts stay where they are read: the keys of documents with places, and
+then the answers, come to them, as long as these are at most ``SMALL`` rows; beyond that they meet in a shuffle.  The same
+holds for the benchmark's vocabulary and look-ups.
 
 Defined results: null and empty texts have no words and no hits; items without words have no windows; an item of fewer
 than ``n`` words is one window; repeated rows each get the same answer; a null item id marks words as hit but is not listed
@@ -17,7 +18,7 @@ or counted among the items; an empty benchmark hits nothing; an empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, small, stage
@@ -61,9 +62,9 @@ def lookups(wanted: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
     return known.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= most).select("phrase", "term", "offset", F.least("length", F.lit(most)).alias("needed"))
 
 
-def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of every row of ``docs`` with ``__found``: a struct of ``n_words`` and ``hits``, an array of
-    (start, length, items) for each occurrence of a window, start counted in words from 0."""
+def hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Staged (__id, __hash, hits) of the documents with a hit, by id and hash of the text: hits is an array of (start, length,
+    items) for each occurrence of a window, start counted in words from 0."""
     wanted = stage(phrases(items, n))
     vocabulary = wanted.select(F.explode("terms").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
     index = build_index(docs, vocabulary, id_col, text_col)
@@ -77,16 +78,47 @@ def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
     # repeated rows (same id and text) store their postings repeatedly, hence >= above and one place here
     listed = stage(
         places.join(small(wanted.select("phrase", "length", "items"), SMALL, F.size("items") + F.col("length")), "phrase")
-        .groupBy(F.col("__id").alias("__i"), F.col("__hash").alias("__h"))
-        .agg(F.collect_list(F.struct("start", "length", "items", "phrase")).alias("__places"))
+        .groupBy("__id", "__hash").agg(F.collect_list(F.struct("start", "length", "items", "phrase")).alias("__places"))
     )
+    # only documents with places are looked at again
+    texts = with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
+    some = _matched(texts, listed, "left_semi").dropDuplicates(["__id", "__hash"])
+    both = some.join(listed.withColumnRenamed("__id", "__i").withColumnRenamed("__hash", "__h"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).withColumn("__words", words(F.col("__text")))
+    right = F.filter("__places", lambda p: F.array_join(F.slice("__words", p["start"] + 1, p["length"]), " ") == p["phrase"])
+    found = F.transform(right, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["items"].alias("items")))
+    return stage(both.select("__id", "__hash", found.alias("hits")).where(F.size("hits") > 0))
+
+
+def with_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    return docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def _matched(docs: DataFrame, found: DataFrame, how: str, weight: Column | None = None) -> DataFrame:
+    """``docs`` (with __id, __hash) joined with rows of ``found``, which come to the documents while they are few (and, where
+    they differ in size, of little weight)."""
+    other = found.withColumnRenamed("__id", "__i").withColumnRenamed("__hash", "__h")
+    if how in ("left_semi", "left_anti"):
+        other = other.select("__i", "__h")
+    return docs.join(small(other, SMALL, weight), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), how).drop("__i", "__h")
+
+
+def counts(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row of ``docs``: its id, n_words, n_hit (words in occurrences), and items (ids of the items with occurring
+    windows, sorted as strings)."""
+    ids = F.array_sort(F.array_distinct(F.flatten(F.col("hits.items"))))
+    digest = stage(hits(docs, items, n, id_col, text_col).select("__id", "__hash", covered(F.col("hits")).alias("n_hit"), ids.alias("items")))
+    base = with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").select("__id", "__hash", F.size(words(F.col("__text"))).cast("long").alias("n_words"))
+    return _matched(base, digest, "left", F.size("items") + 1).select(F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of every row of ``docs`` with ``__found``: a struct of ``n_words`` and ``hits`` (empty without a hit)."""
+    found = hits(docs, items, n, id_col, text_col)
     names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), F.col(text_col).alias("__text"))
-    # while the places are few they come to the documents; beyond that both sides are shuffled
-    joined = keyed.join(small(listed, SMALL, F.expr("aggregate(__places, 0, (n, p) -> n + 1 + size(p.items) + p.length)")), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), "left").withColumn("__words", words(F.col("__text")))
-    right = F.filter(F.coalesce("__places", F.array().cast("array<struct<start:int,length:int,items:array<string>,phrase:string>>")), lambda p: F.array_join(F.slice("__words", p["start"] + 1, p["length"]), " ") == p["phrase"])
-    hits = F.transform(right, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["items"].alias("items")))
-    return joined.select(*[F.col("__row")[c].alias(c) for c in names], F.struct(F.size("__words").alias("n_words"), hits.alias("hits")).alias("__found"))
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    joined = _matched(with_hash(keyed, "__text"), found, "left", F.expr("aggregate(hits, 0, (n, h) -> n + 1 + size(h.items))"))
+    none = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
+    return joined.select(*[F.col("__row")[c].alias(c) for c in names], F.struct(F.size(words(F.col("__text"))).alias("n_words"), F.coalesce("hits", none).alias("hits")).alias("__found"))
 
 
 def covered(hits):
@@ -98,7 +130,10 @@ def covered(hits):
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs``, columns as they are, in which no window of a benchmark item occurs."""
-    return find(docs, items, n).where(F.size("__found.hits") == 0).drop("__found")
+    found = hits(docs, items, n)
+    names = docs.columns
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    return _matched(with_hash(keyed, "__text"), found, "left_anti").select(*[F.col("__row")[c].alias(c) for c in names])
 
 
 def near(docs: DataFrame, items: DataFrame, within: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

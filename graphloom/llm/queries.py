@@ -36,11 +36,8 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (read(spark, sf_dir, t) for t in ("documents", "benchmark"))
-    found = decontaminate.find(docs.select("doc_id", "text"), items.select("item_id", "text"))
-    hits = F.col("__found.hits")
-    listed = F.array_sort(F.array_distinct(F.flatten(hits["items"])))
-    counted = found.select("doc_id", F.col("__found.n_words").cast("long").alias("n_words"), decontaminate.covered(hits).cast("long").alias("n_hit"), listed.alias("__items"))
-    return counted.select("doc_id", "n_words", "n_hit", F.size("__items").cast("long").alias("n_items"), F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = decontaminate.counts(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
