@@ -23,7 +23,7 @@ def test_one_query_for_each_operator():
 
 @pytest.mark.parametrize(("name", "table", "columns"), [
     ("op1_quality", "documents", {"doc_id", "held_out", "score", "predicted"}), ("op4_sentencepiece", "documents", {"doc_id", "ids", "n_tokens", "lossless"}),
-    ("op5_token_files", "documents", {"doc_id", "start", "n_tokens", "ids_crc32"}), ("op6_url_filters", "pages", {"page_id", "host", "path", "rule", "verdict"}), ("op7_toxicity", "documents", {"doc_id", "held_out", "score", "predicted"}),
+    ("op5_token_files", "documents", {"doc_id", "start", "n_tokens", "ids_crc32"}), ("op6_url_filters", "pages", {"page_id", "host", "path", "rule", "verdict", "mined"}), ("op7_toxicity", "documents", {"doc_id", "held_out", "score", "predicted"}),
 ])
 def test_a_row_for_each_row(spark, name, table, columns):
     found = queries.queries()[name](spark, FOLDER)
