@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import stage, stage_bucketed, staged_path
+from ..staging import stage_bucketed, staged_path
 from .relational import dense_index
 
 #: Rows of a search that may be kept on the driver, and source ids that may stand in a plan as literals.
