@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, licences, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
-from .common import ascii_lower_sql, fold, read, staged_path
+from . import chat, decontaminate, licences, merkle, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
+from .common import ascii_lower, ascii_lower_sql, fold, read, staged_path
 
 #: The explicit URL rules.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -16,6 +16,8 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 URL_SEEDS = ["casino", "bets", "pills", "spam", "ads", "adult"]
 #: The added conversation.
 HARD_ID, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
+#: What a leaf of the manifest hashes, in this order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +89,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns.unionByName(hard)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*LEAF)
+    text = F.when(fold(F.col("doc_id"), 3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, LEAF, "lang", "doc_id", altered=F.struct(*LEAF[:-1], text.alias("text")))
+    folded = merkle.fold(F.col("other_leaf"), F.col("steps"))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 WORDS_SQL = f"regexp_extract_all({ascii_lower_sql("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
 DECONTAMINATION_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS w FROM documents),
@@ -142,9 +152,38 @@ FROM w GROUP BY conv_id, apart
 """
 
 
+def _spelled(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, *, coalesce('=' || lang, '-') AS tree, {ascii_lower_sql('text')} AS small,
+            list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] ELSE list_prepend(unicode(c)::BIGINT, list_resize([]::BIGINT[], 8, -1)) END))),
+                lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END) AS crc FROM documents),
+     e AS (SELECT r, doc_id, tree, {_spelled('doc_id')} || {_spelled('source')} || {_spelled('lang')} || {_spelled('n_chars')} AS head, text, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN small ELSE text END AS other FROM d),
+     leaves AS (SELECT r, doc_id, tree, sha256(head || {_spelled('text')}) AS leaf, sha256(head || {_spelled('other')}) AS changed FROM e),
+     l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM leaves),
+     lv AS (SELECT tree, 0 AS k, place, size, leaf AS h FROM l
+            UNION ALL SELECT tree, k + 1, place // 8, (size + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM lv WHERE size > 1 GROUP BY tree, k, place // 8, size),
+     subs AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM lv WHERE size = 1),
+     tv AS (SELECT 0 AS k, place, size, h FROM subs
+            UNION ALL SELECT k + 1, place // 8, (size + 7) // 8, sha256(string_agg(h, '' ORDER BY place)) FROM tv WHERE size > 1 GROUP BY k, place // 8, size),
+     runs AS MATERIALIZED (SELECT tree, k, place // 8 AS up, list(h ORDER BY place) AS hs FROM lv WHERE size > 1 GROUP BY ALL),
+     truns AS MATERIALIZED (SELECT k, place // 8 AS up, list(h ORDER BY place) AS hs FROM tv WHERE size > 1 GROUP BY ALL),
+     p AS (SELECT r, tree, 0 AS k, place, size, changed AS f, '' AS proof FROM l
+           UNION ALL SELECT r, tree, k + 1, place // 8, (size + 7) // 8, sha256(before || f || after), proof || before || after
+           FROM (SELECT p.*, array_to_string(hs[:place % 8], '') AS before, array_to_string(hs[place % 8 + 2:], '') AS after FROM p JOIN runs USING (tree, k) WHERE p.size > 1 AND runs.up = p.place // 8)),
+     t AS (SELECT r, 0 AS k, subs.place, subs.size, f, proof, subs.h AS subroot FROM p JOIN subs USING (tree) WHERE p.size = 1
+           UNION ALL SELECT r, k + 1, place // 8, (size + 7) // 8, sha256(before || f || after), proof || before || after, subroot
+           FROM (SELECT t.*, array_to_string(hs[:place % 8], '') AS before, array_to_string(hs[place % 8 + 2:], '') AS after FROM t JOIN truns USING (k) WHERE t.size > 1 AND truns.up = t.place // 8))
+SELECT doc_id, leaf, subroot, tv.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = tv.h AS verified
+FROM t JOIN l USING (r), tv WHERE t.size = 1 AND tv.size = 1
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL, "op13_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
