@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, licences, merkle, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
+from . import chat, decontaminate, divergence, licences, merkle, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
 from .common import ascii_lower, ascii_lower_sql, fold, read, staged_path
 
 #: The explicit URL rules.
@@ -89,6 +89,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns.unionByName(hard)))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(*LEAF)
     text = F.when(fold(F.col("doc_id"), 3) == 0, ascii_lower(F.col("text"))).otherwise(F.col("text"))
@@ -152,6 +156,24 @@ FROM w GROUP BY conv_id, apart
 """
 
 
+_SHARE = "1 + 1000000000 * ({} + 1) // ({} + {})"
+DIVERGENCE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {ascii_lower_sql("coalesce(text, '')")} AS text FROM documents),
+     w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+     kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+     c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+     langs AS (SELECT lang, sum(n)::BIGINT AS total, count(*) AS kinds FROM kept GROUP BY lang),
+     g AS MATERIALIZED (SELECT g.lang, g.source, coalesce(s.total, 0)::BIGINT AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) s USING (lang, source)),
+     p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_SHARE.format('coalesce(c.n, 0)', 'g.total', 'l.kinds')} AS p
+           FROM g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+     pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+     every AS (SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+     terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM (SELECT p.*, {_SHARE.format('k.n', 'l.total', 'l.kinds')} AS q FROM p JOIN kept k USING (lang, term) JOIN langs l USING (lang)) x WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM every
+UNION ALL SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms QUALIFY rank <= 200
+"""
+
+
 def _spelled(column: str) -> str:
     return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
 
@@ -182,8 +204,8 @@ FROM t JOIN l USING (r), tv WHERE t.size = 1 AND tv.size = 1
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting, op12_source_divergence, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL, "op13_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_ngram_join": NGRAM_SQL, "op3_decontamination": DECONTAMINATION_SQL, "op9_exact_topk": TOPK_SQL, "op10_chat_formatting": CHAT_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_merkle_manifest": MERKLE_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
