@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, divergence, licences, merkle, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
+from . import chat, decontaminate, divergence, licences, lm, merkle, ngram_join, pieces, quality, tokenfile, topk, toxicity, urls
 from .common import ascii_lower, ascii_lower_sql, fold, read, staged_path
 
 #: The explicit URL rules.
@@ -89,6 +89,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.expand(turns.unionByName(hard)))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 7) == 2
+    model = lm.train(docs, ~held)
+    found = lm.score(docs, model, ["doc_id"])
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -204,7 +212,7 @@ FROM t JOIN l USING (r), tv WHERE t.size = 1 AND tv.size = 1
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting, op12_source_divergence, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_quality, op2_ngram_join, op3_decontamination, op4_sentencepiece, op5_token_files, op6_url_filters, op7_toxicity, op8_licence_scan, op9_exact_topk, op10_chat_formatting, op11_lm_scores, op12_source_divergence, op13_merkle_manifest)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

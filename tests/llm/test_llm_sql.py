@@ -18,12 +18,12 @@ def test_query(spark, name):
 
 def test_one_query_for_each_operator():
     names = set(queries.queries())
-    assert {int(n[2:].split("_")[0]) for n in names - {"pipeline"}} == {*range(1, 11), 12, 13} and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names - {"pipeline"}} == set(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize(("name", "table", "columns"), [
     ("op1_quality", "documents", {"doc_id", "held_out", "score", "predicted"}), ("op4_sentencepiece", "documents", {"doc_id", "ids", "n_tokens", "lossless"}),
-    ("op5_token_files", "documents", {"doc_id", "start", "n_tokens", "ids_crc32"}), ("op6_url_filters", "pages", {"page_id", "host", "path", "rule", "verdict", "mined"}), ("op7_toxicity", "documents", {"doc_id", "held_out", "score", "predicted"}),
+    ("op11_lm_scores", "documents", {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"}), ("op5_token_files", "documents", {"doc_id", "start", "n_tokens", "ids_crc32"}), ("op6_url_filters", "pages", {"page_id", "host", "path", "rule", "verdict", "mined"}), ("op7_toxicity", "documents", {"doc_id", "held_out", "score", "predicted"}),
 ])
 def test_a_row_for_each_row(spark, name, table, columns):
     found = queries.queries()[name](spark, FOLDER)
