@@ -12,7 +12,7 @@ import numpy as np
 from .common import ranges
 
 #: Units of the state, steps of a window, sequences trained together and their longest length.
-HIDDEN, WINDOW, TOGETHER, LONGEST = 16, 32, 256, 512
+HIDDEN, WINDOW, TOGETHER, LONGEST = 16, 32, 512, 512
 NAMES = ("inputs", "recurrent", "classes", "class_bias", "words", "word_bias")
 
 
@@ -25,12 +25,15 @@ def class_bounds(weights: np.ndarray, singles: int, classes: int) -> np.ndarray:
 
 
 def fresh(weights: np.ndarray, bounds: np.ndarray, hidden: int = HIDDEN, seed: int = 11) -> dict[str, np.ndarray]:
-    """A network that gives every token its share of ``weights`` whatever came before; training starts here."""
+    """A network that gives every token its share of ``weights`` whatever came before; training starts here.
+
+    What a token and the state add to the update gate, the reset gate and the candidate are blocks of their own, so that every
+    step works on memory without gaps."""
     draw, n = np.random.default_rng(seed), len(weights)
     shares = np.maximum(weights, 1e-9) / np.maximum(weights, 1e-9).sum()
     by_class = np.add.reduceat(shares, bounds[:-1])
     found = {
-        "inputs": draw.normal(0, 0.3, (n, 3 * hidden)), "recurrent": draw.normal(0, 1 / np.sqrt(hidden), (hidden, 3 * hidden)),
+        "inputs": draw.normal(0, 0.3, (3, n, hidden)), "recurrent": draw.normal(0, 1 / np.sqrt(hidden), (3, hidden, hidden)),
         "classes": np.zeros((hidden, len(by_class))), "class_bias": np.log(by_class), "words": np.zeros((n, hidden)), "word_bias": np.log(shares),
     }
     return {k: v.astype(np.float32) for k, v in found.items()}
@@ -60,59 +63,63 @@ class Sequences:
             yield active, self.flat[places], self.flat[places + 1], mask
 
 
-def _forward(net: dict, x: np.ndarray, state: np.ndarray, active: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """States after each step of a window; ``state`` is moved on in place."""
-    hidden = state.shape[1]
-    out = np.zeros((len(active), x.shape[1], hidden), np.float32)
+def _forward(net: dict, inputs: np.ndarray, state: np.ndarray, active: np.ndarray, trace: list | None = None) -> np.ndarray:
+    """States after each step of a window of (steps, texts) token ids; ``state`` is moved on in place."""
+    x, out = np.take(net["inputs"], inputs, axis=1), np.zeros((*inputs.shape, state.shape[1]), net["inputs"].dtype)
     for t, n in enumerate(active):
         h = state[:n]
-        a = h @ net["recurrent"]
-        gates, candidate = a[:, : 2 * hidden], a[:, 2 * hidden :]
-        gates += x[t, :n, : 2 * hidden]
+        a = np.matmul(h, net["recurrent"])
+        gates, candidate = a[:2], a[2]
+        gates += x[:2, t, :n]
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
         if trace is not None:
-            held = candidate.copy()
-        candidate *= gates[:, hidden:]
-        candidate += x[t, :n, 2 * hidden :]
+            trace.append((h.copy(), a, candidate.copy()))
+        candidate *= a[1]
+        candidate += x[2, t, :n]
         np.tanh(candidate, out=candidate)
-        if trace is not None:
-            trace.append((h.copy(), a, held))
         h -= candidate
-        h *= gates[:, :hidden]
+        h *= a[0]
         h += candidate
         out[t, :n] = h
     return out
 
 
+def _shares(logits: np.ndarray, wanted: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-shares of the ``wanted`` column of each row, exp of the logits (in place) and its sums; rows are only shifted by their
+    greatest logit where a bound on logits (``most``) does not make that needless."""
+    if most > 80:
+        logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(logits)), wanted]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return own - np.log(total), logits, total
+
+
+def _most(weights: np.ndarray, bias: np.ndarray) -> float:
+    """A bound on logits, as no state has a component beyond 1."""
+    return float((np.abs(weights).sum(axis=0) + np.abs(bias)).max(initial=0))
+
+
 def _predict(net: dict, bounds: np.ndarray, of_class: np.ndarray, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None):
     """Natural log-probabilities of ``targets`` after ``states``; with ``gradient``, what to change is added to it and the
     states' part returned."""
     rows, cls = np.arange(len(targets)), of_class[targets]
-    logits = states @ net["classes"] + net["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[rows, cls]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    found = own - np.log(total)
+    found, logits, total = _shares(states @ net["classes"] + net["class_bias"], cls, _most(net["classes"], net["class_bias"]))
     if gradient is not None:
         logits /= total[:, None]
         logits[rows, cls] -= 1
         gradient["classes"] += states.T @ logits
         gradient["class_bias"] += logits.sum(axis=0)
         back = logits @ net["classes"].T
-    order = np.argsort(cls, kind="stable")
+    order, most = np.argsort(cls, kind="stable"), _most(net["words"].T, net["word_bias"])
     cuts = np.searchsorted(cls[order], np.arange(len(bounds)))
     for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(bounds) > 1)):
         mine, begin, end = order[cuts[c] : cuts[c + 1]], bounds[c], bounds[c + 1]
         at, seen = np.arange(len(mine)), states[mine]
-        within = seen @ net["words"][begin:end].T + net["word_bias"][begin:end]
-        within -= within.max(axis=1, keepdims=True)
-        own = within[at, targets[mine] - begin]
-        np.exp(within, out=within)
-        total = within.sum(axis=1)
-        found[mine] += own - np.log(total)
+        own, within, total = _shares(seen @ net["words"][begin:end].T + net["word_bias"][begin:end], targets[mine] - begin, most)
+        found[mine] += own
         if gradient is not None:
             within /= total[:, None]
             within[at, targets[mine] - begin] -= 1
@@ -123,15 +130,19 @@ def _predict(net: dict, bounds: np.ndarray, of_class: np.ndarray, states: np.nda
 
 
 def log_likelihood(net: dict, bounds: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The natural log-probability of each text and its end."""
-    of_class, texts = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), Sequences(ids, lengths)
-    state, sums = np.zeros((len(lengths), net["recurrent"].shape[0]), np.float32), np.zeros(len(lengths))
-    for active, inputs, targets, mask in texts.windows():
-        states = _forward(net, net["inputs"][inputs], state, active)
-        found = _predict(net, bounds, of_class, states[mask], targets[mask])
-        sums[: active[0]] += np.bincount(np.nonzero(mask)[1], found, active[0])
-    out = np.empty(len(lengths))
-    out[texts.order] = sums
+    """The natural log-probability of each text and its end.  Texts of like length go together."""
+    of_class, hidden = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), net["recurrent"].shape[1]
+    begin, out = np.cumsum(lengths) - lengths, np.empty(len(lengths))
+    order = np.argsort(-lengths, kind="stable")
+    for at in range(0, len(order), TOGETHER):
+        some = order[at : at + TOGETHER]
+        texts = Sequences(ids[ranges(begin[some], lengths[some])], lengths[some])
+        state, sums = np.zeros((len(some), hidden), np.float32), np.zeros(len(some))
+        for active, inputs, targets, mask in texts.windows():
+            states = _forward(net, inputs, state, active)
+            found = _predict(net, bounds, of_class, states[mask], targets[mask])
+            sums[: active[0]] += np.bincount(np.nonzero(mask)[1], found, active[0])
+        out[some[texts.order]] = sums
     return out
 
 
@@ -156,38 +167,45 @@ class Trainer:
             self._batch(Sequences(ids[ranges(begin[some], size[some])], size[some]))
 
     def _batch(self, texts: Sequences) -> None:
-        state = np.zeros((len(texts.steps), self.net["recurrent"].shape[0]), np.float32)
+        state = np.zeros((len(texts.steps), self.net["recurrent"].shape[1]), np.float32)
         for window in texts.windows():
             self._update(self.gradient(state, *window)[0])
 
     def gradient(self, state: np.ndarray, active: np.ndarray, inputs: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[dict, float]:
         """The gradient of a window's mean negative log-likelihood, and its sum; ``state`` is moved on."""
-        net, hidden, trace = self.net, state.shape[1], []
-        states = _forward(net, net["inputs"][inputs], state, active, trace)
+        net, trace = self.net, []
+        states = _forward(net, inputs, state, active, trace)
         out = {k: np.zeros_like(v) for k, v in net.items()}
         found, at_states = _predict(net, self.bounds, self.of_class, states[mask], targets[mask], out)
         back = np.zeros_like(states)
         back[mask] = at_states
-        later, moved = np.zeros((inputs.shape[1], hidden), np.float32), np.zeros((*inputs.shape, 3 * hidden), np.float32)
+        # what moves the gates and the candidate, and the candidate's part that comes by the state
+        later, moved, inner = np.zeros_like(states[0]), np.zeros((3, *states.shape), states.dtype), np.zeros((3, *states.shape), states.dtype)
+        before, turned = np.zeros_like(states), net["recurrent"].transpose(0, 2, 1)
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
-            before, a, held = trace[t]
-            z, r, c = a[:, :hidden], a[:, hidden : 2 * hidden], a[:, 2 * hidden :]
+            before[t, :n], (z, r, c), held = trace[t]
             d = later[:n] + back[t, :n]
-            dc = d * (1 - z) * (1 - c * c)
-            m = moved[t, :n]
-            m[:, :hidden] = d * (before - c) * 2 * z * (1 - z)
-            m[:, hidden : 2 * hidden] = dc * held * 2 * r * (1 - r)
-            m[:, 2 * hidden :] = dc
-            inner = m.copy()
-            inner[:, 2 * hidden :] *= r
-            out["recurrent"] += before.T @ inner
-            later[:n] = d * z + inner @ net["recurrent"].T
-        used = inputs[mask]
+            m, i = moved[:, t, :n], inner[:, t, :n]
+            keep = 1 - z
+            dc = d * keep
+            m[0] = (before[t, :n] - c) * dc * z * 2
+            dc *= 1 - c * c
+            m[1] = dc * held * r * (1 - r) * 2
+            m[2] = dc
+            i[:2] = m[:2]
+            i[2] = dc * r
+            d *= z
+            d += np.matmul(i, turned).sum(axis=0)
+            later[:n] = d
+        width = before.shape[-1]
+        out["recurrent"] += np.matmul(before.reshape(-1, width).T, inner.reshape(3, -1, width))
+        rows = np.flatnonzero(mask.ravel())
+        used = inputs.ravel()[rows]
         order = np.argsort(used, kind="stable")
         used = used[order]
         first = np.flatnonzero(np.diff(used, prepend=-1))
-        out["inputs"][used[first]] = np.add.reduceat(moved[mask][order], first, axis=0)
+        out["inputs"][:, used[first]] = np.add.reduceat(np.take(moved.reshape(3, -1, width), rows[order], axis=1), first, axis=1)
         self.tokens += len(found)
         for v in out.values():
             v /= len(found)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import LOWER, byte_table, ranges, sliced, spans, stage, text_view
+from .common import sliced, spans, stage, text_view
 
 #: Words of the network, its classes, and words whose counts travel with tasks (of at most ``LONG_WORD`` bytes).
 WORDS, CLASSES, HEAD, LONG_WORD = 1022, 32, 65_536, 64
@@ -34,21 +34,22 @@ WORDS, CLASSES, HEAD, LONG_WORD = 1022, 32, 65_536, 64
 BEGUN_WITH, BEGUN_BYTES, PASSES, RATES = 1_000, 16_384, 4, (0.01, 0.002)
 #: Tasks, at most, that add up the networks of all others.
 GATHER = 64
-#: Bytes of text of a slice of training and of scoring.
-TRAIN_BYTES, SCORE_BYTES = 1 << 20, 4 << 20
+#: Bytes of text of a slice of training, and of counting and scoring.
+TRAIN_BYTES, SCORE_BYTES = 4 << 20, 4 << 20
 #: Steps of a power of two into which counts are sorted when the most frequent words are looked for.
 GRAIN = 16
-SPACE = byte_table("space")
 END, RARE = 0, 1
 
 
 def tokens(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of texts, lower-cased in A-Z, and how many each text has."""
     raw, offsets = text_view(column)
-    is_word = SPACE[raw]
+    is_word = (raw != 0x20) & ((raw - np.uint8(9)) > 4)  # all but a blank and the five bytes from 9 on
     starts, ends, text = spans(is_word, offsets)
     cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(LOWER[raw[is_word]]))
+    letters = raw[is_word]
+    letters += ((letters - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(letters))
     return words.dictionary_encode(), np.bincount(text, minlength=len(column)).astype(np.int64)
 
 
@@ -139,7 +140,7 @@ def _begun(texts: DataFrame, model: Model, words: int) -> dict[str, np.ndarray]:
     trainer = gru.Trainer(model.net, model.bounds, RATES[0])
     flat, lengths = np.array([x for one in ids for x in one], np.int32), np.array([len(one) for one in ids], np.int64)
     for _ in range(PASSES if len(ids) else 0):
-        trainer.texts(flat, lengths, gru.TOGETHER // 4)
+        trainer.texts(flat, lengths, gru.TOGETHER // 8)
     return trainer.net
 
 
@@ -179,7 +180,7 @@ def _sums(part: int, tokens_: int, net: np.ndarray) -> pa.RecordBatch:
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row of ``docs`` (text), n_tokens, n_known, base_score and score (log10)."""
     head, head_counts, net, bounds = model.head, model.head_counts, model.net, model.bounds
-    words, rare_total = len(net["inputs"]) - 2, model.rare_total
+    words, rare_total = net["inputs"].shape[1] - 2, model.rare_total
     ends = int(model.total > 0) and int(model.counts.where("term = ''").first()["n"])
 
     def run(batches):

@@ -99,12 +99,12 @@ def network(seed=5, tokens=50, classes=6):
 
 def step_by_step(net, bounds, text):
     """Log-probability of a text and its end, a token at a time."""
-    hidden, h, last, total = net["recurrent"].shape[0], np.zeros(net["recurrent"].shape[0]), 0, 0.0
+    h, last, total = np.zeros(net["recurrent"].shape[1]), 0, 0.0
     sigma = lambda x: 1 / (1 + np.exp(-2 * x))
     for token in [*text, 0]:
-        x, a = net["inputs"][last].astype(float), h @ net["recurrent"].astype(float)
-        z, r = sigma(x[:hidden] + a[:hidden]), sigma(x[hidden : 2 * hidden] + a[hidden : 2 * hidden])
-        c = np.tanh(x[2 * hidden :] + r * a[2 * hidden :])
+        x, a = net["inputs"][:, last].astype(float), h @ net["recurrent"].astype(float)
+        z, r = sigma(x[0] + a[0]), sigma(x[1] + a[1])
+        c = np.tanh(x[2] + r * a[2])
         h, last = (1 - z) * c + z * h, token
         classes = np.exp(h @ net["classes"] + net["class_bias"])
         own = int(np.searchsorted(bounds, token, "right")) - 1
