@@ -27,11 +27,11 @@ def name_code(text):
 
 
 def date_code(text):
-    """'y-m-d' as y * 365 + m * 30 + d, and 0 for anything that is not three whole numbers.  Some dates share a code."""
+    """'y-m-d' as y * 365 + m * 30 + d; a part that is no whole number counts as 0, and so does anything without three parts.
+    Some dates share a code."""
     parts = F.split(text, "-")
-    whole = (F.size(parts) == 3) & F.forall(parts, lambda p: p.rlike(r"^\d{1,9}$"))
-    year, month, day = (F.try_element_at(parts, F.lit(i)).try_cast("long") for i in (1, 2, 3))
-    return F.when(whole, year * 365 + month * 30 + day).otherwise(F.lit(0).cast("long"))
+    number = lambda i: F.coalesce(F.when(F.try_element_at(parts, F.lit(i)).rlike(r"^\+?\d{1,9}$"), F.try_element_at(parts, F.lit(i)).try_cast("long")), F.lit(0).cast("long"))
+    return F.when(F.size(parts) == 3, number(1) * 365 + number(2) * 30 + number(3)).otherwise(F.lit(0).cast("long"))
 
 
 def stamp_code(text):

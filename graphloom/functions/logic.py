@@ -51,10 +51,29 @@ def total(*values):
 
 
 def little_endian(octets):
-    """An array of bytes, least first, as a number (at most seven bytes, to stay within a long)."""
+    """An array of bytes, least first, as a number (at most seven bytes, to stay within a long; ``limbs`` and
+    ``wide_little_endian`` take sixteen)."""
     return F.aggregate(F.reverse(octets), F.lit(0).cast("long"), lambda a, x: a * 256 + x)
 
 
+def limbs(octets):
+    """Up to sixteen bytes, least first, as two whole numbers below 2^64: ``high`` and ``low``.  Null if there are more bytes,
+    or if any is null or no byte."""
+    wide = lambda part: F.aggregate(F.reverse(part), F.lit(0).cast("decimal(38,0)"), lambda a, x: (a * F.lit(256).cast("decimal(3,0)") + x.cast("decimal(3,0)")).cast("decimal(38,0)"))
+    fits = (F.size(octets) <= 16) & F.coalesce(F.forall(octets, lambda x: x.isNotNull() & x.between(0, 255)), F.lit(False))
+    found = F.struct(*[wide(F.slice(octets, begin, 8)).cast("decimal(20,0)").alias(name) for name, begin in (("high", 9), ("low", 1))])
+    return F.when(fits, found)
+
+
+def wide_little_endian(octets):
+    """Up to sixteen bytes, least first, as one decimal of 38 digits; null from 10^38 on, and where ``limbs`` is null."""
+    pair = limbs(octets)
+    # 10^38 = 5421010862427522170 * 2^64 + 687399551400673280
+    most, rest, by = (F.lit(x).cast("decimal(20,0)") for x in ("5421010862427522170", "687399551400673280", "18446744073709551616"))
+    below = (pair["high"] < most) | ((pair["high"] == most) & (pair["low"] < rest))
+    return F.when(below, F.call_function("try_add", F.call_function("try_multiply", pair["high"], by).cast("decimal(38,0)"), pair["low"]).cast("decimal(38,0)"))
+
+
 def power_of_two(exponent):
     return F.call_function("shiftleft", F.lit(1).cast("long"), exponent.cast("int"))
 

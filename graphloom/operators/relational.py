@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import stage
+from ..staging import adopt, free, owned, stage
 
 #: Rows that one task may order.
 RANGE_ROWS = 1_000_000
 
 
-def small(df: DataFrame, bound: int) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``bound`` rows; beyond that it stays an ordinary join side."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def other_endpoint(known: Column, p1: Column, p2: Column) -> Column:
     return F.when(p1 == known, p2).otherwise(p1)
 
@@ -50,16 +45,30 @@ def ranged(df: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
 
     Ranges are cut at sampled keys, so outliers do not matter, and their number grows with the rows.  Staged, so that every use
     sees the same ranges.  Rows of equal keys share a range."""
-    ranges = -(-df.count() // rows)
+    with owned() as first:
+        kept = stage(df)
+    ranges = -(-kept.count() // rows)
     if ranges <= 1:
-        return df.withColumn("__range", F.lit(0))
-    return stage(df.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()))
+        adopt(first)
+        return kept.withColumn("__range", F.lit(0))
+    cut = stage(kept.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()))
+    free(first)
+    return cut
 
 
 def _before(sizes: DataFrame, value) -> DataFrame:
     """(__range, __before): the sum of ``value`` over smaller ranges; one row for each range."""
-    smaller = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.groupBy("__range").agg(value.alias("__n")).select("__range", F.coalesce(F.sum("__n").over(smaller), F.lit(0)).alias("__before"))
+    return sizes.groupBy("__range").agg(value.alias("__n")).select("__range", F.coalesce(F.sum("__n").over(_smaller()), F.lit(0)).alias("__before"))
+
+
+def _smaller():
+    """All ranges before a range; for tables with one row for each range."""
+    return Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _greater():
+    """All ranges after a range, swept downwards."""
+    return Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def dense_index(df: DataFrame, key: str | list[str], name: str = "index", rows: int = RANGE_ROWS) -> DataFrame:
@@ -90,10 +99,11 @@ def align(keys: DataFrame, key: str, bounds: DataFrame, bound: str, low: int, hi
     values = points.groupBy("__k").agg(F.max("__is_bound").alias("__is_bound"), F.min("__is_bound").alias("__no_key"))
     cut = ranged(values, ["__k"], rows)
     mark = F.when(F.col("__is_bound"), F.col("__k"))
-    inside = Window.partitionBy("__range").orderBy("__k")
-    near = cut.withColumn("__floor", F.last(mark, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.first(mark, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)))
+    # one sweep up a range and one down: a frame that ends at the row before costs a step a row
+    up, down = Window.partitionBy("__range").orderBy("__k"), Window.partitionBy("__range").orderBy(F.desc("__k"))
+    near = cut.withColumn("__floor", F.last(mark, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last(mark, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
     by_range = cut.groupBy("__range").agg(F.max(mark).alias("__max"), F.min(mark).alias("__min"))
-    carried = by_range.select("__range", F.max("__max").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.min("__min").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    carried = by_range.select("__range", F.max("__max").over(_smaller()).alias("__before"), F.min("__min").over(_greater()).alias("__after"))
     placed = near.where("not __no_key").join(F.broadcast(carried), "__range").select("__k", F.coalesce("__floor", "__before", F.lit(low)).alias("floor_bound"), F.coalesce("__next", "__after", F.lit(high)).alias("next_bound"))
     return keys.join(placed, F.col(key).cast("long") == F.col("__k"), "left").select(*keys.columns, "floor_bound", "next_bound")
 
@@ -103,7 +113,7 @@ def adjacent_pairs(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
     cut = ranged(keys, [key], rows)
     starts = cut.groupBy("__range").agg(F.min(key).alias("__first"))
-    after = starts.select("__range", F.min("__first").over(Window.orderBy("__range").rowsBetween(1, Window.unboundedFollowing)).alias("__after"))
+    after = starts.select("__range", F.min("__first").over(_greater()).alias("__after"))
     inside = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
     return cut.withColumn("__next", inside).join(F.broadcast(after), "__range").select(key, F.coalesce("__next", "__after").alias("next"))
 
@@ -121,3 +131,11 @@ def match_matrix(df: DataFrame, key: str, ids: list[int], most: int = 10) -> Dat
     if len(wanted) < most:
         raise ValueError(f"at least {most} distinct ids are needed")
     return df.select("*", *[(F.col(key) == x).alias(f"match_{i}") for i, x in enumerate(wanted)])
+
+
+def outsiders(keys: DataFrame, key: str, members: DataFrame, member: str, low: int, high: int, rows: int = RANGE_ROWS) -> DataFrame:
+    """The distinct keys that are not among ``members``, each with what proves it: the members next below and above, the set
+    being extended by ``low`` and ``high``.  Null keys are left out."""
+    known = members.select(F.col(member).cast("long").alias("__m")).where("__m is not null").distinct()
+    apart = keys.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct().join(known, F.col(key) == F.col("__m"), "left_anti")
+    return align(apart, key, known, "__m", low, high, rows).withColumnsRenamed({"floor_bound": "below", "next_bound": "above"})

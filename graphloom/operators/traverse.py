@@ -2,8 +2,8 @@
 
 A search is a loop on the driver, one level at a time, over edges bucketed by their source.  While all that it has reached is
 no more than ``LOCAL`` rows, counted anew at each level, it is kept on the driver: a level is then one pruned read of the
-frontier's buckets.  Beyond that each level is a staged table, and a level shuffles its frontier and not the edges.  Both ways
-give the same rows.
+frontier's buckets.  Beyond that visited nodes are a table bucketed by id that grows by a level's files, and a level shuffles
+its new nodes only.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import stage_bucketed, staged_path
+from ..staging import Grown, stage_bucketed
 from .relational import dense_index
 
 #: Rows of a search that may be kept on the driver, and source ids that may stand in a plan as literals.
 LOCAL, LITERALS = 20_000, 500
 REACHED = "id long, distance int, predecessor long"
+NODE = ["id", "distance", "predecessor"]
 
 
 def directed(edges: DataFrame, a: str = "p1", b: str = "p2") -> DataFrame:
@@ -127,26 +128,31 @@ def bfs(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, targe
 
 
 def _bfs_staged(edges: DataFrame, reached: DataFrame, hop: int, max_hops: int | None, target: int | None) -> DataFrame:
-    """The search from what was ``reached`` in ``hop`` steps on, with every level a folder of one staged table."""
-    spark = edges.sparkSession
-    path = staged_path(spark)
-    reached.write.parquet(f"{path}/level={hop}")
+    """The search from what was ``reached`` in ``hop`` steps on.  What has been visited is a table bucketed by id to which
+    every level appends its files, so a level shuffles its new nodes, and neither edges nor visited nodes."""
+    visited = Grown(edges.sparkSession, "id", "distance")
+    visited.append(reached.select(*NODE).repartition(visited.buckets, "id"))
     while max_hops is None or hop < max_hops:
-        seen = spark.read.schema(REACHED).parquet(path)
-        frontier = seen.where(F.col("distance") == hop).select(F.col("id").alias("src"))
+        seen = visited.table()
         if target is not None and seen.where(F.col("id") == target).limit(1).count():
             break
         hop += 1
-        near = _reached(frontier.join(edges, "src")).join(seen.select("id"), "id", "left_anti")
-        near.select("id", F.lit(hop).alias("distance"), "predecessor").write.parquet(f"{path}/level={hop}")
-        if not spark.read.schema(REACHED).parquet(f"{path}/level={hop}").limit(1).count():
+        visited.append(next_level(edges, seen, hop))
+        if not visited.table().where(F.col("distance") == hop).limit(1).count():
             break
-    return spark.read.schema(REACHED).parquet(path).select("id", "distance", "predecessor")
+    return visited.table().select(*NODE)
+
+
+def next_level(edges: DataFrame, seen: DataFrame, hop: int) -> DataFrame:
+    """The nodes one step beyond those at distance ``hop`` - 1 that are not among ``seen`` (id, distance, predecessor)."""
+    frontier = seen.where(F.col("distance") == hop - 1).select(F.col("id").alias("src"))
+    near = _reached(frontier.join(edges, "src")).join(seen.select("id"), "id", "left_anti")
+    return near.select("id", F.lit(hop).alias("distance"), "predecessor")
 
 
-def hop_levels(edges: DataFrame, sources: DataFrame, hops: int) -> DataFrame:
+def hop_levels(edges: DataFrame, sources: DataFrame, hops: int, local: int = LOCAL) -> DataFrame:
     """(hop, id): the distinct nodes at exactly 1 .. ``hops`` steps."""
-    return bfs(edges, sources, hops).where("distance > 0").select(F.col("distance").alias("hop"), "id")
+    return bfs(edges, sources, hops, local=local).where("distance > 0").select(F.col("distance").alias("hop"), "id")
 
 
 def shortest_path_length(edges: DataFrame, ends: DataFrame, a: int, b: int, undirected: bool = False, local: int = LOCAL) -> DataFrame:

@@ -7,31 +7,83 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .relational import dense_index
+from .relational import adjacent_pairs, dense_index
+
+
+#: Distinct result rows up to which ``members`` filters the base table by a Bloom filter of them, its bits, and bits set by a row.
+BLOOM_ROWS, BLOOM_BITS, BLOOM_HASHES = 50_000, 1 << 20, 4
+
+
+def _places(columns: list[Column]) -> list[Column]:
+    """The bits that a row sets in a Bloom filter; nulls are told apart from values."""
+    told = [x for c in columns for x in (c.isNull(), c)]
+    return [F.pmod(F.xxhash64(F.lit(i), *told), F.lit(BLOOM_BITS)) for i in range(BLOOM_HASHES)]
+
+
+def sifted(base: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``base`` that a Bloom filter of ``keys`` lets through: all that are among the keys, and few others.  The filter
+    comes to the scan as one row of BLOOM_BITS bits, so no base row is shuffled."""
+    bits = keys.select(F.explode(F.array(*_places([F.col(c) for c in columns]))).alias("bit"))
+    words = bits.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("word")).toArrow()  # at most BLOOM_BITS / 64 rows
+    filled = np.zeros(BLOOM_BITS // 64, np.int64)
+    filled[words["at"].to_numpy()] = words["word"].to_numpy()
+    held = base.sparkSession.createDataFrame(pa.table({"__words": pa.array([filled])}))
+    one = lambda p: F.getbit(F.get("__words", F.floor(p / 64).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+    test = reduce(lambda a, b: a & b, [one(p) for p in _places([base[c] for c in columns])])
+    return base.join(F.broadcast(held), test).drop("__words")
 
 
 def members(result: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
-    """Result rows that are not in the base table."""
+    """Result rows that are not in the base table.
+
+    While the result is small, only base rows that pass a Bloom filter of it are compared, so a large base is scanned and not
+    shuffled; beyond that both sides meet as they are."""
+    found = result.select(*columns)
+    if found.limit(BLOOM_ROWS + 1).count() <= BLOOM_ROWS:
+        base = sifted(base.select(*columns), found, columns)
     test = reduce(lambda a, b: a & b, [result[c].eqNullSafe(base[c]) for c in columns])
     return result.join(base.select(*columns).distinct(), test, "left_anti").select(*columns)
 
 
+def fingerprint(df: DataFrame) -> tuple:
+    """A number of rows and the sums of two 64-bit hashes of them: equal for tables with the same rows in any order, and but
+    for a chance of about 2^-128 for no others.  One pass with partial sums; rows are not shuffled."""
+    told = [x for c in df.columns for x in (F.col(c).isNull(), F.col(c))]
+    sums = [F.sum(F.xxhash64(F.lit(salt), *told).cast("decimal(20,0)")) for salt in (1, 2)]
+    return tuple(df.agg(F.count("*"), *sums).first())
+
+
+def _alike(a: DataFrame, b: DataFrame) -> bool:
+    return [t for _, t in a.dtypes] == [t for _, t in b.select(*a.columns).dtypes] and fingerprint(a) == fingerprint(b.select(*a.columns))
+
+
+def _none(spark: SparkSession, df: DataFrame) -> DataFrame:
+    return spark.createDataFrame([], df.schema)
+
+
 def permutation(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one side has more often than the other, with the surplus (positive: of ``a``)."""
+    """Rows that one side has more often than the other, with the surplus (positive: of ``a``).
+
+    Rows are only grouped, and so shuffled, where the fingerprints of the two sides differ."""
     columns = a.columns
     count = a.select(*columns, F.lit(1).alias("__n")).unionByName(b.select(*columns, F.lit(-1).alias("__n")))
-    return count.groupBy(*columns).agg(F.sum("__n").alias("surplus")).where("surplus <> 0")
+    surplus = count.groupBy(*columns).agg(F.sum("__n").alias("surplus")).where("surplus <> 0")
+    return _none(a.sparkSession, surplus) if _alike(a, b) else surplus
 
 
 def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that occur on one side only."""
+    """Rows that occur on one side only; grouped only where the fingerprints of the two sides differ."""
     columns = a.columns
     count = a.select(*columns, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(*columns, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
-    return count.groupBy(*columns).agg(F.max("__a").alias("in_first"), F.max("__b").alias("in_second")).where("in_first + in_second = 1")
+    apart = count.groupBy(*columns).agg(F.max("__a").alias("in_first"), F.max("__b").alias("in_second")).where("in_first + in_second = 1")
+    return _none(a.sparkSession, apart) if _alike(a, b) else apart
 
 
 def ordered(result: DataFrame, place: str, order: list[tuple[str, bool]], strict: bool = False) -> DataFrame:
@@ -39,11 +91,68 @@ def ordered(result: DataFrame, place: str, order: list[tuple[str, bool]], strict
 
     ``order`` lists (column, descending?).  Neighbours meet by their place, so no task orders all rows."""
     after = result.select((F.col(place) - 1).alias("__p"), *[F.col(c).alias(f"__{c}") for c, _ in order])
+    return result.join(after, F.col(place) == F.col("__p")).where(_out_of_order(order, strict)).select(place)
+
+
+def ordered_in_place(result: DataFrame, place: str, order: list[tuple[str, bool]], strict: bool = False) -> DataFrame:
+    """``ordered``, for results whose rows already lie in the order of their (unique) places within files or partitions.
+
+    Every partition is read once, in stretches of consecutive places; what comes out is the places at fault inside, and the
+    first and last row of each stretch, which meet by place.  So only a row or two for each stretch is shuffled; rows that lie
+    in another order cost a stretch each."""
+    columns = [c for c, _ in order]
+    kinds = ", ".join(f"`{c}` {result.schema[c].dataType.simpleString()}" for c in columns)
+
+    def wrong(before: pa.Table, after: pa.Table) -> np.ndarray:
+        bad, equal = pa.array([False] * len(before)), pa.array([True] * len(before))
+        for c, descending in order:
+            x, y = before[c], after[c]
+            bad = pc.or_(bad, pc.and_(equal, pc.fill_null((pc.less if descending else pc.greater)(x, y), False)))
+            equal = pc.and_(equal, pc.fill_null(pc.equal(x, y), False))
+        return (pc.or_(bad, equal) if strict else bad).to_numpy(zero_copy_only=False)
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if last is not None:
+                rows = pa.concat_tables([last, rows])
+            if not rows.num_rows:
+                continue
+            at = rows["__place"].to_numpy()
+            follows = np.flatnonzero(np.diff(at) == 1)
+            faulty = follows[wrong(rows.take(pa.array(follows)), rows.take(pa.array(follows + 1)))] if len(follows) else follows
+            cut = np.flatnonzero(np.diff(at) != 1)  # the last rows of stretches; the row carried over is compared again, not told again
+            yield from _told(rows, faulty, "fault")
+            yield from _told(rows, cut, "last")
+            yield from _told(rows, cut + 1, "first")
+            if last is None:
+                yield from _told(rows, np.zeros(1, int), "first")
+            last = rows.slice(rows.num_rows - 1)
+        if last is not None:
+            yield from _told(last, np.zeros(1, int), "last")
+
+    read = result.select(F.col(place).cast("long").alias("__place"), *columns)
+    swept = stage(read.mapInArrow(run, f"__place long, {kinds}, __kind string"))
+    ends = swept.where("__kind <> 'fault'")
+    lasts, firsts = ends.where("__kind = 'last'"), ends.where("__kind = 'first'").withColumn("__place", F.col("__place") - 1)
+    met = lasts.join(firsts.select(F.col("__place"), *[F.col(c).alias(f"__{c}") for c in columns]), "__place")
+    between = met.where(_out_of_order(order, strict)).select("__place")
+    return swept.where("__kind = 'fault'").select("__place").union(between).select(F.col("__place").cast(result.schema[place].dataType).alias(place))
+
+
+def _told(rows: pa.Table, at: np.ndarray, kind: str):
+    found = rows.take(pa.array(at))
+    yield from found.append_column("__kind", pa.array([kind] * len(at), pa.string())).combine_chunks().to_batches()
+
+
+def _out_of_order(order: list[tuple[str, bool]], strict: bool) -> Column:
+    """Whether a row (c, ...) does not come before, or unless ``strict`` with, the row (__c, ...)."""
     wrong, equal = F.lit(False), F.lit(True)
     for c, descending in order:
         wrong = wrong | (equal & ((F.col(c) < F.col(f"__{c}")) if descending else (F.col(c) > F.col(f"__{c}"))))
         equal = equal & (F.col(c) == F.col(f"__{c}"))
-    return result.join(after, F.col(place) == F.col("__p")).where(wrong | equal if strict else wrong).select(place)
+    return wrong | equal if strict else wrong
 
 
 def top_boundary(candidates: DataFrame, result: DataFrame, k: int, key: list[str], order: list[tuple[str, bool]]) -> DataFrame:
@@ -139,6 +248,26 @@ def alignment(aligned: DataFrame, key: str, bounds: DataFrame, bound: str, low:
     return reduce(lambda a, b: a.union(b), [outside, *strangers, gaps]).distinct()
 
 
+def absent(witness: DataFrame, members: DataFrame, member: str, key: str, low: int, high: int) -> DataFrame:
+    """Keys of ``witness`` (key, below, above) that it does not prove to be outside a set of members: their neighbours do not
+    enclose them, or are not adjacent in the set extended by ``low`` and ``high``.
+
+    Adjacent are the pairs that a lead over the members gives, so this shares nothing with how alignment finds neighbours."""
+    known = members.select(F.col(member).cast("long").alias("__b"))
+    ends = known.sparkSession.range(1).select(F.explode(F.array(F.lit(low).cast("long"), F.lit(high).cast("long"))).alias("__b"))
+    pairs = adjacent_pairs(known.union(ends), "__b").select(F.col("__b").alias("below"), F.col("next").alias("above"))
+    enclosed = F.coalesce((F.col("below") < F.col(key)) & (F.col(key) < F.col("above")), F.lit(False))
+    loose = witness.join(pairs, ["below", "above"], "left_anti").select(key)
+    return witness.where(~enclosed).select(key).union(loose).distinct()
+
+
+def witnessed(flags: DataFrame, key: str, flag: str, witness: DataFrame) -> DataFrame:
+    """Keys that are flagged as no members without a witness, or as members with one."""
+    told = witness.select(F.col(key).alias("__w")).distinct()
+    both = flags.where(F.col(key).isNotNull()).select(key, flag).distinct().join(told, F.col(key) == F.col("__w"), "left")
+    return both.where(F.col(flag) == F.col("__w").isNotNull()).select(key)
+
+
 def path_length(result: DataFrame, found: DataFrame, target: int) -> DataFrame:
     """The row of a path-length result that is not the target's distance in a checked table of distances (id, distance), -1
     standing for a target without one."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import csr, dense
 from ..operators import relational as rel
 from ..operators import traverse as walk
 from ..sources.graph import Graph
@@ -113,9 +114,10 @@ def one(g: Graph, person: int) -> DataFrame:
     return g.person.where(F.col("id") == person).select("id")
 
 
-def distances(g: Graph, person: int, hops: int | None, undirected: bool = True) -> DataFrame:
-    """Every person with distance and predecessor, both null where the search did not get."""
-    return everyone(g, walk.bfs(edges_of(g, undirected), one(g, person), hops))
+def distances(g: Graph, person: int, hops: int | None, undirected: bool = True, local: int = walk.LOCAL) -> DataFrame:
+    """Every person with distance and predecessor, both null where the search did not get.  ``local`` is the number of nodes
+    that a search may hold on the driver, here and below."""
+    return everyone(g, walk.bfs(edges_of(g, undirected), one(g, person), hops, local=local))
 
 
 def distances_symmetrised(g: Graph, person: int, hops: int | None) -> DataFrame:
@@ -127,13 +129,44 @@ def everyone(g: Graph, found: DataFrame) -> DataFrame:
     return g.person.select("id").join(found, "id", "left").select("id", "distance", "predecessor")
 
 
-def hop_levels(g: Graph, person: int, hops: int) -> DataFrame:
-    return walk.hop_levels(edges_of(g, False), one(g, person), hops)
+def hop_levels(g: Graph, person: int, hops: int, local: int = walk.LOCAL) -> DataFrame:
+    return walk.hop_levels(edges_of(g, False), one(g, person), hops, local)
 
 
-def path_length(g: Graph, a: int, b: int) -> DataFrame:
+def path_length(g: Graph, a: int, b: int, local: int = walk.LOCAL) -> DataFrame:
     """IC13: least number of friendships between two persons, -1 if there is no path."""
-    return walk.shortest_path_length(edges_of(g, True), g.person, a, b, undirected=True)
+    return walk.shortest_path_length(edges_of(g, True), g.person, a, b, undirected=True, local=local)
+
+
+def person_codes(g: Graph) -> dense.Dictionary:
+    """The dictionary of person ids, built once for a graph."""
+    return g.kept("person codes", lambda: dense.dictionary(g.person, "id"))
+
+
+def friend_csr(g: Graph) -> csr.Csr:
+    """Friendships in both directions between known persons, in dense codes, as offsets and slots; built once for a graph."""
+
+    def build() -> csr.Csr:
+        coded = dense.encode_edges(edges_of(g, True), person_codes(g))
+        return csr.from_sorted(rel.dense_index(coded, ["src", "dst"], "place"), "place", g.person.count())
+
+    return g.kept("friend slots", build)
+
+
+def friends_by_slots(g: Graph, person: int) -> DataFrame:
+    """(k, friend_id): a person's friends in the order of ids, counted from 0, by the offsets of the person's code."""
+    codes = person_codes(g)
+    code = codes.by_key.where(F.col("key") == person).select("code").first()
+    found = friend_csr(g).neighbours(-1 if code is None else code["code"])
+    begin = found.agg(F.min("position")).first()[0] or 0
+    return codes.decode(found, "dst").select((F.col("position") - begin).alias("k"), F.col("dst").alias("friend_id"))
+
+
+def kth_friend(g: Graph, person: int, k: int) -> DataFrame:
+    """(friend_id, degree): a person's k-th friend, counted from 0, and the number of friends."""
+    code = person_codes(g).by_key.where(F.col("key") == person).select("code").first()
+    node, index = -1 if code is None else code["code"], friend_csr(g)
+    return person_codes(g).decode(index.kth(node, k), "dst").select(F.col("dst").alias("friend_id"), F.lit(index.degree(node)).cast("long").alias("degree"))
 
 
 def named_candidates(g: Graph, person: int, first_name: str, undirected: bool = True, hops: int = 3) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode, logic
+from ..operators import csr, dense
 from ..operators import relational as rel
 from ..operators import traverse as walk
 from ..operators import verify
-from ..sources.graph import Graph, from_star
-from ..sources.star import with_views
-from ..staging import stage
+from ..sources.graph import Graph, from_star, load_delimited, load_parquet, write_delimited, write_parquet
+from ..sources.star import BASE_TABLES, with_views
+from ..staging import stage, staged_path
 from . import queries as q
 
 PERSON, OTHER, ALONE = 7, 0, 100
@@ -26,15 +27,29 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 
-_graphs: dict[tuple[str, str], Graph] = {}
+_graphs: dict[tuple[str, str], tuple[tuple, Graph]] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the files of the base tables were last written, and their sizes."""
+    found = []
+    for table in BASE_TABLES:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        found += sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in files)
+    return tuple(found)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of a folder; one for each session and folder, so that its indexes are built once."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _graphs:
-        _graphs[key] = from_star(spark, sf_dir)
-    return _graphs[key]
+    """The graph of a folder; one for each session and folder, so that its indexes are built once, and a new one when the
+    folder's tables have been written anew."""
+    key, written = (spark.sparkContext.applicationId, sf_dir), _written(spark, sf_dir)
+    before, found = _graphs.get(key, (None, None))
+    if before != written:
+        if found is not None:
+            found.close()
+        _graphs[key] = written, (found := from_star(spark, sf_dir))
+    return found
 
 
 def add(name: str, sql: str, run: Callable[[Graph], DataFrame]) -> None:
@@ -105,6 +120,10 @@ def _path(b: int) -> str:
 
 add("ic13_shortest_path", _path(OTHER), lambda g: q.path_length(g, PERSON, OTHER))
 add("ic13_unreachable", _path(ALONE), lambda g: q.path_length(g, PERSON, ALONE))
+# the same searches with nothing held on the driver
+add("sssp_distributed", _everyone(32, _BOTH), lambda g: q.distances(g, PERSON, None, local=0))
+add("bfs_distributed_4", _bfs(OTHER, 4, _ONE_WAY) + " SELECT distance AS hop, id FROM bfs WHERE distance > 0", lambda g: q.hop_levels(g, OTHER, 4, local=0))
+add("ic13_distributed", _path(OTHER), lambda g: q.path_length(g, PERSON, OTHER, local=0))
 add("adjacency_index", f", ed AS ({_BOTH}), lists AS (SELECT src, list_sort(list(DISTINCT dst)) AS t FROM ed GROUP BY src), sums AS (SELECT src, t, sum(len(t)) OVER (ORDER BY src) AS e FROM lists) SELECT src, array_to_string(t, ',') AS targets, (e - len(t))::BIGINT AS slice_begin, e::BIGINT AS slice_end FROM sums",
     lambda g: walk.adjacency(walk.symmetric(g.knows)).select("src", F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"), F.col("begin").alias("slice_begin"), F.col("end").alias("slice_end")))
 add("adjacency_positions", f", ed AS ({_BOTH}) SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS position FROM (SELECT DISTINCT src, dst FROM ed) e",
@@ -112,6 +131,51 @@ add("adjacency_positions", f", ed AS ({_BOTH}) SELECT src, dst, row_number() OVE
 add("adjacency_counts", f", ed AS (SELECT DISTINCT src, dst FROM ({_BOTH}) e) SELECT count(DISTINCT src) AS nodes, count(*) AS edges FROM ed",
     lambda g: walk.symmetric(g.knows).distinct().groupBy("src").count().agg(F.count("*").alias("nodes"), F.coalesce(F.sum("count"), F.lit(0)).alias("edges")))
 
+add("edge_weights", f" SELECT src, dst, dst AS weight FROM ({_BOTH}) e", lambda g: walk.weighted(walk.symmetric(g.knows)))
+
+# ---- dense codes, offsets and slots
+
+_CODES = f", codes AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS code FROM person), coded AS (SELECT DISTINCT a.code AS src, b.code AS dst FROM ({_BOTH}) e JOIN codes a ON a.id = e.src JOIN codes b ON b.id = e.dst)"
+add("dense_edges", _CODES + " SELECT src, dst FROM coded", lambda g: dense.encode_edges(q.edges_of(g, True), q.person_codes(g)).select("src", "dst"))
+add("dense_decoded", f" SELECT DISTINCT e.src, e.dst FROM ({_BOTH}) e JOIN person a ON a.id = e.src JOIN person b ON b.id = e.dst", lambda g: dense.decode_edges(q.friend_csr(g).slots.select("src", "dst"), q.person_codes(g)).select("src", "dst"))
+add("csr_offsets", _CODES + ", deg AS (SELECT code, count(dst) AS n FROM codes LEFT JOIN coded ON src = code GROUP BY code) SELECT code AS node, (sum(n) OVER (ORDER BY code) - n)::BIGINT AS begin, (sum(n) OVER (ORDER BY code))::BIGINT AS \"end\" FROM deg", lambda g: q.friend_csr(g).offsets.select("node", "begin", "end"))
+add("csr_slots", _CODES + " SELECT row_number() OVER (ORDER BY src, dst) - 1 AS position, src, dst, dst AS weight FROM coded", lambda g: q.friend_csr(g).slots.select("position", "src", "dst", "weight"))
+add("csr_counts", _CODES + " SELECT (SELECT count(*) FROM codes) AS nodes, (SELECT count(*) FROM coded) AS edges", lambda g: g.spark.range(1).select(F.lit(q.friend_csr(g).nodes).cast("long").alias("nodes"), F.lit(q.friend_csr(g).edges).cast("long").alias("edges")))
+add("csr_friends", _bfs(PERSON, 1, _BOTH) + " SELECT row_number() OVER (ORDER BY id) - 1 AS k, id AS friend_id FROM bfs WHERE distance = 1", lambda g: q.friends_by_slots(g, PERSON))
+add("csr_second_friend", _bfs(PERSON, 1, _BOTH) + " SELECT id AS friend_id, n AS degree FROM (SELECT id, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM bfs WHERE distance = 1) x WHERE k = 2", lambda g: q.kth_friend(g, PERSON, 1))
+
+
+def _csr_faults(g: Graph) -> DataFrame:
+    listed = stage(rel.dense_index(walk.directed(g.knows).distinct(), ["src", "dst"], "place").withColumn("place", F.col("place") * 10))
+    again = listed.where("place % 1000 = 30").withColumn("place", F.col("place") + 5)
+    moved = listed.withColumn("place", F.when(F.col("place") % 1000 == 70, F.col("place") - 25).otherwise(F.col("place")))
+    return _both(csr.faults(listed, "place"), csr.faults(moved.union(again), "place"))
+
+
+add(
+    "csr_faults",
+    f""", ed AS (SELECT src, dst, (row_number() OVER (ORDER BY src, dst) - 1) * 10 AS place FROM (SELECT DISTINCT src, dst FROM ({_ONE_WAY}) x) y),
+        l AS (SELECT src, dst, CASE WHEN place % 1000 = 70 THEN place - 25 ELSE place END AS place FROM ed UNION ALL SELECT src, dst, place + 5 FROM ed WHERE place % 1000 = 30),
+        p AS (SELECT *, lag(src) OVER (ORDER BY place) AS s, lag(dst) OVER (ORDER BY place) AS d FROM l)
+        SELECT place, src, dst, CASE WHEN s = src AND d = dst THEN 'repeated' ELSE 'unsorted' END AS fault, true AS tampered FROM p WHERE s > src OR (s = src AND d >= dst)""",
+    _csr_faults,
+)
+
+# ---- tables written and read again
+
+
+def _reread(g: Graph, write: Callable[[Graph, str], None], load: Callable[[SparkSession, str], Graph]) -> DataFrame:
+    folder = staged_path(g.spark)
+    write(g, folder)
+    again = load(g.spark, folder)
+    home = again.located.join(again.place.select(F.col("id").alias("place_id"), F.col("name").alias("city")), "place_id").select(F.col("person_id").alias("id"), "city")
+    return again.person.join(home, "id").join(again.knows.groupBy(F.col("p1").alias("id")).agg(F.max("creation_date").alias("last_friendship")), "id", "left").select("id", "first_name", "last_name", "gender", "birthday", "location_ip", "city", "last_friendship")
+
+
+_REREAD = " SELECT p.id, first_name, last_name, gender, birthday, location_ip, pl.name AS city, (SELECT max(k.creation_date) FROM knows k WHERE k.p1 = p.id) AS last_friendship FROM person p JOIN located l ON l.person_id = p.id JOIN place pl ON pl.id = l.place_id"
+add("delimited_files", _REREAD, lambda g: _reread(g, write_delimited, load_delimited))
+add("parquet_files", _REREAD, lambda g: _reread(g, write_parquet, load_parquet))
+
 # ---- complex reads
 
 
@@ -163,6 +227,8 @@ _ALIGN = f", bounds AS (SELECT DISTINCT p1 AS bound FROM knows WHERE p1 % 5 = 0)
 add("asof_align", _ALIGN + " SELECT * FROM aligned", _aligned)
 add("adjacent_pairs", ", ids AS (SELECT DISTINCT p1 FROM knows) SELECT p1, lead(p1) OVER (ORDER BY p1) AS next FROM ids", lambda g: rel.adjacent_pairs(g.knows, "p1"))
 add("dense_index", " SELECT id, row_number() OVER (ORDER BY id) - 1 AS index FROM organisation", lambda g: rel.dense_index(g.organisation.select("id"), "id").withColumn("index", F.col("index").cast("long")))
+_OUTSIDE = f", bounds AS (SELECT DISTINCT p1 AS bound FROM knows WHERE p1 % 5 = 0), ext AS (SELECT bound FROM bounds UNION SELECT -1 UNION SELECT {HIGH}), nxt AS (SELECT bound AS below, lead(bound) OVER (ORDER BY bound) AS above FROM ext), wit AS (SELECT p.id, below, above FROM person p JOIN nxt n ON n.below < p.id AND p.id < n.above)"
+add("non_members", _OUTSIDE + " SELECT id, below, above FROM wit", lambda g: rel.outsiders(g.person, "id", _bounds(g), "bound", -1, HIGH))
 add("canonical_pairs", " SELECT p1, p2, least(p1, p2) AS low, greatest(p1, p2) AS high FROM knows WHERE p1 <> p2", lambda g: rel.canonical_pair(g.knows.select("p1", "p2")))
 
 
@@ -183,6 +249,19 @@ add("encode_ipv4", " SELECT id, split_part(location_ip, '.', 1)::BIGINT * 167772
     lambda g: g.person.select("id", encode.ipv4_code(F.col("location_ip")).alias("ip_code")))
 
 
+def _wide(g: Graph) -> DataFrame:
+    """Sixteen bytes of each friendship as one number."""
+    part = lambda c, n: [F.pmod(F.shiftright(F.col(c) * 2654435761, 4 * i), F.lit(256)) for i in range(n)]
+    octets = F.array(*part("p1", 8), *part("p2", 8))
+    pair = logic.limbs(octets)
+    return g.knows.select("p1", "p2", pair["high"].cast("string").alias("high"), pair["low"].cast("string").alias("low"), logic.wide_little_endian(octets).cast("string").alias("number"))
+
+
+_OCTET = "((({} * 2654435761) >> {}) % 256)::UHUGEINT * {}::UHUGEINT"
+_LOW, _HIGH = (" + ".join(_OCTET.format(c, 4 * i, 256**i) for i in range(8)) for c in ("p1", "p2"))
+add("wide_bytes", f", v AS (SELECT p1, p2, {_LOW} AS low, {_HIGH} AS high FROM knows), w AS (SELECT *, high * 18446744073709551616::UHUGEINT + low AS number FROM v) SELECT p1, p2, high::VARCHAR AS high, low::VARCHAR AS low, CASE WHEN number < {10**38}::UHUGEINT THEN number::VARCHAR END AS number FROM w", _wide)
+
+
 def _logic(g: Graph) -> DataFrame:
     a, b = F.col("p1") % 2 == 0, F.col("p2") % 3 == 0
     octets = F.array(*[F.pmod(F.shiftright(F.col("p1"), i * 8), F.lit(256)) for i in range(4)])
@@ -325,6 +404,32 @@ def _verify_alignment(g: Graph) -> DataFrame:
 add("verify_alignment", _ALIGN + f" SELECT id, true AS tampered FROM aligned WHERE id % 7 = 0 AND floor_bound <> {LOW}", _verify_alignment)
 
 
+def _verify_non_members(g: Graph) -> DataFrame:
+    bounds = stage(_bounds(g))
+    found = stage(rel.outsiders(g.person, "id", bounds, "bound", -1, HIGH))
+    flags = stage(rel.member_flag(g.person.select("id"), "id", bounds, "bound"))
+    wide = found.withColumn("above", F.when(F.col("id") % 7 == 0, F.lit(HIGH)).otherwise(F.col("above")))
+    check = lambda w: verify.absent(w, bounds, "bound", "id", -1, HIGH).withColumn("check", F.lit("witness")).union(verify.witnessed(flags, "id", "in_set", w).withColumn("check", F.lit("flag")))
+    return _both(check(found), check(wide.where("id % 11 <> 0")))
+
+
+add("verify_non_members", _OUTSIDE + f" SELECT id, 'witness' AS \"check\", true AS tampered FROM wit WHERE id % 7 = 0 AND id % 11 <> 0 AND above <> {HIGH} UNION ALL SELECT id, 'flag', true FROM wit WHERE id % 11 = 0", _verify_non_members)
+
+
+def _verify_in_place(g: Graph) -> DataFrame:
+    order = [("src", False), ("dst", False)]
+    listed = stage(walk.positions(walk.directed(g.knows)).select(F.col("position").cast("long").alias("position"), "src", "dst").repartitionByRange("position").sortWithinPartitions("position"))
+    wrong = listed.withColumn("dst", F.when(F.col("position") % 50 == 7, F.lit(-1)).otherwise(F.col("dst")))
+    return _both(verify.ordered_in_place(listed, "position", order, strict=True), verify.ordered_in_place(wrong, "position", order, strict=True))
+
+
+add(
+    "verify_in_place",
+    f", ed AS (SELECT src, CASE WHEN place % 50 = 7 THEN -1 ELSE dst END AS dst, place FROM (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS place FROM (SELECT DISTINCT src, dst FROM ({_ONE_WAY}) x) y) z), p AS (SELECT *, lead(src) OVER (ORDER BY place) AS s, lead(dst) OVER (ORDER BY place) AS d FROM ed) SELECT place AS position, true AS tampered FROM p WHERE src > s OR (src = s AND dst >= d)",
+    _verify_in_place,
+)
+
+
 def _verify_path(g: Graph) -> DataFrame:
     far = stage(walk.bfs(q.edges_of(g, True), q.one(g, PERSON)))
     length = stage(q.path_length(g, PERSON, OTHER).union(q.path_length(g, PERSON, PERSON)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import weakref
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ class Graph:
     def __post_init__(self):
         weakref.finalize(self, free, self._owned)
 
-    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """What ``build`` stages and returns, made at the first call with this name."""
+    def kept(self, name: str, build: Callable[[], Any]) -> Any:
+        """What ``build`` stages and returns, a table or an index of tables, made at the first call with this name."""
         if name not in self._kept:
             with owned() as mine:
                 self._kept[name] = build()
@@ -78,6 +79,15 @@ def load_delimited(spark: SparkSession, folder: str, separator: str = "|") -> Gr
     return Graph(spark, {name: lambda name=name: table(name) for name in FILES})
 
 
+def write_delimited(graph: Graph, folder: str, separator: str = "|") -> None:
+    """The tables as delimited files that ``load_delimited`` reads, a folder of them for each; without header lines, as many
+    tasks write them.  Nulls become empty, and values must not hold the separator or a line end."""
+    for name, (file, schema) in FILES.items():
+        table = getattr(graph, name)
+        cells = [F.lit("") if c.startswith("_") else F.coalesce(table[c].cast("string"), F.lit("")) for c in T.StructType.fromDDL(schema).names]
+        table.select(F.concat_ws(separator, *cells).alias("value")).write.mode("overwrite").text(f"{folder}/{file}")
+
+
 def load_parquet(spark: SparkSession, folder: str) -> Graph:
     return Graph(spark, {name: lambda name=name: spark.read.parquet(f"{folder}/{name}.parquet") for name in FILES})
 

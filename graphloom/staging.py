@@ -6,6 +6,7 @@ tables it reads are freed."""
 from __future__ import annotations
 
 import atexit
+import logging
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bucketed tables need a catalog entry; theirs are in a database of their own.
 DATABASE = "graphloom_staged"
+log = logging.getLogger(__name__)
 _staged: list[tuple[SparkSession, str, str | None]] = []
 
 
@@ -56,17 +58,41 @@ def stage_bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+class Grown:
+    """A staged table that grows by appended rows, bucketed by ``key`` and divided into folders by ``part``: a join on the key
+    does not shuffle it, and a filter on the part reads only its folders."""
+
+    def __init__(self, spark: SparkSession, key: str, part: str):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+        self.spark, self.key, self.part, self.name = spark, key, part, f"{DATABASE}.t{uuid.uuid4().hex}"
+        self.path, self.buckets = staged_path(spark, self.name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> None:
+        df.write.mode("append").partitionBy(self.part).bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 def free(entries: list) -> None:
-    """Delete the staged tables in ``entries``, the newest first."""
+    """Delete the staged tables in ``entries``, the newest first; one that cannot be deleted is logged and left behind."""
     while entries:
         spark, path, name = entries.pop()
+        if spark.sparkContext._jsc is None:  # the session is gone; its folder belongs to whoever set it
+            continue
         try:
             if name:
                 spark.sql(f"DROP TABLE IF EXISTS {name}")
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; its folder then belongs to whoever set it
-            entries.clear()
+        except Exception as error:
+            log.warning("staged table %s was not deleted: %s", path, error)
+
+
+def adopt(entries: list) -> None:
+    """Undo ``owned``: the tables in ``entries`` are freed by what is around the caller again."""
+    _staged.extend(entries)
+    entries.clear()
 
 
 @contextmanager

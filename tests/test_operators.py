@@ -151,8 +151,8 @@ def test_encoders(spark):
     for b in name.encode():
         total, by = (total + by * b) % 2**64, by * 31 % 2**64
     assert spark.createDataFrame([(name,)], "t string").select(encode.name_code(F.col("t"))).first()[0] == total % (2**32 - 1)
-    dates = spark.createDataFrame([("2010-01-31",), ("2010-02-01",), ("2010-02",), ("x-y-z",)], "t string")
-    assert [r[0] for r in dates.select(encode.date_code(F.col("t"))).collect()] == [733711, 733711, 0, 0]
+    dates = spark.createDataFrame([("2010-01-31",), ("2010-02-01",), ("2010-02",), ("x-y-z",), ("2010-x-01",), ("2010--1-3",)], "t string")
+    assert [r[0] for r in dates.select(encode.date_code(F.col("t"))).collect()] == [733711, 733711, 0, 0, 733651, 0]
     assert dates.select(encode.stamp_code(F.lit("2010-01-31T10:00:00"))).first()[0] == 733711
     addresses = spark.createDataFrame([("1.2.3.4",), ("255.255.255.255",), ("1.2.3",), ("256.1.1.1",)], "t string")
     assert [r[0] for r in addresses.select(encode.ipv4_code(F.col("t"))).collect()] == [16909060, 4294967295, None, None]

@@ -2,8 +2,12 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from graphloom.operators import relational as rel
 from graphloom.operators import traverse as walk
 from graphloom.operators import verify
+from graphloom.staging import stage
 
 
 @pytest.fixture(scope="module")
@@ -109,3 +113,68 @@ def test_level_tables(spark, edges):
     assert verify.level_rows(found, persons).count() == 0 == verify.visited(found, seen, 1).count()
     assert [tuple(r) for r in verify.level_rows(found, persons.where("id <> 5")).collect()] == [(1, 5)]
     assert {tuple(r) for r in verify.visited(found, seen.where("id <> 2"), 1).collect()} == {(1, 2), (2, 2)}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("y"))
+    assert verify.fingerprint(rows) == verify.fingerprint(rows.orderBy(F.desc("y")).repartition(5))
+    for other in (rows.where("y is null or y <> 4"), rows.select(F.col("y").alias("x"), F.col("x").alias("y")), rows.union(rows.limit(1)), rows.withColumn("y", F.when(F.col("y") != 4, F.col("y")))):
+        assert verify.fingerprint(other) != verify.fingerprint(rows)
+    nulls = [spark.createDataFrame([r], "x int, y int") for r in ((None, 1), (1, None))]
+    assert verify.fingerprint(nulls[0]) != verify.fingerprint(nulls[1])
+
+
+def test_alike_tables_are_not_grouped(spark):
+    rows = stage(spark.range(1000).select("id", (F.col("id") % 7).alias("x")))
+    clean = verify.permutation(rows, rows.orderBy("x"))
+    assert clean.count() == 0 and clean.columns == ["id", "x", "surplus"] and "Exchange" not in plan(clean)
+    assert "Exchange" in plan(verify.permutation(rows, rows.where("id <> 3")))
+    assert {tuple(r) for r in verify.permutation(rows, rows.where("id <> 3")).collect()} == {(3, 3, 1)}
+    same = verify.same_set(rows, rows)
+    assert same.count() == 0 and "Exchange" not in plan(same)
+    assert verify.same_set(rows, rows.union(rows)).count() == 0
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_order_in_place_finds_what_the_join_finds(spark, strict):
+    order = [("v", True), ("s", False)]
+    rows = spark.range(500).select(F.col("id").alias("place"), (500 - F.expr("id div 3")).alias("v"), F.when(F.col("id") % 3 == 2, F.lit(None)).otherwise(F.format_string("%03d", F.col("id"))).alias("s"))
+    wrong = rows.withColumn("v", F.when(F.col("place") % 50 == 9, 900).otherwise(F.col("v"))).where("place % 97 <> 5")
+    for df in (rows, wrong):
+        for laid in (df.repartitionByRange(7, "place").sortWithinPartitions("place"), stage(df.repartitionByRange(5, "place").sortWithinPartitions("place")), df.repartition(3)):
+            assert sorted(r[0] for r in verify.ordered_in_place(laid, "place", order, strict).collect()) == sorted(r[0] for r in verify.ordered(df, "place", order, strict).collect())
+    assert verify.ordered_in_place(rows.limit(0), "place", order, strict).count() == 0
+
+
+def test_members_of_a_small_result(spark):
+    base = stage(spark.range(20_000).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), "id")).alias("name")))
+    result = spark.createDataFrame([(3, "n3"), (5, None), (6, None), (30_000, "n3"), (7, "n8")], base.schema)
+    wrong = verify.members(result, base, ["id", "name"])
+    assert {tuple(r) for r in wrong.collect()} == {(6, None), (30_000, "n3"), (7, "n8")}
+    # of the base, only rows that pass the filter are shuffled
+    assert verify.sifted(base, result, ["id", "name"]).count() < 10
+    shown = plan(wrong)
+    assert shown.rindex("BroadcastNestedLoopJoin") < shown.rindex("FileScan") and "Exchange" in shown
+
+
+def test_members_of_a_large_result(spark, monkeypatch):
+    monkeypatch.setattr(verify, "BLOOM_ROWS", 2)
+    base = spark.range(100).select("id")
+    assert [r[0] for r in verify.members(spark.createDataFrame([(1,), (2,), (3,), (101,)], "id long"), base, ["id"]).collect()] == [101]
+
+
+def test_non_members(spark):
+    keys, members = spark.createDataFrame([(1,), (1,), (5,), (9,), (6,), (None,)], "k long"), spark.createDataFrame([(5,), (7,), (7,), (None,)], "m long")
+    found = rel.outsiders(keys, "k", members, "m", 0, 99)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 5), (6, 5, 7), (9, 7, 99)]
+    assert verify.absent(found, members, "m", "k", 0, 99).count() == 0
+    wrong = spark.createDataFrame([(6, 5, 99), (5, 0, 5), (5, 5, 7), (9, 8, 99), (1, 0, 5), (2, None, 5)], "k long, below long, above long")
+    assert sorted(r[0] for r in verify.absent(wrong, members, "m", "k", 0, 99).collect()) == [2, 5, 6, 9]
+    flags = rel.member_flag(keys, "k", members, "m")
+    assert verify.witnessed(flags, "k", "in_set", found).count() == 0
+    assert [r[0] for r in verify.witnessed(flags, "k", "in_set", found.where("k <> 6")).collect()] == [6]
+    assert rel.outsiders(keys.limit(0), "k", members.limit(0), "m", 0, 9).count() == 0
