@@ -105,33 +105,46 @@ def _most(weights: np.ndarray, bias: np.ndarray) -> float:
 def _predict(net: dict, bounds: np.ndarray, of_class: np.ndarray, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None):
     """Natural log-probabilities of ``targets`` after ``states``; with ``gradient``, what to change is added to it and the
     states' part returned."""
-    rows, cls = np.arange(len(targets)), of_class[targets]
+    # in the order of classes, so that a class's rows lie together
+    order = np.argsort(of_class[targets], kind="stable")
+    states, targets = states[order], targets[order]
+    cls = of_class[targets]
     found, logits, total = _shares(states @ net["classes"] + net["class_bias"], cls, _most(net["classes"], net["class_bias"]))
     if gradient is not None:
         logits /= total[:, None]
-        logits[rows, cls] -= 1
+        logits[np.arange(len(targets)), cls] -= 1
         gradient["classes"] += states.T @ logits
         gradient["class_bias"] += logits.sum(axis=0)
         back = logits @ net["classes"].T
-    order, most = np.argsort(cls, kind="stable"), _most(net["words"].T, net["word_bias"])
-    cuts = np.searchsorted(cls[order], np.arange(len(bounds)))
+    most, cuts = _most(net["words"].T, net["word_bias"]), np.searchsorted(cls, np.arange(len(bounds)))
     for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(bounds) > 1)):
-        mine, begin, end = order[cuts[c] : cuts[c + 1]], bounds[c], bounds[c + 1]
-        at, seen = np.arange(len(mine)), states[mine]
-        own, within, total = _shares(seen @ net["words"][begin:end].T + net["word_bias"][begin:end], targets[mine] - begin, most)
+        mine, begin, end = slice(cuts[c], cuts[c + 1]), bounds[c], bounds[c + 1]
+        seen, wanted = states[mine], targets[mine] - begin
+        own, within, total = _shares(seen @ net["words"][begin:end].T + net["word_bias"][begin:end], wanted, most)
         found[mine] += own
         if gradient is not None:
             within /= total[:, None]
-            within[at, targets[mine] - begin] -= 1
+            within[np.arange(len(wanted)), wanted] -= 1
             gradient["words"][begin:end] += within.T @ seen
             gradient["word_bias"][begin:end] += within.sum(axis=0)
             back[mine] += within @ net["words"][begin:end]
-    return found if gradient is None else (found, back)
+    out = np.empty_like(found)
+    out[order] = found
+    if gradient is None:
+        return out
+    at_states = np.empty_like(back)
+    at_states[order] = back
+    return out, at_states
+
+
+def class_of(bounds: np.ndarray) -> np.ndarray:
+    """The class of each token; a narrow type, so that sorting by class takes time in proportion."""
+    return np.repeat(np.arange(len(bounds) - 1, dtype=np.int16), np.diff(bounds))
 
 
 def log_likelihood(net: dict, bounds: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The natural log-probability of each text and its end.  Texts of like length go together."""
-    of_class, hidden = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), net["recurrent"].shape[1]
+    of_class, hidden = class_of(bounds), net["recurrent"].shape[1]
     begin, out = np.cumsum(lengths) - lengths, np.empty(len(lengths))
     order = np.argsort(-lengths, kind="stable")
     for at in range(0, len(order), TOGETHER):
@@ -140,8 +153,12 @@ def log_likelihood(net: dict, bounds: np.ndarray, ids: np.ndarray, lengths: np.n
         state, sums = np.zeros((len(some), hidden), np.float32), np.zeros(len(some))
         for active, inputs, targets, mask in texts.windows():
             states = _forward(net, inputs, state, active)
-            found = _predict(net, bounds, of_class, states[mask], targets[mask])
-            sums[: active[0]] += np.bincount(np.nonzero(mask)[1], found, active[0])
+            if active[-1] == active[0]:
+                found = _predict(net, bounds, of_class, states.reshape(-1, hidden), targets.ravel())
+                sums[: active[0]] += found.reshape(targets.shape).sum(axis=0, dtype=float)
+            else:
+                found = _predict(net, bounds, of_class, states[mask], targets[mask])
+                sums[: active[0]] += np.bincount(np.nonzero(mask)[1], found, active[0])
         out[some[texts.order]] = sums
     return out
 
@@ -151,7 +168,7 @@ class Trainer:
 
     def __init__(self, net: dict, bounds: np.ndarray, rate: float):
         self.net, self.bounds, self.rate, self.done, self.tokens = {k: v.copy() for k, v in net.items()}, bounds, rate, 0, 0
-        self.of_class = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.of_class = class_of(bounds)
         self.first, self.second = ({k: np.zeros_like(v) for k, v in net.items()} for _ in range(2))
 
     def texts(self, ids: np.ndarray, lengths: np.ndarray, together: int = TOGETHER) -> None:

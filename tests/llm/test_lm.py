@@ -127,8 +127,7 @@ def test_probabilities_sum_to_one():
     begin = [7, 3, 30]
     whole = lambda text: step_by_step({**net}, bounds, text)
     states = np.random.default_rng(0).normal(size=(1, gru.HIDDEN)).astype(np.float32)
-    of_class = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    every = gru._predict(net, bounds, of_class, np.repeat(states, 50, axis=0), np.arange(50))
+    every = gru._predict(net, bounds, gru.class_of(bounds), np.repeat(states, 50, axis=0), np.arange(50))
     assert abs(np.exp(every).sum() - 1) < 1e-4 and whole(begin) < 0
 
 
