@@ -1,15 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.  DataFrame functions only.
 
-The index stores a posting (term, document, position) for every training token whose term occurs in the benchmark; it is
-written to the shared folder.  An item's windows are phrases of ``n`` consecutive words.  A phrase's two rarest terms, by
-their postings over the whole corpus, are looked up; their lists, adjusted by the terms' offsets in the phrase, are
-intersected; and the places left are compared word by word with the document.  Terms are hashed in the index, which can
-only add places to compare.
+The index stores a posting (term, document, position) for every training token whose term occurs in the benchmark, and a row
+for each document with its number of words; it is written to the shared folder.  An item's windows are phrases of ``n``
+consecutive words.  A phrase's two rarest terms, by their postings over the whole corpus, are looked up; their lists, adjusted
+by the terms' offsets in the phrase, are intersected; and the places left are compared word by word with the document.  Terms
+are hashed in the index, which can only add places to compare.
 
 Work follows the postings of the rarest terms: a passage that a third of the documents hold costs a place for each of its
-occurrences, spread over the documents' own tasks.  Texts stay where they are read: the keys of documents with places, and
-then the answers, come to them, as long as these are at most ``SMALL`` rows; beyond that they meet in a shuffle.  The same
-holds for the benchmark's vocabulary and look-ups.
+occurrences.  Places are rows.  Documents with places are cut, once, into blocks of ``BLOCK`` words, and places meet the block
+they begin in; so no row holds all places of a document, however many, and no text is split again for a place.  Texts stay
+where they are read: the keys of documents with places come to them, as long as these are at most ``SMALL`` rows, and only
+blocks with places may be shuffled; beyond that documents and keys meet in a shuffle.  The same holds for the benchmark's
+vocabulary and look-ups.
 
 Defined results: null and empty texts have no words and no hits; items without words have no windows; an item of fewer
 than ``n`` words is one window; repeated rows each get the same answer; a null item id marks words as hit but is not listed
@@ -18,24 +20,27 @@ or counted among the items; an empty benchmark hits nothing; an empty table give
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.relational import dense_index
 from .common import ascii_lower, small, stage
 
 #: Everything that is no word character, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SMALL = 500_000
+#: Words of a block.
+BLOCK = 512
+#: What stands for a term in the rows that count a document's words, at position -1 - words.
+NO_TERM = 0
 
 
 def words(text):
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), words(F.col(text_col)).alias("__words"))
-
-
 def phrases(items: DataFrame, n: int) -> DataFrame:
     """Distinct windows: phrase (words joined by a blank), terms, length, and the item ids (as sorted strings)."""
     listed = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -45,92 +50,130 @@ def phrases(items: DataFrame, n: int) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged postings (term, __id, __hash, pos) of the tokens of ``docs`` whose term is in ``vocabulary`` (term)."""
-    tokens = _keyed(docs, id_col, text_col).select("__id", "__hash", F.posexplode("__words").alias("pos", "word"))
-    postings = tokens.select(F.xxhash64("word").alias("term"), "__id", "__hash", "pos").join(small(vocabulary, SMALL), "term", "left_semi")
-    return stage(postings)
+    """Staged postings (term, __id, __hash, pos) of the tokens of ``docs`` whose term is in ``vocabulary`` (term), and for every
+    row of ``docs`` one of NO_TERM with the position -1 - (number of words)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # bound once, so that a text is split once
+    cells = F.transform(F.array(words(F.col(text_col))), lambda w: F.concat(F.array(F.struct(F.lit(NO_TERM).cast("long").alias("term"), (-1 - F.size(w)).alias("pos"))), F.transform(w, lambda x, i: F.struct(F.xxhash64(x).alias("term"), i.alias("pos")))))
+    tokens = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.explode(F.get(cells, F.lit(0))).alias("c")).select("c.term", "__id", "__hash", "c.pos")
+    known = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(NO_TERM).cast("long").alias("term"))).distinct()
+    return stage(tokens.join(small(known, SMALL), "term", "left_semi").where((F.col("term") != NO_TERM) | (F.col("pos") < 0)))
+
+
+def word_counts(index: DataFrame) -> DataFrame:
+    """(__id, __hash, n_words) of every row of the indexed documents."""
+    return index.where((F.col("term") == NO_TERM) & (F.col("pos") < 0)).select("__id", "__hash", (-1 - F.col("pos")).cast("long").alias("n_words"))
 
 
 def lookups(wanted: DataFrame, index: DataFrame, most: int = 2) -> DataFrame:
-    """For each phrase its ``most`` rarest terms: phrase, term, offset, needed (how many lists must agree).
+    """For each phrase its ``most`` rarest terms: phrase number, term, offset, needed (how many lists must agree).
 
     A phrase with a term that has no posting occurs nowhere and is left out."""
-    counts = small(stage(index.groupBy("term").count()), SMALL)  # no more rows than the benchmark has terms
-    spelled = wanted.select("phrase", "length", F.posexplode("terms").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
-    rarest = Window.partitionBy("phrase").orderBy("count", "offset")
-    known = spelled.join(counts, "term").withColumn("known", F.count("*").over(Window.partitionBy("phrase"))).where(F.col("known") == F.col("length"))
-    return known.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= most).select("phrase", "term", "offset", F.least("length", F.lit(most)).alias("needed"))
+    counts = small(stage(index.where("pos >= 0").groupBy("term").count()), SMALL)  # no more rows than the benchmark has terms
+    spelled = wanted.select("number", "length", F.posexplode("terms").alias("offset", "word")).withColumn("term", F.xxhash64("word"))
+    rarest = Window.partitionBy("number").orderBy("count", "offset")
+    known = spelled.join(counts, "term").withColumn("known", F.count("*").over(Window.partitionBy("number"))).where(F.col("known") == F.col("length"))
+    return known.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= most).select("number", "term", "offset", F.least("length", F.lit(most)).alias("needed"))
+
+
+@dataclass
+class Occurrences:
+    """``hits``: staged (__id, __hash, start, length, number), a row for each occurrence of a window, by document id and hash of
+    the text, start counted in words from 0; ``windows``: staged (number, phrase, terms, length, items); ``index``."""
 
+    hits: DataFrame
+    windows: DataFrame
+    index: DataFrame
 
-def hits(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Staged (__id, __hash, hits) of the documents with a hit, by id and hash of the text: hits is an array of (start, length,
-    items) for each occurrence of a window, start counted in words from 0."""
-    wanted = stage(phrases(items, n))
+
+def occurrences(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> Occurrences:
+    wanted = stage(dense_index(phrases(items, n), "phrase", "number"))
     vocabulary = wanted.select(F.explode("terms").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
     index = build_index(docs, vocabulary, id_col, text_col)
     asked = stage(lookups(wanted, index))
     places = (
-        index.join(small(asked, SMALL), "term")
-        .select("__id", "__hash", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "needed").where("start >= 0")
-        .groupBy("__id", "__hash", "start", "phrase", "needed").agg(F.count("*").alias("lists"))
+        index.where("pos >= 0").join(small(asked, SMALL), "term")
+        .select("__id", "__hash", (F.col("pos") - F.col("offset")).alias("start"), "number", "needed").where("start >= 0")
+        .groupBy("__id", "__hash", "start", "number", "needed").agg(F.count("*").alias("lists"))
         .where(F.col("lists") >= F.col("needed"))
-    )
+    )
     # repeated rows (same id and text) store their postings repeatedly, hence >= above and one place here
-    listed = stage(
-        places.join(small(wanted.select("phrase", "length", "items"), SMALL, F.size("items") + F.col("length")), "phrase")
-        .groupBy("__id", "__hash").agg(F.collect_list(F.struct("start", "length", "items", "phrase")).alias("__places"))
-    )
-    # only documents with places are looked at again
-    texts = with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
-    some = _matched(texts, listed, "left_semi").dropDuplicates(["__id", "__hash"])
-    both = some.join(listed.withColumnRenamed("__id", "__i").withColumnRenamed("__hash", "__h"), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h"))).withColumn("__words", words(F.col("__text")))
-    right = F.filter("__places", lambda p: F.array_join(F.slice("__words", p["start"] + 1, p["length"]), " ") == p["phrase"])
-    found = F.transform(right, lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length"), p["items"].alias("items")))
-    return stage(both.select("__id", "__hash", found.alias("hits")).where(F.size("hits") > 0))
+    spelled = places.join(small(wanted.select("number", "phrase", "length"), SMALL, F.col("length")), "number")
+    listed = stage(spelled.groupBy("__id", "__hash", F.expr(f"start div {BLOCK}").alias("__block")).agg(F.collect_list(F.struct("start", "length", "number", "phrase")).alias("__places")))
+    keys = listed.select("__id", "__hash", "__block")
+    # documents with places are looked at again, and of them the blocks with places
+    texts = _matched(with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text"), keys.select("__id", "__hash").distinct(), "left_semi")
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.struct(k.alias("block"), F.slice(w, k * BLOCK + 1, F.lit(BLOCK + n - 1)).alias("words")))
+    blocks = texts.select("__id", "__hash", F.explode(F.get(F.transform(F.array(words(F.col("__text"))), cut), F.lit(0))).alias("b")).select("__id", "__hash", F.col("b.block").cast("long").alias("__block"), F.col("b.words").alias("__words"))
+    some = _matched(blocks, keys, "left_semi", on="__block")
+    both = _matched(some, listed, "inner", F.size("__places"), on="__block")
+    right = F.filter("__places", lambda p: F.array_join(F.slice("__words", (p["start"] - F.col("__block") * BLOCK).cast("int") + 1, p["length"]), " ") == p["phrase"])
+    found = both.select("__id", "__hash", F.explode(right).alias("p")).select("__id", "__hash", F.col("p.start").cast("int").alias("start"), "p.length", "p.number").distinct()
+    return Occurrences(stage(found), wanted, index)
 
 
 def with_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _matched(docs: DataFrame, found: DataFrame, how: str, weight: Column | None = None) -> DataFrame:
-    """``docs`` (with __id, __hash) joined with rows of ``found``, which come to the documents while they are few (and, where
-    they differ in size, of little weight)."""
-    other = found.withColumnRenamed("__id", "__i").withColumnRenamed("__hash", "__h")
+def _matched(docs: DataFrame, found: DataFrame, how: str, weight: Column | None = None, on: str | None = None) -> DataFrame:
+    """``docs`` (with __id, __hash, and ``on``) joined with rows of ``found``, which come to the documents while they are few
+    (and, where they differ in size, of little weight)."""
+    keys = ["__id", "__hash", *([on] if on else [])]
+    other = found.withColumnsRenamed({k: f"_{k}" for k in keys})
     if how in ("left_semi", "left_anti"):
-        other = other.select("__i", "__h")
-    return docs.join(small(other, SMALL, weight), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__hash") == F.col("__h")), how).drop("__i", "__h")
+        other = other.select(*[f"_{k}" for k in keys])
+    test = F.col("__id").eqNullSafe(F.col("___id"))
+    for k in keys[1:]:
+        test = test & (F.col(k) == F.col(f"_{k}"))
+    return docs.join(small(other, SMALL, weight), test, how).drop(*[f"_{k}" for k in keys])
+
+
+def covered(hits: DataFrame) -> DataFrame:
+    """(__id, __hash, n_hit): how many word positions the occurrences of each document cover."""
+    before = Window.partitionBy("__id", "__hash").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("length")
+    seen = F.coalesce(F.max(end).over(before), F.lit(0))
+    new = hits.select("__id", "__hash", F.greatest(end - F.greatest(F.col("start"), seen), F.lit(0)).alias("new"))
+    return new.groupBy("__id", "__hash").agg(F.sum("new").cast("long").alias("n_hit"))
+
+
+def listed_items(found: Occurrences) -> DataFrame:
+    """(__id, __hash, items): the ids of the items with occurring windows, as strings, sorted."""
+    named = found.windows.select("number", F.explode("items").alias("item"))
+    ids = found.hits.select("__id", "__hash", "number").distinct().join(small(named, SMALL), "number").select("__id", "__hash", "item").distinct()
+    return ids.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
 def counts(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row of ``docs``: its id, n_words, n_hit (words in occurrences), and items (ids of the items with occurring
     windows, sorted as strings)."""
-    ids = F.array_sort(F.array_distinct(F.flatten(F.col("hits.items"))))
-    digest = stage(hits(docs, items, n, id_col, text_col).select("__id", "__hash", covered(F.col("hits")).alias("n_hit"), ids.alias("items")))
-    base = with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text").select("__id", "__hash", F.size(words(F.col("__text"))).cast("long").alias("n_words"))
-    return _matched(base, digest, "left", F.size("items") + 1).select(F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    found = occurrences(docs, items, n, id_col, text_col)
+    none = F.array().cast("array<string>")
+    ids = listed_items(found).select("__id", "__hash", "items", F.lit(0).cast("long").alias("n_hit"))
+    # one row for each document that is hit, its items put to its words by a union and not by a join
+    both = ids.unionByName(covered(found.hits).select("__id", "__hash", F.lit(None).cast("array<string>").alias("items"), "n_hit"))
+    digest = stage(both.groupBy("__id", "__hash").agg(F.first("items", ignorenulls=True).alias("items"), F.sum("n_hit").alias("n_hit")))
+    weight = F.coalesce(F.size("items"), F.lit(0)) + 1
+    return _matched(word_counts(found.index), digest, "left", weight).select(F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of every row of ``docs`` with ``__found``: a struct of ``n_words`` and ``hits`` (empty without a hit)."""
-    found = hits(docs, items, n, id_col, text_col)
+    """All columns of every row of ``docs`` with ``__found``: a struct of ``n_words`` and ``hits``, an array of (start, length,
+    items) for each occurrence (empty without one).  For documents whose occurrences fit a row; ``occurrences`` has rows."""
+    found = occurrences(docs, items, n, id_col, text_col)
+    hits = found.hits.join(small(found.windows.select("number", "items"), SMALL, F.size("items")), "number")
+    listed = stage(hits.groupBy("__id", "__hash").agg(F.array_sort(F.collect_list(F.struct("start", "length", "items"))).alias("hits")))
     names = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    joined = _matched(with_hash(keyed, "__text"), found, "left", F.expr("aggregate(hits, 0, (n, h) -> n + 1 + size(h.items))"))
+    joined = _matched(with_hash(keyed, "__text"), listed, "left", F.expr("aggregate(hits, 0, (n, h) -> n + 1 + size(h.items))"))
     none = F.array().cast("array<struct<start:int,length:int,items:array<string>>>")
     return joined.select(*[F.col("__row")[c].alias(c) for c in names], F.struct(F.size(words(F.col("__text"))).alias("n_words"), F.coalesce("hits", none).alias("hits")).alias("__found"))
 
 
-def covered(hits):
-    """How many word positions the hits cover."""
-    end = lambda h: h["start"] + h["length"]
-    step = lambda seen, h: F.struct((seen["n"] + F.greatest(end(h) - F.greatest(h["start"], seen["end"]), F.lit(0))).alias("n"), F.greatest(seen["end"], end(h)).alias("end"))
-    return F.aggregate(F.array_sort(hits), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
-
-
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs``, columns as they are, in which no window of a benchmark item occurs."""
-    found = hits(docs, items, n)
+    found = stage(occurrences(docs, items, n).hits.select("__id", "__hash").distinct())
     names = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     return _matched(with_hash(keyed, "__text"), found, "left_anti").select(*[F.col("__row")[c].alias(c) for c in names])
@@ -141,6 +184,7 @@ def near(docs: DataFrame, items: DataFrame, within: int, id_col: str = "doc_id",
     occurrence, at ``pos``, of its rarest term.  Null and empty texts and items match nothing."""
     terms = items.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).select("item_id", F.xxhash64("word").alias("term")).distinct()
     index = build_index(docs, terms.select("term").distinct(), id_col, text_col)
+    index = index.where("pos >= 0")
     counted = terms.join(index.groupBy("term").count(), "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     by_item = Window.partitionBy("item_id")
     ranked = stage(counted.withColumn("rank", F.row_number().over(by_item.orderBy("count", "term"))).withColumn("size", F.count("*").over(by_item)))
