@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, MIX1, SALTS, byte_table, mix, sliced, span_hashes, spans, stage, text_view
+from .common import small as few
 
 SPACE = byte_table("space")
 GROUPS = 256
@@ -49,6 +50,8 @@ FINE_ROWS = 20_000
 GROWTH = 1.5
 #: A signature that ``HOT`` of one id in ``ONE_IN`` have is very frequent; at most ``MOST_HOT`` such signatures are broadcast.
 ONE_IN, HOT, MOST_HOT = 64, 2000, 100_000
+#: Rows that are broadcast to the texts, once counted.
+FEW = 500_000
 #: Sets a task remembers in order to sign equal ones once.
 REMEMBERED = 500_000
 
@@ -512,7 +515,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     placed = stage(placed)
 
     def linked(members: DataFrame) -> DataFrame:
-        texts = source.where(F.col("id").isNotNull()).join(members, "id").select("head", "block", "id", "visitor", "text")
+        # few members come to the texts, so that only theirs are moved; many meet all texts in a shuffle
+        texts = source.where(F.col("id").isNotNull()).join(few(stage(members), FEW), "id").select("head", "block", "id", "visitor", "text")
         dealt = texts.repartition("head", "block").sortWithinPartitions("head", "block", "id")
         return stage(dealt.mapInArrow(lambda batches: _clusters(batches, n, threshold), "head long, block long, id long, root long, joined boolean"))
 
@@ -545,7 +549,10 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     """The rows of ``docs``, columns as they are, whose id is the smallest of its component, one row of each; rows with a
     null id stay."""
     found = near_duplicates(docs, n, num, den)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    ids = lambda df: few(stage(df.select(F.col("doc_id").alias("__id")).distinct()), FEW)
+    rest = docs.join(ids(found.where(F.col("doc_id") != F.col("component_id"))), F.col("doc_id") == F.col("__id"), "left_anti")
+    # of rows that share an id one stays; only those are put in order
+    again = ids(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1"))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("__place", first).where("__place = 1").drop("__place").unionByName(docs.where(F.col("doc_id").isNull()))
+    one = rest.join(again, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__place", first).where("__place = 1").drop("__place")
+    return rest.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(one)

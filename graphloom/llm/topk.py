@@ -12,7 +12,8 @@ every segment is read, and the same test picks the vectors to score.
 Vectors with a component of ``WIDE`` or more stand beside the index and are scored one by one, in whole numbers of any size;
 so are all vectors for a query whose gains would not fit the accumulators.
 
-Every block sees every query; that is the stated query set against all rows, in blocks.  A task holds one block.
+Every block sees every query; that is the stated query set against all rows, in blocks.  A task holds one block, whose size
+is bounded in components, so long vectors make more blocks and not larger ones.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; components beyond the
 range of a long count as its ends, and so do scores, after ranking; vectors of different lengths do not meet; rows with the
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import ranges
 
 TOGETHER = 128  # queries to an output batch
-#: Vectors of a block, at least and at most; between them there is a block for each task slot.
-LEAST_BLOCK, MOST_BLOCK = 4096, 65536
+#: Vectors of a block, as long as there are no more task slots than blocks, and components, at most.  A block's index takes
+#: about six times its vectors as whole numbers, so some 200 MB for BLOCK_CELLS components, whatever the vectors' length.
+LEAST_BLOCK, BLOCK_CELLS = 4096, 1 << 22
 LEVEL = 2  # width of a quantised impact level
 ROUNDS = 16  # how often a query asks for proof
 WIDE = 1 << 14
@@ -179,6 +181,12 @@ def _whole(value):
     return F.when(value >= edge * 2, F.lit(ENDS[1])).when(value < -edge * 2, F.lit(-ENDS[1] - 1)).otherwise(F.floor(F.when(F.abs(value) < edge * 2, value).otherwise(0.0)).cast("long"))
 
 
+def blocks_for(n: int, cells: int, slots: int) -> int:
+    """How many blocks hold ``n`` vectors of ``cells`` components in all: one for each task slot while they have LEAST_BLOCK
+    vectors, and as many as keep blocks within BLOCK_CELLS components (a single vector may have more)."""
+    return max(1, min(slots, n // LEAST_BLOCK), -(-cells // BLOCK_CELLS))
+
+
 def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block: int | None = None) -> DataFrame:
     """The ``k`` best candidates of every query row.
 
@@ -192,9 +200,8 @@ def top_k(vectors: DataFrame, is_query, k: int, id_col: str = "vec_id", vector_c
         .select("__id", "__q", F.transform(x, lambda v: _whole(v.cast("double") * scale)).alias("__vec"))
         .withColumn("__dim", F.size("__vec"))
     )
-    n = ready.count()
-    block = block or min(max(n // vectors.sparkSession.sparkContext.defaultParallelism, LEAST_BLOCK), MOST_BLOCK)
-    blocks = max(1, -(-n // block))
+    n, cells = ready.agg(F.count("*"), F.coalesce(F.sum("__dim"), F.lit(0))).first()
+    blocks = -(-n // block) if block else blocks_for(n, cells, vectors.sparkSession.sparkContext.defaultParallelism)
     mine = ready.select(F.pmod(F.xxhash64("__id", "__vec"), F.lit(blocks)).cast("int").alias("__block"), "__dim", F.lit(False).alias("__query"), "__id", "__vec")
     asked = (
         ready.where("__q").select("__id", "__vec", "__dim").distinct()

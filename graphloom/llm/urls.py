@@ -3,7 +3,7 @@ support prune the rules, and the rest match URLs through an inverted index.  Dat
 
 A URL's tokens are its host labels, the words of labels that consist of several, and the segments of its path.  Every
 distinct URL of the labelled part is a transaction and also holds the item of its label, if it has one; confidence is
-measured against all of them.  Labels are the caller's; ``page_label`` gives one by a page's content.
+measured against all of them, and must beat the label's share among them beyond chance.  Labels are the caller's; ``page_label`` gives one by a page's content.
 
 Explicit (host, path) rules come first.  They are a short list written by people (at most ``RULES``), so they stand in the
 plan as literals.
@@ -67,9 +67,21 @@ def page_label(html):
     return F.when(F.length(text) > 0, F.when(marks > JUNK * F.length(text), F.lit("block")).otherwise(F.lit("allow")))
 
 
-def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3, least_urls: int = 2) -> DataFrame:
-    """Staged rules (tokens array<string>, verdict, confidence, support, key) from ``urls`` (url, tokens, label; label null if
-    unknown).  ``key`` is a rule's rarest token.
+#: What ``mine`` returns.
+RULE = "tokens array<string>, verdict string, confidence double, support double, lift double, sure double, key string"
+
+
+def lower_bound(share, n, z: float):
+    """Wilson's lower bound of a probability of which ``n`` trials gave ``share``, at ``z`` standard deviations."""
+    square = z * z
+    return (share + square / (2 * n) - z * F.sqrt((share * (1 - share) + square / (4 * n)) / n)) / (1 + square / n)
+
+
+def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens: int = 3, least_urls: int = 2, z: float = 3.0) -> DataFrame:
+    """Staged rules (``RULE``) from ``urls`` (url, tokens, label; label null if unknown).  ``key`` is a rule's rarest token.
+
+    A rule must say more than its verdict's share of all URLs does: the lower bound of its confidence (``sure``, Wilson's at
+    ``z`` standard deviations) must lie above that share.  ``lift`` is confidence over share.
 
     ``min_support`` is the least share of the URLs, ``least_urls`` their least number; tokens below are dropped before mining,
     so that transactions stay short.  A rule is redundant, and goes, if fewer of its tokens give the same verdict with as
@@ -79,7 +91,7 @@ def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens
     n = distinct.count()
     least = max(2, least_urls, int(min_support * n))
     if n < least:
-        return spark.createDataFrame([], "tokens array<string>, verdict string, confidence double, support double, key string")
+        return spark.createDataFrame([], RULE)
     # only tokens frequent among labelled URLs can be in a rule: the others are dropped by a join with the frequent ones
     counted = distinct.where(F.col("label").isNotNull()).select(F.explode("tokens").alias("token")).groupBy("token").count()
     frequent = stage(counted.where(F.col("count") >= least))
@@ -94,6 +106,12 @@ def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens
         model.associationRules.where(F.startswith(F.element_at("consequent", 1), F.lit("=")) & F.forall("antecedent", lambda x: ~F.startswith(x, F.lit("="))) & (F.size("antecedent") <= most_tokens))
         .select(F.array_sort("antecedent").alias("tokens"), F.substring(F.element_at("consequent", 1), 2, 1 << 20).alias("verdict"), "confidence", "support")
     )
+    base = distinct.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("verdict")).agg((F.count("*") / F.lit(n)).alias("share"))
+    had = F.greatest(F.round(F.col("support") * n / F.col("confidence")), F.lit(1.0))
+    found = stage(
+        found.join(F.broadcast(base), "verdict").withColumn("sure", lower_bound(F.col("confidence"), had, z)).where(F.col("sure") > F.col("share"))
+        .select("tokens", "verdict", "confidence", "support", (F.col("confidence") / F.col("share")).alias("lift"), "sure")
+    )
     # the subsets of at most three tokens of a rule are few: each rule looks its own up
     single = F.transform("tokens", lambda x: F.array(x))
     pairs = F.flatten(F.transform("tokens", lambda x: F.transform(F.filter("tokens", lambda y: y > x), lambda y: F.array(x, y))))
@@ -102,21 +120,21 @@ def mine(urls: DataFrame, min_support: float, min_confidence: float, most_tokens
     redundant = fewer.join(given, ["part", "verdict"]).where(F.col("known") >= F.col("confidence")).select("tokens", "verdict").distinct()
     pruned = found.join(redundant, ["tokens", "verdict"], "left_anti")
     rarest = pruned.select("tokens", F.explode("tokens").alias("token")).distinct().join(frequent, "token").groupBy("tokens").agg(F.min_by("token", F.struct("count", "token")).alias("key"))
-    return stage(pruned.join(rarest, "tokens"))
+    return stage(pruned.join(rarest, "tokens").select(*[c.split()[0] for c in RULE.split(", ")]))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], mined: DataFrame, keep: list, default: str = "allow") -> DataFrame:
     """``keep`` columns of every row of ``pages`` with host, path, rule, verdict and mined.
 
     The rules' index is keyed by the rarest token of each rule; a page's tokens look it up, and a rule holds if the page has
-    all of its tokens.  The best rule by confidence, support, tokens gives the verdict where no explicit rule fits; ``mined``
+    all of its tokens.  The best rule by the lower bound of its confidence, support, tokens gives the verdict where no explicit rule fits; ``mined``
     names its tokens."""
     page = pages.select(*[c.alias(f"__k{i}") for i, c in enumerate(keep)], F.col("url").alias("__url"), F.monotonically_increasing_id().alias("__row"))
     page = page.withColumn("__host", host_of(F.col("__url"))).withColumn("__path", path_of(F.col("__url")))
     page = page.withColumn("__rule", rule_of(F.col("__host"), F.col("__path"), rules))
     kept = [f"__k{i}" for i in range(len(keep))]
     fits = page.where(F.col("__rule").isNotNull()).select(*kept, "__host", "__path", F.col("__rule.rule").alias("__r"), F.col("__rule.verdict").alias("__v"), F.lit(None).cast("string").alias("__m"))
-    index = mined.select(F.col("key").alias("__token"), F.col("tokens").alias("__all"), F.struct("confidence", "support", "tokens", "verdict").alias("__best"))
+    index = mined.select(F.col("key").alias("__token"), F.col("tokens").alias("__all"), F.struct("sure", "support", "tokens", "verdict").alias("__best"))
     rest = page.where(F.col("__rule").isNull()).withColumn("__tokens", tokens_of(F.col("__host"), F.col("__path")))
     tried = (
         rest.withColumn("__token", F.explode_outer("__tokens")).join(small(index, INDEX_ROWS), "__token", "left")
