@@ -136,16 +136,29 @@ UNSEEN = [
 OTHERS = ["the Apache tribe lived there", "she reserved all rooms", "general public opinion", "Copyright is a difficult field of law", "Mozilla released version 2.0 of the browser", "the file is 3 MB", "Creative people have things in common", "My licence to fish has expired", "He studied at MIT for years", "Die Lizenz kostet viel Geld", "the right to be reserved about all of it", "free software is a matter of liberty", "A new clause was added to the contract", "cc: all members by Friday", "Attribution of the painting is unclear", "the source was found under the hill", "The park is open to the general public", "commercial and non-commercial boats", "mit dem Zug und mit dem Rad", "version 3 or later will do"]
 
 
+#: Notices of licences that no family has and training and calibration do not know, and lines with words of notices.
+FOREIGN = ["Licensed under the ISC License.", "Released under the EUPL v1.2", "This project is licensed under the WTFPL.", "zlib licence applies", "Distributed under the Artistic License 2.0.", "This is released under the Unlicense.", "License: ISC", "SPDX-License-Identifier: EUPL-1.2", "The code is available under the zlib license.", "Perl parts are covered by the Artistic License.", "Distributed under the Boost Software License", "licensed under Eclipse Public License v2"]
+SPOKEN = ["Our BSD servers are down.", "CC by the sea", "The general public license office opened"]
+
+
 def test_licences_in_other_words(spark):
     taught = {text for _, text in notices.examples()} | set(notices.mentions())
     assert not taught & {text for _, text in UNSEEN} and not taught & set(OTHERS)
     prose = [(1000 + k, f"thon her {k} eating.\nAnd of the {k} thint, sur la table mit der {k} ench.") for k in range(300)]
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(UNSEEN)] + [(500 + k, t) for k, t in enumerate(OTHERS)] + prose, "doc_id long, text string")
-    found = {r["doc_id"]: r["family"] for r in licences.scan(docs, licences.train(docs), ["doc_id"]).collect()}
+    # trained on other documents than those that are scanned
+    model = licences.train(docs.where("doc_id >= 1000"))
+    found = {r["doc_id"]: r["family"] for r in licences.scan(docs, model, ["doc_id"]).collect()}
     right = sum(found.get(k) == family for k, (family, _) in enumerate(UNSEEN))
     wrong = [k for k in found if k >= 500]
     print(f"recall {right / len(UNSEEN):.3f}, precision {right / len(found):.3f}", [t for k, (f, t) in enumerate(UNSEEN) if found.get(k) != f], wrong)
-    assert right >= 0.9 * len(UNSEEN) and right >= 0.9 * len(found)
+    assert right >= 0.9 * len(UNSEEN) and right >= 0.9 * len(found) and not wrong
+    strange = spark.createDataFrame([(k, t) for k, t in enumerate([*FOREIGN, *SPOKEN])], "doc_id long, text string")
+    taken = [r["doc_id"] for r in licences.scan(strange, model, ["doc_id"]).collect()]
+    print("taken for a family:", taken)
+    assert len(taken) <= 0.1 * (len(FOREIGN) + len(SPOKEN))
+    assert not {t for _, t in notices.examples()} & {*FOREIGN, *SPOKEN} and not {*notices.others(), *notices.calibration()} & {*FOREIGN, *SPOKEN}
+    assert model.cut >= licences.LEAST_CUT and licences.FLOORS[0] <= model.floor <= licences.FLOORS[1]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the generated tables")
