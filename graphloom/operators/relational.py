@@ -44,16 +44,21 @@ def ranged(df: DataFrame, keys: list[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``__range``: numbers, ascending with ``keys``, of ranges of about ``rows`` rows.
 
     Ranges are cut at sampled keys, so outliers do not matter, and their number grows with the rows.  Staged, so that every use
-    sees the same ranges.  Rows of equal keys share a range."""
+    sees the same ranges and ``df`` is computed once.  Rows of equal keys share a range."""
+    return _cut(df, keys, rows)[0]
+
+
+def _cut(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, bool]:
+    """``ranged`` and whether there are several ranges; of a single one nothing is carried anywhere."""
     with owned() as first:
         kept = stage(df)
     ranges = -(-kept.count() // rows)
     if ranges <= 1:
         adopt(first)
-        return kept.withColumn("__range", F.lit(0))
+        return kept.withColumn("__range", F.lit(0)), False
     cut = stage(kept.repartitionByRange(ranges, *keys).withColumn("__range", F.spark_partition_id()))
     free(first)
-    return cut
+    return cut, True
 
 
 def _before(sizes: DataFrame, value) -> DataFrame:
@@ -75,16 +80,24 @@ def dense_index(df: DataFrame, key: str | list[str], name: str = "index", rows:
     """Place (from 0) of each row by a unique ``key``, without ordering all rows in one task: places within ranges of the key,
     plus the sizes of the ranges before."""
     keys = [key] if isinstance(key, str) else key
-    cut = ranged(df, keys, rows)
+    cut, several = _cut(df, keys, rows)
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)) - 1
-    return cut.withColumn("__inside", inside).join(F.broadcast(_before(cut, F.count("*"))), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
+    return _carried(cut, several, inside, F.count("*"), name)
+
+
+def _carried(cut: DataFrame, several: bool, inside, value, name: str) -> DataFrame:
+    """``inside`` plus the sum of ``value`` over the ranges before."""
+    if not several:
+        return cut.withColumn(name, inside).drop("__range")
+    both = cut.withColumn("__inside", inside).join(F.broadcast(_before(cut, value)), "__range")
+    return both.withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
 def running_total(df: DataFrame, key: str, value: str, name: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``key`` (unique), by the same two levels."""
-    cut = ranged(df, [key], rows)
+    cut, several = _cut(df, [key], rows)
     inside = F.coalesce(F.sum(value).over(Window.partitionBy("__range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("__inside", inside).join(F.broadcast(_before(cut, F.sum(value))), "__range").withColumn(name, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
+    return _carried(cut, several, inside, F.sum(value), name)
 
 
 def align(keys: DataFrame, key: str, bounds: DataFrame, bound: str, low: int, high: int, rows: int = RANGE_ROWS) -> DataFrame:
@@ -97,25 +110,31 @@ def align(keys: DataFrame, key: str, bounds: DataFrame, bound: str, low: int, hi
     points = keys.select(F.col(key).cast("long").alias("__k"), F.lit(False).alias("__is_bound")).union(marks).where("__k is not null")
     # one row for each value: whether it is a bound, and a key
     values = points.groupBy("__k").agg(F.max("__is_bound").alias("__is_bound"), F.min("__is_bound").alias("__no_key"))
-    cut = ranged(values, ["__k"], rows)
+    cut, several = _cut(values, ["__k"], rows)
     mark = F.when(F.col("__is_bound"), F.col("__k"))
     # one sweep up a range and one down: a frame that ends at the row before costs a step a row
     up, down = Window.partitionBy("__range").orderBy("__k"), Window.partitionBy("__range").orderBy(F.desc("__k"))
     near = cut.withColumn("__floor", F.last(mark, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__next", F.last(mark, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, -1)))
-    by_range = cut.groupBy("__range").agg(F.max(mark).alias("__max"), F.min(mark).alias("__min"))
-    carried = by_range.select("__range", F.max("__max").over(_smaller()).alias("__before"), F.min("__min").over(_greater()).alias("__after"))
-    placed = near.where("not __no_key").join(F.broadcast(carried), "__range").select("__k", F.coalesce("__floor", "__before", F.lit(low)).alias("floor_bound"), F.coalesce("__next", "__after", F.lit(high)).alias("next_bound"))
+    near = near.where("not __no_key")
+    if several:
+        by_range = cut.groupBy("__range").agg(F.max(mark).alias("__max"), F.min(mark).alias("__min"))
+        carried = by_range.select("__range", F.max("__max").over(_smaller()).alias("__before"), F.min("__min").over(_greater()).alias("__after"))
+        near = near.join(F.broadcast(carried), "__range")
+    before, after = (["__before"], ["__after"]) if several else ([], [])
+    placed = near.select("__k", F.coalesce("__floor", *before, F.lit(low)).alias("floor_bound"), F.coalesce("__next", *after, F.lit(high)).alias("next_bound"))
     return keys.join(placed, F.col(key).cast("long") == F.col("__k"), "left").select(*keys.columns, "floor_bound", "next_bound")
 
 
 def adjacent_pairs(df: DataFrame, key: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Each distinct ``key`` with the next greater one (null for the last), ranges at a time."""
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    cut = ranged(keys, [key], rows)
+    cut, several = _cut(keys, [key], rows)
+    cut = cut.withColumn("__next", F.lead(key).over(Window.partitionBy("__range").orderBy(key)))
+    if not several:
+        return cut.select(key, F.col("__next").alias("next"))
     starts = cut.groupBy("__range").agg(F.min(key).alias("__first"))
     after = starts.select("__range", F.min("__first").over(_greater()).alias("__after"))
-    inside = F.lead(key).over(Window.partitionBy("__range").orderBy(key))
-    return cut.withColumn("__next", inside).join(F.broadcast(after), "__range").select(key, F.coalesce("__next", "__after").alias("next"))
+    return cut.join(F.broadcast(after), "__range").select(key, F.coalesce("__next", "__after").alias("next"))
 
 
 def member_flag(df: DataFrame, key: str, members: DataFrame, member: str, name: str = "in_set") -> DataFrame:
