@@ -6,6 +6,8 @@ re-read and never a lost result.  Only a session whose master is ``local[...]``
 
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,15 +21,26 @@ SLICE_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_writing, _lock = {"writers": 0, "before": None}, threading.Lock()
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """A staged table; the shuffle files that writing it took are deleted with it."""
+    """A staged table; the shuffle files that writing it took are deleted with it.  The setting for that is put back when the
+    last of the threads that write is done."""
     spark = df.sparkSession
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    with _lock:
+        if not _writing["writers"]:
+            _writing["before"] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _writing["writers"] += 1
     try:
         return write_staged(df)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        with _lock:
+            _writing["writers"] -= 1
+            if not _writing["writers"]:
+                before = _writing["before"]
+                spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
 def small(df: DataFrame, bound: int, weight: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ in clearly more toxic texts than chance allows.  The lexicon is learned and the
 quarters of the sample, and calibrated on the rest.  Of the terms found, the ``MOST_TERMS`` clearest are kept.
 
 Defined results: null and empty texts have no words and get the score of that; equal texts get equal scores; repeated rows
-are scored alike, each giving a row; without labels every score is 0.5; extra columns pass by unread.
+are scored alike, each giving a row; without labels to learn from every score is 0; extra columns pass by unread.
 """
 
 from __future__ import annotations

@@ -47,6 +47,13 @@ def test_odd_rows(spark, odd, module, labels):
     assert module.train(odd.limit(0), table) is not None
 
 
+def test_the_query_without_labels(spark, odd, tmp_path):
+    odd.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = queries.op7_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(ODD) and all((r["score"], r["predicted"]) == (0.0, 0) for r in found)
+
+
 def test_statistics_by_hand():
     raw = "Ab ab c.\nab ab".encode()
     x = docstats.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw), len(raw)]))
