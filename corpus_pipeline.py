@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import decontaminate, ngram_join, pieces, quality, toxicity
 from graphloom.llm.common import read, stage
+from graphloom.staging import free, owned
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the others staged on the way is freed once their result is."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stage(docs)
-    return docs
+    for _, step in STAGES[:-1]:
+        with owned() as passing:
+            out = step(spark, docs, sf_dir)
+        docs = stage(out)
+        free(passing)
+    return STAGES[-1][1](spark, docs, sf_dir)
