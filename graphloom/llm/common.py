@@ -51,7 +51,8 @@ def small(df: DataFrame, bound: int, weight: Column | None = None) -> DataFrame:
 
 
 def ascii_lower(col):
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z lower-cased and nothing else; texts of ASCII alone, where that is what ``lower`` does, take its faster way."""
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def ascii_lower_sql(col: str) -> str:

@@ -7,8 +7,9 @@ by the terms' offsets in the phrase, are intersected; and the places left are co
 are hashed in the index, which can only add places to compare.
 
 Work follows the postings of the rarest terms: a passage that a third of the documents hold costs a place for each of its
-occurrences.  Places are rows.  Documents with places are cut, once, into blocks of ``BLOCK`` words, and places meet the block
-they begin in; so no row holds all places of a document, however many, and no text is split again for a place.  Texts stay
+occurrences.  Places are rows.  Documents with places are split once more, into rows of words that gather in blocks of
+``BLOCK`` words, and places meet the block they begin in; so no row holds all places of a document, however many, and no text
+is split again for a place.  Texts stay
 where they are read: the keys of documents with places come to them, as long as these are at most ``SMALL`` rows, and only
 blocks with places may be shuffled; beyond that documents and keys meet in a shuffle.  The same holds for the benchmark's
 vocabulary and look-ups.
@@ -32,7 +33,7 @@ from .common import ascii_lower, small, stage
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SMALL = 500_000
 #: Words of a block.
-BLOCK = 512
+BLOCK = 128
 #: What stands for a term in the rows that count a document's words, at position -1 - words.
 NO_TERM = 0
 
@@ -52,12 +53,16 @@ def phrases(items: DataFrame, n: int) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged postings (term, __id, __hash, pos) of the tokens of ``docs`` whose term is in ``vocabulary`` (term), and for every
     row of ``docs`` one of NO_TERM with the position -1 - (number of words)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # bound once, so that a text is split once
-    cells = F.transform(F.array(words(F.col(text_col))), lambda w: F.concat(F.array(F.struct(F.lit(NO_TERM).cast("long").alias("term"), (-1 - F.size(w)).alias("pos"))), F.transform(w, lambda x, i: F.struct(F.xxhash64(x).alias("term"), i.alias("pos")))))
-    tokens = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__hash"), F.explode(F.get(cells, F.lit(0))).alias("c")).select("c.term", "__id", "__hash", "c.pos")
+    # the words are bound once, so that a text is split once; before them stands their number, behind a NUL that no word has
+    counted = F.transform(F.array(words(F.col(text_col))), lambda w: F.concat(F.array(F.concat(F.lit("\0"), F.size(w).cast("string"))), w))
+    # the hash stands below the explode, or it would be computed for every word
+    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__hash"), F.get(counted, F.lit(0)).alias("__words"))
+    cells = keyed.select("__id", "__hash", F.posexplode("__words").alias("at", "word"))
+    number = F.when(F.col("at") == 0, F.substring("word", 2, 20).try_cast("int"))
+    tokens = cells.select(F.when(F.col("at") > 0, F.xxhash64("word")).otherwise(F.lit(NO_TERM).cast("long")).alias("term"), "__id", "__hash", F.coalesce(-1 - number, F.col("at") - 1).alias("pos"))
     known = vocabulary.select("term").union(vocabulary.sparkSession.range(1).select(F.lit(NO_TERM).cast("long").alias("term"))).distinct()
-    return stage(tokens.join(small(known, SMALL), "term", "left_semi").where((F.col("term") != NO_TERM) | (F.col("pos") < 0)))
+    # a word whose hash is NO_TERM by chance is a posting only if it is in the vocabulary; that it is kept does no harm
+    return stage(tokens.join(small(known, SMALL), "term", "left_semi"))
 
 
 def word_counts(index: DataFrame) -> DataFrame:
@@ -103,10 +108,12 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "d
     keys = listed.select("__id", "__hash", "__block")
     # documents with places are looked at again, and of them the blocks with places
     texts = _matched(with_hash(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text"), keys.select("__id", "__hash").distinct(), "left_semi")
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(w), F.lit(1)) - 1) / BLOCK).cast("int")), lambda k: F.struct(k.alias("block"), F.slice(w, k * BLOCK + 1, F.lit(BLOCK + n - 1)).alias("words")))
-    blocks = texts.select("__id", "__hash", F.explode(F.get(F.transform(F.array(words(F.col("__text"))), cut), F.lit(0))).alias("b")).select("__id", "__hash", F.col("b.block").cast("long").alias("__block"), F.col("b.words").alias("__words"))
-    some = _matched(blocks, keys, "left_semi", on="__block")
-    both = _matched(some, listed, "inner", F.size("__places"), on="__block")
+    # a word is in the block of its place, and the first ones of a block are in the block before too, whose windows reach them
+    cells = texts.select("__id", "__hash", F.posexplode(words(F.col("__text"))).alias("at", "word"))
+    of = F.array_distinct(F.array(*[F.expr(f"cast(greatest(at - {d}, 0) div {BLOCK} as long)") for d in (0, n - 1)]))
+    blocks = _matched(cells.select("__id", "__hash", "at", "word", F.explode(of).alias("__block")), keys, "left_semi", on="__block")
+    some = blocks.groupBy("__id", "__hash", "__block").agg(F.array_sort(F.collect_set(F.struct("at", "word"))).alias("__cells"))
+    both = _matched(some, listed, "inner", F.size("__places"), on="__block").withColumn("__words", F.transform("__cells", lambda c: c["word"]))
     right = F.filter("__places", lambda p: F.array_join(F.slice("__words", (p["start"] - F.col("__block") * BLOCK).cast("int") + 1, p["length"]), " ") == p["phrase"])
     found = both.select("__id", "__hash", F.explode(right).alias("p")).select("__id", "__hash", F.col("p.start").cast("int").alias("start"), "p.length", "p.number").distinct()
     return Occurrences(stage(found), wanted, index)
