@@ -14,7 +14,7 @@ from ..operators import traverse as walk
 from ..operators import verify
 from ..sources.graph import Graph, from_star, load_delimited, load_parquet, write_delimited, write_parquet
 from ..sources.star import BASE_TABLES, with_views
-from ..staging import stage, staged_path
+from ..staging import free, owned, stage, staged_path
 from . import queries as q
 
 PERSON, OTHER, ALONE = 7, 0, 100
@@ -52,7 +52,22 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return found
 
 
+def settled(run: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
+    """``run`` with its result staged, so that what it staged on the way can be freed."""
+
+    def both(g: Graph) -> DataFrame:
+        with owned() as passing:
+            out = run(g)
+        kept = stage(out)
+        free(passing)
+        return kept
+
+    return both
+
+
 def add(name: str, sql: str, run: Callable[[Graph], DataFrame]) -> None:
+    """Register a query; the results of checks are few rows, and their intermediate tables go with the check."""
+    run = settled(run) if name.startswith("verify") else run
     _queries[name] = lambda spark, sf_dir: run(graph(spark, sf_dir))
     _sql[name] = with_views(sql)
 

@@ -3,6 +3,7 @@
 import pytest
 from oracle import connect, rows, sql_rows
 
+from graphloom import staging
 from graphloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,3 +28,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).columns == ["friend_id", "first_name", "last_name", "creation_date"]
+
+
+def test_checks_leave_their_result_only(spark):
+    registry.queries()["verify_path"](spark, FOLDER).count()  # indexes are built
+    before = len(staging._staged)
+    assert registry.queries()["verify_path"](spark, FOLDER).count() > 0
+    assert len(staging._staged) == before + 1
