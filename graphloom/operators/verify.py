@@ -17,7 +17,7 @@ from ..staging import stage
 from .relational import adjacent_pairs, dense_index
 
 
-#: Distinct result rows up to which ``members`` filters the base table by a Bloom filter of them, its bits, and bits set by a row.
+#: Result rows up to which ``members`` and ``tags`` filter the base table by a Bloom filter of them, its bits, and bits set by a row.
 BLOOM_ROWS, BLOOM_BITS, BLOOM_HASHES = 50_000, 1 << 20, 4
 
 
@@ -40,16 +40,22 @@ def sifted(base: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
     return base.join(F.broadcast(held), test).drop("__words")
 
 
+def _narrowed(found: DataFrame, base: DataFrame) -> DataFrame:
+    """``base`` (the columns of ``found``) or, while the distinct rows of ``found`` are few, only its rows that pass a Bloom filter of
+    them: a large base is then scanned and neither shuffled nor grouped.  Columns of other types hash otherwise, and so are not sifted."""
+    columns = found.columns
+    base, alike = base.select(*columns), [t for _, t in found.dtypes] == [t for _, t in base.select(*columns).dtypes]
+    return sifted(base, found, columns) if alike and found.limit(BLOOM_ROWS + 1).count() <= BLOOM_ROWS else base
+
+
 def members(result: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
     """Result rows that are not in the base table.
 
     While the result is small, only base rows that pass a Bloom filter of it are compared, so a large base is scanned and not
     shuffled; beyond that both sides meet as they are."""
-    found = result.select(*columns)
-    if found.limit(BLOOM_ROWS + 1).count() <= BLOOM_ROWS:
-        base = sifted(base.select(*columns), found, columns)
+    base = _narrowed(result.select(*columns), base)
     test = reduce(lambda a, b: a & b, [result[c].eqNullSafe(base[c]) for c in columns])
-    return result.join(base.select(*columns).distinct(), test, "left_anti").select(*columns)
+    return result.join(base, test, "left_anti").select(*columns)
 
 
 def fingerprint(df: DataFrame) -> tuple:
@@ -196,8 +202,8 @@ def slices(index: DataFrame, slots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def tags(result: DataFrame, tables: dict[int, DataFrame], key: str = "id", tag: str = "type") -> DataFrame:
     """Rows whose tag names a table that does not have their key."""
-    known = reduce(lambda a, b: a.union(b), [t.select(F.col(key), F.lit(n).alias(tag)) for n, t in tables.items()]).distinct()
-    return result.join(known, [key, tag], "left_anti").select(key, tag)
+    known = reduce(lambda a, b: a.union(b), [t.select(F.col(key), F.lit(n).alias(tag)) for n, t in tables.items()])
+    return result.join(_narrowed(result.select(key, tag), known), [key, tag], "left_anti").select(key, tag)
 
 
 def distances(found: DataFrame, edges: DataFrame, source: int, max_hops: int | None = None) -> DataFrame:

@@ -178,3 +178,18 @@ def test_non_members(spark):
     assert verify.witnessed(flags, "k", "in_set", found).count() == 0
     assert [r[0] for r in verify.witnessed(flags, "k", "in_set", found.where("k <> 6")).collect()] == [6]
     assert rel.outsiders(keys.limit(0), "k", members.limit(0), "m", 0, 9).count() == 0
+
+
+def test_tags_do_not_group_the_tables(spark):
+    """A small result is compared with the rows that pass a Bloom filter of it; the tables are only scanned."""
+    table = stage(spark.range(5000).withColumn("note", F.lit("x")))
+    tables = {0: table, 1: table.where("id % 2 = 0").select("id", "note")}
+    tagged = spark.createDataFrame([(3, 0), (3, 1), (4, 1), (9000, 0), (None, 1)], "id long, type int")
+    found = verify.tags(tagged, tables)
+    assert {tuple(r) for r in found.collect()} == {(3, 1), (9000, 0), (None, 1)} and "Aggregate" not in plan(found) and "BroadcastNestedLoopJoin" in plan(found)
+    # the same beyond the filter's bound, and where the types of keys differ, so that their hashes do
+    many = spark.range(verify.BLOOM_ROWS + 10).select("id", F.lit(0).alias("type"))
+    assert verify.tags(many, tables).count() == verify.BLOOM_ROWS + 10 - 5000 and "Aggregate" not in plan(verify.tags(many, tables))
+    narrow = tagged.select(F.col("id").cast("int").alias("id"), F.col("type").cast("long").alias("type"))
+    assert {tuple(r) for r in verify.tags(narrow, tables).collect()} == {(3, 1), (9000, 0), (None, 1)}
+    assert verify.members(narrow.select("id").where("id < 9000"), table, ["id"]).count() == 0
