@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import Grown, stage_bucketed
+from ..staging import Grown, buckets, stage_sized
 from .relational import dense_index
 
 #: Rows of a search that may be kept on the driver, and source ids that may stand in a plan as literals.
@@ -44,8 +44,8 @@ def inside(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
 
 
 def edge_index(edges: DataFrame) -> DataFrame:
-    """Staged distinct (src, dst), bucketed and sorted by source; what searches run on."""
-    return stage_bucketed(edges.select("src", "dst").distinct(), "src")
+    """Staged distinct (src, dst), bucketed by their number and sorted by source; what searches run on."""
+    return stage_sized(edges.select("src", "dst").distinct(), "src")
 
 
 def check_sorted(edges: DataFrame, place: str | None = None) -> DataFrame:
@@ -129,8 +129,9 @@ def bfs(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, targe
 
 def _bfs_staged(edges: DataFrame, reached: DataFrame, hop: int, max_hops: int | None, target: int | None) -> DataFrame:
     """The search from what was ``reached`` in ``hop`` steps on.  What has been visited is a table bucketed by id to which
-    every level appends its files, so a level shuffles its new nodes, and neither edges nor visited nodes."""
-    visited = Grown(edges.sparkSession, "id", "distance")
+    every level appends its files, so a level shuffles what its frontier reaches, and neither edges nor visited nodes.  It has
+    the buckets of the edge index: their number goes by rows, so a level with few nodes is a few tasks."""
+    visited = Grown(edges.sparkSession, "id", "distance", buckets(edges))
     visited.append(reached.select(*NODE).repartition(visited.buckets, "id"))
     while max_hops is None or hop < max_hops:
         seen = visited.table()
@@ -144,9 +145,10 @@ def _bfs_staged(edges: DataFrame, reached: DataFrame, hop: int, max_hops: int |
 
 
 def next_level(edges: DataFrame, seen: DataFrame, hop: int) -> DataFrame:
-    """The nodes one step beyond those at distance ``hop`` - 1 that are not among ``seen`` (id, distance, predecessor)."""
+    """The nodes one step beyond those at distance ``hop`` - 1 that are not among ``seen`` (id, distance, predecessor), dealt
+    by id to the buckets that the edges have, and ``seen`` too."""
     frontier = seen.where(F.col("distance") == hop - 1).select(F.col("id").alias("src"))
-    near = _reached(frontier.join(edges, "src")).join(seen.select("id"), "id", "left_anti")
+    near = _reached(frontier.join(edges, "src").repartition(buckets(edges), "dst")).join(seen.select("id"), "id", "left_anti")
     return near.select("id", F.lit(hop).alias("distance"), "predecessor")
 
 

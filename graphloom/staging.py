@@ -9,14 +9,18 @@ import atexit
 import logging
 import tempfile
 import uuid
+import weakref
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bucketed tables need a catalog entry; theirs are in a database of their own.
 DATABASE = "graphloom_staged"
+#: Rows to a bucket of a table that is bucketed by its size.
+BUCKET_ROWS = 250_000
 log = logging.getLogger(__name__)
 _staged: list[tuple[SparkSession, str, str | None]] = []
+_sized: weakref.WeakKeyDictionary[DataFrame, int] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,26 +50,44 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_bucketed(df: DataFrame, key: str) -> DataFrame:
+def stage_bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
     """Like ``stage``, bucketed and sorted by ``key``: later joins on it do not shuffle this side again, and filters on it
     read only their buckets."""
     spark = df.sparkSession
     name = f"{DATABASE}.t{uuid.uuid4().hex}"
     path = staged_path(spark, name)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def stage_sized(df: DataFrame, key: str) -> DataFrame:
+    """``stage_bucketed`` in as many buckets as the rows ask for, and one for each core at least: what reads the table many times
+    pays for its rows and not for tasks.  ``buckets`` tells how many."""
+    spark = df.sparkSession
+    with owned() as first:
+        kept = stage(df)
+    buckets = max(spark.sparkContext.defaultParallelism, -(-kept.count() // BUCKET_ROWS))
+    table = stage_bucketed(kept, key, buckets)
+    free(first)
+    _sized[table] = buckets
+    return table
+
+
+def buckets(df: DataFrame) -> int:
+    """The number of buckets of a table of ``stage_sized``, else that of ``stage_bucketed``."""
+    return _sized.get(df) or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Grown:
     """A staged table that grows by appended rows, bucketed by ``key`` and divided into folders by ``part``: a join on the key
     does not shuffle it, and a filter on the part reads only its folders."""
 
-    def __init__(self, spark: SparkSession, key: str, part: str):
+    def __init__(self, spark: SparkSession, key: str, part: str, buckets: int | None = None):
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
         self.spark, self.key, self.part, self.name = spark, key, part, f"{DATABASE}.t{uuid.uuid4().hex}"
-        self.path, self.buckets = staged_path(spark, self.name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path, self.buckets = staged_path(spark, self.name), buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def append(self, df: DataFrame) -> None:
         df.write.mode("append").partitionBy(self.part).bucketBy(self.buckets, self.key).sortBy(self.key).option("path", self.path).saveAsTable(self.name)

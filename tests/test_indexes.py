@@ -121,6 +121,27 @@ def test_long_searches_keep_nothing_on_the_driver(spark):
     assert walk.bfs(edges, start, target=5, local=0).where("id = 5").first()["distance"] == 5
 
 
+def test_levels_have_tasks_by_rows_and_not_by_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        edges = walk.edge_index(spark.range(1, 400).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")))
+        found = walk.bfs(edges, spark.range(1), local=0)
+        assert found.count() == 400 and staging.buckets(edges) == spark.sparkContext.defaultParallelism < 64
+        # a file for each bucket that a level has rows in: the source, and its neighbours
+        assert len(found.inputFiles()) <= 1 + staging.buckets(edges)
+        level = plan(walk.next_level(edges, found.where("distance = 0"), 1))
+        assert "hashpartitioning(dst" in level and ", 64)" not in level
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_large_indexes_have_more_buckets(spark, monkeypatch):
+    monkeypatch.setattr(staging, "BUCKET_ROWS", 10)
+    edges = walk.edge_index(spark.range(95).select("id", (F.col("id") + 1).alias("to")).toDF("src", "dst"))
+    assert staging.buckets(edges) == 10 and walk.bfs(edges, spark.range(1), local=0).count() == 96
+
+
 def test_long_ranges_are_swept_once(spark):
     """200,000 rows in one range; a frame evaluated anew for each row would take minutes."""
     began = time.perf_counter()
