@@ -3,10 +3,14 @@
 A paragraph (a line) becomes hashed counts of its words and word pairs; multinomial logistic regression gives it a licence
 family or "unknown".  The classifier is trained here: for the families on notices put together from the names, phrasings and
 passages of ``notices``, with varied holders and surroundings; for "unknown" on sentences that merely speak of licences and
-rights, on notices of licences of no family, and on paragraphs of a bounded sample of the corpus that name no licence.
+rights, on notices of licences of no family, and on the paragraphs of the whole corpus that have a key and name no licence.
+
+Keys are words and word pairs of the templates, chosen so that what has none of them reaches no template by half: such a
+paragraph gives no row whatever the classifier says, so the classifier neither learns from it nor is asked.  All others, of all
+documents, are learnt from (three in four, by a hash) or held back (one in four), and all are judged.
 
 "Unknown" is calibrated twice, on paragraphs that nothing is trained on.  The probability of being no unknown must reach the
-``cut`` that one in a thousand held-back paragraphs of the corpus would pass besides having a template that confirms them.  The probability of the family itself must reach
+``cut`` that one in a thousand of the paragraphs held back would pass besides having a template that confirms them.  The probability of the family itself must reach
 the ``floor`` that one in twenty notices of licences that training never saw would pass (sentences with licence words among
 them).  A prediction counts when a template of its family confirms it: at least half of the template's words and word pairs
 stand in the paragraph; names of one or two words confirm only beside a word of ``notices.BESIDE``.
@@ -14,7 +18,8 @@ stand in the paragraph; names of one or two words confirm only beside a word of
 A notice may be wrapped.  A paragraph that is not clearly unknown is judged again together with the next one;
 the two are a notice if the next is none by itself, and the first is none or less like its template.
 
-The scan is one narrow pass over whole texts; nothing is shuffled.  The few paragraphs that are not clearly unknown are staged.
+The scan is one narrow pass over whole texts; nothing is shuffled.  Texts and then paragraphs without a key are left out by a
+regular expression before any word is cut.  The few paragraphs that are not clearly unknown are staged.
 
 Defined results: null and empty texts and blank paragraphs give no rows; repeated rows each give their rows; a paragraph
 gives at most one row, a wrapped notice one for the paragraph it begins in; equally similar templates count once; an empty
@@ -24,6 +29,7 @@ table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -39,8 +45,8 @@ UNKNOWN = "unknown"
 #: Paragraphs with such words may be notices, and so are no examples of "unknown"; the scan does not ask for them.
 CUES = r"(?i)licen[sc]|copyright|©|creative commons|rights reserved|reproduced|redistribut|public domain|spdx|gpl|\bbsd\b|\bmpl\b|apache|mozilla|\bcc0\b|\bcc[ -]by"
 FEATURES = 1 << 14
-#: Bound on the documents whose paragraphs stand for "unknown"; above it a hash of the text picks about that many.
-MAX_UNKNOWN = 4_000
+#: Words that are no keys while others, or pairs of words, will do.
+COMMON = {"the", "of", "by", "in", "to", "and", "this", "with", "may", "you", "for", "not", "be", "or", "is", "it", "from", "without", "under", "all", "any", "other", "are", "that", "free", "work", "will", "same", "mit", "de", "les", "tous", "alle", "los"}
 #: A paragraph less likely than this to be a notice is not joined with the next one.
 LIKELY = 0.1
 #: The cut is never lower than this.
@@ -67,6 +73,48 @@ def terms(words):
     return F.concat(words, pairs(words))
 
 
+def _template_keys(words: list[str], confirm: float) -> set[str]:
+    """Words and word pairs of a template without which less than ``confirm`` of its terms can stand in a paragraph: rare-looking
+    words, the longest first, then pairs, then other words."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    left, found, least = {*words, *pairs}, set(), confirm * len({*words, *pairs})
+    plain = {w for w in words if w.isalpha() and len(w) > 1 and w not in COMMON}
+    for key in [*sorted(plain, key=lambda w: (-len(w), w)), *sorted(pairs, key=lambda p: (-len(p), p)), *sorted({*words} - plain, key=lambda w: (-len(w), w))]:
+        if len(left) < least:
+            break
+        if key in left:
+            found.add(key)
+            left = {t for t in left if t != key and key not in t.split(" ")}
+    return found
+
+
+def _any_of(terms: set[str]) -> str:
+    """A regular expression for one of the words or word pairs, in lower case."""
+    by_letter: dict[str, list[str]] = {}
+    for term in sorted(terms):
+        by_letter.setdefault(term[0], []).append(r"[^\p{L}\p{N}]+".join(map(re.escape, term.split(" ")))[1:])
+    return r"(?:^|[^a-z0-9])(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by_letter.items()) + r")(?![\p{L}\p{N}])"
+
+
+def keyed(text: Column, confirm: float = CONFIRM) -> Column:
+    """Whether ``text`` has a key: false only where no template can reach ``confirm`` in it (see ``similarity``)."""
+    if confirm <= 0:
+        return text.isNotNull()
+    long, short = set(), set()
+    for family in notices.TEMPLATES.values():
+        for template in family:
+            words = [w for w in re.split(r"[\W_]+", template.lower()) if w]
+            (short if len({*words, *zip(words, words[1:], strict=False)}) <= 3 else long).update(_template_keys(words, confirm))
+    low = F.lower(text)
+    # nearly all texts fail the first test; short templates only count beside another word of a notice
+    return low.rlike(_any_of(long | short)) & (low.rlike(_any_of(long)) | low.rlike(_any_of({*notices.BESIDE})))
+
+
+def near(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents that have a key, staged: to train on them or to scan them gives what all of ``docs`` give."""
+    return stage(docs.where(keyed(F.col(text_col))))
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -82,21 +130,22 @@ def _probabilities(rows: DataFrame, words: str, regression: LogisticRegressionMo
     return regression.transform(hashed).withColumn(out, vector_to_array("__p")).drop("__terms", "__vector", "__p")
 
 
-def train(docs: DataFrame, text_col: str = "text", most: int = MAX_UNKNOWN) -> Model:
-    """Fit on the made-up notices and on at most about ``most`` texts of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """Fit on the made-up notices and on all paragraphs of ``docs`` that have a key and no cue."""
     spark = docs.sparkSession
     families = [UNKNOWN, *notices.FAMILIES]
-    known = spark.createDataFrame([(float(families.index(f)), text, False) for f, text in notices.examples()] + [(0.0, text, False) for text in [*notices.mentions(), *notices.others()]], "label double, paragraph string, held boolean")
-    n = docs.count()
-    hashed = F.xxhash64(F.col(text_col))
-    sample = docs.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))).select(F.explode(paragraphs(F.col(text_col))).alias("paragraph"))
-    other = sample.where(~F.col("paragraph").rlike(CUES) & (F.trim("paragraph") != "")).distinct().select(F.lit(0.0).alias("label"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held"))
-    rows = stage(known.unionByName(other).select("label", "held", tokens(F.col("paragraph")).alias("words")))
+    # groups: 0 the corpus, 1 sentences and notices that are made up for "unknown", 2 the families
+    known = spark.createDataFrame([(float(families.index(f)), text, False, 2) for f, text in notices.examples()] + [(0.0, text, False, 1) for text in [*notices.mentions(), *notices.others()]], "label double, paragraph string, held boolean, made int")
+    own = docs.where(keyed(F.col(text_col))).select(F.explode(paragraphs(F.col(text_col))).alias("paragraph"))
+    own = own.where(keyed(F.col("paragraph")) & ~F.col("paragraph").rlike(CUES)).distinct()
+    other = own.select(F.lit(0.0).alias("label"), "paragraph", (F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 3).alias("held"), F.lit(0).alias("made"))
+    rows = stage(known.unionByName(other).select("label", "held", "made", tokens(F.col("paragraph")).alias("words")))
     fitted = rows.where("not held")
-    sizes = {r["label"]: r["count"] for r in fitted.groupBy("label").count().collect()}
-    # every family weighs the same, "unknown" five times as much
-    shares = {label: (5.0 if label == 0 else 1.0) * 1000.0 / size for label, size in sizes.items()}
-    weight = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("label"))
+    sizes = {(r["label"], r["made"]): r["count"] for r in fitted.groupBy("label", "made").count().collect()}
+    # every family weighs the same, "unknown" five times as much: half for the corpus, however large it is, half for the made-up
+    half = 2.5 if (0.0, 0) in sizes else 5.0
+    shares = {group: (half if group[0] == 0 else 1.0) * 1000.0 / size for group, size in sizes.items()}
+    weight = F.element_at(F.create_map(*[F.lit(x) for (label, made), share in shares.items() for x in (label * 3 + made, share)]), F.col("label") * 3 + F.col("made"))
     vectors = HashingTF(inputCol="terms", outputCol="vector", numFeatures=FEATURES).transform(fitted.select("label", weight.alias("weight"), terms(F.col("words")).alias("terms")))
     regression = LogisticRegression(featuresCol="vector", labelCol="label", weightCol="weight", family="multinomial", maxIter=60, regParam=3e-4, standardization=False, rawPredictionCol="", predictionCol="").fit(vectors)
     held = _probabilities(rows.where("held").select("words"), "words", regression, "p")
@@ -135,9 +184,10 @@ def scan(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text",
 
     ``similarity`` is that to the nearest template of the family; at least ``confirm``."""
     kept = [f"__k{i}" for i in range(len(keep))]
-    cut_up = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], paragraphs(F.col(text_col)).alias("__cut"))
+    cut_up = docs.where(keyed(F.col(text_col), confirm)).select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], paragraphs(F.col(text_col)).alias("__cut"))
     with_next = F.zip_with("__cut", F.slice("__cut", F.lit(2), F.greatest(F.size("__cut") - 1, F.lit(0))), lambda own, after: F.struct(own.alias("own"), after.alias("next")))
     source = cut_up.select(*kept, F.posexplode(with_next).alias("__at", "__lines"))
+    source = source.where(keyed(F.concat_ws("\n", "__lines.own", "__lines.next"), confirm))
     lines = source.select(*kept, "__at", "__lines.next", tokens(F.col("__lines.own")).alias("__own")).where(F.size("__own") > 0)
     # staged here and below: a few rows from here on, and what was computed for them is not computed again for each use
     judged = stage(_probabilities(lines, "__own", model.regression, "__p_own").where(1 - F.col("__p_own")[0] >= min(LIKELY, model.cut)))

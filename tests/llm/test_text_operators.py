@@ -182,6 +182,29 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), licences.train(docs.limit(0)), ["doc_id"]).collect() == []
 
 
+def test_licences_learn_from_all_documents(spark, monkeypatch):
+    staged, keep = [], licences.stage
+    monkeypatch.setattr(licences, "stage", lambda df: staged.append(keep(df)) or staged[-1])
+    licences.train(spark.range(9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("row"), "id", F.lit("only\nnothing here")).alias("text")))
+    assert staged[0].where("array_contains(words, 'row')").count() == 9000
+
+
+def test_texts_without_a_key_are_no_notices(spark, monkeypatch):
+    rng = random.Random(5)
+    shown = [text for family in notices.TEMPLATES.values() for text in family]
+    near = [" ".join(rng.choice([" ", "\n", "--"]).join(w for w in text.split() if rng.random() < 0.7) for text in rng.sample(shown, rng.choice([1, 1, 2]))) + rng.choice(["", " under", " file", " xyz"]) for _ in range(1500)]
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate([*near, *shown, *[t for _, t in UNSEEN], *OTHERS, *FOREIGN, *SPOKEN])], "doc_id long, text string")
+    known = licences.templates(spark)
+    best = F.greatest(*[licences.similarity(F.lit(f), licences.tokens(F.col("text")), known) for f in notices.FAMILIES])
+    told = texts.select(licences.keyed(F.col("text")).alias("keyed"), best.alias("best")).collect()
+    assert all(r["keyed"] for r in told if r["best"] >= licences.CONFIRM) and sum(not r["keyed"] for r in told) > 20
+    model = licences.train(texts.where("doc_id % 2 = 0"))
+    found = lambda docs: {tuple(r) for r in licences.scan(docs, model, ["doc_id"]).select("doc_id", "paragraph", "family").collect()}
+    quick, staged = found(texts), found(licences.near(texts))
+    monkeypatch.setattr(licences, "keyed", lambda text, confirm=0: text.isNotNull())
+    assert quick == staged == found(texts) and len(quick) > 100
+
+
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block")]
 
 
