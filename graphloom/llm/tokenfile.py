@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import ranges, sliced, span_hashes, stage
 
 MAGIC = b"GTF2"
-BLOCK = 2048
+BLOCK = 1024
 FRAME_IDS = 4 << 20
 FRAMES = 8
 SLOTS = 2048

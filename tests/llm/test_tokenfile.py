@@ -72,6 +72,13 @@ def test_many_files(spark, monkeypatch):
     assert [r["start"] for r in tf.digests(spark, path).orderBy("doc_id").collect()] == [2 * k for k in range(1100)]
 
 
+def test_frames_of_longer_blocks_are_still_read():
+    ids = np.random.default_rng(8).zipf(1.3, 9000) % 5000
+    assert tf.BLOCK == 1024
+    for block in (2048, tf.BLOCK):
+        assert np.array_equal(next(tf.read_frames(tf.write_frame([1], np.array([9000]), ids, block)))[2], ids)
+
+
 def test_checksums():
     ids = np.arange(5000) % 777
     data = tf.write_frame([4, None, 9], np.array([1000, 0, 4000]), ids, 512) + b"\n"
