@@ -2,18 +2,17 @@
 
 A file is a row of frames.  A frame holds whole documents and an alphabet: its distinct ids, dealt into ``CLASSES`` classes by
 how they neighbour each other, with their frequencies within the class, and how classes follow classes.  The ids are cut into
-blocks of ``BLOCK``, each of which starts with a fresh model on that alphabet, so blocks decode independently, and each has a
-crc32 of its ids.  The blocks of a frame are coded in step, one id of every block at a time, which is what makes numpy fast
-enough for this.
-
-Per block the model predicts an id by its last two ids (order 2: the id that followed them last), by its last id (order 1:
-the same, and the class of the next id by the class of the last), and by how often the classes occurred in the block
-(order 0).  The orders are mixed by shares that follow which of them was right, kept for each pair of confidences: one
-interval goes to the order-2 id, one to the order-1 id, and the rest is shared out among classes and, within a class, by
-frequency.  All of that is one interval of 2^36, so an id costs one coding step.  The coder is a range coder with 16-bit output
-words and a 64-bit state.
-
-Frame layout, little-endian: magic ``GTF2``; u32 documents, ids, block length, blocks, alphabet bytes; i64 document ids; u8
+blocks of ``BLOCK``, each of which has a crc32 of its ids.  The blocks of a frame are coded in step, one id of every block at a
+time, which is what makes numpy fast enough for this.  All blocks of a frame learn into one model, which begins afresh with
+each frame: frames decode independently, the blocks of one frame together.
+
+The model predicts an id by its last two ids (order 2: the id that followed them last), by its last id (order 1: the same),
+and by the class of the last (the class of the next, and in it the id by frequency).  The orders are mixed by shares that
+follow how often which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
+order-1 id, and the rest, a scale of 2^29, is shared out among classes and, within a class, by frequency.  So an id costs one
+coding step.  The coder is a range coder with 16-bit output words and a 64-bit state.
+
+Frame layout, little-endian: magic ``GTF3``; u32 documents, ids, block length, blocks, alphabet bytes; i64 document ids; u8
 null flags; u32 ids of each document; u32 output words and u32 crc32 of each block; the alphabet; u16 words; u32 crc32 of all
 before; a newline.
 
@@ -33,23 +32,26 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, sliced, span_hashes, stage
+from .common import ranges, sliced, stage, text_view
 
-MAGIC = b"GTF2"
+MAGIC = b"GTF3"
 BLOCK = 1024
-FRAME_IDS = 4 << 20
+FRAME_IDS = 8 << 20
 FRAMES = 8
-SLOTS = 2048
+#: Bytes of text encoded at once.
+SLICE = 16 << 20
+SLOTS = 1 << 17
 CLASSES, MOST_IN_CLASS = 64, 1 << 14
-#: Totals: of a class's successors, of the ids within a class, and of a block's class counts; and a class count's step.
-FOLLOW, INSIDE, SEEN, STEP = 1 << 14, 1 << 15, 1 << 13, 96
-#: Bits of an interval's scale, and what the orders 2 and 1 may take of 65,536.
-SCALE, ROOM = 36, 61440
-#: Ids whose neighbourhoods decide the classes of a frame.
-SAMPLE = 1 << 18
+#: Totals: of a class's successors, and of the ids within a class.
+FOLLOW, INSIDE = 1 << 14, 1 << 15
+#: Bits of the shares of the orders 2 and 1, what these may take of that, and bits of the scale of the rest.
+SHARE, ROOM, REST = 15, 30720, 29
+#: Ids, a frame's first ones, whose neighbourhoods decide its classes; and most frequent distinct ids that place the classes.
+SAMPLE, OFTEN = 1 << 18, 1 << 13
 
 
 def _shares(counts: np.ndarray, total: int) -> np.ndarray:
@@ -79,10 +81,11 @@ def _classes(places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         after = np.linalg.qr(after - np.outer(common, common @ after))[0]
     x = np.concatenate([after / np.sqrt(by_right)[:, None], spread(right, after, left) / np.sqrt(by_left)[:, None]], 1)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    centre = x[np.argsort(-counts, kind="stable")[:CLASSES]]
+    often = np.argsort(-counts, kind="stable")[:OFTEN]
+    centre = x[often[:CLASSES]]
     for _ in range(5):
-        nearest = (x @ centre.T).argmax(1)
-        centre = np.stack([np.bincount(nearest, counts * v, CLASSES) for v in x.T], 1)
+        nearest = (x[often] @ centre.T).argmax(1)
+        centre = np.stack([np.bincount(nearest, counts[often] * v, CLASSES) for v in x[often].T], 1)
         centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
     nearest = (x @ centre.T).argmax(1)
     # a class holds a bounded number of ids; its rarest ones beyond that go where there is room
@@ -99,11 +102,38 @@ class Alphabet:
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, width: np.ndarray, follow: np.ndarray):
         self.ids, self.sizes, self.width, self.follow = ids, sizes, width, follow
-        self.klass = np.repeat(np.arange(CLASSES), sizes)
         begin = np.cumsum(width) - width
-        self.low = begin - np.repeat(np.arange(CLASSES) * INSIDE - np.cumsum(np.where(sizes > 0, 0, INSIDE)), sizes)
-        self.high = self.low + width
-        self.upto = np.concatenate([np.zeros((CLASSES, 1), np.int64), np.cumsum(follow, 1)], 1).astype(np.int16)
+        low = begin - np.repeat(np.arange(CLASSES) * INSIDE - np.cumsum(np.where(sizes > 0, 0, INSIDE)), sizes)
+        #: class, start and width of an id within its class, packed
+        self.packed = (np.repeat(np.arange(CLASSES), sizes) << 32) | (low << 16) | width
+        #: by the classes of an id and of the next: share of the next, and where it starts
+        self.share, self.start = np.ascontiguousarray(follow.ravel()), ((np.cumsum(follow, 1) - follow) * INSIDE).ravel()
+
+    def interval(self, last: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of the ids at ``places``, and start and width of their part of 2^REST after the classes ``last``."""
+        packed = self.packed.take(places)
+        klass = packed >> 32
+        pair = (last * CLASSES) + klass
+        share = self.share.take(pair)
+        return klass, self.start.take(pair) + share * ((packed >> 16) & 65535), share * (packed & 65535)
+
+    def drawer(self):
+        """The way back: the place that holds each point of 2^REST after the classes ``last``."""
+        begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        klasses = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), CLASSES), self.share)
+        spelled = np.zeros((CLASSES, INSIDE), np.int32)
+        for c in np.flatnonzero(self.sizes):
+            spelled[c] = np.repeat(np.arange(begin[c], begin[c + 1]), self.width[begin[c] : begin[c + 1]])
+        spelled = spelled.ravel()
+
+        def drawn(last, point):
+            klass = klasses.take(last * FOLLOW + (point >> 15)).astype(np.int64)
+            pair = last * CLASSES + klass
+            # both below 2^29, so the quotient is exact
+            spot = ((point - self.start.take(pair)) / self.share.take(pair)).astype(np.int64)
+            return spelled.take((klass << 15) | spot)
+
+        return drawn
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Alphabet, np.ndarray]:
@@ -147,77 +177,46 @@ class Alphabet:
 
 
 class Model:
-    """The predictions of all blocks of a frame.  ``predict`` and ``update`` take the first ``n`` blocks one id further.
-
-    Tables are flat, a stretch for each block, and a cell packs what is read together: an id's place with its confidence, or
-    the two shares of a pair of confidences."""
-
-    def __init__(self, blocks: int, alphabet: Alphabet):
-        row = np.arange(blocks)
-        self.alphabet, self.flat = alphabet, np.ascontiguousarray(alphabet.upto.ravel())
-        self.at_slot, self.at_state, self.at_seen = row * SLOTS, row * 16, row * (CLASSES + 1)
-        self.cells = [np.zeros(blocks * SLOTS, np.int32) for _ in range(2)]  # order 2, order 1: place * 4 + confidence
-        # by confidences: of 65,536, the share of the order-2 id, and that of the order-1 id in what is left
-        self.shares = np.full(blocks * 16, (8192 << 16) | 8192, np.int64)
-        # cumulative counts of the classes in the block, and what an id of class k adds to them
-        self.seen = np.zeros((blocks, CLASSES + 1), np.int16)
-        self.above = ((np.arange(CLASSES + 1)[None, :] > np.arange(CLASSES)[:, None]) * STEP).astype(np.int16)
-        self.one, self.two, self.last = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-
-    def predict(self, n: int):
-        self.n = n
-        one, two = self.one[:n], self.two[:n]
-        self.slot = self.at_slot[:n] + (((two * 40503 + one * 30011) >> 3) & (SLOTS - 1)), self.at_slot[:n] + ((one ^ (one >> 6)) & (SLOTS - 1))
-        self.known = [cells.take(slot) for cells, slot in zip(self.cells, self.slot, strict=True)]
-        self.ids = [cell >> 2 for cell in self.known]
-        self.state = self.at_state[:n] + (((self.known[0] & 3) << 2) | (self.known[1] & 3))
-        self.share = self.shares.take(self.state)
-        first = (self.share >> 16) * ROOM >> 16
-        second = ((ROOM - first) * (self.share & 65535) >> 16) * (self.ids[0] != self.ids[1])
-        self.first = (first + 1) << (SCALE - 16)
-        self.both = self.first + (second << (SCALE - 16))
-        self.row = self.last[:n]
-        self.scale = ((1 << SCALE) - self.both) / (self.seen[:n, CLASSES] + np.float64(FOLLOW))
-
-    def class_interval(self, klass):
-        """Start and end of a class's part of what the orders 2 and 1 leave; the same arithmetic in both directions."""
-        place, at = self.row + klass, self.at_seen[: self.n] + klass
-        seen = self.seen.reshape(-1)
-        low = ((self.flat.take(place) + seen.take(at)) * self.scale).astype(np.int64)
-        high = ((self.flat.take(place + 1) + seen.take(at + 1)) * self.scale).astype(np.int64)
-        return self.both + low, high - low
-
-    def class_at(self, point):
-        """The class whose part holds ``point``, with its start and width: a guess from the counts, put right by the parts
-        themselves where rounding made it miss."""
-        count = np.maximum(np.ceil((point - self.both + 1) / self.scale) - 1, 0).astype(np.int16)
-        upto = self.alphabet.upto.take(self.row // (CLASSES + 1), 0)
-        upto += self.seen[: self.n]
-        klass = np.minimum((upto[:, 1:] <= count[:, None]).view(np.int8).sum(1, dtype=np.int64), CLASSES - 1)
-        while True:
-            start, wide = self.class_interval(klass)
-            step = (point >= start + wide).astype(np.int64) - (point < start)
-            if not step.any():
-                return klass, start, wide
-            klass = np.clip(klass + step, 0, CLASSES - 1)
-
-    def update(self, places, kind, klass):
-        """``kind``: 0, 1 or 2 for order 2, order 1 or neither."""
-        n = self.n
-        for cells, slot, cell, known in zip(self.cells, self.slot, self.known, self.ids, strict=True):
-            trust = cell & 3
-            cells[slot] = np.where(known == places, cell + (trust < 3), np.where(trust == 0, places << 2, cell - 1))
-        first, second = self.share >> 16, self.share & 65535
-        first += ((kind == 0) * 65000 + 250 - first) >> 4
-        second += np.where(kind == 0, 0, ((kind == 1) * 65000 + 250 - second) >> 4)
-        self.shares[self.state] = (first << 16) | second
-        seen = self.seen[:n]
-        seen += self.above.take(klass, 0)
-        if int(seen[0, CLASSES]) > SEEN:  # every block has coded as many ids as the others
-            seen[:, 1:] = np.cumsum(np.diff(seen, axis=1) >> 1, axis=1)
-        self.two[:n] = self.one[:n]
-        self.one[:n] = places
-        self.last[:n] = klass * (CLASSES + 1)
+    """What the ids of a frame say about the next id of each of its blocks.  ``predict`` and ``update`` take the first ``n``
+    blocks one id further; all of them read and write the same tables.
+
+    A cell packs what is read together: an id's place with its confidence.  Where several blocks write a cell at once, the
+    last one counts."""
+
+    def __init__(self, blocks: int):
+        self.cells = [np.zeros(SLOTS, np.int32) for _ in range(2)]  # order 2, order 1: place * 4 + confidence
+        # by pairs of confidences: how often the order-2 id was asked and right, and the order-1 id after it was wrong
+        self.tally = np.array([[[2048, 256, 2048, 256]]] * 16, np.int64).reshape(16, 4)
+        self.one, self.slots = np.zeros(blocks, np.int64), [np.zeros(blocks, np.int64)] * 2
+        self._share()
+
+    def _share(self):
+        asked, right, asked_one, right_one = self.tally.T
+        first = 1 + right * ROOM // asked
+        self.first, self.second = first.astype(np.uint64), (1 + right_one * (ROOM + 1 - first) // asked_one).astype(np.uint64)
+
+    def predict(self, n: int, wide: np.ndarray):
+        """Of intervals ``wide``: where the order-2 id's part ends, where the order-1 id's part ends, and a unit of the rest."""
+        self.slots = [slot[:n] for slot in self.slots]
+        two, one = self.known = [cells.take(slot) for cells, slot in zip(self.cells, self.slots, strict=True)]
+        self.ids = two >> 2, one >> 2
+        self.state = ((two & 3) << 2) | (one & 3)
+        unit = wide >> np.uint64(SHARE)
+        first = unit * self.first.take(self.state)
+        both = first + unit * (self.second.take(self.state) * (self.ids[0] != self.ids[1]))
+        return first, both, (wide - both) >> np.uint64(REST)
+
+    def update(self, places: np.ndarray, hits: tuple[np.ndarray, np.ndarray]):
+        """``hits``: whether the order-2 id was right, and whether the order-1 id was."""
+        fresh = (places << 2).astype(np.int32)
+        for cells, slot, cell, hit in zip(self.cells, self.slots, self.known, hits, strict=True):
+            cells[slot] = np.where(hit, np.minimum(cell + 1, cell | 3), np.where(cell & 3, cell - 1, fresh))
+        wrong, one, two, both = (np.bincount((self.state << 2) | (hits[0].view(np.int8) << 1) | hits[1], minlength=64) << 8).reshape(16, 4).T
+        two, wrong = two + both, wrong + one
+        self.tally += np.stack([two + wrong, two, wrong, one], 1) - (self.tally >> 5)
+        self._share()
+        self.slots = [((self.one[: len(places)] * 40503 + places * 30011) >> 3) & (SLOTS - 1), places & (SLOTS - 1)]
+        self.one = places
 
 
 def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.ndarray, np.ndarray]:
@@ -226,52 +225,52 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.n
     if not blocks:
         return None, np.zeros(0, np.uint16), np.zeros(0, np.uint32)
     alphabet, places = Alphabet.of(ids)
-    table = np.zeros((blocks, block), np.int64)
+    table = np.zeros((blocks, block), np.int32)
     table.ravel()[: len(ids)] = places
     table = np.ascontiguousarray(table.T)
     tail = len(ids) - (blocks - 1) * block
-    model = Model(blocks, alphabet)
+    model, last = Model(blocks), np.zeros(blocks, np.int64)
     low, wide = np.zeros(blocks, np.uint64), np.full(blocks, np.iinfo(np.uint64).max)
     room = 3 * block + 8
     words, at = np.zeros(blocks * room, np.int32), np.arange(blocks) * room + 1
-    scale, half, sixteen, top = np.uint64(SCALE), np.uint64(48), np.uint64(16), np.uint64(1 << 48)
+    half, sixteen, top = np.uint64(48), np.uint64(16), np.uint64(1 << 48)
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
-        now = table[step, :n]
-        model.predict(n)
-        kind = np.where(now == model.ids[0], 0, np.where(now == model.ids[1], 1, 2))
-        klass = alphabet.klass.take(now)
-        start, share = model.class_interval(klass)
-        below = share * alphabet.low.take(now) >> 15
-        share = (share * alphabet.high.take(now) >> 15) - below
-        start += below
-        start = np.where(kind == 2, start, np.where(kind == 0, 0, model.first))
-        share = np.where(kind == 2, share, np.where(kind == 0, model.first, model.both - model.first))
-        unit = wide[:n] >> scale
-        base, left = low[:n] + unit * start.view(np.uint64), unit * share.view(np.uint64)
-        carry = np.flatnonzero(base < low[:n])
+        now = table[step, :n].astype(np.int64)
+        first, both, unit = model.predict(n, wide[:n])
+        two, one = model.ids[0] == now, model.ids[1] == now
+        klass, start, share = alphabet.interval(last[:n], now)
+        start = np.where(two, 0, np.where(one, first, both + unit * start.view(np.uint64)))
+        left = np.where(two, first, np.where(one, both - first, unit * share.view(np.uint64)))
+        base = low[:n] + start
+        carry = np.flatnonzero(base < start)
         if len(carry):
             words[at[carry] - 1] += 1
-        out = np.flatnonzero(left < top)
-        while len(out):
-            place = at[out]
-            words[place] = base[out] >> half
-            at[out] = place + 1
-            base[out] <<= sixteen
-            left[out] <<= sixteen
-            out = out[left[out] < top]
-        low[:n], wide[:n] = base, left
-        model.update(now, kind, klass)
+        # a word more of every block; those that are not ripe yet are written over
+        ripe = left < top
+        words[at[:n]] = (base >> half).astype(np.int32)
+        at[:n] += ripe
+        shift = ripe * sixteen
+        base <<= shift
+        left <<= shift
+        more = np.flatnonzero(left < top)
+        while len(more):
+            words[at[more]] = (base[more] >> half).astype(np.int32)
+            at[more] += 1
+            base[more] <<= sixteen
+            left[more] <<= sixteen
+            more = more[left[more] < top]
+        low[:n], wide[:n], last[:n] = base, left, klass
+        model.update(now, (two, one))
     for _ in range(4):
         words[at] = low >> half
         at += 1
         low <<= sixteen
-    words = words.reshape(blocks, room)
     counts = at - np.arange(blocks) * room
+    words = words.reshape(blocks, room)[:, : int(counts.max())]
     for k in range(int(counts.max()) - 1, 0, -1):
         words[:, k - 1] += words[:, k] >> 16
-    words &= 65535
-    inside = np.arange(room)[None, :] < counts[:, None]
+    inside = np.arange(words.shape[1])[None, :] < counts[:, None]
     inside[:, 0] = False
     return alphabet, words[inside].astype(np.uint16), (counts - 1).astype(np.uint32)
 
@@ -281,47 +280,41 @@ def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, tot
     if not blocks:
         return np.zeros(0, np.int64)
     at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[:-1]
-    source = np.concatenate([words.astype(np.uint64), np.zeros(8, np.uint64)])
-    last = len(source) - 1
+    source = np.concatenate([words, np.zeros(8, np.uint16)])
     wide, value = np.full(blocks, np.iinfo(np.uint64).max), np.zeros(blocks, np.uint64)
-    scale, sixteen, top = np.uint64(SCALE), np.uint64(16), np.uint64(1 << 48)
+    sixteen, top = np.uint64(16), np.uint64(1 << 48)
     for _ in range(4):
         value = (value << sixteen) | source[at]
         at += 1
     tail = total - (blocks - 1) * block
-    table, model = np.zeros((block, blocks), np.int32), Model(blocks, alphabet)
-    begin = np.concatenate([[0], np.cumsum(alphabet.sizes)])
-    #: the place for each of the 2^15 points of a class
-    spelled = np.zeros((CLASSES, INSIDE), np.int32)
-    for c in np.flatnonzero(alphabet.sizes):
-        spelled[c] = np.repeat(np.arange(begin[c], begin[c + 1]), alphabet.width[begin[c] : begin[c + 1]])
-    spelled = spelled.ravel()
+    table, model, last = np.zeros((block, blocks), np.int32), Model(blocks), np.zeros(blocks, np.int64)
+    drawn = alphabet.drawer()
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
-        model.predict(n)
-        unit = wide[:n] >> scale
-        point = np.minimum((value[:n] // unit).view(np.int64), (1 << SCALE) - 1)
-        kind = (point >= model.first).astype(np.int64) + (point >= model.both)
-        klass, start, share = model.class_at(np.where(kind == 2, point, model.both))
-        # the point of the class; its id is found by it, and its interval as when writing
-        spot = (((np.maximum(point - start, 0) + 1) << 15) - 1) // share
-        drawn = spelled.take((klass << 15) | np.minimum(spot, INSIDE - 1))
-        now = np.where(kind == 2, drawn, np.where(kind == 0, model.ids[0], model.ids[1])).astype(np.int64)
-        below = share * alphabet.low.take(drawn) >> 15
-        share = (share * alphabet.high.take(drawn) >> 15) - below
-        start = np.where(kind == 2, start + below, np.where(kind == 0, 0, model.first))
-        share = np.where(kind == 2, share, np.where(kind == 0, model.first, model.both - model.first))
-        left_over, left = value[:n] - unit * start.view(np.uint64), unit * share.view(np.uint64)
+        first, both, unit = model.predict(n, wide[:n])
+        value = value[:n]
+        two, rest = value < first, value >= both
+        one = ~(two | rest)
+        point = np.minimum((value - both) // unit, np.uint64((1 << REST) - 1)).view(np.int64)
+        now = np.where(rest, drawn(last[:n], point), np.where(two, *model.ids))
+        klass, start, share = alphabet.interval(last[:n], now)
+        left = np.where(rest, unit * share.view(np.uint64), np.where(two, first, both - first))
+        value = value - np.where(rest, both + unit * start.view(np.uint64), np.where(two, 0, first))
+        ripe = left < top
+        shift = ripe * sixteen
+        value = (value << shift) | source.take(at[:n], mode="clip") * ripe
+        at[:n] += ripe
+        left <<= shift
         more = np.flatnonzero(left < top)
         while len(more):
-            place = at[more]
-            left_over[more] = (left_over[more] << sixteen) | source.take(np.minimum(place, last))
-            at[more] = place + 1
+            value[more] = (value[more] << sixteen) | source.take(at[more], mode="clip")
+            at[more] += 1
             left[more] <<= sixteen
             more = more[left[more] < top]
-        value[:n], wide[:n] = left_over, left
+        wide, last = left, klass
         table[step, :n] = now
-        model.update(now, kind, np.where(kind == 2, klass, alphabet.klass.take(now)))
+        # an id that both orders hold is the order-2 id's; only then may both be right
+        model.update(now, (two, one | (two & (model.ids[0] == model.ids[1]))))
     return alphabet.ids[np.ascontiguousarray(table.T).ravel()[:total]]
 
 
@@ -367,15 +360,16 @@ def read_frames(data: bytes):
 
 
 class Encoder:
-    """The tokenizers library on many texts, each distinct stretch of text encoded once.
+    """The tokenizers library on many texts, each distinct piece of text encoded once.
 
     A byte-level BPE tokenizer cuts a text before every blank that is followed by something visible, whatever stands around
-    it, and merges nothing across.  So texts are cut there, distinct stretches that are not known yet go through the library,
-    many to a call, and the ids are put together.  The stretches known are forgotten at ``MOST`` of them.  Texts with an added
-    token's string, and tokenizers of another kind, go through the library whole."""
+    it, and merges nothing across.  So texts are cut there, and distinct stretches that are not known yet are cut again where
+    such a tokenizer cuts for sure: between letters or digits and signs, and around a single line end.  Distinct pieces go
+    through the library, many to a call, and the ids are put together.  Beyond ``MOST`` known pieces only those used again are
+    kept.  Texts with an added token's string, and tokenizers of another kind, go through the library whole."""
 
-    MOST = 300_000
-    CALL = 20_000  # bytes of stretches to a string
+    MOST = 500_000
+    CALL = 20_000  # bytes of pieces to a string
 
     def __init__(self, path: str):
         import json
@@ -397,76 +391,123 @@ class Encoder:
         # bytes after which a blank surely begins a token: visible ASCII, and first bytes of U+00C0 to U+07FF
         self.visible = np.zeros(256, bool)
         self.visible[0x21:0x7F] = self.visible[0xC3:0xE0] = True
+        self.alnum, self.sign = np.zeros(256, bool), np.zeros(256, bool)
+        for begin, end in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
+            self.alnum[begin:end] = True
+        self.sign[0x21:0x7F] = ~self.alnum[0x21:0x7F]
+        self.sign[0x27] = False  # an apostrophe may belong to what follows
         self._forget()
 
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.begin, self.used = np.zeros(1 << 16, np.int32), [0], 0
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        """Keep the pieces of these numbers alone."""
+        if keep is None:
+            keep, self.known, self.pool, self.begin = np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, (self.pool, sizes) = self.known.take(pa.array(keep)), self._ids(keep)
+        self.begin, self.uses = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(keep), np.int64)
 
-    def _learn(self, stretches: list[bytes], found: np.ndarray, sizes: np.ndarray) -> None:
-        if self.used + len(found) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(self.used + len(found), np.int32)])
-        self.pool[self.used : self.used + len(found)] = found
-        for stretch, end in zip(stretches, (self.used + np.cumsum(sizes)).tolist(), strict=True):
-            self.known[stretch] = len(self.begin) - 1
-            self.begin.append(end)
-        self.used += len(found)
+    def _ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces of these numbers, one after another, and how many each has."""
+        begin = self.begin[numbers]
+        sizes = self.begin[numbers + 1] - begin
+        return self.pool[ranges(begin, sizes)], sizes
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_new(self, new: list[bytes]) -> None:
-        joined = [x for x in new if len(x) > 1 and x[0] == 0x20 and self.visible[x[1]]]
-        single = [x for x in new if not (len(x) > 1 and x[0] == 0x20 and self.visible[x[1]])]
-        groups, size = [[]], 0
-        for x in joined:
-            groups[-1].append(x)
-            size += len(x)
-            if size > self.CALL:
-                groups.append([])
-                size = 0
-        for group, ids in zip(groups, self._library([b"".join(g).decode() for g in groups]), strict=True):
-            ends = np.cumsum([len(x) for x in group])
+    def _joined(self, pieces: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of pieces that keep apart when they are joined, each with ``before``, one token or none, in
+        front."""
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        raw, at = text_view(pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pieces, pa.scalar(before, pa.large_string())))
+        data, skip = raw.tobytes(), len(before)
+        groups = np.append(np.flatnonzero(np.diff(at[:-1] // self.CALL, prepend=-1)), len(pieces))
+        found, counts = [], []
+        for a, b, ids in zip(groups[:-1].tolist(), groups[1:].tolist(), self._library([data[at[a] : at[b]].decode() for a, b in zip(groups[:-1], groups[1:], strict=True)]), strict=True):
+            ends = at[a + 1 : b + 1] - at[a]
             reached = np.cumsum(self.width[ids])
             last = np.searchsorted(reached, ends)
-            if len(group) and (last[-1] >= len(reached) or not np.array_equal(reached[last], ends)):
-                single += group  # not cut as expected: one by one
-            elif group:
-                self._learn(group, ids, np.diff(last + 1, prepend=0))
-        found = self._library([x.decode() for x in single])
-        if single:
-            self._learn(single, np.concatenate(found), np.array([len(f) for f in found]))
+            first = np.append(0, last[:-1] + 1)
+            if last[-1] >= len(reached) or not np.array_equal(reached[last], ends) or skip and (self.width[ids[first]] != skip).any():
+                parts = self._library(pieces[a:b].to_pylist())  # not cut as expected: one by one
+                ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+            else:
+                ids, sizes = np.delete(ids, first) if skip else ids, last + 1 - first - skip
+            found.append(ids)
+            counts.append(sizes)
+        return np.concatenate(found), np.concatenate(counts)
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers that these pieces get."""
+        raw, at = text_view(pieces)
+        first, last, long = raw[at[:-1]], raw[at[1:] - 1], np.diff(at) > 1
+        blank = long & (first == 0x20)
+        blank[blank] = self.visible[raw[at[:-1][blank] + 1]]
+        shown = (self.alnum | self.sign)[first] & (self.alnum | self.sign)[last]
+        order = np.argsort(np.where(blank, 0, np.where(shown, 1, 2)), kind="stable")
+        kinds = [pieces.take(pa.array(part)) for part in np.split(order, np.cumsum([blank.sum(), shown.sum()]))]
+        parts = self._library(kinds[2].to_pylist())
+        made = [self._joined(kinds[0], ""), self._joined(kinds[1], "\n"), (np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64))]
+        self.known = pa.concat_arrays([self.known, *kinds])
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in made)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate([sizes for _, sizes in made]))])
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = len(self.uses) + np.arange(len(pieces))
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int64)])
+        return numbers
+
+    def _stretches(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches of text, one after another, and how many each has."""
+        raw, at = text_view(stretches)
+        if not len(raw):
+            return np.zeros(0, np.int32), np.zeros(len(stretches), np.int64)
+        alnum, sign = self.alnum[raw], self.sign[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[at] = True
+        alone = (alnum | sign)[:-2] & (raw[1:-1] == 0x0A) & self.visible[raw[2:]] & ~cut[1:-2] & ~cut[2:-1]
+        cut[1:-1] |= (alnum[:-1] & sign[1:]) | (sign[:-1] & alnum[1:])
+        cut[1:-2] |= alone
+        cut[2:-1] |= alone
+        bounds = np.flatnonzero(cut)
+        pieces = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        found = pc.index_in(pieces.dictionary, value_set=self.known)
+        new, number = np.asarray(found.is_null()), np.asarray(found.fill_null(0), np.int64)
+        if new.any():
+            number[new] = self._learn(pieces.dictionary.filter(pa.array(new)))
+        self.uses[number] += 1
+        ids, sizes = self._ids(number[np.asarray(pieces.indices)])
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(upto[np.searchsorted(bounds, at)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and offsets (texts + 1)."""
         whole = [not self.cuts or any(t in text for t in self.added) for text in texts]
-        parts = [b"" if w else text.encode() for w, text in zip(whole, texts, strict=True)]
-        sizes, data = np.array([len(p) for p in parts], np.int64), b"".join(parts)
-        counts, ids = np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-        if data:
-            raw = np.frombuffer(data, np.uint8)
-            begins = np.zeros(len(raw), bool)
-            begins[:-1] = (raw[:-1] == 0x20) & self.visible[raw[1:]]
-            ends = np.cumsum(sizes)
-            # a text's last blank has nothing visible after it in its own text
-            begins[ends[sizes > 0] - 1] &= sizes[sizes > 0] == 1
-            begins[(ends - sizes)[sizes > 0]] = True
-            start = np.flatnonzero(begins)
-            length = np.diff(np.append(start, len(raw)))
-            _, first, which = np.unique(span_hashes(raw, start, start + length), return_index=True, return_inverse=True)
-            if not np.array_equal(length, length[first][which]) or not np.array_equal(raw[ranges(start, length)], raw[ranges(start[first][which], length)]):
-                first = which = np.arange(len(start))
-            if len(self.known) > self.MOST:
-                self._forget()
-            stretches = [data[a:b] for a, b in zip(start[first].tolist(), (start + length)[first].tolist(), strict=True)]
-            self._learn_new(list(dict.fromkeys(x for x in stretches if x not in self.known)))
-            place = np.array([self.known[x] for x in stretches], np.int64)[which]
-            begin = np.array(self.begin, np.int64)
-            size = begin[place + 1] - begin[place]
-            ids = self.pool[ranges(begin[place], size)]
-            upto = np.concatenate([[0], np.cumsum(size)])
-            at = np.searchsorted(start, np.concatenate([[0], ends]))
-            counts = np.diff(upto[at])
+        if len(self.known) > self.MOST:
+            again = np.flatnonzero(self.uses > 1)
+            self._forget(again if 2 * len(again) < self.MOST else None)
+        # a text's words: what comes before the first blank, and what follows each; words that begin otherwise belong to the one before
+        cut = pc.split_pattern(pa.array(["" if w else t for w, t in zip(whole, texts, strict=True)], pa.large_string()), " ")
+        words, at = cut.flatten().dictionary_encode(), np.asarray(cut.offsets).astype(np.int64)
+        index, words = np.asarray(words.indices), words.dictionary
+        raw, offsets = text_view(words)
+        visible = np.diff(offsets) > 0
+        visible[visible] = self.visible[raw[offsets[:-1][visible]]]
+        begins, first = visible[index], np.zeros(len(index), bool)
+        first[at[:-1]] = begins[at[:-1]] = True
+        start = np.flatnonzero(begins)
+        length, first = np.diff(np.append(start, len(index))), first[start]
+        plain = (length == 1) & ~first
+        used = np.flatnonzero(np.bincount(index[start[plain]], minlength=len(visible)))
+        others, data = [], raw.tobytes()
+        for a, n, f in zip(start[~plain].tolist(), length[~plain].tolist(), first[~plain].tolist(), strict=True):
+            others.append((b"" if f else b" ") + b" ".join([data[offsets[i] : offsets[i + 1]] for i in index[a : a + n].tolist()]))
+        blank = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), words.take(pa.array(used)), pa.scalar(" ", pa.large_string()))
+        ids, sizes = self._stretches(pa.concat_arrays([blank, pa.array(others, pa.large_binary()).cast(pa.large_string())]))
+        number, of_word = np.zeros(len(start), np.int64), np.zeros(len(visible), np.int64)
+        of_word[used] = np.arange(len(used))
+        number[plain], number[~plain] = of_word[index[start[plain]]], len(used) + np.arange(len(others))
+        ids = ids[ranges((np.cumsum(sizes) - sizes)[number], sizes[number])]
+        counts = np.diff(np.concatenate([[0], np.cumsum(sizes[number])])[np.searchsorted(start, at)])
         if any(whole):
             rest = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
             cut = np.split(ids, np.cumsum(counts)[:-1])
@@ -499,7 +540,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, part
             ids = np.concatenate(parts).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array([write_frame(names, np.array([len(p) for p in parts]), ids)], pa.binary())], ["frame"])
 
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=SLICE):
             found, at = encoder.encode(batch.column("text").to_pylist())
             for k, name in enumerate(batch.column("id").to_pylist()):
                 names.append(name)

@@ -79,6 +79,26 @@ def test_frames_of_longer_blocks_are_still_read():
         assert np.array_equal(next(tf.read_frames(tf.write_frame([1], np.array([9000]), ids, block)))[2], ids)
 
 
+def test_blocks_learn_from_each_other():
+    ids = np.tile(np.random.default_rng(9).permutation(1000) * 31, 64)
+    assert round_trip(ids, 1024) < 2  # no block sees an id twice, so blocks alone would take ten bits an id
+
+
+def test_pieces_go_through_the_library_once(monkeypatch):
+    encoder, given = tf.Encoder(PATH), []
+    plain = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda texts: given.extend(texts) or plain(texts))
+    text = "alphabet, alphabet. alphabet! alphabet\nalphabet (alphabet) alphabet's"
+    assert encoder.encode([text])[0].tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    assert "".join(given).count("alphabet") <= 3  # after a blank, after another sign, and before an apostrophe
+    encoder.MOST = 30
+    for other in (text, " ".join(f"once{k}x" for k in range(40))):
+        encoder.encode([other])
+    given.clear()
+    encoder.encode([text, "something else once7x"])
+    assert "alphabet" not in "".join(given) and "once" in "".join(given)  # what is used again is kept, and nothing else
+
+
 def test_checksums():
     ids = np.arange(5000) % 777
     data = tf.write_frame([4, None, 9], np.array([1000, 0, 4000]), ids, 512) + b"\n"
