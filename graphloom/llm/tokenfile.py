@@ -52,6 +52,8 @@ FOLLOW, INSIDE = 1 << 14, 1 << 15
 SHARE, ROOM, REST = 15, 30720, 29
 #: Ids, a frame's first ones, whose neighbourhoods decide its classes; and most frequent distinct ids that place the classes.
 SAMPLE, OFTEN = 1 << 18, 1 << 13
+#: Places taken at once where a whole frame's would not stay in cache.
+CHUNK = 1 << 17
 
 
 def _shares(counts: np.ndarray, total: int) -> np.ndarray:
@@ -143,22 +145,30 @@ class Alphabet:
         if int(ids.max()) < 1 << 22:
             counts = np.bincount(ids)
             distinct = np.flatnonzero(counts)
-            counts, at = counts[distinct], np.zeros(len(counts), np.int64)
+            counts, at = counts[distinct], np.zeros(len(counts), np.int32)
             at[distinct] = np.arange(len(distinct))
-            places = at[ids]
+            some = at[ids[:SAMPLE]]
         else:
-            distinct, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+            distinct, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
+            some = at[:SAMPLE]
         if len(distinct) > CLASSES * MOST_IN_CLASS:
             raise ValueError("too many distinct ids for a frame")
-        klass = _classes(places, counts)
+        klass = _classes(some.astype(np.int64), counts)
         order = np.lexsort((distinct, klass))
         sizes = np.bincount(klass, minlength=CLASSES)
         width = np.concatenate([_shares(counts[part], INSIDE) if len(part) else part for part in np.split(order, np.cumsum(sizes)[:-1])])
-        again = np.empty(len(order), np.int64)
+        again = np.empty(len(order), np.int32)
         again[order] = np.arange(len(order))
-        places = again[places]
-        kinds = klass[order][places]
-        follow = np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+        if int(ids.max()) < 1 << 22:
+            at[distinct] = again
+            places = at[ids]
+        else:
+            places = again[at]
+        kinds, follow = klass[order], np.zeros(CLASSES**2, np.int64)
+        for k in range(0, len(places), CHUNK):
+            part = kinds[places[k : k + CHUNK + 1]]
+            follow += np.bincount(part[:-1] * CLASSES + part[1:], minlength=CLASSES**2)
+        follow = follow.reshape(CLASSES, CLASSES)
         return cls(distinct[order], sizes, width, _shares(follow, FOLLOW)), places
 
     def pack(self) -> bytes:
@@ -176,6 +186,14 @@ class Alphabet:
         return cls(ids, sizes, width, follow.reshape(CLASSES, CLASSES))
 
 
+def _turned(table: np.ndarray) -> np.ndarray:
+    """The table with rows and columns changed over, some rows at a time so that they stay in cache."""
+    out = np.empty(table.shape[::-1], table.dtype)
+    for k in range(0, len(table), 64):
+        out[:, k : k + 64] = table[k : k + 64].T
+    return out
+
+
 class Model:
     """What the ids of a frame say about the next id of each of its blocks.  ``predict`` and ``update`` take the first ``n``
     blocks one id further; all of them read and write the same tables.
@@ -227,12 +245,12 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.n
     alphabet, places = Alphabet.of(ids)
     table = np.zeros((blocks, block), np.int32)
     table.ravel()[: len(ids)] = places
-    table = np.ascontiguousarray(table.T)
+    table, places = _turned(table), None
     tail = len(ids) - (blocks - 1) * block
     model, last = Model(blocks), np.zeros(blocks, np.int64)
     low, wide = np.zeros(blocks, np.uint64), np.full(blocks, np.iinfo(np.uint64).max)
-    room = 3 * block + 8
-    words, at = np.zeros(blocks * room, np.int32), np.arange(blocks) * room + 1
+    # a row holds a word of each block
+    words, at = np.zeros((3 * block + 8) * blocks, np.int32), np.arange(blocks) + blocks
     half, sixteen, top = np.uint64(48), np.uint64(16), np.uint64(1 << 48)
     for step in range(block if blocks > 1 else tail):
         n = blocks if step < tail else blocks - 1
@@ -245,18 +263,18 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.n
         base = low[:n] + start
         carry = np.flatnonzero(base < start)
         if len(carry):
-            words[at[carry] - 1] += 1
+            words[at[carry] - blocks] += 1
         # a word more of every block; those that are not ripe yet are written over
         ripe = left < top
         words[at[:n]] = (base >> half).astype(np.int32)
-        at[:n] += ripe
+        at[:n] += ripe * blocks
         shift = ripe * sixteen
         base <<= shift
         left <<= shift
         more = np.flatnonzero(left < top)
         while len(more):
             words[at[more]] = (base[more] >> half).astype(np.int32)
-            at[more] += 1
+            at[more] += blocks
             base[more] <<= sixteen
             left[more] <<= sixteen
             more = more[left[more] < top]
@@ -264,15 +282,15 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.n
         model.update(now, (two, one))
     for _ in range(4):
         words[at] = low >> half
-        at += 1
+        at += blocks
         low <<= sixteen
-    counts = at - np.arange(blocks) * room
-    words = words.reshape(blocks, room)[:, : int(counts.max())]
-    for k in range(int(counts.max()) - 1, 0, -1):
-        words[:, k - 1] += words[:, k] >> 16
-    inside = np.arange(words.shape[1])[None, :] < counts[:, None]
-    inside[:, 0] = False
-    return alphabet, words[inside].astype(np.uint16), (counts - 1).astype(np.uint32)
+    counts = at // blocks
+    words = words.reshape(-1, blocks)[: int(counts.max())]
+    for k in range(len(words) - 1, 0, -1):
+        words[k - 1] += words[k] >> 16
+    inside = np.arange(len(words))[:, None] < counts
+    inside[0] = False
+    return alphabet, _turned(words.astype(np.uint16))[_turned(inside)], (counts - 1).astype(np.uint32)
 
 
 def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
@@ -315,7 +333,7 @@ def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, tot
         table[step, :n] = now
         # an id that both orders hold is the order-2 id's; only then may both be right
         model.update(now, (two, one | (two & (model.ids[0] == model.ids[1]))))
-    return alphabet.ids[np.ascontiguousarray(table.T).ravel()[:total]]
+    return alphabet.ids[_turned(table).ravel()[:total]]
 
 
 def _crcs(ids: np.ndarray, block: int) -> list[int]:
@@ -359,6 +377,11 @@ def read_frames(data: bytes):
         at = pos + 5  # checksum and newline
 
 
+def _gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` with these begins and sizes, one after another."""
+    return np.concatenate([pool[:0], *(pool[ranges(begin[k : k + CHUNK], sizes[k : k + CHUNK])] for k in range(0, len(begin), CHUNK))])
+
+
 class Encoder:
     """The tokenizers library on many texts, each distinct piece of text encoded once.
 
@@ -409,7 +432,7 @@ class Encoder:
         """Ids of the pieces of these numbers, one after another, and how many each has."""
         begin = self.begin[numbers]
         sizes = self.begin[numbers + 1] - begin
-        return self.pool[ranges(begin, sizes)], sizes
+        return _gathered(self.pool, begin, sizes), sizes
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -506,7 +529,7 @@ class Encoder:
         number, of_word = np.zeros(len(start), np.int64), np.zeros(len(visible), np.int64)
         of_word[used] = np.arange(len(used))
         number[plain], number[~plain] = of_word[index[start[plain]]], len(used) + np.arange(len(others))
-        ids = ids[ranges((np.cumsum(sizes) - sizes)[number], sizes[number])]
+        ids = _gathered(ids, (np.cumsum(sizes) - sizes)[number], sizes[number])
         counts = np.diff(np.concatenate([[0], np.cumsum(sizes[number])])[np.searchsorted(start, at)])
         if any(whole):
             rest = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
@@ -537,7 +560,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, part
         names, parts, held = [], [], 0
 
         def frame():
-            ids = np.concatenate(parts).astype(np.int64)
+            ids = np.concatenate(parts)
             return pa.RecordBatch.from_arrays([pa.array([write_frame(names, np.array([len(p) for p in parts]), ids)], pa.binary())], ["frame"])
 
         for batch in sliced(batches, most=SLICE):
