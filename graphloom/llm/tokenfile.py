@@ -8,7 +8,7 @@ each frame: frames decode independently, the blocks of one frame together.
 
 The model predicts an id by its last two ids (order 2: the id that followed them last), by its last id (order 1: the same),
 and by the class of the last (the class of the next, and in it the id by frequency).  The orders are mixed by shares that
-follow how often which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
+follow, at every fourth id, how often which of them was right, kept for each pair of confidences: one interval goes to the order-2 id, one to the
 order-1 id, and the rest, a scale of 2^29, is shared out among classes and, within a class, by frequency.  So an id costs one
 coding step.  The coder is a range coder with 16-bit output words and a 64-bit state.
 
@@ -206,6 +206,7 @@ class Model:
         # by pairs of confidences: how often the order-2 id was asked and right, and the order-1 id after it was wrong
         self.tally = np.array([[[2048, 256, 2048, 256]]] * 16, np.int64).reshape(16, 4)
         self.one, self.slots = np.zeros(blocks, np.int64), [np.zeros(blocks, np.int64)] * 2
+        self.steps = 0
         self._share()
 
     def _share(self):
@@ -229,10 +230,12 @@ class Model:
         fresh = (places << 2).astype(np.int32)
         for cells, slot, cell, hit in zip(self.cells, self.slots, self.known, hits, strict=True):
             cells[slot] = np.where(hit, np.minimum(cell + 1, cell | 3), np.where(cell & 3, cell - 1, fresh))
-        wrong, one, two, both = (np.bincount((self.state << 2) | (hits[0].view(np.int8) << 1) | hits[1], minlength=64) << 8).reshape(16, 4).T
-        two, wrong = two + both, wrong + one
-        self.tally += np.stack([two + wrong, two, wrong, one], 1) - (self.tally >> 5)
-        self._share()
+        if not self.steps % 4:  # shares need not follow every id
+            wrong, one, two, both = (np.bincount((self.state << 2) | (hits[0].view(np.int8) << 1) | hits[1], minlength=64) << 8).reshape(16, 4).T
+            two, wrong = two + both, wrong + one
+            self.tally += np.stack([two + wrong, two, wrong, one], 1) - (self.tally >> 5)
+            self._share()
+        self.steps += 1
         self.slots = [((self.one[: len(places)] * 40503 + places * 30011) >> 3) & (SLOTS - 1), places & (SLOTS - 1)]
         self.one = places
 
@@ -296,7 +299,7 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> tuple[Alphabet | None, np.n
 def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:
     blocks = len(counts)
     if not blocks:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32)
     at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])[:-1]
     source = np.concatenate([words, np.zeros(8, np.uint16)])
     wide, value = np.full(blocks, np.iinfo(np.uint64).max), np.zeros(blocks, np.uint64)
@@ -333,11 +336,11 @@ def expand(alphabet: Alphabet | None, words: np.ndarray, counts: np.ndarray, tot
         table[step, :n] = now
         # an id that both orders hold is the order-2 id's; only then may both be right
         model.update(now, (two, one | (two & (model.ids[0] == model.ids[1]))))
-    return alphabet.ids[_turned(table).ravel()[:total]]
+    return alphabet.ids.astype(np.uint32)[_turned(table).ravel()[:total]]
 
 
 def _crcs(ids: np.ndarray, block: int) -> list[int]:
-    raw = ids.astype("<u4")
+    raw = ids.astype("<u4", copy=False)
     return [zlib.crc32(raw[k : k + block]) for k in range(0, len(raw), block)]
 
 
@@ -608,8 +611,8 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """The stored documents with ``ids_crc32``, the crc32 of their ids as little-endian unsigned 32-bit integers."""
 
     def made(ids, at):
-        raw = memoryview(ids.astype("<u4").tobytes())
-        return pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()), "ids_crc32"
+        raw = ids.astype("<u4", copy=False)
+        return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64()), "ids_crc32"
 
     return _stored(spark, path, made, "ids_crc32 long")
 
