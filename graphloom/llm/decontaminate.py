@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import dense_index
+from ..staging import free, owned
 from .common import ascii_lower, small, stage
 
 #: Everything that is no word character, after lower-casing.
@@ -180,7 +181,10 @@ def find(docs: DataFrame, items: DataFrame, n: int = 10, id_col: str = "doc_id",
 
 def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs``, columns as they are, in which no window of a benchmark item occurs."""
-    found = stage(occurrences(docs, items, n).hits.select("__id", "__hash").distinct())
+    with owned() as passing:
+        hits = occurrences(docs, items, n).hits
+    found = stage(hits.select("__id", "__hash").distinct())
+    free(passing)
     names = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     return _matched(with_hash(keyed, "__text"), found, "left_anti").select(*[F.col("__row")[c].alias(c) for c in names])

@@ -12,6 +12,11 @@ equal, and a document with at most z empty groups need not sign those; z is larg
 smallest id is head; a cluster is everything that shares a head, so each similar pair lies in the cluster of the head of
 each signature that it shares, and still does when a cluster is joined to that of its head's own smallest head.
 
+What need not meet.  A document with e <= z empty groups, which it does not sign, shares at least z + 1 - e signatures with
+each similar one, so each of the two may leave out any (z - e) / 2 of its own and one that both keep is left (a document that
+signs its empty groups leaves out none).  It leaves those heads with which it has the fewest in common: documents
+that share a line and little else do not meet, however many they are, while near copies have most of their signatures in common.
+
 Clusters are first searched by points alone (a byte for each group), which leaves only documents with a partner that they
 could be similar to; large clusters in pieces, and what is left over in its piece against all others.  The texts of those are then brought together and searched breadth-first: a document is looked up in
 the tree of the documents not reached yet, nearest to the cluster's mean first, so that a large group of near copies costs
@@ -33,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import free, owned
 from .common import LOWER, MIX1, SALTS, byte_table, mix, sliced, span_hashes, spans, stage, text_view
 from .common import small as few
 
@@ -116,7 +122,13 @@ class Threshold:
 
     def signatures(self, gram: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Signatures of each set, one after another, and offsets."""
+        return self.signed(gram, offsets)[:2]
+
+    def signed(self, gram: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of each set, one after another, and offsets; a signature's last bit is that of its size class.  And how
+        many signatures of an even and of an odd class each set may leave out."""
         size = np.diff(offsets)
+        leave = np.zeros((len(size), 2), np.int32)
         own = np.searchsorted(self.edges, size, "right") - 1
         rows, owners = [], []
         for step in (0, 1):
@@ -138,19 +150,24 @@ class Threshold:
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(item ^ SALTS[3]), first)
                 many = np.diff(np.append(first, len(item))).astype(np.uint64)
-                rows.append(mix(total * SALTS[4] + many * SALTS[5] + _place(level[owner[first]], part[first])))
+                rows.append(_classed(mix(total * SALTS[4] + many * SALTS[5] + _place(level[owner[first]], part[first])), level[owner[first]]))
                 owners.append(owner[first])
                 full = np.bincount(owner[first], minlength=len(size))
+                leave[picked, level[picked] & 1] = np.maximum(full[picked] - (parts[picked] - self.spare[level[picked]]), 0) // 2
                 for d in picked[full[picked] < parts[picked] - self.spare[level[picked]]]:
                     mine = part[first[owner[first] == d]]
                     empty = np.setdiff1d(np.arange(parts[d], dtype=np.uint64), mine)
-                    rows.append(mix(_place(np.full(len(empty), level[d]), empty) * SALTS[6]))
+                    rows.append(_classed(mix(_place(np.full(len(empty), level[d]), empty) * SALTS[6]), np.full(len(empty), level[d])))
                     owners.append(np.full(len(empty), d))
         if not rows:
-            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+            return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), leave
         owner = np.concatenate(owners)
         order = np.argsort(owner, kind="stable")
-        return np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).astype(np.int64)
+        return np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))]).astype(np.int64), leave
+
+
+def _classed(signature: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return (signature & ~np.uint64(1)) | (level.astype(np.uint64) & np.uint64(1))
 
 
 def _place(level: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -363,11 +380,12 @@ def _signed(batches, n: int, threshold: Threshold):
                 known.add(pair)
                 new[k] = True
         kept = np.where(new, size, 0)
-        signature, at = threshold.signatures(gram[np.repeat(new, size)], np.concatenate([[0], np.cumsum(kept)]))
+        signature, at, leave = threshold.signed(gram[np.repeat(new, size)], np.concatenate([[0], np.cumsum(kept)]))
+        even, odd = (pa.array(x, mask=~new) for x in leave.T)
         points = np.minimum(counts_of(gram, offsets), 255).astype(np.uint8)
         packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(size), [None, pa.py_buffer(np.ascontiguousarray(points))]).cast(pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signature.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), *(pa.array(m.view(np.int64)) for m in marks), packed, lists], ["id", "size", "f1", "f2", "point", "signatures"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(size), *(pa.array(m.view(np.int64)) for m in marks), packed, lists, even, odd], ["id", "size", "f1", "f2", "point", "signatures", "even", "odd"])
 
 
 def _possible(points: np.ndarray, size: np.ndarray, threshold: Threshold) -> np.ndarray:
@@ -464,7 +482,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _heads(signed: DataFrame) -> DataFrame:
-    """(id, head): for each signature of an id, the smallest id that has it, where that is another one.
+    """(id, head, class, n): for each signature of an id, the smallest id that has it, where that is another one; n is how many
+    of the (even or odd) class share that head.
 
     Signatures that are very frequent among one id in ``ONE_IN`` get their smallest id by a partial aggregation, and that id
     is broadcast, so that no task orders all that have such a signature; the result is the same for every signature."""
@@ -473,26 +492,49 @@ def _heads(signed: DataFrame) -> DataFrame:
     hot = stage(some.groupBy("signature").count().where(F.col("count") >= HOT).select("signature"))
     rows = met.select("id", F.explode("signatures").alias("signature"))
     first = F.first("id").over(Window.partitionBy("signature").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    headed = lambda some: some.select("id", first.alias("head")).where("id <> head").distinct()
+    counted = lambda some: some.where("id <> head").groupBy("id", "head", F.col("signature").bitwiseAND(F.lit(1)).alias("class")).agg(F.count("*").alias("n"))
+    headed = lambda some: counted(some.select("id", "signature", first.alias("head")))
     n = hot.limit(MOST_HOT + 1).count()
     if not 0 < n <= MOST_HOT:  # none, or so many that no one of them is a task's burden
         return headed(rows)
     top = stage(rows.join(F.broadcast(hot), "signature", "left_semi").groupBy("signature").agg(F.min("id").alias("head")))
-    return headed(rows.join(F.broadcast(hot), "signature", "left_anti")).union(rows.join(F.broadcast(top), "signature").where("id <> head").select("id", "head").distinct())
+    both = headed(rows.join(F.broadcast(hot), "signature", "left_anti")).union(counted(rows.join(F.broadcast(top), "signature").select("id", "signature", "head")))
+    return both.groupBy("id", "head", "class").agg(F.sum("n").alias("n"))
+
+
+def _kept(shared: DataFrame, signed: DataFrame) -> DataFrame:
+    """The distinct (id, head) of ``shared`` (id, head, class, n signatures) that are left when each id leaves out what it may
+    of each class, heads with the fewest signatures first.  An id with several sets leaves out what each of them may."""
+    may = signed.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("even").alias("even"), F.min("odd").alias("odd"))
+    most = F.when(F.col("class") == 1, F.col("odd")).otherwise(F.col("even"))
+    left = F.sum("n").over(Window.partitionBy("id", "class").orderBy("n", "head").rowsBetween(Window.unboundedPreceding, 0))
+    return shared.join(may, "id").select("id", "head", (left > most).alias("kept")).where("kept").select("id", "head").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links)."""
-    threshold = Threshold(num, den)
+    """One row per row of ``docs``: id, n_shingles, component_id (the smallest id reachable by links).  Staged; what it took on
+    the way is freed."""
+    with owned() as passing:
+        out = _near_duplicates(docs, n, Threshold(num, den), id_col, text_col)
+    out = stage(out)
+    free(passing)
+    return out
+
+
+def _near_duplicates(docs: DataFrame, n: int, threshold: Threshold, id_col: str, text_col: str) -> DataFrame:
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stage(source.mapInArrow(lambda batches: _signed(batches, n, threshold), "id long, size long, f1 long, f2 long, point binary, signatures array<long>"))
+    with owned() as passing:
+        signed = stage(source.mapInArrow(lambda batches: _signed(batches, n, threshold), "id long, size long, f1 long, f2 long, point binary, signatures array<long>, even int, odd int"))
+        heads = _kept(stage(_heads(signed)), signed)
+    # nothing needs the signatures once the pairs are known
+    pairs, signed = stage(heads), stage(signed.drop("signatures", "even", "odd"))
+    free(passing)
     # copies: the smallest id stands for all equal sets
     kind = ["f1", "f2", "size"]
     filled = signed.where(F.col("id").isNotNull() & (F.col("size") > 0)).select("id", *kind)
     first = stage(filled.groupBy(*kind).agg(F.min("id").alias("rep")))
     # staged before and after, so that the join stands alone and can be split where one set has very many copies
     alias = stage(stage(filled.join(first, kind).select("id", "size", "rep")).distinct())
-    pairs = stage(_heads(signed))
     named = pairs.join(alias.select("id", F.col("rep").alias("member")), "id").join(alias.select(F.col("id").alias("head"), F.col("rep").alias("lead")), "head")
     named = stage(named.where("member <> lead").select(F.col("lead").alias("head"), F.col("member").alias("id")).distinct())
     # a head that has a head itself passes its cluster, itself included, on to that one, so that families meet once and not

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import staging
 from graphloom.llm import ngram_join as nj
 
 
@@ -185,3 +186,34 @@ def test_tree_joined_with_itself(monkeypatch):
         np.fill_diagonal(must, False)
         found = nj.CountTree(counts.astype(np.int32), size, t).paired()
         assert np.array_equal(found, must.any(1))
+
+
+def test_similar_sets_keep_a_common_signature():
+    rng = np.random.default_rng(5)
+    for num, den in ((85, 100), (8, 10), (1, 2)):
+        t = nj.Threshold(num, den)
+        for size in (6, 9, 15, 30, 77, 200, 999):
+            for _ in range(12):
+                a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+                drop = rng.integers(0, max(1, size * (den - num) // den))
+                b = np.union1d(a[drop:], rng.integers(0, 1 << 63, rng.integers(0, max(1, size * (den - num) // den))).astype(np.uint64))
+                same = len(np.intersect1d(a, b))
+                if den * same < num * (len(a) + len(b) - same) or np.array_equal(a, b):
+                    continue
+                signs, at, leave = t.signed(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                both = np.intersect1d(signs[at[0] : at[1]], signs[at[1] :])
+                of = np.bincount((both & np.uint64(1)).astype(np.int64), minlength=2)
+                assert (of > leave.sum(0)).any()
+
+
+def test_documents_that_share_a_line_do_not_meet(spark, monkeypatch):
+    rng, met = random.Random(6), []
+    line = " ".join(f"common{k}" for k in range(40))
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(6000)) + "\n" + line) for k in range(30)]
+    rows.append((30, rows[7][1] + " and a few more words"))
+    monkeypatch.setattr(nj, "few", lambda df, bound, f=nj.few: met.append({r["id"] for r in df.collect() if "block" in df.columns}) or f(df, bound))
+    before = len(staging._staged)
+    found = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {k: 7 if k == 30 else k for k in range(31)}
+    assert met == [{7, 30}]
+    assert len(staging._staged) == before + 1  # its result; what it took is freed
